@@ -5,20 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, line_dedup, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.train_from_documents(docs)))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_dedup.LineIndex.build(docs)
+    kept = index.drop_lines(docs, kept="kept", counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM parts),
+keyed AS (
+  SELECT doc_id, line, i,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+often AS (SELECT k FROM (SELECT DISTINCT doc_id, k FROM keyed) WHERE k <> '' GROUP BY k HAVING count(*) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(o.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_byte_bpe,)}
+    return {f.__name__: f for f in (op2_secret_scan, op5_byte_bpe, op7_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
