@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, secret_scan
+from . import byte_bpe, line_dedup, secret_scan, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.TokenFiles.write(table(spark, sf_dir, "documents")).digests()
+
+
 OP7_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM parts),
@@ -45,7 +49,7 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op5_byte_bpe, op7_line_dedup)}
+    return {f.__name__: f for f in (op2_secret_scan, op5_byte_bpe, op7_line_dedup, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
