@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,24 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the session's shared folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(os.path.join(os.environ.get("TMPDIR", "/tmp"), "ledgerloom-checkpoints"))
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
-    return df.checkpoint()
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that all executors share."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(os.environ.get("TMPDIR", "/tmp"), "ledgerloom-shared")
+    """A fresh path below the folder that all executors share (spark.checkpoint.dir; a folder of our own where it is unset)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str = "saved") -> DataFrame:
+    """The rows, written once to the shared folder and read from there, so that lost executors cost no recomputation."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -224,7 +224,7 @@ class LineIndex:
             shard = (filters if filters.num_rows else keys)["shard"][0].as_py()
             return pa.table({"shard": pa.array([shard], pa.int32()), "data": pa.array([filter_.dump()], pa.binary())})
 
-        changed = common.checkpoint(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, "shard int, data binary"))
+        changed = common.saved(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, "shard int, data binary"))
         full = [r.shard for r in changed.where("data is null").select("shard").collect()]
         if full:  # a filter ran out of room: those shards are built anew from the exact table
             again = after.frequent.withColumn("shard", after._shard()).where(F.col("shard").isin(full))
