@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, ngram_join, secret_scan, token_store
+from . import byte_bpe, line_dedup, ngram_join, perplexity, secret_scan, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, secret_scan.train_from_documents(docs)))
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.filter_quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "lower", "upper"
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -53,7 +59,7 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op5_byte_bpe, op7_line_dedup, op8_token_files)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_perplexity, op5_byte_bpe, op7_line_dedup, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
