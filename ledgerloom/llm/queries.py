@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, line_dedup, ngram_join, perplexity, secret_scan, token_store
+from . import byte_bpe, langid, line_dedup, ngram_join, perplexity, quality, secret_scan, token_store
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP7_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM parts),
@@ -65,7 +69,7 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_perplexity, op5_byte_bpe, op7_line_dedup, op8_token_files, op9_language_id)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_perplexity, op5_byte_bpe, op7_line_dedup, op8_token_files, op9_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
