@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, line_dedup, ngram_join, perplexity, quality, secret_scan, token_store
+from . import byte_bpe, decontaminate, langid, line_dedup, ngram_join, perplexity, quality, secret_scan, token_store, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +28,43 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[	- ]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[	- ]+'), lambda x: x <> '') AS ws FROM benchmark),
+ds AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM d),
+bs AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                       WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM b),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 75 * n_item
+"""
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+#: Fixed by the query's contract.
+URL_RULES = [
+    url_filter.Rule("block", "com/en/"),
+    url_filter.Rule("allow", "example.com/en/7"),
+    url_filter.Rule("allow", "net/de/"),
+    url_filter.Rule("block", "example.net/de/8"),
+    url_filter.Rule("block", "org/es/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = line_dedup.LineIndex.build(docs)
@@ -69,8 +102,20 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_secret_scan, op3_perplexity, op5_byte_bpe, op7_line_dedup, op8_token_files, op9_language_id, op10_quality)}
+    found = (
+        op1_ngram_join,
+        op2_secret_scan,
+        op3_perplexity,
+        op4_decontaminate,
+        op5_byte_bpe,
+        op6_url_filter,
+        op7_line_dedup,
+        op8_token_files,
+        op9_language_id,
+        op10_quality,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op7_line_dedup": OP7_SQL}
