@@ -49,8 +49,8 @@ def _hashed(rows: DataFrame, n: int) -> DataFrame:
 
 def sketches(items: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """(h, item): the kept MinHash values of each item (item, text)."""
-    hashes = F.array_distinct(shingle_hashes(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), n))
-    sized = items.select("item", hashes.alias("hs")).where(F.size("hs") > 0)
+    hashed = items.select("item", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_w"))
+    sized = hashed.select("item", F.array_distinct(shingle_hashes(F.col("_w"), n)).alias("hs")).where(F.size("hs") > 0)
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.size("hs").cast("double"))))
     kept = (F.floor(largest * (100 - percent) / 100) + 1).cast("int")
     ranked = F.array_sort(F.transform("hs", lambda h: F.struct(F.xxhash64(h, F.lit(7)).alias("r"), h.alias("h"))))
@@ -65,10 +65,11 @@ def contained(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item
     kept = common.saved(sketches(benchmark, n, percent))
     found = _hashed(texts.select("doc", "text"), n).join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "h")
     candidates = common.saved(found.select("doc", F.col("item.id").alias("item_id"), F.col("item.text").alias("item_text")).distinct())
-    sets = candidates.select("doc", "item_id", shingles(words(F.col("item_text")), n).alias("wanted"))
+    # words first: within one expression Spark would split the text anew for each shingle
+    sets = candidates.select("doc", "item_id", words(F.col("item_text")).alias("_w")).select("doc", "item_id", shingles(F.col("_w"), n).alias("wanted"))
     needed = common.saved(candidates.select("doc").distinct())
     some = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "doc", "left_semi")
-    parsed = some.select("doc", "id", shingles(words(F.col("text")), n).alias("present"))
+    parsed = some.select("doc", "id", words(F.col("text")).alias("_w")).select("doc", "id", shingles(F.col("_w"), n).alias("present"))
     shared = F.size(F.array_intersect("wanted", "present")).cast("long")
     checked = parsed.join(sets, "doc").select("id", "item_id", F.size("wanted").cast("long").alias("n_item"), shared.alias("n_shared"))
     hits = checked.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
