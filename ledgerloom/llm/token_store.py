@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 from . import common
 
 TOKENIZER, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
-BLOCK_IDS, CACHE_ENTRIES, CACHE_WORD = 1 << 19, 800_000, 40
+BLOCK_IDS, CACHE_ENTRIES, CACHE_WORD = 1 << 19, 700_000, 40
 #: One position in so many ones of the upper bits is kept for select().
 SAMPLE = 64
 
@@ -105,20 +104,57 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.type = "<u2" if self.inner.get_vocab_size() <= 1 << 16 else "<u4"
+        self.bar = self.inner.encode("|", add_special_tokens=False).ids
+        encoded = lambda w: np.array(self.inner.encode(w, add_special_tokens=False).ids, self.type).tobytes()
+        self.tails = {x: encoded(x) for x in ".," if encoded("a" + x) == encoded("a") + encoded(x)}
+        self.lowers = encoded("aB") == encoded("ab") and encoded("Q") == encoded("q")
         self.words: dict[str, bytes] = {}
+        self.met = bytearray(1 << 23)  # by hash: words met in an earlier batch
+
+    def encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word's ids. Many words are encoded as one text with bars between them, which costs much less a word."""
+        barred = [w for w in words if "|" in w]
+        plain = [w for w in words if "|" not in w]
+        groups = [plain[k : k + 100] for k in range(0, len(plain), 100)]
+        encoded = (e for k in range(0, len(groups), 50) for e in self.inner.encode_batch_fast([" | ".join(g) for g in groups[k : k + 50]], add_special_tokens=False))
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.array(e.ids, self.type)
+            at = np.flatnonzero(ids == self.bar[0])
+            if len(self.bar) != 1 or len(at) != len(group) - 1:
+                barred += group
+                continue
+            size, data = ids.itemsize, ids.tobytes()
+            yield from zip(group, (data[a:b] for a, b in zip([0, *((at + 1) * size).tolist()], [*(at * size).tolist(), len(data)], strict=True)), strict=True)
+        for w, e in zip(barred, self.inner.encode_batch(barred, add_special_tokens=False), strict=True):
+            yield w, np.array(e.ids, self.type).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
-        parts, words, rest = [_gap.split(t) for t in texts], self.words, {}
-        new = list({w for p in parts for w in p if w not in words})
-        for w, e in zip(new, self.inner.encode_batch(new, add_special_tokens=False), strict=True):
-            (words if len(w) <= CACHE_WORD else rest)[w] = np.array(e.ids, self.type).tobytes()
-        get = words.__getitem__ if not rest else lambda w: words[w] if w in words else rest[w]
-        return [b"".join(map(get, p)) for p in parts]
-
-
-_gap = re.compile("[ \n]")
+        words, met, mask = self.words, self.met, len(self.met) - 1
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(words.get, p)) for p in parts]
+        lacks = [[k for k, x in enumerate(row) if x is None] for row in found]
+        cores = {w: self._core(w) for w in {p[k] for p, at in zip(parts, lacks, strict=True) for k in at}}
+        known = {c: words[c] for c, _ in cores.values() if c in words}
+        known.update(self.encode_words(list({c for c, _ in cores.values()} - known.keys())))
+        fresh = {w: known[core] + tail for w, (core, tail) in cores.items()}
+        for p, row, at in zip(parts, found, lacks, strict=True):
+            for k in at:
+                row[k] = fresh[p[k]]
+        for w, ids in fresh.items():  # most words are rare, so only what is met again in a later batch is kept
+            at = hash(w) & mask
+            if met[at] and len(w) <= CACHE_WORD:
+                words[w] = ids
+            met[at] = 1
+        return [b"".join(row) for row in found]
+
+    def _core(self, word: str) -> tuple[str, bytes]:
+        """A word that is encoded alike and met more often, and the ids to add: without a full stop or comma
+        after a letter, which is a piece of its own, and in lower case, which the tokenizer turns ASCII letters to."""
+        tail = self.tails.get(word[-1:]) if word[-2:-1].isalpha() else None
+        core = word if tail is None else word[:-1]
+        return core.lower() if self.lowers and core.isascii() else core, tail or b""
 
 
 @functools.cache
@@ -161,7 +197,7 @@ class TokenFiles:
             for batch in batches:
                 texts, ids = common.column(batch, "text"), common.column(batch, "id")
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(ids.type), pa.binary(), pa.binary()]
-                for lo, hi, _, _ in common.blocks(texts):
+                for lo, hi, _, _ in common.blocks(texts, 4 << 20):
                     encoded = encoder.encode_batch(common.strings(texts.slice(lo, hi - lo)))
                     for i, x in zip(ids.slice(lo, hi - lo).to_pylist(), encoded, strict=True):
                         held.append(x + end)
