@@ -153,19 +153,17 @@ class ByteBPE:
         if len(words) > CACHE_ENTRIES:
             words.clear()
         new = list({w for p in parts for w in p if w not in words})
-        encoded: dict[str, bytes] = {}
         if new:
             pieces = [[x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(w)] for w in new]
             distinct = list({x for p in pieces for x in p})
             ids = dict(zip(distinct, (x.astype("<u4").tobytes() for x in self.merge(distinct)), strict=True))
             for w, p in zip(new, pieces, strict=True):
-                got = b"".join([ids[x] for x in p])
-                (words if len(w) <= CACHE_WORD else encoded)[w] = got
-        if encoded:
-            encoded_get = lambda w: words[w] if w in words else encoded[w]
-            return [b"".join([encoded_get(w) for w in p]) for p in parts]
-        get = words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+                words[w] = b"".join([ids[x] for x in p])
+        out = [b"".join(map(words.__getitem__, p)) for p in parts]
+        for w in new:
+            if len(w) > CACHE_WORD:
+                del words[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
