@@ -56,7 +56,7 @@ class Borsh:
         return self.data[self.at - n : self.at]
 
     def read(self, kind: Any) -> Any:
-        if kind in _NUMBERS:
+        if isinstance(kind, str) and kind in _NUMBERS:
             code = _NUMBERS[kind]
             return struct.unpack(code, self.take(struct.calcsize(code)))[0]
         if kind in ("u128", "i128"):
@@ -85,16 +85,18 @@ class Borsh:
 
 
 def borsh_column(data_hex: Column, discriminator: str, fields: dict[str, Any], schema: str, on_error: str = "raise") -> Column:
-    """The struct after the discriminator (0x hex) of instruction data; other discriminators are errors."""
+    """The struct after the discriminator (0x hex) of instruction data; other discriminators are errors, null stays null."""
     start = bytes.fromhex(discriminator.removeprefix("0x"))
 
     def one(text: str | None) -> dict | None:
+        if text is None:
+            return None
         try:
             data = bytes.fromhex(text[2:])
             if not data.startswith(start):
                 raise ValueError(f"starts with {data[: len(start)].hex()}, not {start.hex()}")
             return Borsh(data, len(start)).read(("struct", fields))
-        except (ValueError, TypeError, IndexError, struct.error):
+        except (ValueError, IndexError, struct.error):
             if on_error == "raise":
                 raise
             return None

@@ -1 +1 @@
-
+"""Where blocks come from."""

@@ -1 +1 @@
-
+"""Ordered streams with a finality floor and forks."""
