@@ -26,7 +26,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-MIN_RATIO = 0.7
+MIN_RATIO, BACKOFF = 0.7, 5.0
 
 #: Symbols of the models; every other byte ends a string.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -61,8 +61,9 @@ class MarkovPair:
     @classmethod
     def from_counts(cls, random: np.ndarray, ordinary: np.ndarray) -> MarkovPair:
         def logs(counts: np.ndarray) -> np.ndarray:
-            c = counts.reshape(N, N) + 0.5
-            return np.log(c / c.sum(1, keepdims=True))
+            c = counts.reshape(N, N).astype(np.float64)
+            single = (c.sum(0) + 0.5) / (c.sum() + 0.5 * N)  # what rare first symbols fall back on
+            return np.log((c + BACKOFF * single) / (c.sum(1, keepdims=True) + BACKOFF))
 
         return cls(logs(random), logs(ordinary))
 
