@@ -3,8 +3,8 @@
 Features are the byte 2- and 3-grams of the text with A-Z lower-cased, hashed into `FEATURES` buckets;
 weights are (1 + log count) * idf, scaled to length 1. Document frequencies come from all learnable
 documents. The weights are trained by follow-the-regularised-leader with L1 and L2 penalties on a sample
-of about `SAMPLE` documents per language (chosen by a hash of the id, so at every size the same way), and
-a temperature is fitted on a fifth of it that training leaves out.
+of about `SAMPLE` documents per language, `MOST` in all (chosen by a hash of the id, so at every size the
+same way), and a temperature is fitted on a fifth of it that training leaves out.
 
 Null texts and texts without a letter are `und` with score 0. Without learnable rows all are. Repeated
 rows are predicted alike. Extra columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-FEATURES, SAMPLE, EPOCHS = 1 << 14, 500, 3
+FEATURES, SAMPLE, MOST, EPOCHS = 1 << 14, 500, 8000, 3
 #: Of follow-the-regularised-leader: learning rate, its offset, the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
@@ -138,6 +138,7 @@ def train(docs: DataFrame, learnable: Column, id_column: str = "doc_id", text: s
     model = LanguageModel(sorted(sizes), idf)
     if not sizes:
         return model
+    sample = min(sample, MOST // len(sizes))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample / n)])[F.col(lang)]
     chance = F.pmod(F.xxhash64(F.col(id_column), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     rows = known.where(chance < share).select(lang, text).toArrow().sort_by([(lang, "ascending"), (text, "ascending")]).combine_chunks()
