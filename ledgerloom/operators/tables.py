@@ -93,7 +93,7 @@ def running_max(rows: DataFrame, order: str, value: str, out: str, span: int = 1
     before = F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     tops = tops.select("_part", before.alias("_before"))
     inside = F.max(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return cut.join(F.broadcast(tops), "_part").withColumn(out, F.greatest(inside, F.col("_before"))).drop("_part", "_before")
+    return cut.join(tops, "_part").withColumn(out, F.greatest(inside, F.col("_before"))).drop("_part", "_before")
 
 
 def coverage_windows(checkpoints: DataFrame, keys: Sequence[str], seed: int, upto: str = "to_block") -> DataFrame:
