@@ -63,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage has saved on its way is deleted once its own rows are written."""
+    docs, mark = common.table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES[:-1]:
         docs = common.saved(stage(spark, docs, sf_dir), name)
+        common.discard(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

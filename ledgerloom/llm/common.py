@@ -28,13 +28,35 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def saved(df: DataFrame, name: str = "saved") -> DataFrame:
-    """The rows, written once to the shared folder and read from there, so that lost executors cost no recomputation."""
+    """The rows, written once to the shared folder and read from there, so that lost executors cost no recomputation.
+
+    The files stay until `discard` or until the folder is cleared, as results that read them are lazy.
+    """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables this driver has saved and not discarded: a mark for `discard`."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, start: int, keep: int = 0) -> None:
+    """Deletes the saved tables from the mark `start` on, without the last `keep`."""
+    gone = _written[start : len(_written) - keep]
+    jvm = spark.sparkContext._jvm
+    for path in gone:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written[start : len(_written) - keep] = []
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
