@@ -475,7 +475,7 @@ def script_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN '0x00ff' END AS text FROM part""")
-def op_return_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def script_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 3
     asm = F.when(k == 0, F.concat(F.lit("OP_RETURN "), F.lower(F.hex("p_name")))).when(k == 1, "OP_RETURN 00FF").otherwise("OP_DUP OP_HASH160")
     return read(spark, sf_dir, "part").select("p_partkey", scalars.op_return_text(asm).alias("text"))

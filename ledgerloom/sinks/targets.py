@@ -118,12 +118,13 @@ class MemorySink(Sink):
 class SegmentSink(Sink):
     """Final rows as Parquet folders `<table>/<from>-<to>` (12 digits), tiling the blocks from the first one on.
 
-    A folder without rows says that those blocks have none; a missing one that they weren't read.
+    A folder without rows says that those blocks have none; a missing one that they weren't read. A segment is published
+    once it accounts for `min_blocks` blocks, or by `finish`.
     """
 
-    def __init__(self, spark: SparkSession, path: str, declared: Sequence[Table], start: int = 0):
+    def __init__(self, spark: SparkSession, path: str, declared: Sequence[Table], start: int = 0, min_blocks: int = 1):
         super().__init__(spark, declared)
-        self.path, self.start, self.manifest = path, start, Manifest(spark, path)
+        self.path, self.start, self.min_blocks, self.manifest = path, start, min_blocks, Manifest(spark, path)
 
     def state(self) -> PipeState:
         saved = self.manifest.read().get("state")
@@ -149,13 +150,22 @@ class SegmentSink(Sink):
     def write(self, rows, blocks, finalized):
         for name in rows:
             self.table(name)
-        known, now = self.manifest.read(), self.state()
+        now = self.state()
         if blocks and now.cursor is not None and blocks[-1].number <= now.cursor.number:
             return now
-        after = now.advance(blocks, finalized)
+        return self._publish(rows, now.advance(blocks, finalized), self.min_blocks)
+
+    def finish(self) -> PipeState:
+        """Publishes what is final, however few blocks that are: at the end of a stream or a range."""
+        return self._publish({}, self.state(), 1)
+
+    def _publish(self, rows: Mapping[str, DataFrame], after: PipeState, least: int) -> PipeState:
+        known = self.manifest.read()
         last = after.cursor.number if after.cursor else self.start - 1
         floor = last if after.finalized is None else min(after.finalized.number, last)
         covered, segments = known.get("covered", self.start - 1), {n: list(s) for n, s in known.get("segments", {}).items()}
+        if floor - covered < least:
+            floor = covered
         pending: dict[str, str] = {}
         name_of = f"{covered + 1:012d}-{floor:012d}"
         for name, declared in self.tables.items():

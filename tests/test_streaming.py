@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.errors import LoomError
 from ledgerloom.sinks.manifest import Manifest
+from ledgerloom.sinks.setup import delete_order, run_sql_files
 from ledgerloom.sinks.targets import MemorySink, SegmentSink, SignedSink, Table, TableSink, WriteAheadSink
 from ledgerloom.streaming import finality
 from ledgerloom.streaming.finality import Cursor, PipeState, Record
@@ -119,6 +120,17 @@ def test_segment_sink(spark, tmp_path):
         again.write({"other": frame(spark, "5")}, c("5"), None)
 
 
+def test_segments_of_several_blocks(spark, tmp_path):
+    sink = SegmentSink(spark, str(tmp_path / "s"), [Table("blocks", BLOCKS)], start=1, min_blocks=3)
+    for k in range(1, 6):
+        sink.write({"blocks": frame(spark, str(k))}, c(str(k)), c(str(k))[0])
+    assert sink.manifest.read()["segments"]["blocks"] == ["000000000001-000000000003"]
+    assert hashes(sink.rows("blocks")) == ["1", "2", "3"]
+    sink.finish()
+    assert sink.manifest.read()["segments"]["blocks"][1:] == ["000000000004-000000000005"]
+    assert hashes(sink.rows("blocks")) == ["1", "2", "3", "4", "5"]
+
+
 def test_signed_sink(spark, tmp_path):
     signed = T.StructType([*BLOCKS.fields, T.StructField("sign", T.IntegerType())])
     sink = SignedSink(spark, str(tmp_path / "signed"), [Table("blocks", signed)])
@@ -207,3 +219,16 @@ def test_retries():
     assert with_retries(lambda: next(answers), waits.append) == (200, "x")
     assert waits == [0.01, 0.1]
     assert with_retries(lambda: (500, None), waits.append)[0] == 500
+
+
+def test_delete_order():
+    assert delete_order({"a": ["b"], "b": ["c"], "c": []}) == ["a", "b", "c"]
+    with pytest.raises(LoomError, match="E2106"):
+        delete_order({"a": ["b"], "b": ["a"]})
+
+
+def test_sql_files_run_in_order(spark, tmp_path):
+    (tmp_path / "2.sql").write_text("CREATE OR REPLACE TEMP VIEW two AS SELECT x + 1 AS x FROM one")
+    (tmp_path / "1.sql").write_text("CREATE OR REPLACE TEMP VIEW one AS SELECT 1 AS x;\nSELECT 'a;b' FROM one;\n")
+    run_sql_files(spark, str(tmp_path))
+    assert spark.table("two").first().x == 2
