@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 N_WORDS, PERCENT = 5, 75
-#: Kept values that go to all tasks: 16 bytes and an item's id each. Beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows that go to all tasks: kept values (50 bytes each), candidate documents, items. Beyond it they are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_ITEMS = 200_000, 20_000
 
 
 def words(text: Column) -> Column:
@@ -57,21 +57,26 @@ def sketches(items: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> Data
     return sized.select("item", F.explode(F.slice(ranked, F.lit(1), kept)).alias("s")).select(F.col("s.h").alias("h"), "item").distinct()
 
 
+def _sent(rows: DataFrame, most: int) -> DataFrame:
+    """Rows for the small side of a join: sent to all tasks if their count allows it."""
+    return F.broadcast(rows) if rows.count() <= most else rows.hint("merge")
+
+
 def contained(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item_column: str = "item_id", text: str = "text", n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, item id, n_item, n_shared): the items with at least `percent` of their shingles in the document."""
     key = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
     texts = docs.select(key.alias("doc"), F.col(id_column).alias("id"), F.col(text).alias("text"))
-    benchmark = common.saved(items.select(F.struct(F.col(item_column).alias("id"), F.col(text).alias("text")).alias("item"), F.col(text).alias("text")).where("text is not null").distinct())
+    item = F.md5(F.concat_ws("\n", F.coalesce(F.col(item_column).cast("string"), F.lit("null")), F.col(text)).cast("binary"))
+    benchmark = common.saved(items.where(F.col(text).isNotNull()).select(item.alias("item"), F.col(item_column).alias("item_id"), F.col(text).alias("text")).distinct())
     kept = common.saved(sketches(benchmark, n, percent))
-    found = _hashed(texts.select("doc", "text"), n).join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "h")
-    candidates = common.saved(found.select("doc", F.col("item.id").alias("item_id"), F.col("item.text").alias("item_text")).distinct())
+    found = _hashed(texts.select("doc", "text"), n).join(_sent(kept, BROADCAST_ROWS), "h")
+    candidates = common.saved(found.groupBy("doc").agg(F.collect_set("item").alias("items")))  # of each document, so no more than items
     # words first: within one expression Spark would split the text anew for each shingle
-    sets = candidates.select("doc", "item_id", words(F.col("item_text")).alias("_w")).select("doc", "item_id", shingles(F.col("_w"), n).alias("wanted"))
-    needed = common.saved(candidates.select("doc").distinct())
-    some = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "doc", "left_semi")
-    parsed = some.select("doc", "id", words(F.col("text")).alias("_w")).select("doc", "id", shingles(F.col("_w"), n).alias("present"))
+    parsed = texts.join(_sent(candidates, BROADCAST_ROWS), "doc").select("id", "items", words(F.col("text")).alias("_w"))
+    pairs = parsed.select("id", "items", shingles(F.col("_w"), n).alias("present")).select("id", F.explode("items").alias("item"), "present")
+    sets = common.saved(benchmark.select("item", "item_id", words(F.col("text")).alias("_w")).select("item", "item_id", shingles(F.col("_w"), n).alias("wanted")))
     shared = F.size(F.array_intersect("wanted", "present")).cast("long")
-    checked = parsed.join(sets, "doc").select("id", "item_id", F.size("wanted").cast("long").alias("n_item"), shared.alias("n_shared"))
+    checked = pairs.join(_sent(sets, BROADCAST_ITEMS), "item").select("id", "item_id", F.size("wanted").cast("long").alias("n_item"), shared.alias("n_shared"))
     hits = checked.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return hits.groupBy("id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).withColumnsRenamed({"id": id_column, "item_id": item_column})
 
@@ -80,4 +85,4 @@ def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: st
     """The documents that contain no item. Rows with a null id are found by their text."""
     keyed = docs.withColumn("_doc", F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))))
     bad = common.saved(contained(keyed.select("_doc", F.col(text)), items, "_doc", text=text, **options).select("_doc").distinct())
-    return keyed.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, "_doc", "left_anti").select(*docs.columns)
+    return keyed.join(_sent(bad, BROADCAST_ROWS), "_doc", "left_anti").select(*docs.columns)
