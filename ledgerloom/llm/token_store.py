@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,26 +129,37 @@ class WordTokenizer:
         for w, e in zip(barred, self.inner.encode_batch(barred, add_special_tokens=False), strict=True):
             yield w, np.array(e.ids, self.type).tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Arrow finds the distinct words of the batch, each is looked up or encoded once, and
+        numpy puts the ids together."""
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
         words, met, mask = self.words, self.met, len(self.met) - 1
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(words.get, p)) for p in parts]
-        lacks = [[k for k, x in enumerate(row) if x is None] for row in found]
-        cores = {w: self._core(w) for w in {p[k] for p, at in zip(parts, lacks, strict=True) for k in at}}
+        parts = pc.split_pattern(pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(words.get, distinct))
+        lacks = [k for k, x in enumerate(found) if x is None]
+        cores = {k: self._core(distinct[k]) for k in lacks}
         known = {c: words[c] for c, _ in cores.values() if c in words}
         known.update(self.encode_words(list({c for c, _ in cores.values()} - known.keys())))
-        fresh = {w: known[core] + tail for w, (core, tail) in cores.items()}
-        for p, row, at in zip(parts, found, lacks, strict=True):
-            for k in at:
-                row[k] = fresh[p[k]]
-        for w, ids in fresh.items():  # most words are rare, so only what is met again in a later batch is kept
+        for k, (core, tail) in cores.items():  # most words are rare, so only what is met again in a later batch is kept
+            found[k], w = known[core] + tail, distinct[k]
             at = hash(w) & mask
             if met[at] and len(w) <= CACHE_WORD:
-                words[w] = ids
+                words[w] = found[k]
             met[at] = 1
-        return [b"".join(row) for row in found]
+        kind = np.dtype(self.type)
+        ids = np.frombuffer(b"".join(found), kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+        start, code = np.cumsum(size) - size, coded.indices.to_numpy()
+        length = size[code]
+        ends = np.cumsum(length)
+        place = np.repeat(start[code] - (ends - length), length)
+        place += np.arange(len(place))
+        data = ids[place].tobytes()
+        rows = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * kind.itemsize
+        return [data[a:b] for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)]
 
     def _core(self, word: str) -> tuple[str, bytes]:
         """A word that is encoded alike and met more often, and the ids to add: without a full stop or comma
@@ -198,7 +210,7 @@ class TokenFiles:
                 texts, ids = common.column(batch, "text"), common.column(batch, "id")
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(ids.type), pa.binary(), pa.binary()]
                 for lo, hi, _, _ in common.blocks(texts, 4 << 20):
-                    encoded = encoder.encode_batch(common.strings(texts.slice(lo, hi - lo)))
+                    encoded = encoder.encode_batch(texts.slice(lo, hi - lo))
                     for i, x in zip(ids.slice(lo, hi - lo).to_pylist(), encoded, strict=True):
                         held.append(x + end)
                         doc_ids.append(i)
