@@ -27,7 +27,7 @@ from . import common
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Entries of a task's cache of encoded words, and the longest word that enters it.
-CACHE_ENTRIES, CACHE_WORD = 500_000, 64
+CACHE_ENTRIES, CACHE_WORD = 200_000, 40
 _NONE = np.iinfo(np.int64).max
 _SHIFT = 32
 
@@ -51,6 +51,7 @@ class ByteBPE:
         self.pair_ranks = np.array([r for _, r in pairs], np.int64)
         self.pattern = regex.compile(pattern)
         self.words: dict[str, bytes] = {}
+        self.met = bytearray(1 << 23)  # by hash: words met in an earlier batch
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, _NONE where the vocabulary doesn't merge it."""
@@ -149,21 +150,26 @@ class ByteBPE:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.split(t) for t in texts]
-        words = self.words
+        words, met, mask = self.words, self.met, len(self.met) - 1
         if len(words) > CACHE_ENTRIES:
             words.clear()
-        new = list({w for p in parts for w in p if w not in words})
+        found = [list(map(words.get, p)) for p in parts]
+        lacks = [[k for k, x in enumerate(row) if x is None] for row in found]
+        new = list({p[k] for p, at in zip(parts, lacks, strict=True) for k in at})
         if new:
             pieces = [[x.encode("utf-8", "surrogatepass") for x in self.pattern.findall(w)] for w in new]
             distinct = list({x for p in pieces for x in p})
             ids = dict(zip(distinct, (x.astype("<u4").tobytes() for x in self.merge(distinct)), strict=True))
-            for w, p in zip(new, pieces, strict=True):
-                words[w] = b"".join([ids[x] for x in p])
-        out = [b"".join(map(words.__getitem__, p)) for p in parts]
-        for w in new:
-            if len(w) > CACHE_WORD:
-                del words[w]
-        return out
+            fresh = {w: b"".join([ids[x] for x in p]) for w, p in zip(new, pieces, strict=True)}
+            for p, row, at in zip(parts, found, lacks, strict=True):
+                for k in at:
+                    row[k] = fresh[p[k]]
+            for w, x in fresh.items():  # most words are rare, so only what is met again in a later batch is kept
+                at = hash(w) & mask
+                if met[at] and len(w) <= CACHE_WORD:
+                    words[w] = x
+                met[at] = 1
+        return [b"".join(row) for row in found]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
