@@ -10,8 +10,10 @@ Null and empty texts have no spans. Repeated rows give equal rows. Offsets are c
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -129,11 +131,14 @@ def train_from_documents(docs: DataFrame, text: str = "text") -> MarkovPair:
 
 
 def markov_spans(text: bytes, taken: list[tuple[int, int, int]], models: MarkovPair, least: float) -> list[tuple[int, int, int]]:
-    return [
-        (m.start(), 3, m.end())
-        for m in RUN.finditer(text)
-        if not any(s < m.end() and m.start() < e for s, _, e in taken) and models.ratio(m[0]) >= least
-    ]
+    """The runs that overlap no span of `taken` (sorted by start) and look random enough."""
+    starts, ends = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+    found = []
+    for m in RUN.finditer(text):
+        before = bisect_left(starts, m.end())  # of the spans that start before the run ends, the last end decides
+        if not (before and ends[before - 1] > m.start()) and models.ratio(m[0]) >= least:
+            found.append((m.start(), 3, m.end()))
+    return found
 
 
 def scan(docs: DataFrame, models: MarkovPair, id_column: str = "doc_id", text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
@@ -151,8 +156,8 @@ def scan(docs: DataFrame, models: MarkovPair, id_column: str = "doc_id", text: s
                 base = base_spans(row)
                 spans = sorted(base + markov_spans(row, base, models, min_ratio))
                 if spans and not row.isascii():
-                    place = lambda k, row=row: len(row[:k].decode("utf-8", "surrogatepass"))
-                    spans = [(place(s), k, place(e)) for s, k, e in spans]
+                    place = np.cumsum((np.frombuffer(row + b"\0", np.uint8) & 0xC0) != 0x80) - 1  # code points before each byte
+                    spans = [(int(place[s]), k, int(place[e])) for s, k, e in spans]
                 found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays([common.column(batch, id_column), pa.array(found, kind)], names=schema.names)
@@ -170,5 +175,3 @@ def digest(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
         F.sha2(joined(F.filter("found", lambda s: s["kind"] != "markov")).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
-
-

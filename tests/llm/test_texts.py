@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -78,6 +79,16 @@ def test_markov_models_find_unnamed_keys(spark):
     assert got == {1: "markov:6:38", 2: "", 3: "assign:0:38", 4: ""}
 
 
+def test_runs_that_overlap_patterns_are_left_out():
+    models = secret_scan.MarkovPair.from_counts(np.zeros(secret_scan.N**2), np.zeros(secret_scan.N**2))
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  ") if rng.random() < 0.2 else "k" for _ in range(200)).encode()
+        taken = sorted((s, rng.randrange(3), s + rng.randint(1, 30)) for s in (rng.randrange(170) for _ in range(rng.randrange(6))))
+        plain = [m.span() for m in secret_scan.RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in taken)]
+        assert [(s, e) for s, _, e in secret_scan.markov_spans(text, taken, models, 0.0)] == plain
+
+
 def test_secret_scan_of_an_empty_table(spark):
     models = secret_scan.train_from_documents(documents(spark, []))
     assert secret_scan.digest(secret_scan.scan(documents(spark, []), models)).count() == 0
