@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 DAMPING, ROUNDS, SETTLED, MIN_DISTRUST = 0.85, 20, 1e-3, 0.5
+#: Rules that are sent to all tasks; beyond it places and rules are joined by a shuffle.
+BROADCAST_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,6 +45,8 @@ def match_rules(places: DataFrame, rules: list[Rule]) -> DataFrame:
     spark = places.sparkSession
     rows = [(r.text.partition("/")[0].lower(), "/" + r.text.partition("/")[2] if "/" in r.text else "", r.text, r.verdict) for r in rules]
     listed = spark.createDataFrame(rows, "rule_host string, prefix string, rule string, verdict string")
+    if len(rows) <= BROADCAST_RULES:
+        listed = F.broadcast(listed)
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = places.select("host", "path", F.explode(suffixes).alias("rule_host")).join(listed, "rule_host").where(F.startswith("path", "prefix"))
