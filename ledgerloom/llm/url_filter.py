@@ -3,7 +3,13 @@
 A rule names a host and a path prefix and fits the host and its subdomains. Urls that no rule fits are judged
 by their host: a host's trust seed is the share of its pages that rules allow, its distrust seed the share that they
 block. Trust spreads along links as personalised PageRank, distrust against them; hosts without a link to follow
-keep what they have. A host is blocked if its distrust reaches `MIN_DISTRUST` and exceeds its trust.
+keep what they have.
+
+PageRank deals a host's score out over its neighbours, so a score tells about degrees as much as about rules. Verdicts
+compare it with what the same graph deals out where every seed is 1: a host's level is its seed, or the seeded share of
+the score that reaches it, if that is more. A host is blocked if its distrust seed reaches `MIN_DISTRUST` and exceeds
+its trust seed, or if its trust seed is below `MIN_DISTRUST` and its exposure, the mean distrust level over its links to
+other hosts, reaches `MIN_DISTRUST` and exceeds its trust level.
 
 Null urls and urls without `://` have an empty host and path, no rule, and are allowed. Repeated rows count again as
 pages. Pages with null html link nowhere. Extra columns are ignored.
@@ -84,6 +90,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     return now.select("host", "score")
 
 
+def levels(edges: DataFrame, seeds: DataFrame, scores: DataFrame) -> DataFrame:
+    """(host, level) of hosts that the edges (src, dst, w) reach or that have a seed, 0 to 1, from their scores by `propagate`."""
+    every = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct().withColumn("seed", F.lit(1.0))
+    most = propagate(edges, every).withColumnRenamed("score", "most")
+    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
+    sent = edges.join(out, "src").join(scores.join(most, "host").withColumnRenamed("host", "src"), "src")
+    share = F.col("w") / F.col("total")
+    got = sent.groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * share) / F.sum(F.col("most") * share)).alias("got"))
+    level = F.least(F.lit(1.0), F.greatest(F.coalesce("seed", F.lit(0.0)), F.coalesce("got", F.lit(0.0))))
+    return seeds.join(got, "host", "full").select("host", level.alias("level"))
+
+
 def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust)."""
     placed = pages.select(F.col(id_column), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -92,10 +110,19 @@ def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url:
     share = lambda v: (F.sum(F.when(F.col("verdict") == v, F.col("pages")).otherwise(0)) / F.sum("pages")).alias(v)
     seeds = common.saved(ruled.where("host <> ''").groupBy("host").agg(share("allow"), share("block")))
     edges = common.saved(host_edges(pages, url, html))
-    trust = propagate(edges, seeds.select("host", F.col("allow").alias("seed")))
-    distrust = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), seeds.select("host", F.col("block").alias("seed")))
-    scored = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host")
-    of_place = common.saved(ruled.drop("pages").join(scored, "host", "left").fillna(0.0, ["trust", "distrust"]))
-    bad = (F.col("distrust") >= MIN_DISTRUST) & (F.col("distrust") > F.col("trust"))
-    named = of_place.withColumn("verdict", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")))
-    return placed.join(named, ["host", "path"]).select(id_column, "host", "path", "rule", "verdict", "trust", "distrust")
+    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    allowed, blocked = (seeds.select("host", F.col(v).alias("seed")) for v in ("allow", "block"))
+    trust, distrust = propagate(edges, allowed), propagate(against, blocked)
+    scored = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host").join(seeds, "host", "left")
+    if edges.isEmpty():
+        linked = scored.withColumns({"trust_level": F.lit(0.0), "exposure": F.lit(0.0)})
+    else:
+        distrusted = edges.join(levels(against, blocked, distrust).withColumnRenamed("host", "dst"), "dst", "left")
+        exposure = distrusted.groupBy(F.col("src").alias("host")).agg((F.sum(F.col("w") * F.coalesce("level", F.lit(0.0))) / F.sum("w")).alias("exposure"))
+        linked = scored.join(levels(edges, allowed, trust).withColumnRenamed("level", "trust_level"), "host", "left").join(exposure, "host", "left")
+    named = ("trust", "distrust", "allow", "block", "trust_level", "exposure")
+    of_place = common.saved(ruled.drop("pages").join(linked, "host", "left").fillna(0.0, list(named)))
+    by_seed = (F.col("block") >= MIN_DISTRUST) & (F.col("block") > F.col("allow"))
+    bad = by_seed | ((F.col("allow") < MIN_DISTRUST) & (F.col("exposure") >= MIN_DISTRUST) & (F.col("exposure") > F.col("trust_level")))
+    judged = of_place.withColumn("verdict", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")))
+    return placed.join(judged, ["host", "path"]).select(id_column, "host", "path", "rule", "verdict", "trust", "distrust")

@@ -254,3 +254,16 @@ def test_distrust_runs_against_links(spark):
     got = {r.host: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()}
     assert got["farm.info"].distrust > 0.1 and got["farm.info"].trust == 0
     assert got["friend.info"].trust > got["friend.info"].distrust == 0
+
+
+def test_linkers_of_blocked_hosts_are_blocked_whatever_the_in_links(spark):
+    page = lambda i, host, path, *to: (i, f"http://{host}{path}", "".join(f'<a href="http://{t}/x">' for t in to))
+    bad = [f"b{k}.com" for k in range(10)]
+    rows = [page(k, host, "/en/") for k, host in enumerate(bad)] + [page(10, "b0.com", "/other"), page(11, "b0.com", "/en/2")]
+    rows += [page(20 + k, f"farm{k}.info", "/", *bad) for k in range(4)]
+    rows += [page(30, "far.info", "/", "farm0.info"), page(31, "mixed.info", "/", "b1.com", *(f"n{k}.info" for k in range(9)))]
+    rows += [page(40 + k, f"n{k}.info", "/") for k in range(9)] + [page(50, "good.net", "/de/"), page(51, "good.net", "/x", "b2.com"), page(52, "good.net", "/de/2")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()}
+    assert got[10] == "block"  # a rule blocks most of the host's pages, and five hosts link to it
+    assert {got[20 + k] for k in range(4)} == {"block"} and got[30] == "block"
+    assert got[31] == "allow" and {got[40 + k] for k in range(9)} == {"allow"} and got[51] == "allow"
