@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import components, decontaminate, ngram_join
 
 from .fixtures import documents, shingles, texts
@@ -72,6 +75,21 @@ def test_partitions_exceed_the_largest_difference():
             assert set(ngram_join.bands(size)) & set(ngram_join.bands(other))
 
 
+def test_bands_of_very_large_sets(spark):
+    rng = np.random.default_rng(2)
+    for size in (1 << 20, (1 << 20) + 1, 3 << 19, (1 << 21) + 7):
+        features = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        other = np.sort(np.concatenate([features[rng.random(len(features)) > 0.02], rng.integers(0, 1 << 63, size // 50).astype(np.uint64)]))
+        both = sorted(set(ngram_join.signatures(features)) & set(ngram_join.signatures(other)))
+        n = min(len(features), len(other))
+        rows = spark.createDataFrame([(s,) for s in both], "sig long").select(ngram_join.band_of(F.col("sig")).alias("band"))
+        got = rows.groupBy("band").agg(F.count("*").alias("votes")).withColumn("needed", ngram_join._needed(F.col("band"), F.lit(n), 75)).collect()
+        assert {r.band for r in got} == set(ngram_join.bands(len(features))) & set(ngram_join.bands(len(other)))
+        assert got and all(r.band < ngram_join.SINGLES and r.votes >= r.needed for r in got)
+    for size in (1 << 20, 1 << 25, 1 << 30):  # a partner within the threshold has a band in common, and each band has a number below SINGLES
+        assert set(ngram_join.bands(size)) & set(ngram_join.bands(size * 4 // 3)) and max(ngram_join.bands(size * 4 // 3)) < ngram_join.SINGLES
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 8), (8, 7), (7, 6), (6, 5), (20, 10), (20, 11), (20, 12), (4, 4)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
