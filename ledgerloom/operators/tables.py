@@ -129,9 +129,21 @@ def histogram(rows: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame
     return rows.agg(F.array(*parts).alias("b")).select(F.explode("b").alias("b")).select("b.le", F.coalesce("b.n", F.lit(0)).alias("n"))
 
 
-def segments(requests: DataFrame, low: str = "low", high: str = "high", id_column: str = "id") -> DataFrame:
-    """Overlapping ranges as disjoint segments (low, high, ids), the relational form of merging requests."""
-    cuts = requests.select(F.col(low).alias("at")).union(requests.select(F.col(high) + 1)).distinct()
-    pieces = cuts.select(F.col("at").alias("seg_low"), (F.lead("at").over(Window.orderBy("at")) - 1).alias("seg_high")).where("seg_high is not null")
-    held = pieces.join(requests, (F.col(low) <= F.col("seg_low")) & (F.col(high) >= F.col("seg_high")))
-    return held.groupBy("seg_low", "seg_high").agg(F.sort_array(F.collect_list(id_column)).alias("ids")).withColumnsRenamed({"seg_low": "low", "seg_high": "high"})
+def segments(requests: DataFrame, low: str = "low", high: str = "high", id_column: str = "id", keys: Sequence[str] = ()) -> DataFrame:
+    """Overlapping ranges of each key as disjoint segments (keys, low, high, ids), the relational form of merging requests.
+
+    Positions fall into buckets of the ranges' mean length, so requests (each in every bucket that it touches, two on
+    average) meet the segments that start in a bucket by equality. Only one row for each bucket meets in a window by key.
+    """
+    span = requests.agg(F.avg(F.col(high) - F.col(low) + 1)).first()[0]
+    width = max(1, int(span or 1))
+    bucket = lambda at: F.floor(at / F.lit(width))
+    rows = requests.select(*keys, F.col(low).alias("_from"), F.col(high).alias("_to"), F.col(id_column).alias("_id"))
+    cuts = rows.select(*keys, F.explode(F.array("_from", F.col("_to") + 1)).alias("seg_low")).distinct().withColumn("_part", bucket(F.col("seg_low")))
+    firsts = cuts.groupBy(*keys, "_part").agg(F.min("seg_low").alias("_first"))
+    after = firsts.select(*keys, "_part", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part")).alias("_after"))
+    inside = F.lead("seg_low").over(Window.partitionBy(*keys, "_part").orderBy("seg_low"))
+    pieces = cuts.withColumn("_next", inside).join(after, [*keys, "_part"]).withColumn("seg_high", F.coalesce("_next", "_after") - 1)
+    asked = rows.withColumn("_part", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    met = pieces.select(*keys, "_part", "seg_low", "seg_high").join(asked, [*keys, "_part"]).where("_from <= seg_low and _to >= seg_high")
+    return met.groupBy(*keys, "seg_low", "seg_high").agg(F.sort_array(F.collect_list("_id")).alias("ids")).withColumnsRenamed({"seg_low": "low", "seg_high": "high"})

@@ -159,6 +159,13 @@ def duplicate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.duplicates(logs(spark, sf_dir).where("block_number < 50").select(F.get("topics", 0).alias("topic0")), ["topic0"])
 
 
+@query("""WITH {logs} SELECT topic0, topic1, count(*) AS n FROM logs GROUP BY topic0, topic1 HAVING count(*) > 1""")
+def duplicate_topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """duplicate_topics over all logs, by the first two topics."""
+    rows = logs(spark, sf_dir).select(F.get("topics", 0).alias("topic0"), F.get("topics", 1).alias("topic1"))
+    return tables.duplicates(rows, ["topic0", "topic1"])
+
+
 @query("""WITH {logs} SELECT output, block_number, log_index FROM (
   SELECT 'clicks' AS output, block_number, log_index FROM logs WHERE event_type = 'click'
   UNION ALL SELECT 'large', block_number, log_index FROM logs WHERE cents > 9000)""")
@@ -423,6 +430,16 @@ def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.segments(requests).select("low", "high", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@query("""WITH r AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderkey * 7 % 900 AS low, o_orderkey * 7 % 900 + 20 + o_orderkey % 300 AS high FROM orders),
+c AS (SELECT k, low AS cut FROM r UNION SELECT k, high + 1 FROM r), p AS (SELECT k, cut AS lo, lead(cut) OVER (PARTITION BY k ORDER BY cut) - 1 AS hi FROM c)
+SELECT p.k AS custkey, lo AS low, hi AS high, array_to_string(list_sort(list(id)), ',') AS ids FROM p JOIN r ON r.k = p.k AND r.low <= lo AND r.high >= hi GROUP BY p.k, lo, hi""")
+def range_merge_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """range_merge over all orders, for each customer."""
+    key = F.col("o_orderkey")
+    requests = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), key.alias("id"), (key * 7 % 900).alias("low"), (key * 7 % 900 + 20 + key % 300).alias("high"))
+    return tables.segments(requests, keys=["custkey"]).select("custkey", "low", "high", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, round(l_partkey * 1000 / pow(10, l_linenumber), 6) AS amount FROM lineitem WHERE l_returnflag = 'A'""")
 def token_balance_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = scalars.scaled(F.col("l_partkey") * 1000, F.col("l_linenumber"))

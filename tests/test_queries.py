@@ -3,12 +3,14 @@
 import datetime
 import glob
 import os
+import random
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from ledgerloom import queries
+from ledgerloom.operators import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +44,25 @@ def test_twin(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_segments_by_key_without_nested_loops(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(300):
+        low = rng.randrange(-50, 5000)
+        rows.append((rng.randrange(4), i, low, low + rng.choice([0, 3, 40, 900])))
+    requests = spark.createDataFrame(rows, "k long, id long, low long, high long")
+    for keys in ([], ["k"]):
+        expected = []
+        for group in {tuple(r[:1]) if keys else () for r in rows}:
+            held = [r for r in rows if not keys or r[:1] == group]
+            cuts = sorted({r[2] for r in held} | {r[3] + 1 for r in held})
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if ids := sorted(r[1] for r in held if r[2] <= a and r[3] >= b - 1):
+                    expected.append((*group, a, b - 1, ids))
+        got = tables.segments(requests, keys=keys)
+        assert sorted(map(tuple, got.collect())) == sorted(expected)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert tables.segments(requests.limit(0)).count() == 0
