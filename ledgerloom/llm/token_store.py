@@ -239,6 +239,26 @@ class TokenFiles:
         """(doc_id, start, n_tokens, ids_crc32), from the files."""
         return self._each("ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), pa.int64())
 
+    def look_up(self, doc_ids: list) -> DataFrame:
+        """(doc_id, start, n_tokens, ids) of these documents as `read` has them, without decoding the bounds of others. Null ids aren't found."""
+        starts, wanted = self.shard_starts(), {i for i in doc_ids if i is not None}
+        blocks = self.blocks.select("shard", "start", "width", "doc_ids", "ids", "bounds")
+        id_type = blocks.schema["doc_ids"].dataType.elementType
+        listed = F.array(*[F.lit(i) for i in sorted(wanted)]).cast(T.ArrayType(id_type))
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
+                ids = np.frombuffer(row["ids"].as_buffer(), f"<u{row['width'].as_py()}")
+                bounds, first = EliasFano.load(row["bounds"].as_py()), starts[row["shard"].as_py()] + row["start"].as_py()
+                places = [k for k, x in enumerate(row["doc_ids"].as_py()) if x in wanted]
+                spans = [(bounds.select(k - 1) if k else 0, bounds.select(k)) for k in places]
+                values = [[a + first for a, _ in spans], [b - a for a, b in spans], [ids[a:b].astype(np.int32).tolist() for a, b in spans]]
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values.take(pa.array(places, pa.int64())), *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], names=["doc_id", "start", "n_tokens", "ids"])
+
+        return common.arrow_map(blocks.where(F.arrays_overlap("doc_ids", listed)), run, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids array<int>")
+
     def _each(self, field: str, of, kind: pa.DataType) -> DataFrame:
         starts = self.shard_starts()
         blocks = self.blocks.select("shard", "start", "width", "doc_ids", "ids", "bounds")

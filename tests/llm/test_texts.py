@@ -267,3 +267,11 @@ def test_linkers_of_blocked_hosts_are_blocked_whatever_the_in_links(spark):
     assert got[10] == "block"  # a rule blocks most of the host's pages, and five hosts link to it
     assert {got[20 + k] for k in range(4)} == {"block"} and got[30] == "block"
     assert got[31] == "allow" and {got[40 + k] for k in range(9)} == {"allow"} and got[51] == "allow"
+
+
+def test_token_files_look_up(spark):
+    files = token_store.TokenFiles.write(documents(spark))
+    wanted = [0, 3, 4, 201, 207, 10**9, None]
+    expected = sorted(tuple(r) for r in files.read().collect() if r.doc_id in set(wanted) - {None})
+    assert sorted(tuple(r) for r in files.look_up(wanted).collect()) == expected and len(expected) == 7
+    assert files.look_up([]).count() == 0
