@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextvars
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,38 +25,96 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that all executors share (spark.checkpoint.dir; a folder of our own where it is unset)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
+    """A fresh path below the folder that all executors share: spark.checkpoint.dir; in local mode a folder of our own will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []
+class Scratch:
+    """The tables that one run saves on its way; `result` is what the run leaves behind."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+        self._outer: contextvars.Token | None = None
+
+    def __enter__(self) -> Scratch:
+        self._outer = _owner.set(self)
+        return self
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """The rows, written as a table of the run around this one, if there is any."""
+        path = _write(df, name)
+        around = self._outer.old_value
+        if isinstance(around, Scratch):
+            around.paths.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def forget(self, keep: int = 0) -> None:
+        """Deletes all tables saved so far but the last `keep`."""
+        gone = self.paths[: len(self.paths) - keep]
+        for spark, path in gone:
+            delete(spark, path)
+        del self.paths[: len(gone)]
+
+    def __exit__(self, *_) -> None:
+        _owner.reset(self._outer)
+        self.forget()
+
+
+#: The run that tables saved now belong to; of its own in each thread.
+_owner: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("owner", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _write(df: DataFrame, name: str) -> str:
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
 
 
 def saved(df: DataFrame, name: str = "saved") -> DataFrame:
     """The rows, written once to the shared folder and read from there, so that lost executors cost no recomputation.
 
-    The files stay until `discard` or until the folder is cleared, as results that read them are lazy.
+    Within a `Scratch` the table is deleted at its end, else it stays until the folder is cleared.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    _written.append(path)
+    path = _write(df, name)
+    if (owner := _owner.get()) is not None:
+        owner.paths.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables this driver has saved and not discarded: a mark for `discard`."""
-    return len(_written)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def discard(spark: SparkSession, start: int, keep: int = 0) -> None:
-    """Deletes the saved tables from the mark `start` on, without the last `keep`."""
-    gone = _written[start : len(_written) - keep]
-    jvm = spark.sparkContext._jvm
-    for path in gone:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _written[start : len(_written) - keep] = []
+#: Keys that are sent to all tasks because they are frequent: at most this many, as each has more than one in so many rows.
+HEAVY_KEYS, LIGHT_ROWS = 10_000, 1000
+
+
+def join_once(rows: DataFrame, single: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Rows joined with a saved table of one row a key, whose column `size` says how many of the rows have the key.
+
+    Keys with more than LIGHT_ROWS and more than one in HEAVY_KEYS of all rows go to all tasks, so their rows meet nowhere.
+    """
+    limit = max(LIGHT_ROWS, (single.agg(F.sum(size)).first()[0] or 0) // HEAVY_KEYS)
+    heavy = F.broadcast(single.where(F.col(size) > limit).drop(size))  # HEAVY_KEYS rows at most
+    light = single.where(F.col(size) <= limit).drop(size)
+    if heavy.isEmpty():
+        return rows.join(light, keys, how)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys, how)
+    return rows.join(heavy, keys).unionByName(rest)
 
 
 def strings(column: pa.Array) -> list[str]:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,16 +81,58 @@ def test_bands_of_very_large_sets(spark):
     for size in (1 << 20, (1 << 20) + 1, 3 << 19, (1 << 21) + 7):
         features = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
         other = np.sort(np.concatenate([features[rng.random(len(features)) > 0.02], rng.integers(0, 1 << 63, size // 50).astype(np.uint64)]))
-        both = sorted(set(ngram_join.signatures(features)) & set(ngram_join.signatures(other)))
-        n = min(len(features), len(other))
+        both = sorted(set(ngram_join.signatures(features).tolist()) & set(ngram_join.signatures(other).tolist()))
         rows = spark.createDataFrame([(s,) for s in both], "sig long").select(ngram_join.band_of(F.col("sig")).alias("band"))
-        got = rows.groupBy("band").agg(F.count("*").alias("votes")).withColumn("needed", ngram_join._needed(F.col("band"), F.lit(n), 75)).collect()
+        got = rows.groupBy("band").agg(F.count("*").alias("votes")).withColumn("needed", ngram_join.needed(F.col("band"), F.lit(len(features)), F.lit(len(other)), F.lit(0), F.lit(0))).collect()
         assert {r.band for r in got} == set(ngram_join.bands(len(features))) & set(ngram_join.bands(len(other)))
         assert got and all(r.band < ngram_join.SINGLES and r.votes >= r.needed for r in got)
     for size in (1 << 20, 1 << 25, 1 << 30):  # a partner within the threshold has a band in common, and each band has a number below SINGLES
         assert set(ngram_join.bands(size)) & set(ngram_join.bands(size * 4 // 3)) and max(ngram_join.bands(size * 4 // 3)) < ngram_join.SINGLES
 
 
+def votes(a, b):
+    """band -> (shared, signatures of a, of b) of two sets."""
+    x, y = set(ngram_join.signatures(a).tolist()), set(ngram_join.signatures(b).tolist())
+    by = lambda sigs: Counter(s >> ngram_join.PLACE_BITS & (1 << ngram_join.BAND_BITS) - 1 for s in sigs)
+    return {k: (n, by(x)[k], by(y)[k]) for k, n in by(x & y).items()}
+
+
+def test_no_pair_at_the_threshold_shares_too_few_signatures(spark):
+    """Nested sets and equal-sized ones, just at the threshold: the rule that drops pairs in small and in large buckets keeps all."""
+    rng = np.random.default_rng(4)
+    sizes = [*range(3, 140), *rng.integers(140, 10_000, 500).tolist()]
+    rows = []
+    for pair, n in enumerate(sizes * 4):
+        if pair % 2:  # nested
+            other = -(-n * 75 // 100)
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            b = np.sort(rng.permutation(a)[:other])
+        else:  # of 8 parts 7 in common
+            part = max(1, n // 8)
+            base = np.unique(rng.integers(0, 1 << 63, 8 * part).astype(np.uint64) * np.uint64(2))
+            mixed = rng.permutation(base)
+            a, b = np.sort(mixed[: 7 * part]), np.sort(np.concatenate([mixed[: 6 * part], mixed[7 * part :]]))
+        if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+            continue
+        got = votes(a, b)
+        rows += [(pair, k, *v, len(a), len(b)) for k, v in got.items()] or [(pair, 0, 0, 0, 0, len(a), len(b))]
+    df = spark.createDataFrame(rows, "pair long, band int, votes long, fa long, fb long, na long, nb long")
+    enough = ngram_join.needed(F.col("band"), F.col("na"), F.col("nb"), F.col("fa"), F.col("fb"))
+    alone = F.greatest(*(ngram_join.needed_at_least(F.col("band"), F.col(f"n{x}"), F.col(f"f{x}")) for x in "ab"))
+    kept = df.groupBy("pair").agg(F.max((F.col("votes") >= enough).cast("int")).alias("kept"), F.max(F.when(F.col("votes") >= enough, F.col("votes") - alone)).alias("spare"))
+    lost = kept.where("kept = 0 or spare < 0")
+    assert kept.count() > 2000 and lost.count() == 0
+
+
+def test_hubs_and_hot_digests_are_sent_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.common, "LIGHT_ROWS", 5)
+    monkeypatch.setattr(ngram_join.common, "HEAVY_KEYS", 20)
+    monkeypatch.setattr(ngram_join, "PIVOT_ROWS", 3)
+    test_join_of_families_with_a_frequent_passage(spark)
+    test_components(spark)
+    check(spark, texts() + [(1000 + k, "the same text of seven words here", "en") for k in range(40)])
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (9, 8), (8, 7), (7, 6), (6, 5), (20, 10), (20, 11), (20, 12), (4, 4)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
