@@ -20,8 +20,8 @@ BROADCAST_IDS = 2_000_000
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier predicts to be of label 1."""
     model = quality.train(docs, common.table(spark, sf_dir, "labels"), learnable("doc_id", 4, 2))
-    scored = quality.score(docs, model, out="_score")
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    out = common.unused(docs, "_score")
+    return quality.score(docs, model, out=out).where(F.col(out) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id; one row of rows that share an id."""
-    found = common.saved(ngram_join.join(docs))
+    found = ngram_join.join(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -58,14 +58,18 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: The classifier and the tokeniser have no SQL form; tests compare each stage with a brute-force version.
+#: The classifier and the tokeniser have no SQL form. Tests compare lines, near duplicates and decontamination with brute force,
+#: ids with another library, and the classifier's decisions with held-out labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage has saved on its way is deleted once its own rows are written."""
-    docs, mark = common.table(spark, sf_dir, "documents"), common.written()
-    for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), name)
-        common.discard(spark, mark, keep=1)
+    """The last stage's rows. What a stage saves on its way is deleted once its own rows are written, and those once the next are."""
+    docs = common.table(spark, sf_dir, "documents")
+    with common.Scratch() as stages:
+        for name, stage in STAGES[:-1]:
+            with common.Scratch() as own:
+                docs = own.result(stage(spark, docs, sf_dir), name)
+            stages.forget(keep=1)
+        stages.paths.clear()  # the last one's rows are read by the result
     return STAGES[-1][1](spark, docs, sf_dir)
