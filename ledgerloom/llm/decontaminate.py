@@ -1,10 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment search with Spark's own functions.
 
-An item's set holds its distinct 5-word shingles. Items are partitioned by set size into powers of two,
-and each keeps its smallest MinHash values, a quarter of the partition's largest size and one more. A document
-that contains three quarters of an item's shingles lacks a quarter at most, so it contains the shingle of one of
-those values: documents of any length are searched by looking their shingles up among the kept ones, in the
-scan and without a shuffle of shingles. Candidates are then verified by the containment of the shingles themselves.
+An item's set holds its distinct 5-word shingles. Items are partitioned by set size into powers of two, and each keeps its
+smallest MinHash values: half of the partition's largest size and one more, or all it has. A document that contains three
+quarters of an item's n shingles lacks floor(n / 4) of them at most, so of k kept values it holds k - floor(n / 4) or
+more. Documents of any length are searched by looking their shingles up among the kept values, in the scan and
+without a shuffle of shingles; pairs of a document and an item with fewer common values than that are dropped, the
+others are verified by the containment of the shingles themselves.
+
+Up to `BROADCAST_ROWS` kept values go to all tasks. Beyond it a bit array of 2**26 places goes there instead, and only
+shingles whose place is set are joined with the kept values by a shuffle.
 
 Words are runs of `[^\\x20\\x09-\\x0D]`, lower-cased by Spark's lower(). A text of fewer than 5 words has its whole
 sequence as one shingle; null, empty and blank texts have none, contain nothing and aren't contained. Rows that
@@ -19,9 +23,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N_WORDS, PERCENT = 5, 75
+N_WORDS, PERCENT, KEEP_PERCENT = 5, 75, 50
 #: Rows that go to all tasks: kept values (50 bytes each), candidate documents, items. Beyond it they are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_ITEMS = 200_000, 20_000
+#: The bit array: words of 64 bits in a row of it, and rows.
+ROW_WORDS, ROWS = 512, 1 << 11
 
 
 def words(text: Column) -> Column:
@@ -48,13 +54,38 @@ def _hashed(rows: DataFrame, n: int) -> DataFrame:
 
 
 def sketches(items: DataFrame, n: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """(h, item): the kept MinHash values of each item (item, text)."""
+    """(h, item, need): the kept MinHash values of each item (item, text), and how many of them a document that contains it holds."""
     hashed = items.select("item", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_w"))
     sized = hashed.select("item", F.array_distinct(shingle_hashes(F.col("_w"), n)).alias("hs")).where(F.size("hs") > 0)
-    largest = F.pow(F.lit(2), F.ceil(F.log2(F.size("hs").cast("double"))))
-    kept = (F.floor(largest * (100 - percent) / 100) + 1).cast("int")
+    size = F.size("hs")
+    largest = F.pow(F.lit(2), F.ceil(F.log2(size.cast("double"))))
+    lacking = F.floor(size * (100 - percent) / 100).cast("int")
+    kept = F.least(size, F.greatest(F.floor(largest * KEEP_PERCENT / 100).cast("int"), lacking) + 1)
     ranked = F.array_sort(F.transform("hs", lambda h: F.struct(F.xxhash64(h, F.lit(7)).alias("r"), h.alias("h"))))
-    return sized.select("item", F.explode(F.slice(ranked, F.lit(1), kept)).alias("s")).select(F.col("s.h").alias("h"), "item").distinct()
+    return sized.select("item", (kept - lacking).alias("need"), F.explode(F.slice(ranked, F.lit(1), kept)).alias("s")).select(F.col("s.h").alias("h"), "item", "need").distinct()
+
+
+def bit_rows(kept: DataFrame) -> DataFrame:
+    """(row, words): the bit array of all kept values, ROWS rows at most of ROW_WORDS words."""
+    place = kept.select(*_place(F.col("h"))).distinct()
+    words = place.groupBy("row", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    listed = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    return listed.select("row", F.transform(F.sequence(F.lit(0), F.lit(ROW_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words"))
+
+
+def _place(h: Column) -> list[Column]:
+    bit = h.bitwiseAND(63).cast("int").alias("bit")
+    word = F.shiftright(h, 6).bitwiseAND(ROW_WORDS - 1).cast("int").alias("word")
+    return [F.shiftright(h, 6 + ROW_WORDS.bit_length() - 1).bitwiseAND(ROWS - 1).cast("int").alias("row"), word, bit]
+
+
+def look_up(shingled: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows (doc, h) joined with the kept values (h, item, need)."""
+    if kept.count() <= BROADCAST_ROWS:
+        return shingled.join(F.broadcast(kept), "h")
+    bits = F.broadcast(common.saved(bit_rows(kept)))
+    likely = shingled.select("*", *_place(F.col("h"))).join(bits, "row").where(F.getbit(F.get("words", F.col("word")), F.col("bit")) == 1)
+    return likely.select("doc", "h").distinct().join(kept.hint("merge"), "h")
 
 
 def _sent(rows: DataFrame, most: int) -> DataFrame:
@@ -67,22 +98,30 @@ def contained(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", item
     key = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
     texts = docs.select(key.alias("doc"), F.col(id_column).alias("id"), F.col(text).alias("text"))
     item = F.md5(F.concat_ws("\n", F.coalesce(F.col(item_column).cast("string"), F.lit("null")), F.col(text)).cast("binary"))
-    benchmark = common.saved(items.where(F.col(text).isNotNull()).select(item.alias("item"), F.col(item_column).alias("item_id"), F.col(text).alias("text")).distinct())
-    kept = common.saved(sketches(benchmark, n, percent))
-    found = _hashed(texts.select("doc", "text"), n).join(_sent(kept, BROADCAST_ROWS), "h")
-    candidates = common.saved(found.groupBy("doc").agg(F.collect_set("item").alias("items")))  # of each document, so no more than items
-    # words first: within one expression Spark would split the text anew for each shingle
-    parsed = texts.join(_sent(candidates, BROADCAST_ROWS), "doc").select("id", "items", words(F.col("text")).alias("_w"))
-    pairs = parsed.select("id", "items", shingles(F.col("_w"), n).alias("present")).select("id", F.explode("items").alias("item"), "present")
-    sets = common.saved(benchmark.select("item", "item_id", words(F.col("text")).alias("_w")).select("item", "item_id", shingles(F.col("_w"), n).alias("wanted")))
-    shared = F.size(F.array_intersect("wanted", "present")).cast("long")
-    checked = pairs.join(_sent(sets, BROADCAST_ITEMS), "item").select("id", "item_id", F.size("wanted").cast("long").alias("n_item"), shared.alias("n_shared"))
-    hits = checked.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
-    return hits.groupBy("id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared")).withColumnsRenamed({"id": id_column, "item_id": item_column})
+    with common.Scratch() as run:
+        benchmark = common.saved(items.where(F.col(text).isNotNull()).select(item.alias("item"), F.col(item_column).alias("item_id"), F.col(text).alias("text")).distinct())
+        met = candidates(texts.select("doc", "text"), common.saved(sketches(benchmark, n, percent)), n)
+        by_doc = common.saved(met.groupBy("doc").agg(F.collect_list("item").alias("items")))  # of each document, so no more than items
+        # words first: within one expression Spark would split the text anew for each shingle
+        parsed = texts.join(_sent(by_doc, BROADCAST_ROWS), "doc").select("id", "items", words(F.col("text")).alias("_w"))
+        pairs = parsed.select("id", "items", shingles(F.col("_w"), n).alias("present")).select("id", F.explode("items").alias("item"), "present")
+        sets = common.saved(benchmark.select("item", "item_id", words(F.col("text")).alias("_w")).select("item", "item_id", shingles(F.col("_w"), n).alias("wanted")))
+        shared = F.size(F.array_intersect("wanted", "present")).cast("long")
+        checked = pairs.join(_sent(sets, BROADCAST_ITEMS), "item").select("id", "item_id", F.size("wanted").cast("long").alias("n_item"), shared.alias("n_shared"))
+        hits = checked.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+        found = hits.groupBy("id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+        return run.result(found).withColumnsRenamed({"id": id_column, "item_id": item_column})
+
+
+def candidates(texts: DataFrame, kept: DataFrame, n: int = N_WORDS) -> DataFrame:
+    """(doc, item, hits): documents that hold as many of an item's kept values as one that contains it."""
+    found = look_up(_hashed(texts, n), kept).groupBy("doc", "item").agg(F.size(F.collect_set("h")).alias("hits"), F.first("need").alias("need"))
+    return found.where("hits >= need").select("doc", "item", "hits")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that contain no item. Rows with a null id are found by their text."""
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))))
-    bad = common.saved(contained(keyed.select("_doc", F.col(text)), items, "_doc", text=text, **options).select("_doc").distinct())
-    return keyed.join(_sent(bad, BROADCAST_ROWS), "_doc", "left_anti").select(*docs.columns)
+    key = common.unused(docs, "_doc")
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))))
+    bad = common.saved(contained(keyed.select(key, F.col(text)), items, key, text=text, **options).select(key).distinct())
+    return keyed.join(_sent(bad, BROADCAST_ROWS), key, "left_anti").select(*docs.columns)

@@ -158,7 +158,31 @@ def test_contained_equals_brute_force(spark):
     assert got == expected and len(got) >= 4
     kept = sorted((r.doc_id or -1) for r in decontaminate.clean(documents(spark, rows), items(spark, bench)).collect())
     assert kept == sorted((i or -1) for i, t, _ in rows if i not in {d for d, _ in expected})
-    assert decontaminate.clean(documents(spark, rows), items(spark, bench)).columns == documents(spark, rows).columns
+    cleaned = decontaminate.clean(documents(spark, rows), items(spark, bench))
+    assert cleaned.columns == documents(spark, rows).columns
+    assert {tuple(r) for r in cleaned.drop("text", "doc_id", "lang", "n_chars").collect()} == {tuple(r) for r in documents(spark, rows).drop("text", "doc_id", "lang", "n_chars").collect()}
+
+
+def test_candidates_hold_as_many_kept_values_as_a_container_does(spark):
+    rng = random.Random(8)
+    prose = lambda k: [rng.choice(["the", "er", "on"]) + str(rng.randrange(400)) for _ in range(k)]
+    bench = [(i, " ".join(prose(rng.choice([5, 9, 20, 41, 100])))) for i in range(40)]
+    rows = []
+    for i, t in bench:
+        ws = t.split()
+        for k, share in enumerate((0.3, 0.6, 0.85, 1.0)):
+            rows.append((10 * i + k, " ".join(prose(50) + ws[: int(len(ws) * share)] + prose(50)), "en"))
+    docs, kept = documents(spark, rows).select(F.col("doc_id").cast("string").alias("doc"), "text"), decontaminate.sketches(items(spark, bench).withColumnRenamed("item_id", "item"))
+    assert kept.where("need < 1").count() == 0
+    met = {(int(r.doc), r.item) for r in decontaminate.candidates(docs, kept).collect()}
+    any_value = {(int(r.doc), r.item) for r in decontaminate.candidates(docs, kept.withColumn("need", F.lit(1))).collect()}
+    right = {(d, i) for d, t, _ in rows for i, b in bench if 100 * len(shingles(b) & shingles(t)) >= 75 * len(shingles(b))}
+    assert right <= met <= any_value and len(met) < 0.8 * len(any_value)
+
+
+def test_contained_with_bits_instead_of_values(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    test_contained_equals_brute_force(spark)
 
 
 def test_contained_of_empty_tables(spark):
