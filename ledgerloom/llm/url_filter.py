@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DAMPING, ROUNDS, SETTLED, MIN_DISTRUST = 0.85, 20, 1e-3, 0.5
+DAMPING, SETTLED, MIN_DISTRUST = 0.85, 1e-3, 0.5
 #: Rules that are sent to all tasks; beyond it places and rules are joined by a shuffle.
 BROADCAST_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,27 +67,30 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return named.select("src", F.explode("to").alias("dst")).where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank: (host, score) from seeds (host, seed), over edges (src, dst, w).
 
-    Ends after `rounds`, or when no score has changed by more than `settled`.
+    Ends when no score has changed by more than `settled`, which it does: a round's changes add up to `damping` times the last
+    one's at most. `rounds` ends it earlier.
     """
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = common.saved(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
-    ends = out.select(F.col("src").alias("host"), F.lit(True).alias("leads"))
-    now = common.saved(hosts.join(seeds, "host", "left").join(ends, "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("leads", F.lit(False)).alias("leads"), F.coalesce("seed", F.lit(0.0)).alias("score")))
-    if shares.isEmpty():
-        return now.select("host", "score")
-    for _ in range(rounds):
-        got = now.select(F.col("host").alias("src"), "score").join(shares, "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("sent")).withColumnRenamed("dst", "host")
-        kept = F.when(F.col("leads"), 0.0).otherwise(F.col("score"))
-        score = (1 - damping) * F.col("seed") + damping * (F.coalesce("sent", F.lit(0.0)) + kept)
-        now = common.saved(now.join(got, "host", "left").select("host", "seed", "leads", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
-        if (now.agg(F.max("moved")).first()[0] or 0.0) <= settled:
-            break
-        now = now.drop("moved")
-    return now.select("host", "score")
+    with common.Scratch() as run:
+        out = edges.groupBy("src").agg(F.sum("w").alias("total"))
+        shares = common.saved(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+        hosts = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
+        ends = out.select(F.col("src").alias("host"), F.lit(True).alias("leads"))
+        seed = F.coalesce("seed", F.lit(0.0))
+        with common.Scratch() as steps:
+            now = common.saved(hosts.join(seeds, "host", "left").join(ends, "host", "left").select("host", seed.alias("seed"), F.coalesce("leads", F.lit(False)).alias("leads"), seed.alias("score")))
+            done, moved = 0, 0.0 if shares.isEmpty() else float("inf")
+            while moved > settled and done != rounds:
+                got = now.select(F.col("host").alias("src"), "score").join(shares, "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("sent")).withColumnRenamed("dst", "host")
+                kept = F.when(F.col("leads"), 0.0).otherwise(F.col("score"))
+                score = (1 - damping) * F.col("seed") + damping * (F.coalesce("sent", F.lit(0.0)) + kept)
+                step = common.saved(now.join(got, "host", "left").select("host", "seed", "leads", score.alias("score"), F.abs(score - F.col("score")).alias("moved")))
+                moved, done = step.agg(F.max("moved")).first()[0] or 0.0, done + 1
+                steps.forget(keep=1)
+                now = step.drop("moved")
+            return run.result(now.select("host", "score"))
 
 
 def levels(edges: DataFrame, seeds: DataFrame, scores: DataFrame) -> DataFrame:
@@ -104,25 +107,27 @@ def levels(edges: DataFrame, seeds: DataFrame, scores: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust)."""
-    placed = pages.select(F.col(id_column), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    counted = common.saved(placed.groupBy("host", "path").agg(F.count("*").alias("pages")))
-    ruled = common.saved(counted.join(match_rules(counted.select("host", "path"), rules), ["host", "path"], "left"))
-    share = lambda v: (F.sum(F.when(F.col("verdict") == v, F.col("pages")).otherwise(0)) / F.sum("pages")).alias(v)
-    seeds = common.saved(ruled.where("host <> ''").groupBy("host").agg(share("allow"), share("block")))
-    edges = common.saved(host_edges(pages, url, html))
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    allowed, blocked = (seeds.select("host", F.col(v).alias("seed")) for v in ("allow", "block"))
-    trust, distrust = propagate(edges, allowed), propagate(against, blocked)
-    scored = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host").join(seeds, "host", "left")
-    if edges.isEmpty():
-        linked = scored.withColumns({"trust_level": F.lit(0.0), "exposure": F.lit(0.0)})
-    else:
-        distrusted = edges.join(levels(against, blocked, distrust).withColumnRenamed("host", "dst"), "dst", "left")
-        exposure = distrusted.groupBy(F.col("src").alias("host")).agg((F.sum(F.col("w") * F.coalesce("level", F.lit(0.0))) / F.sum("w")).alias("exposure"))
-        linked = scored.join(levels(edges, allowed, trust).withColumnRenamed("level", "trust_level"), "host", "left").join(exposure, "host", "left")
-    named = ("trust", "distrust", "allow", "block", "trust_level", "exposure")
-    of_place = common.saved(ruled.drop("pages").join(linked, "host", "left").fillna(0.0, list(named)))
-    by_seed = (F.col("block") >= MIN_DISTRUST) & (F.col("block") > F.col("allow"))
-    bad = by_seed | ((F.col("allow") < MIN_DISTRUST) & (F.col("exposure") >= MIN_DISTRUST) & (F.col("exposure") > F.col("trust_level")))
-    judged = of_place.withColumn("verdict", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")))
-    return placed.join(judged, ["host", "path"]).select(id_column, "host", "path", "rule", "verdict", "trust", "distrust")
+    with common.Scratch() as run:
+        placed = pages.select(F.col(id_column), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+        counted = common.saved(placed.groupBy("host", "path").agg(F.count("*").alias("pages")))
+        ruled = common.saved(counted.join(match_rules(counted.select("host", "path"), rules), ["host", "path"], "left"))
+        share = lambda v: (F.sum(F.when(F.col("verdict") == v, F.col("pages")).otherwise(0)) / F.sum("pages")).alias(v)
+        seeds = common.saved(ruled.where("host <> ''").groupBy("host").agg(share("allow"), share("block")))
+        edges = common.saved(host_edges(pages, url, html))
+        against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+        allowed, blocked = (seeds.select("host", F.col(v).alias("seed")) for v in ("allow", "block"))
+        trust, distrust = propagate(edges, allowed), propagate(against, blocked)
+        scored = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host").join(seeds, "host", "left")
+        if edges.isEmpty():
+            linked = scored.withColumns({"trust_level": F.lit(0.0), "exposure": F.lit(0.0)})
+        else:
+            distrusted = edges.join(levels(against, blocked, distrust).withColumnRenamed("host", "dst"), "dst", "left")
+            exposure = distrusted.groupBy(F.col("src").alias("host")).agg((F.sum(F.col("w") * F.coalesce("level", F.lit(0.0))) / F.sum("w")).alias("exposure"))
+            linked = scored.join(levels(edges, allowed, trust).withColumnRenamed("level", "trust_level"), "host", "left").join(exposure, "host", "left")
+        named = ("trust", "distrust", "allow", "block", "trust_level", "exposure")
+        of_place = common.saved(ruled.join(linked, "host", "left").fillna(0.0, list(named)))
+        by_seed = (F.col("block") >= MIN_DISTRUST) & (F.col("block") > F.col("allow"))
+        bad = by_seed | ((F.col("allow") < MIN_DISTRUST) & (F.col("exposure") >= MIN_DISTRUST) & (F.col("exposure") > F.col("trust_level")))
+        judged = of_place.withColumn("verdict", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")))
+        places = run.result(judged.select("host", "path", "pages", "rule", "verdict", "trust", "distrust"))
+    return common.join_once(placed, places, ["host", "path"], "pages").select(id_column, "host", "path", "rule", "verdict", "trust", "distrust")
