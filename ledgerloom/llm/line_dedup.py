@@ -3,8 +3,12 @@
 The index holds, for each line key, the number of documents that contain it (an exact table, written as
 Parquet), and cuckoo filters, one per shard of the key space, of the keys whose count reaches the
 threshold. `insert` and `delete` change the counts and put the keys that cross the threshold into or out
-of the filters, so any batch of documents can be taken back. Filters never miss a key; what they let
-through is checked against the exact table before a line is dropped.
+of the filters, so any batch of documents can be taken back; shards that have grown to twice their size are
+divided. Filters never miss a key; what they let through is checked against the exact table before a line is dropped.
+
+Up to `BROADCAST_KEYS` frequent keys, filters and keys go to all tasks, and lines are dropped in the scan. Beyond it the
+lines' keys meet the filter of their shard in a task (`GROUP_KEYS` keys or so at a time), only those that pass meet the exact
+table, and the documents meet what is left by the digest of their text, in `COPIES` parts, as copies share it.
 
 Each row is a document, so repeated rows count again. A null or empty text is one empty line, which has
 no key. Lines whose key is empty always stay. Extra columns are kept by `drop_lines`.
@@ -13,6 +17,7 @@ no key. Lines whose key is empty always stay. Extra columns are kept by `drop_li
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +33,8 @@ from . import common
 MIN_DOCS = 10
 #: Keys for each filter shard, slots of a bucket, share of slots in use, moves before a filter grows.
 SHARD_KEYS, SLOTS, LOAD, KICKS = 200_000, 4, 0.8, 200
-#: Filters are sent to all tasks up to this many bytes; beyond it the exact join does without them.
-BROADCAST_BYTES = 32 << 20
+#: Frequent keys (16 bytes each) that are sent to all tasks; beyond it keys that meet one filter at a time, and parts of equal texts.
+BROADCAST_KEYS, GROUP_KEYS, COPIES = 1_000_000, 1_000_000, 32
 
 
 class CuckooFilter:
@@ -134,7 +139,11 @@ def _row_bytes(batch: pa.RecordBatch, text: str) -> Iterator[bytes]:
 
 def _keys_of(row: bytes) -> list[bytes]:
     """The distinct key digests of a text."""
-    return [_digest(k) for k in {key_of(line) for line in row.split(b"\n")} if k]
+    return _keys_of_lines(row.split(b"\n"))
+
+
+def _keys_of_lines(lines: list[bytes]) -> list[bytes]:
+    return [_digest(k) for k in {key_of(line) for line in lines} if k]
 
 
 def _counts(docs: DataFrame, text: str) -> DataFrame:
@@ -179,13 +188,17 @@ class LineIndex:
         _counts(docs, text).write.parquet(f"{made.path}/counts")
         made.shards = 1 + made.frequent.count() // SHARD_KEYS
 
+        made._build_filters(made.frequent).write.parquet(f"{made.path}/filters")
+        return made
+
+    def _build_filters(self, keys: DataFrame) -> DataFrame:
+        """A filter for each shard of the keys."""
+
         def build(group: pa.Table) -> pa.Table:
             data = CuckooFilter.of(*_halves(group["key"].to_pylist())).dump()
             return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
-        keyed = made.frequent.withColumn("shard", made._shard())
-        keyed.groupBy("shard").applyInArrow(build, "shard int, data binary").write.parquet(f"{made.path}/filters")
-        return made
+        return keys.withColumn("shard", self._shard()).groupBy("shard").applyInArrow(build, "shard int, data binary")
 
     def _shard(self):
         return F.pmod(F.crc32("key"), F.lit(self.shards)).cast("int")
@@ -203,6 +216,11 @@ class LineIndex:
         delta = _counts(docs, text).select("key", (F.col("n_docs") * sign).alias("d"))
         both = self.counts.join(delta, "key", "full").select("key", F.coalesce("n_docs", F.lit(0)).alias("old"), (F.coalesce("n_docs", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n_docs"))
         both.where("n_docs > 0").select("key", "n_docs").write.parquet(f"{after.path}/counts")
+        n_frequent = after.frequent.count()
+        if n_frequent > 2 * SHARD_KEYS * self.shards:
+            after.shards = 1 + n_frequent // SHARD_KEYS
+            after._build_filters(after.frequent).write.parquet(f"{after.path}/filters")
+            return after
         crossed = (
             delta.join(self.counts, "key", "left")
             .select("key", F.coalesce("n_docs", F.lit(0)).alias("old"), (F.coalesce("n_docs", F.lit(0)) + F.col("d")).alias("new"))
@@ -227,45 +245,43 @@ class LineIndex:
         changed = common.saved(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, "shard int, data binary"))
         full = [r.shard for r in changed.where("data is null").select("shard").collect()]
         if full:  # a filter ran out of room: those shards are built anew from the exact table
-            again = after.frequent.withColumn("shard", after._shard()).where(F.col("shard").isin(full))
-
-            def build(group: pa.Table) -> pa.Table:
-                data = CuckooFilter.of(*_halves(group["key"].to_pylist())).dump()
-                return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
-
-            changed = changed.where("data is not null").unionByName(again.groupBy("shard").applyInArrow(build, "shard int, data binary"))
+            again = after._build_filters(after.frequent.where(after._shard().isin(full)))
+            changed = changed.where("data is not null").unionByName(again)
         changed.write.parquet(f"{after.path}/filters")
         return after
 
     def hits(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """(text_digest, keys): the frequent keys of each distinct text that has any."""
-        size = self.filters.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
-        sent = self.spark.sparkContext.broadcast({r.shard: r.data for r in self.filters.collect()}) if size <= BROADCAST_BYTES else None
-        shards = self.shards
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import zlib
-
-            filters = {k: CuckooFilter.load(v) for k, v in sent.value.items()} if sent else {}
-            for batch in batches:
-                texts, keys = [], []
-                for row in _row_bytes(batch, text):
-                    own = _keys_of(row)
-                    keys += own
-                    texts += [hashlib.sha256(row).digest()] * len(own) if own else []
-                if sent and keys:
-                    shard = np.array([zlib.crc32(k) % shards for k in keys])
-                    hit = np.zeros(len(keys), bool)
-                    hi, lo = _halves(keys)
-                    for s, f in filters.items():
-                        at = np.flatnonzero(shard == s)
-                        hit[at] = f.contains(hi[at], lo[at])
-                    at = np.flatnonzero(hit)
-                    texts, keys = [texts[i] for i in at], [keys[i] for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(keys, pa.binary())], names=["text_digest", "key"])
-
-        probed = docs.select(text).mapInArrow(probe, "text_digest binary, key binary").distinct()
-        return probed.join(self.frequent, "key").groupBy("text_digest").agg(F.collect_list("key").alias("keys"))
+        """(text_digest, keys): the frequent keys of each distinct text that has any. Keys meet the filter of their shard first."""
+        refs = self.counts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+        salts = 1 + refs // (self.shards * GROUP_KEYS)
+
+        def list_keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            texts, keys = [], []
+            for row in _row_bytes(batch, text):
+                own = _keys_of(row)
+                keys += own
+                texts += [hashlib.sha256(row).digest()] * len(own) if own else []
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(keys, pa.binary())], names=["text_digest", "key"])
+
+        def passing(keys: pa.Table, filters: pa.Table) -> pa.Table:
+            out = keys.select(["text_digest", "key"])
+            if not keys.num_rows or not filters.num_rows:
+                return out.slice(0, 0)
+            return out.filter(pa.array(CuckooFilter.load(filters["data"][0].as_py()).contains(*_halves(keys["key"].to_pylist()))))
+
+        listed = common.arrow_map(docs.select(text), list_keys, "text_digest binary, key binary").distinct()
+        dealt = listed.withColumn("shard", self._shard()).withColumn("salt", F.pmod(F.xxhash64("text_digest", "key"), F.lit(int(salts))).cast("int"))
+        copies = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(int(salts) - 1))))
+        likely = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(passing, "text_digest binary, key binary")
+        exact = common.saved(self.frequent.join(likely.groupBy("key").agg(F.count("*").alias("size")), "key"))
+        return common.join_once(likely, exact, ["key"], "size").groupBy("text_digest").agg(F.collect_list("key").alias("keys"))
+
+    def _known(self) -> tuple[dict[int, bytes], bytes] | None:
+        """The filters and the sorted frequent keys, if these are few enough."""
+        if self.frequent.count() > BROADCAST_KEYS:
+            return None
+        keys = b"".join(sorted(k for k in self.frequent.toArrow()["key"].to_pylist()))
+        return {r.shard: r.data for r in self.filters.collect()}, keys
 
     def drop_lines(self, docs: DataFrame, text: str = "text", kept: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
         """The documents with the frequent lines of `text` left out in `kept`; two counts (lines, dropped) on request."""
@@ -273,20 +289,44 @@ class LineIndex:
         out = T.StructType([*fields, T.StructField(kept, T.StringType()), *(T.StructField(c, T.LongType()) for c in counts or ())])
         names = [f"_c{i}" for i in range(len(fields))]
         plain = docs.select(F.col(text).alias("_text"), *(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names, strict=True)))
-        texts = plain.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256)))
-        joined = texts.join(self.hits(docs, text).withColumnRenamed("text_digest", "_digest"), "_digest", "left").select("_text", "keys", *names)
+        known = self._known()
+        if known:
+            sent, shards, rows = self.spark.sparkContext.broadcast(known), self.shards, plain
+        else:
+            digest = F.unhex(F.sha2(F.coalesce(F.col("_text"), F.lit("")).cast("binary"), 256))
+            salt = F.pmod(F.xxhash64(*[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]), F.lit(COPIES)).cast("int")
+            hits = self.hits(docs, text).withColumnRenamed("text_digest", "_digest").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+            rows = plain.withColumns({"_digest": digest, "_salt": salt}).join(hits, ["_digest", "_salt"], "left").select("_text", "keys", *names)
+
+        def listed(batch: pa.RecordBatch, lo: int, hi: int, lines: list[list[bytes]]) -> list[set[bytes]]:
+            return [set(x) if x else set() for x in common.column(batch, "keys").slice(lo, hi - lo).to_pylist()]
+
+        def frequent(batch: pa.RecordBatch, lo: int, hi: int, lines: list[list[bytes]]) -> list[set[bytes]]:
+            filters, table = loaded(sent)
+            own = [_keys_of_lines(x) for x in lines]
+            every = list({k for x in own for k in x})
+            if not every or not len(table):
+                return [set() for _ in lines]
+            shard, (hi_, lo_) = np.fromiter((zlib.crc32(k) % shards for k in every), np.int64, len(every)), _halves(every)
+            passed = np.zeros(len(every), bool)
+            for s, f in filters.items():
+                at = np.flatnonzero(shard == s)
+                passed[at] = f.contains(hi_[at], lo_[at])
+            some = np.array(every, "S16")[passed]
+            place = np.searchsorted(table, some)
+            place[place == len(table)] = 0
+            gone = {every[k] for k in np.flatnonzero(passed)[table[place] == some].tolist()}
+            return [gone.intersection(x) for x in own]
+
+        find = frequent if known else listed
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            values, lists = common.column(batch, "_text"), common.column(batch, "keys")
+            values = common.column(batch, "_text")
             for lo, hi, at, raw in common.blocks(values):
                 data, texts, n_lines, n_dropped = raw.tobytes(), [], [], []
-                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), lo):
-                    keys = lists[k].as_py()
-                    lines = data[a:b].split(b"\n")
-                    left = lines
-                    if keys:
-                        gone = set(keys)
-                        left = [x for x in lines if not (key := key_of(x)) or _digest(key) not in gone]
+                split = [data[a:b].split(b"\n") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                for k, (lines, gone) in enumerate(zip(split, find(batch, lo, hi, split), strict=True), lo):
+                    left = [x for x in lines if not (key := key_of(x)) or _digest(key) not in gone] if gone else lines
                     texts.append(None if not values[k].is_valid else b"\n".join(left))
                     n_lines.append(len(lines))
                     n_dropped.append(len(lines) - len(left))
@@ -296,4 +336,15 @@ class LineIndex:
                     arrays += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-        return common.arrow_map(joined, run, out)
+        return common.arrow_map(rows, run, out)
+
+
+def loaded(sent) -> tuple[dict[int, CuckooFilter], np.ndarray]:
+    """The filters and keys of a broadcast, once for each Python worker."""
+    if _loaded.get("of") is not sent.value:
+        filters, keys = sent.value
+        _loaded.update(of=sent.value, value=({k: CuckooFilter.load(v) for k, v in filters.items()}, np.frombuffer(keys, "S16")))
+    return _loaded["value"]
+
+
+_loaded: dict = {}

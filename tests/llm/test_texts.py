@@ -155,11 +155,16 @@ def dropped(index, docs):
     return sorted(((r.doc_id, r.kept, r.n_lines, r.n_dropped) for r in index.drop_lines(docs, kept="kept", counts=("n_lines", "n_dropped")).collect()), key=repr)
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, -1])
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_KEYS, -1])
 def test_line_dedup_equals_brute_force(spark, monkeypatch, limit):
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
-    rows = line_rows()
-    assert dropped(line_dedup.LineIndex.build(documents(spark, rows)), documents(spark, rows)) == sorted(brute_lines(rows, 10), key=repr)
+    """In the scan; and with several filters, several groups of keys for each, and nothing sent to all tasks."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2 if limit < 0 else 10**6)
+    monkeypatch.setattr(line_dedup, "GROUP_KEYS", 20)
+    rows = line_rows() + [(650 + k, f"Frequent {k % 7}\nCommon Line", None) for k in range(80)]
+    index = line_dedup.LineIndex.build(documents(spark, rows))
+    assert (index.shards > 2) == (limit < 0)
+    assert dropped(index, documents(spark, rows)) == sorted(brute_lines(rows, 10), key=repr)
 
 
 def test_line_dedup_is_reversible(spark, monkeypatch):
@@ -167,6 +172,7 @@ def test_line_dedup_is_reversible(spark, monkeypatch):
     rows, more = line_rows(), [(700 + k, f"another line\ncommon line\nz{k}", None) for k in range(11)]
     index = line_dedup.LineIndex.build(documents(spark, rows), min_docs=3)
     both = index.insert(documents(spark, more))
+    assert both.shards >= index.shards
     assert dropped(both, documents(spark, rows + more)) == sorted(brute_lines(rows + more, 3), key=repr)
     back = both.delete(documents(spark, more))
     assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
@@ -248,6 +254,13 @@ def test_propagation_equals_power_iteration(spark):
     assert all(abs(v[h] - got[h]) < 1e-12 for h in "abcde")
 
 
+def test_propagation_goes_on_until_it_has_settled(spark):
+    """A chain of 60 hosts: trust that starts at one end needs 60 rounds to reach the other."""
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1) for k in range(60)], "src string, dst string, w long")
+    got = {r.host: r.score for r in url_filter.propagate(edges, spark.createDataFrame([("h0", 1.0)], "host string, seed double"), settled=0.0).collect()}
+    assert abs(got["h40"] - 0.15 * 0.85**40) < 1e-12 and abs(got["h60"] - 0.85**60) < 1e-12
+
+
 def test_distrust_runs_against_links(spark):
     page = lambda i, host, path, *to: (i, f"http://{host}{path}", "".join(f'<a href="http://{t}/x">' for t in to))
     rows = [page(i, "bad.com", "/en/", "good.net") for i in range(3)] + [page(9, "farm.info", "/", "bad.com"), page(10, "good.net", "/de/", "friend.info"), page(11, "friend.info", "/")]
