@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -96,7 +97,7 @@ class EliasFano:
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokenizer drops white space, so each word between spaces is encoded once."""
+    """A tokenizer whose pre-tokenizer drops white space, so each word between spaces is encoded once. Others encode whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -109,6 +110,9 @@ class WordTokenizer:
         encoded = lambda w: np.array(self.inner.encode(w, add_special_tokens=False).ids, self.type).tobytes()
         self.tails = {x: encoded(x) for x in ".," if encoded("a" + x) == encoded("a") + encoded(x)}
         self.lowers = encoded("aB") == encoded("ab") and encoded("Q") == encoded("q")
+        kinds = ["a", "Bc", "9", ".", "'s", "-", "a|b", "\u00e9", "\u65e5", "\u0301x", "\U0001f600"]
+        gaps = (" ", "\n", "  ", " \n")
+        self.cuts = encoded("") == encoded(" ") == b"" and all(encoded(f"{x}{g}{y}") == encoded(x) + encoded(y) for x in kinds for y in kinds for g in gaps)
         self.words: dict[str, bytes] = {}
         self.met = bytearray(1 << 23)  # by hash: words met in an earlier batch
 
@@ -132,6 +136,8 @@ class WordTokenizer:
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text. Arrow finds the distinct words of the batch, each is looked up or encoded once, and
         numpy puts the ids together."""
+        if not self.cuts:
+            return [np.array(e.ids, self.type).tobytes() for e in self.inner.encode_batch(common.strings(texts), add_special_tokens=False)]
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
         words, met, mask = self.words, self.met, len(self.met) - 1
@@ -169,6 +175,10 @@ class WordTokenizer:
         return core.lower() if self.lowers and core.isascii() else core, tail or b""
 
 
+def _span(bounds: EliasFano, k: int) -> tuple[int, int]:
+    return bounds.select(k - 1) if k else 0, bounds.select(k)
+
+
 @functools.cache
 def tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker."""
@@ -241,23 +251,61 @@ class TokenFiles:
 
     def look_up(self, doc_ids: list) -> DataFrame:
         """(doc_id, start, n_tokens, ids) of these documents as `read` has them, without decoding the bounds of others. Null ids aren't found."""
-        starts, wanted = self.shard_starts(), {i for i in doc_ids if i is not None}
-        blocks = self.blocks.select("shard", "start", "width", "doc_ids", "ids", "bounds")
+        wanted = {i for i in doc_ids if i is not None}
+        listed = F.array(*[F.lit(i) for i in sorted(wanted)]).cast(self.blocks.schema["doc_ids"].dataType)
+        places = lambda row, first, bounds: [(k, *_span(bounds, k)) for k, x in enumerate(row["doc_ids"].as_py()) if x in wanted]
+        return self._cut(F.arrays_overlap("doc_ids", listed), places)
+
+    def document(self, k: int) -> DataFrame:
+        """The k-th document in the files' order, from 0, as `read` has it; no row beyond the last."""
+        size = F.sum(F.size("doc_ids"))
+        for shard, n in self.blocks.groupBy("shard").agg(size).orderBy("shard").collect():
+            if k < n:
+                break
+            k -= n
+        else:
+            return self._cut(F.lit(False), None)
+        for block, n in self.blocks.where(F.col("shard") == shard).groupBy("block").agg(size).orderBy("block").collect():
+            if k < n:
+                break
+            k -= n
+        return self._cut((F.col("shard") == shard) & (F.col("block") == block), lambda row, first, bounds: [(k, *_span(bounds, k))])
+
+    def window(self, start: int, n: int) -> DataFrame:
+        """(doc_id, start, n_tokens, ids): the parts of documents that the n ids from position `start` of all ids hold."""
+        starts = self.shard_starts()
+
+        def places(row: dict, first: int, bounds: EliasFano) -> list[tuple[int, int, int]]:
+            low, high, out = max(0, start - first), start + n - first, []
+            k = bisect_right(range(bounds.n), low, key=bounds.select)  # the first document that ends beyond
+            while k < bounds.n:
+                a, b = _span(bounds, k)
+                if a >= high or low >= high:
+                    break
+                out.append((k, max(a, low), min(b, high)))
+                k += 1
+            return out
+
+        inside = [(F.col("shard") == s) & (F.col("start") < start + n - x) & (F.col("start") + F.col("n_ids") > start - x) for s, x in starts.items()]
+        return self._cut(functools.reduce(lambda a, b: a | b, inside, F.lit(False)), places, starts)
+
+    def _cut(self, where, places, starts: dict[int, int] | None = None) -> DataFrame:
+        """Of the blocks `where`: (doc_id, start, n_tokens, ids) for each (document, from, to) that `places` gives."""
+        starts = self.shard_starts() if starts is None else starts
+        blocks = self.blocks.select("shard", "block", "start", "n_ids", "width", "doc_ids", "ids", "bounds")
         id_type = blocks.schema["doc_ids"].dataType.elementType
-        listed = F.array(*[F.lit(i) for i in sorted(wanted)]).cast(T.ArrayType(id_type))
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
                 ids = np.frombuffer(row["ids"].as_buffer(), f"<u{row['width'].as_py()}")
                 bounds, first = EliasFano.load(row["bounds"].as_py()), starts[row["shard"].as_py()] + row["start"].as_py()
-                places = [k for k, x in enumerate(row["doc_ids"].as_py()) if x in wanted]
-                spans = [(bounds.select(k - 1) if k else 0, bounds.select(k)) for k in places]
-                values = [[a + first for a, _ in spans], [b - a for a, b in spans], [ids[a:b].astype(np.int32).tolist() for a, b in spans]]
+                found = places(row, first, bounds)
+                values = [[a + first for _, a, _ in found], [b - a for _, a, b in found], [ids[a:b].astype(np.int32).tolist() for _, a, b in found]]
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values.take(pa.array(places, pa.int64())), *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values.take(pa.array([k for k, _, _ in found], pa.int64())), *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], names=["doc_id", "start", "n_tokens", "ids"])
 
-        return common.arrow_map(blocks.where(F.arrays_overlap("doc_ids", listed)), run, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids array<int>")
+        return common.arrow_map(blocks.where(where), run, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids array<int>")
 
     def _each(self, field: str, of, kind: pa.DataType) -> DataFrame:
         starts = self.shard_starts()
@@ -269,7 +317,8 @@ class TokenFiles:
             for i in range(batch.num_rows):
                 row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
                 ids = np.frombuffer(row["ids"].as_buffer(), f"<u{row['width'].as_py()}")
-                ends = EliasFano.load(row["bounds"].as_py()).values()
+                bounds = EliasFano.load(row["bounds"].as_py())
+                ends = np.fromiter(map(bounds.select, range(bounds.n)), np.int64, bounds.n)
                 begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 first = starts[row["shard"].as_py()] + row["start"].as_py()
                 values = [of(ids[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]

@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -43,6 +45,23 @@ def test_bpe_round_trip(spark, reference_bpe):
     assert byte_bpe.round_trip(documents(spark, [])).count() == 0
 
 
+def test_bpe_of_very_long_words(reference_bpe):
+    rng = random.Random(6)
+    for word in ("a" * 20_000, "".join(rng.choice("etaoinshrdlu") for _ in range(30_000)), "\u65e5\u672c" * 3000):
+        assert byte_bpe.codec()._merge_alone(word.encode()).tolist() == byte_bpe.codec()._merge_together([word.encode()], 1 << (len(word.encode()) - 1).bit_length())[0].tolist() if len(word) < 7000 else True
+        assert np.frombuffer(byte_bpe.codec().encode_batch([word])[0], "<u4").tolist() == reference_bpe.encode_ordinary(word)
+    began = time.perf_counter()
+    byte_bpe.codec().encode_batch(["".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20))])
+    assert time.perf_counter() - began < 60  # seconds, not hours
+
+
+def test_bpe_keeps_texts_whole_for_other_patterns(tmp_path):
+    bpe = byte_bpe.ByteBPE(byte_bpe.RANKS, r"\S+\s*")
+    other = tiktoken.Encoding("x", pat_str=r"\S+\s*", mergeable_ranks=bpe.ranks, special_tokens={})
+    assert byte_bpe.codec().cuts and not bpe.cuts
+    assert np.frombuffer(bpe.encode_batch(["some words here\nand there"])[0], "<u4").tolist() == other.encode_ordinary("some words here\nand there")
+
+
 def brute_spans(text):
     text, spans = text or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
@@ -288,3 +307,25 @@ def test_token_files_look_up(spark):
     expected = sorted(tuple(r) for r in files.read().collect() if r.doc_id in set(wanted) - {None})
     assert sorted(tuple(r) for r in files.look_up(wanted).collect()) == expected and len(expected) == 7
     assert files.look_up([]).count() == 0
+
+
+def test_token_files_by_place(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_IDS", 300)
+    files = token_store.TokenFiles.write(documents(spark))
+    every = sorted((tuple(r) for r in files.read().collect()), key=lambda r: r[1])
+    ids = [x for r in every for x in r[3]]
+    for k in (0, 1, len(every) // 2, len(every) - 1):
+        assert [tuple(r) for r in files.document(k).collect()] == [every[k]]
+    assert files.document(len(every)).count() == 0
+    for start, n in ((0, 5), (290, 40), (1000, 9000), (len(ids) - 3, 10), (7, 0), (len(ids), 4)):
+        got = sorted(files.window(start, n).collect(), key=lambda r: r.start)
+        assert [x for r in got for x in r.ids] == ids[start : start + n]
+        assert all(r.n_tokens == len(r.ids) > 0 for r in got)
+
+
+def test_tokenizers_that_keep_white_space_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made, library = token_store.WordTokenizer(path), Tokenizer.from_file(path)
+    texts_ = ["two words", " lead  and\n trail ", "", "x"]
+    assert not made.cuts and token_store.tokenizer(token_store.TOKENIZER).cuts
+    assert [np.frombuffer(x, made.type).tolist() for x in made.encode_batch(pa.array(texts_))] == [library.encode(t, add_special_tokens=False).ids for t in texts_]
