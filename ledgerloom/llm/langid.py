@@ -3,8 +3,9 @@
 Features are the byte 2- and 3-grams of the text with A-Z lower-cased, hashed into `FEATURES` buckets;
 weights are (1 + log count) * idf, scaled to length 1. Document frequencies come from all learnable
 documents. The weights are trained by follow-the-regularised-leader with L1 and L2 penalties on a sample
-of about `SAMPLE` documents per language, `MOST` in all (chosen by a hash of the id, so at every size the
-same way), and a temperature is fitted on a fifth of it that training leaves out.
+of at most `SAMPLE` ids per language, `MOST` in all (those with the smallest hashes, so at every size the
+same way; a row for each, counted in its task, so the driver gets up to `FEATURES` pairs of numbers for it), and a temperature
+is fitted on every fifth document of a language, which training leaves out.
 
 Null texts and texts without a letter are `und` with score 0. Without learnable rows all are. Repeated
 rows are predicted alike. Extra columns are ignored.
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,14 +62,13 @@ class LanguageModel:
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     temperature: float = 1.0
 
-    def vector(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, n = counts_of(buckets)
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(n)) * self.idf[at]
         length = float(np.sqrt((x * x).sum()))
         return at, x / length if length else x
 
     def probabilities(self, buckets: np.ndarray) -> np.ndarray:
-        at, x = self.vector(buckets)
+        at, x = self.vector(*counts_of(buckets))
         return softmax((x @ self.weights[at] + self.bias) / self.temperature)
 
 
@@ -139,23 +139,29 @@ def train(docs: DataFrame, learnable: Column, id_column: str = "doc_id", text: s
     if not sizes:
         return model
     sample = min(sample, MOST // len(sizes))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample / n)])[F.col(lang)]
-    chance = F.pmod(F.xxhash64(F.col(id_column), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    rows = known.where(chance < share).select(lang, text).toArrow().sort_by([(lang, "ascending"), (text, "ascending")]).combine_chunks()
-    buckets = [b for _, _, at, raw in common.blocks(_one(rows[text])) for b in gram_buckets(at, raw)]
-    labels = np.array([model.languages.index(x) for x in rows[lang].to_pylist()], np.int64)
-    vectors = [model.vector(b) for b in buckets]
-    held = np.arange(len(vectors)) % 5 == 4
+    ids = known.groupBy(id_column).agg(F.min(lang).alias("_lang"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64(F.col(id_column), F.lit("language")), id_column))
+    chosen = ids.withColumn("_place", place).where(F.col("_place") <= sample)  # Spark keeps `sample` rows of a language in each task before the shuffle
+    rows = known.select(id_column, F.col(text).alias("_text")).join(F.broadcast(chosen), id_column).select(F.col(id_column).alias("id"), F.col("_lang").alias("lang"), F.col("_place").alias("place"), F.col("_text").alias("text"))
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo, hi, at, raw in common.blocks(common.column(batch, "text")):
+            counted = [counts_of(b) for b in gram_buckets(at, raw)]
+            part = batch.slice(lo, hi - lo)
+            lists = [pa.array([x[k].astype(np.int32) for x in counted], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([common.column(part, "id").cast(pa.string()), common.column(part, "lang"), common.column(part, "place"), *lists], names=["id", "lang", "place", "at", "n"])
+
+    counted = common.arrow_map(rows, count, "id string, lang string, place int, at array<int>, n array<int>")
+    got = counted.groupBy("id", "lang", "place").agg(F.min(F.struct("at", "n")).alias("m")).select("lang", "place", "m.*").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    labels = np.array([model.languages.index(x) for x in got["lang"].to_pylist()], np.int64)
+    vectors = [model.vector(np.array(a), np.array(n)) for a, n in zip(got["at"].to_pylist(), got["n"].to_pylist(), strict=True)]
+    held = got["place"].to_numpy() % 5 == 0  # of each language, so the first documents of a rare one are learnt
     model.weights, model.bias = ftrl([v for v, h in zip(vectors, held, strict=True) if not h], labels[~held], len(sizes))
     logits = np.array([x @ model.weights[at] + model.bias for (at, x), h in zip(vectors, held, strict=True) if h]).reshape(-1, len(sizes))
     model.temperature = fit_temperature(logits, labels[held])
     return model
 
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
-
-
 def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score)."""
     schema = T.StructType([docs.schema[id_column], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
