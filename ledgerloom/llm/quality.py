@@ -1,10 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Tokens are runs of word bytes or of punctuation; a token in capitals and one that repeats the token before
-count as a token type of their own each. Types are hashed into `BUCKETS`. Each bucket has a fixed sparse
+Tokens are runs of word bytes or of punctuation, with A-Z lower-cased. They are hashed into `BUCKETS`. Each bucket has a fixed sparse
 random index vector; its word vector is the sum of the index vectors of all its neighbours (two tokens on either
 side) over all documents, scaled to length 1, plus its own index vector. A document is the mean of its tokens'
-vectors. The network is trained on about `SAMPLE` labelled documents, chosen by a hash of the id, four
+vectors and the mean of the products of neighbouring ones, which tells repetition from variety. The network is trained on `SAMPLE` labelled documents at most, those whose ids have the smallest hashes, four
 fifths for weights and a fifth for the temperature.
 
 Null and empty texts have the zero vector and are scored like any other. Labels other than 0 and 1 are
@@ -27,9 +26,9 @@ from . import common
 from .langid import held_out, learnable
 
 BUCKETS, DIM, ONES, WINDOW = 1 << 13, 48, 2, 2
+POOLED = 2 * DIM
 SAMPLE, HIDDEN, EPOCHS, RATE, DECAY = 6000, 24, 60, 0.01, 1e-4
 THRESHOLD = 0.7
-_CAPITALS, _REPEAT = 0, 1
 
 _KIND = np.ones(256, np.uint8)  # 0 white space, 1 word, 2 punctuation
 _KIND[: 33] = 0
@@ -54,17 +53,7 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
     h = common.span_hashes(common.LOWER[data], starts, ends)
-    ids = (h % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    lower = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
-    capitals = (upper[ends] - upper[starts] > 1) & (lower[ends] == lower[starts])
-    first = np.searchsorted(starts, offsets)
-    again = np.zeros(len(ids), bool)
-    again[1:] = h[1:] == h[:-1]
-    again[first[:-1][first[:-1] < len(ids)]] = False
-    ids[capitals] = _CAPITALS
-    ids[again] = _REPEAT
-    return ids, first
+    return (h % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
 def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
@@ -103,13 +92,18 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def pool(offsets: np.ndarray, data: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The mean token vector of each row, zero without tokens."""
+    """Of each row the mean token vector and the mean product of neighbouring ones, zero without them."""
     ids, first = tokens(offsets, data)
-    out = np.zeros((len(first) - 1, DIM), np.float32)
-    size = np.diff(first)
+    size, n = np.diff(first), len(first) - 1
+    out = np.zeros((n, POOLED), np.float32)
     filled = np.flatnonzero(size)
     if len(filled):
-        out[filled] = np.add.reduceat(vectors[ids], first[:-1][filled], axis=0) / size[filled, None]
+        known = vectors[ids]
+        out[filled, :DIM] = np.add.reduceat(known, first[:-1][filled], axis=0) / size[filled, None]
+        near = np.zeros_like(known)
+        near[:-1] = known[:-1] * known[1:]
+        near[first[1:][filled] - 1] = 0
+        out[filled, DIM:] = np.add.reduceat(near, first[:-1][filled], axis=0) / np.maximum(size[filled, None] - 1, 1)
     return out
 
 
@@ -136,7 +130,7 @@ class Network:
         """Adam on the log-loss over batches of 64; every fifth row only sets the temperature."""
         x, y = x.astype(np.float64), y.astype(np.float64)
         rng = np.random.default_rng(1)
-        net = cls(x.mean(0), x.std(0) + 1e-3, rng.normal(0, DIM**-0.5, (DIM, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
+        net = cls(x.mean(0), x.std(0) + 1e-3, rng.normal(0, POOLED**-0.5, (POOLED, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
         if len(set(y.tolist())) < 2:
             net.w2 = np.zeros(HIDDEN)
             return net
@@ -175,10 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     """Word vectors from all texts, the network from labelled documents where `usable` (of the id) holds."""
     vectors = word_vectors(docs, text)
     known = labels.select(id_column, label).where(usable & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.min(label).cast("int").alias("y"))
-    total = max(known.count(), 1)
-    chance = F.pmod(F.xxhash64(F.col(id_column), F.lit("quality")), F.lit(1 << 30)) / (1 << 30)
-    chosen = known.where(chance < sample / total)
-    rows = docs.select(id_column, F.col(text).alias("text")).join(F.broadcast(chosen), id_column).select(F.col(id_column).alias("id"), "y", "text")  # about `sample` ids
+    chosen = known.orderBy(F.xxhash64(F.col(id_column), F.lit("quality")), id_column).limit(sample)
+    of_id = docs.select(id_column, F.col(text).alias("text")).join(F.broadcast(chosen), id_column)
+    rows = of_id.select(F.col(id_column).alias("id"), "y", "text")  # `sample` ids at most
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -186,9 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([common.column(part, "id").cast(pa.string()), common.column(part, "y"), pa.array(list(pool(at, raw, sent.value)), pa.list_(pa.float32()))], names=["id", "y", "v"])
 
-    got = common.arrow_map(rows, run, "id string, y int, v array<float>").toArrow().sort_by("id")
-    x = np.array(got["v"].to_pylist(), np.float32).reshape(-1, DIM)
-    return QualityModel(vectors, Network.fit(x, got["y"].to_numpy()) if len(x) else Network(np.zeros(DIM), np.ones(DIM), np.zeros((DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0))
+    pooled = common.arrow_map(rows, run, "id string, y int, v array<float>")
+    got = pooled.groupBy("id").agg(F.min(F.struct("y", "v")).alias("m")).select("id", "m.y", "m.v").toArrow().sort_by("id")  # one row an id
+    x = np.array(got["v"].to_pylist(), np.float32).reshape(-1, POOLED)
+    return QualityModel(vectors, Network.fit(x, got["y"].to_numpy()) if len(x) else Network(np.zeros(POOLED), np.ones(POOLED), np.zeros((POOLED, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0))
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:

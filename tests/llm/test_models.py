@@ -68,9 +68,30 @@ def test_quality_of_awkward_tables(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
-def test_tokens_mark_capitals_and_repetition():
-    text = b"Go GO NOW now now | ||"
-    ids, first = quality.tokens(np.array([0, 6, len(text)]), np.frombuffer(text, np.uint8))
-    assert first.tolist() == [0, 2, 7]
-    assert ids[0] > 1 and ids[1] == quality._REPEAT
-    assert ids[2] == quality._CAPITALS and ids[4] == quality._REPEAT and ids[5] != ids[6]
+def test_pooling_tells_repetition_from_variety():
+    text = b"Go go NOW now | ||" + b"x"
+    ids, first = quality.tokens(np.array([0, 5, 18, 19, 19]), np.frombuffer(text, np.uint8))
+    assert first.tolist() == [0, 2, 6, 7, 7]
+    assert ids[0] == ids[1] and ids[2] == ids[3] != ids[4] != ids[5]
+    vectors = np.random.default_rng(0).normal(0, 1, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    pooled = quality.pool(np.array([0, 5, 18, 19, 19]), np.frombuffer(text, np.uint8), vectors)
+    assert pooled.shape == (4, 2 * quality.DIM)
+    assert np.allclose(pooled[0], np.concatenate([vectors[ids[0]], vectors[ids[0]] ** 2]), atol=1e-6)
+    assert np.allclose(pooled[2], np.concatenate([vectors[ids[6]], np.zeros(quality.DIM)])) and not pooled[3].any()
+    near = np.mean([vectors[a] * vectors[b] for a, b in zip(ids[2:5], ids[3:6], strict=True)], axis=0)
+    assert np.allclose(pooled[1, quality.DIM :], near, atol=1e-5)
+
+
+def test_samples_hold_one_row_an_id_and_every_language(spark, monkeypatch):
+    """Ids of many rows don't fill the driver, and a language with a single document is learnt."""
+    monkeypatch.setattr(langid, "MOST", 40)
+    rows = texts() + [(2, f"the hand and the land number {k}", "en") for k in range(200)] + [(5000, "xyzzy plugh quux " * 20, "xx")]
+    docs = documents(spark, rows)
+    model = langid.train(docs, langid.learnable() | (langid.F.col("doc_id") == 5000))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert got[5000] == "xx" and "xx" in model.languages and model.weights[:, model.languages.index("xx")].any()
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    sizes = []
+    monkeypatch.setattr(quality.Network, "fit", classmethod(lambda cls, x, y: sizes.append(len(y)) or cls(np.zeros(quality.POOLED), np.ones(quality.POOLED), np.zeros((quality.POOLED, quality.HIDDEN)), np.zeros(quality.HIDDEN), np.zeros(quality.HIDDEN), 0.0)))
+    quality.train(docs, labels, quality.learnable("doc_id", 4, 2), sample=10)
+    assert sizes == [10]
