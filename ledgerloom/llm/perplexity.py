@@ -1,15 +1,19 @@
 """Quality rules: base counts, and bands of n-gram perplexity under a modified Kneser-Ney model.
 
-The model is over characters. Bytes fall into 64 classes, so an n-gram of order 4 is a 24-bit code, which
-serves as its hash without collisions. Spark counts the n-grams of all documents: each task adds up its own,
-the shuffle carries a row for each code and task. The model is two sorted arrays (codes, log-probabilities),
-which grow with what the corpus holds, to 2**24 codes of 8 bytes at most, and dense tables for the lower
-orders and back-off weights.
-
-The score is the log-perplexity per word: the negative log-probability of the text in nats over its words.
-Its median and interquartile range over all documents of a language give that language's band, [median -
-BELOW * IQR, median + ABOVE * IQR]; IQR counts as `MIN_IQR` at least. As the mean over few words varies
-more, a document's distance from the median shrinks by sqrt(n / (n + SHRINK)) for n words. What then lies
+The model is over characters, in n-grams of order 5, counted by Spark over all documents. A character is a symbol of 12 bits:
+itself below U+0C00 (digits are one), a hash beyond, so an n-gram is a hash of 60 bits, its suffix and its context are parts of
+it, and discounts, continuation counts, contexts and interpolation are aggregations and joins by them. An n-gram counts in as
+many documents as have it, less one, so no document is predicted by itself alone. The model is, by order, a table of n-grams
+with their log-probabilities and one of contexts with their log back-off weights.
+
+What tasks get are these tables as sorted arrays of hashes, up to `MODEL_ROWS` rows. A larger model sends its most frequent
+n-grams of order 5 in as many rows; characters whose n-gram isn't among them are looked up in the full tables by joins, once for each
+distinct n-gram. So the model grows with the corpus, and scores don't depend on what is sent.
+
+The score is the log-perplexity per letter, in nats: the negative log-probability of all characters over the number of letters (1
+at least), so predictable rows of signs don't make a text look fluent. Its median and interquartile range over all documents
+of a language give that language's band, [median - BELOW * IQR, median + ABOVE * IQR]; IQR counts as `MIN_IQR` at least. As
+the mean over few letters varies more, a document's distance from the median shrinks by sqrt(n / (n + SHRINK)) for n words. What then lies
 outside the band is rejected. Null languages form one of their own.
 
 Null, empty and blank texts have no words, fail the base rules and don't count for the bands. Repeated rows
@@ -23,124 +27,184 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-ORDER, BITS = 4, 6
-#: N-grams whose log-probabilities are computed at a time.
-STEP = 1 << 20
+ORDER, BITS, LETTERS = 5, 12, 0xC00
+#: Rows of the model (16 bytes each) that are sent to all tasks; n-grams that a task holds before it hands its counts on.
+MODEL_ROWS, TASK_GRAMS = 1 << 22, 1 << 21
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-BELOW, ABOVE, MIN_IQR, SHRINK = 2.3, 4.0, 0.2, 60
-
-#: Classes: 0 other, 1-26 a-z, 27 and 28 upper-case vowels and consonants, 29 digits, 30-32 white space,
-#: 33-46 punctuation, 47-50 first bytes of longer characters, 51-63 the bytes that follow them.
-CLASSES = np.zeros(256, np.uint8)
-CLASSES[97:123] = np.arange(1, 27)
-CLASSES[65:91] = 28
-CLASSES[list(b"AEIOU")] = 27
-CLASSES[48:58] = 29
-CLASSES[[33, *range(34, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 46
-for _k, _c in enumerate((b" ", b"\n", b"\t\r\v\f", b".", b",", b"!", b"?", b";:", b"\"'`", b"-", b"|", b"#", b"*", b"$", b"%", b"&"), 30):
-    CLASSES[list(_c)] = _k
-CLASSES[0xC0:0xC4], CLASSES[0xC4:0xE0], CLASSES[0xE0:0xF0], CLASSES[0xF0:] = 47, 48, 49, 50
-CLASSES[0x80:0xC0] = 51 + np.arange(64) % 13
+BELOW, ABOVE, MIN_IQR, SHRINK = 6.0, 5.0, 0.01, 30
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+#: Letters of the first three planes; all beyond count as letters.
+LETTER = np.fromiter((chr(k).isalpha() for k in range(0x30000)), bool, 0x30000)
 
 
-def gram_codes(offsets: np.ndarray, data: np.ndarray, order: int) -> np.ndarray:
-    """The code of the n-gram that ends at each byte; a text is preceded by class 0."""
-    c = CLASSES[data].astype(np.int32)
+def symbols(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of a block's characters, whether each is a letter, and the first of each row."""
+    places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    c = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    letters = LETTER[np.minimum(c, len(LETTER) - 1)] | (c >= len(LETTER))
+    c[(c >= 48) & (c < 58)] = 48
+    return np.where(c < LETTERS, c, LETTERS + (c * 0x9E3779B1 >> 7) % ((1 << BITS) - LETTERS)), letters, places
+
+
+def gram_codes(first: np.ndarray, c: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The code of the n-gram that ends at each symbol; a row is preceded by symbols 0."""
     codes = c.copy()
-    place = np.arange(len(c), dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.int32)
+    place = np.arange(len(c)) - np.repeat(first[:-1], np.diff(first))
     for k in range(1, order):
         codes[k:] |= np.where(place[k:] >= k, c[:-k] << (BITS * k), 0)
     return codes
 
 
-@dataclass
-class KneserNey:
-    """codes (sorted) and logs: the seen n-grams of the highest order. lower and backoff: log-probability by the
-    code of the next lower order and log back-off weight by context."""
+def count_grams(docs: DataFrame, text: str) -> DataFrame:
+    """(code, n): the documents that have the n-gram; tasks add up what they can before the shuffle."""
 
-    order: int
-    codes: np.ndarray
-    logs: np.ndarray
-    lower: np.ndarray
-    backoff: np.ndarray
+    def rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(codes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[k : k + 100_000]), pa.array(n[k : k + 100_000])], names=["code", "n"])
 
-    @classmethod
-    def from_counts(cls, order: int, codes: np.ndarray, counts: np.ndarray) -> KneserNey:
-        by_order = {order: (codes, counts)}
-        for k in range(order - 1, 0, -1):  # continuation counts: distinct characters before
-            found, n = np.unique(by_order[k + 1][0] & ((1 << BITS * k) - 1), return_counts=True)
-            by_order[k] = (found, n)
-        dense = np.full(1 << BITS, -BITS * np.log(2.0))
-        lower = backoff = None
-        for k in range(1, order + 1):
-            found, n = by_order[k]
-            discounts = cls._discounts(n)
-            cut = lambda n, discounts=discounts: discounts[np.minimum(n, 3)]
-            total = np.bincount(found >> BITS, n, minlength=1 << BITS * (k - 1))
-            mass = np.bincount(found >> BITS, cut(n), minlength=len(total))
-            weight = np.where(total > 0, np.log(np.maximum(mass, 1e-12)) - np.log(np.maximum(total, 1e-12)), 0.0)
-            logs = np.empty(len(found), np.float32 if k == order else np.float64)
-            for a in range(0, len(found), STEP):
-                code, m = found[a : a + STEP], n[a : a + STEP]
-                below = dense[code & ((1 << BITS * max(k - 1, 1)) - 1)]
-                logs[a : a + STEP] = np.log((m - cut(m)) / total[code >> BITS] + np.exp(weight[code >> BITS] + below))
-            if k == order:
-                return cls(order, found.astype(np.int32), logs, lower.astype(np.float32), weight.astype(np.float32))
-            every = np.arange(1 << BITS * k)
-            spread = weight[every >> BITS] + (dense[every & ((1 << BITS * max(k - 1, 1)) - 1)] if k > 1 else dense[every])
-            spread[found] = logs
-            dense = lower = spread
-        raise AssertionError("order is 2 at least")
-
-    @staticmethod
-    def _discounts(n: np.ndarray) -> np.ndarray:
-        """Discounts by count 0, 1, 2 and 3 or more (Chen and Goodman)."""
-        n1, n2, n3, n4 = (max(int((n == k).sum()), 1) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-        return np.array([0.0, *(min(max(x, 0.1), k - 0.1) for k, x in enumerate(d, 1))])
-
-    def log_probabilities(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        codes = gram_codes(offsets, data, self.order)
-        if not len(self.codes):
-            return np.full(len(codes), -BITS * np.log(2.0), np.float32)
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        seen = self.codes[at] == codes
-        out = self.logs[at]
-        miss = codes[~seen]
-        out[~seen] = self.backoff[miss >> BITS] + self.lower[miss & (len(self.lower) - 1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, _, at, raw in common.blocks(common.column(batch, text), 4 << 20):
+                c, _, first = symbols(at, raw)
+                grams = gram_codes(first, c)
+                own = [np.unique(grams[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                found, times = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_counts=True)
+                codes, n = added(np.concatenate([codes, found]), np.concatenate([n, times]))
+                if len(codes) > TASK_GRAMS:
+                    yield from rows(codes, n)
+                    codes, n = codes[:0], n[:0]
+        yield from rows(codes, n)
+
+    return docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def added(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and the sums of their numbers."""
+    if not len(codes):
+        return codes, n
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.add.reduceat(n, starts)
+
+
+def _suffix(code: Column, order: int) -> Column:
+    """The last order - 1 symbols of an n-gram."""
+    return code.bitwiseAND((1 << BITS * (order - 1)) - 1)
+
+
+def _context(code: Column) -> Column:
+    return F.shiftright(code, BITS)
+
+
+UNIFORM = -BITS * float(np.log(2.0))
+
+
+@dataclass
+class Model:
+    """By order 1 to ORDER: grams (code, n, logp) and contexts (ctx, weight)."""
+
+    grams: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+
+    def resolve(self, codes: DataFrame) -> DataFrame:
+        """(code, logp) of distinct n-grams (code), by joins: the longest known suffix, and the weights of the contexts passed."""
+        left = codes.select("code", F.col("code").alias("rest"), F.lit(0.0).alias("sum"))
+        done = []
+        for k in range(ORDER, 0, -1):
+            known = left.join(self.grams[k].select(F.col("code").alias("rest"), "logp"), "rest", "left")
+            known = common.saved(known)
+            done.append(known.where("logp is not null").select("code", (F.col("sum") + F.col("logp")).alias("logp")))
+            missed = known.where("logp is null").withColumn("ctx", _context(F.col("rest"))).join(self.contexts[k], "ctx", "left")
+            left = missed.select("code", _suffix(F.col("rest"), k).alias("rest"), (F.col("sum") + F.coalesce("weight", F.lit(0.0))).alias("sum"))
+        out = left.select("code", (F.col("sum") + UNIFORM).alias("logp"))
+        for part in done:
+            out = out.unionByName(part)
         return out
 
 
-def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
-    """(code, n) over all texts."""
+def discounts(grams: DataFrame) -> list[float]:
+    """By count 1, 2 and 3 or more (Chen and Goodman), from the numbers of n-grams counted 1 to 4 times."""
+    row = grams.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    n = [0, *(max(x or 0, 1) for x in row)]
+    y = n[1] / (n[1] + 2 * n[2])
+    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) for k in (1, 2, 3)]
+
+
+def train(docs: DataFrame, text: str = "text") -> Model:
+    counted = common.saved(count_grams(docs, text).where("n > 1").select("code", (F.col("n") - 1).alias("n")))
+    counts = {ORDER: counted}
+    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
+        counts[k] = common.saved(counts[k + 1].groupBy(_suffix(F.col("code"), k + 1).alias("code")).agg(F.count("*").alias("n")))
+    model = Model({}, {})
+    for k in range(1, ORDER + 1):
+        one, two, more = discounts(counts[k])
+        cut = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
+        rows = counts[k].select("code", "n", cut.alias("cut"), _context(F.col("code")).alias("ctx"))
+        totals = common.saved(rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass")))
+        below = F.lit(1.0 / (1 << BITS)) if k == 1 else F.exp("below")
+        joined = rows.join(totals, "ctx")
+        if k > 1:
+            lower = model.grams[k - 1].select(F.col("code").alias("rest"), F.col("logp").alias("below"))
+            joined = joined.withColumn("rest", _suffix(F.col("code"), k)).join(lower, "rest")
+        p = (F.col("n") - F.col("cut") + F.col("mass") * below) / F.col("total")
+        model.grams[k] = common.saved(joined.select("code", "n", F.log(p).alias("logp")))
+        model.contexts[k] = totals.select("ctx", F.log(F.col("mass") / F.col("total")).alias("weight"))
+    return model
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS * order, np.uint32)
-        for batch in batches:
-            for _, _, at, raw in common.blocks(common.column(batch, text), 4 << 20):
-                counts += np.bincount(gram_codes(at, raw, order), minlength=len(counts)).astype(np.uint32)
-        found = np.flatnonzero(counts)
-        for k in range(0, len(found), 100_000):
-            part = found[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], names=["code", "n"])
 
-    return docs.select(text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+@dataclass
+class Arrays:
+    """Sorted n-grams and contexts of each order with their numbers; `whole` if nothing was left out."""
 
+    whole: bool
+    grams: dict[int, tuple[np.ndarray, np.ndarray]]
+    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, model: Model, rows: int) -> Arrays:
+        """All tables, if they have `rows` rows at most, else the most frequent n-grams of the highest order."""
+        size = sum(x.count() for x in (*model.grams.values(), *model.contexts.values()))
+        pull = lambda df, key, value: (lambda t: (t[key].to_numpy(), t[value].to_numpy().astype(np.float32)))(df.select(key, value).toArrow().sort_by(key))
+        if size <= rows:
+            return cls(True, {k: pull(x, "code", "logp") for k, x in model.grams.items()}, {k: pull(x, "ctx", "weight") for k, x in model.contexts.items()})
+        return cls(False, {ORDER: pull(model.grams[ORDER].orderBy(F.desc("n"), "code").limit(rows), "code", "logp")}, {})
+
+    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """Of n-grams; NaN where the arrays don't tell."""
+        out = np.zeros(len(codes), np.float32)
+        left, rest = np.arange(len(codes)), codes
+        for k in range(ORDER, 0, -1):
+            known, value = _find(*self.grams[k], rest)
+            out[left[known]] += value
+            left, rest = left[~known], rest[~known]
+            if not self.whole:
+                out[left] = np.nan
+                return out
+            seen, weight = _find(*self.contexts[k], rest >> BITS)
+            out[left[seen]] += weight
+            rest = rest & ((1 << BITS * (k - 1)) - 1)
+        out[left] += np.float32(UNIFORM)
+        return out
 
-def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey:
-    table = count_grams(docs, text, order).toArrow().sort_by("code")  # a row for each code: 2**24 of 12 bytes at most
-    return KneserNey.from_counts(order, table["code"].to_numpy(), table["n"].to_numpy())
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the wanted ones are keys, the values of these)."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), values[:0]
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    known = keys[at] == wanted
+    return known, values[at[known]]
 
 
 def _covered(runs: np.ndarray) -> int:
@@ -171,34 +235,53 @@ def _repeated_lines(row: bytes) -> int:
     return n
 
 
-def measure(docs: DataFrame, model: KneserNey, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", lang: str = "lang", rows: int | None = None) -> DataFrame:
     """Base counts and `score` of every text (null without words)."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = T.StructType([docs.schema[id_column], T.StructField("lang", T.StringType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**24 codes of 8 bytes at most, and the tables of order 3
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, at, raw in common.blocks(common.column(batch, text)):
-            starts, ends, first = common.word_bounds(at, raw)
-            runs = common.run_hashes(common.span_hashes(raw, starts, ends), WINDOW)
-            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.float64)])[at])
-            data = raw.tobytes()
-            bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            words = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
-            n_words = np.diff(first)
-            score = -sums(sent.value.log_probabilities(at, raw)) / np.maximum(n_words, 1)
-            values = [
-                n_words,
-                sums(~common.SPACE[raw] & ((raw & 0xC0) != 0x80)),
-                sums(SYMBOL[raw]),
-                [_repeated_lines(data[a:b]) for a, b in bounds],
-                [_covered(runs[a : b - WINDOW + 1]) if b - a > WINDOW else 0 for a, b in words],
-            ]
-            part = batch.slice(lo, hi - lo)
-            arrays = [common.column(part, id_column), common.column(part, lang), *(pa.array(np.asarray(v).astype(np.int64)) for v in values), pa.array(score, mask=n_words == 0)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return common.arrow_map(docs.select(id_column, F.col(lang).cast("string").alias(lang), text), run, schema)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters")
+    fields = [docs.schema[id_column], T.StructField("lang", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)]
+    schema = T.StructType([*fields, T.StructField("sum", T.DoubleType()), T.StructField("row", T.LongType()), T.StructField("missing", T.ArrayType(T.LongType()))])
+    arrays = Arrays.of(model, MODEL_ROWS if rows is None else rows)
+    sent = docs.sparkSession.sparkContext.broadcast(arrays)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for lo, hi, at, raw in common.blocks(common.column(batch, text)):
+                starts, ends, first = common.word_bounds(at, raw)
+                runs = common.run_hashes(common.span_hashes(raw, starts, ends), WINDOW)
+                sums = lambda x, at=at: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.float64)])[at])
+                data = raw.tobytes()
+                bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+                words = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                n_words = np.diff(first)
+                c, letters, begin = symbols(at, raw)
+                codes = gram_codes(begin, c)
+                logs = sent.value.log_probabilities(codes)
+                lacks = np.flatnonzero(np.isnan(logs))
+                parts = np.searchsorted(lacks, begin).astype(np.int32)
+                values = [
+                    n_words,
+                    sums(~common.SPACE[raw] & ((raw & 0xC0) != 0x80)),
+                    sums(SYMBOL[raw]),
+                    [_repeated_lines(data[a:b]) for a, b in bounds],
+                    [_covered(runs[a : b - WINDOW + 1]) if b - a > WINDOW else 0 for a, b in words],
+                    sums(letters, begin),
+                ]
+                part = batch.slice(lo, hi - lo)
+                made = [common.column(part, id_column), common.column(part, lang), *(pa.array(np.asarray(v).astype(np.int64)) for v in values)]
+                made += [pa.array(sums(np.nan_to_num(logs), begin)), pa.array(np.arange(row, row + hi - lo)), pa.ListArray.from_arrays(pa.array(parts), pa.array(codes[lacks]))]
+                row += hi - lo
+                yield pa.RecordBatch.from_arrays(made, names=schema.names)
+
+    measured = common.saved(docs.select(id_column, F.col(lang).cast("string").alias(lang), text).mapInArrow(run, schema), "measured")
+    if not arrays.whole:
+        lacks = common.saved(measured.select("row", F.explode("missing").alias("code")).groupBy("row", "code").agg(F.count("*").alias("n")))
+        found = model.resolve(lacks.select("code").distinct())
+        more = lacks.join(found, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("more"))
+        measured = measured.join(more, "row", "left").withColumn("sum", F.col("sum") + F.coalesce("more", F.lit(0.0)))
+    return measured.withColumn("score", F.when(F.col("n_words") > 0, -F.col("sum") / F.greatest("n_letters", F.lit(1)))).select(*(f.name for f in fields), "score")
 
 
 def judge(measured: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -217,5 +300,6 @@ def judge(measured: DataFrame, below: float = BELOW, above: float = ABOVE) -> Da
 
 
 def filter_quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    measured = common.saved(measure(docs, train(docs, text), id_column, text, lang), "measured")
+    with common.Scratch() as run:
+        measured = run.result(measure(docs, train(docs, text), id_column, text, lang), "measured")
     return judge(measured)

@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import byte_bpe, line_dedup, perplexity, queries, secret_scan, token_store, url_filter
@@ -141,19 +142,86 @@ def test_perplexity_base_counts(spark):
     assert perplexity.filter_quality(documents(spark, [])).count() == 0
 
 
-def test_kneser_ney_is_a_distribution_and_prefers_its_corpus():
-    text = ("the hand then on there " * 50).encode()
-    codes, counts = np.unique(perplexity.gram_codes(np.array([0, len(text)]), np.frombuffer(text, np.uint8), 4), return_counts=True)
-    model = perplexity.KneserNey.from_counts(4, codes, counts)
-    total = np.exp(model.lower.reshape(-1, 64).astype(np.float64)).sum(1)
-    assert np.allclose(total, 1, atol=1e-4)
-    context = codes[10] >> 6
-    every = (context << 6) + np.arange(64)
-    seen = {int(c): float(p) for c, p in zip(model.codes, model.logs, strict=True)}
-    p = [seen.get(int(c), float(model.backoff[c >> 6] + model.lower[c & (len(model.lower) - 1)])) for c in every]
-    assert abs(np.exp(p).sum() - 1) < 1e-3
-    score = lambda t: model.log_probabilities(np.array([0, len(t)]), np.frombuffer(t, np.uint8)).mean()
-    assert score(b"then the hand") > score(b"zq#x|kw") + 2
+def brute_grams(texts_, order):
+    """n-gram -> documents that have it, less one; null texts have none."""
+    counts = {}
+    for t in texts_:
+        c = [0] * (order - 1) + [48 if 48 <= ord(x) < 58 else ord(x) for x in t or ""]
+        for g in {tuple(c[k : k + order]) for k in range(len(c) - order + 1)}:
+            counts[g] = counts.get(g, 0) + 1
+    return {g: n - 1 for g, n in counts.items() if n > 1}
+
+
+def brute_kneser_ney(counts, order):
+    """By order: (n-gram -> probability, context -> back-off weight), interpolated, with discounts by count."""
+    by = {order: counts}
+    for k in range(order - 1, 0, -1):
+        by[k] = {}
+        for g in by[k + 1]:
+            by[k][g[1:]] = by[k].get(g[1:], 0) + 1
+    grams, weights = {0: {(): 1 / 4096}}, {}
+    for k in range(1, order + 1):
+        n = [0, *(max(1, sum(v == m for v in by[k].values())) for m in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2])
+        cut = [min(max(m - (m + 1) * y * n[m + 1] / n[m], 0.1), m - 0.1) for m in (1, 2, 3)]
+        total, mass = {}, {}
+        for g, v in by[k].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + v
+            mass[g[:-1]] = mass.get(g[:-1], 0) + cut[min(v, 3) - 1]
+        grams[k] = {g: (v - cut[min(v, 3) - 1] + mass[g[:-1]] * grams[k - 1][g[1:]]) / total[g[:-1]] for g, v in by[k].items()}
+        weights[k] = {g: mass[g] / total[g] for g in total}
+    return grams, weights
+
+
+def brute_probability(model, gram):
+    grams, weights = model
+    p = 1.0
+    for k in range(len(gram), 0, -1):
+        g = gram[len(gram) - k :]
+        if g in grams[k]:
+            return p * grams[k][g]
+        p *= weights[k].get(g[:-1], 1.0)
+    return p / 4096
+
+
+def test_kneser_ney_equals_brute_force_and_is_a_distribution(spark):
+    rows = [(i, t, g) for i, t, g in texts(n=20) if t is None or len(t) < 2000]
+    docs = documents(spark, rows)
+    order = perplexity.ORDER
+    counts = brute_grams([t for _, t, _ in rows], order)
+    pack = lambda g: sum(c << perplexity.BITS * (order - 1 - k) for k, c in enumerate(g))
+    model = perplexity.train(docs)
+    plain = {g: n for g, n in counts.items() if all(c < perplexity.LETTERS for c in g)}
+    got = {r.code: r.n for r in model.grams[order].collect()}
+    assert {pack(g): n for g, n in plain.items()}.items() <= got.items() and len(got) >= len(plain)
+    wanted = brute_kneser_ney(counts, order)
+    probe = [*list(plain)[:300], *((*g[1:], 0x71) for g in list(plain)[:50]), (1, 2, 3, 4, 5), (0, 0, 0, 0, 0x7B)]
+    codes = np.array([pack(g) for g in probe])
+    for rows_ in (10**6, 40):  # all in arrays; the most frequent ones only
+        arrays = perplexity.Arrays.of(model, rows_)
+        logs = arrays.log_probabilities(codes)
+        known = ~np.isnan(logs)
+        assert known.all() == arrays.whole and known.any()
+        assert np.allclose(np.exp(logs[known]), [brute_probability(wanted, g) for g, k in zip(probe, known, strict=True) if k], rtol=1e-3)
+    resolved = {r.code: r.logp for r in model.resolve(spark.createDataFrame([(int(c),) for c in set(codes.tolist())], "code long")).collect()}
+    assert np.allclose([np.exp(resolved[int(c)]) for c in codes], [brute_probability(wanted, g) for g in probe], rtol=1e-6)
+    context = codes[0] & ~np.int64(4095)
+    assert abs(np.exp(perplexity.Arrays.of(model, 10**6).log_probabilities(context + np.arange(4096)).astype(float)).sum() - 1) < 1e-3
+
+
+def test_scores_dont_depend_on_what_is_sent(spark):
+    docs = documents(spark)
+    model = perplexity.train(docs)
+    of = lambda rows: sorted((str(r.doc_id), r.n_words, r.score and round(r.score, 3)) for r in perplexity.measure(docs, model, rows=rows).collect())
+    assert of(10**6) == of(50)
+
+
+def test_bands_reject_junk_and_keep_prose_of_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    rows = perplexity.filter_quality(docs).where("not base_failed").join(labels, "doc_id").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    assert {r.lang for r in rows} == {"de", "en", "es", "fr"}
+    assert all(r.kept > 0.99 if r.quality else r.kept < 0.2 for r in rows)
 
 
 def brute_lines(rows, least):
