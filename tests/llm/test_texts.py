@@ -92,21 +92,65 @@ def test_markov_models_find_unnamed_keys(spark):
     rng = np.random.default_rng(0)
     key = lambda n: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"), n))
     ordinary = [w for _, t, _ in texts() for w in (t or "").split()]
-    labelled = [(key(24), 1) for _ in range(300)] + [(w, 0) for w in ordinary] + [(None, 1), ("x", 5)]
+    labelled = [(key(24), 1) for _ in range(300)] + [(w, 0) for w in ordinary] + [(None, 1), ("x", 5)] + [(f"{k:040x}", 2) for k in rng.integers(0, 1 << 62, 300).tolist()]
     models = secret_scan.train(spark.createDataFrame(labelled, "string string, label int"))
     rows = [(1, f"é see {key(32)} here", None), (2, "theonandre" * 4, None), (3, f"token={key(32)}", None), (4, key(19), None)]
     got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(documents(spark, rows), models)).collect()}
     assert got == {1: "markov:6:38", 2: "", 3: "assign:0:38", 4: ""}
 
 
-def test_runs_that_overlap_patterns_are_left_out():
-    models = secret_scan.MarkovPair.from_counts(np.zeros(secret_scan.N**2), np.zeros(secret_scan.N**2))
+def test_what_patterns_found_is_left_out_of_runs():
+    models = secret_scan.Models.from_counts(np.zeros((2, secret_scan.N**2)))
     rng = random.Random(3)
     for _ in range(300):
         text = "".join(rng.choice("ab  ") if rng.random() < 0.2 else "k" for _ in range(200)).encode()
         taken = sorted((s, rng.randrange(3), s + rng.randint(1, 30)) for s in (rng.randrange(170) for _ in range(rng.randrange(6))))
-        plain = [m.span() for m in secret_scan.RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in taken)]
-        assert [(s, e) for s, _, e in secret_scan.markov_spans(text, taken, models, 0.0)] == plain
+        free = "".join(" " if any(s <= k < e for s, _, e in taken) else chr(c) for k, c in enumerate(text))
+        assert [(s, e) for s, _, e in secret_scan.markov_spans(text, taken, models, 0.0)] == [m.span() for m in re.finditer(r"\S{20,}", free)]
+
+
+def planted(rng, words_):
+    """(text, spans of keys) of kinds in which keys stand, and texts without one but with long names."""
+    letters = secret_scan.ALPHABETS
+    key = lambda: "".join(rng.choice(letters[rng.randrange(3)]) for _ in range(rng.choice([24, 32, 40, 48]))).strip("-_/+")
+    w = lambda: rng.choice(words_).lower()
+    shapes = ["see {k} here", "https://host.example/{w}/{v}/{k}/{w}", "{w}_{v}_{k}", "{k}-{w}-{v}", "<{w}>{k}</{w}>", "'{k}'"]
+    names = ["{w}_{v}_{w}_{v}_{w}", "/usr/{w}/{v}/{w}/{v}/{w}.py", "{w}-{v}-{w}-{v}-2024-01", "The{w}{v}Of{w}{v}Factory", "0f3a{h}", "{h}-{h}", "{w}{v}{w}{v}{w}", "MAX_{w}_{v}_{w}_SIZE"]
+    rows = []
+    for k in range(400):
+        fill = {"w": w(), "v": w(), "h": f"{rng.getrandbits(128):032X}" if k % 2 else f"{rng.getrandbits(128):032x}"}
+        if k % 2:
+            own = key()
+            text = " ".join(w() for _ in range(8)) + " " + rng.choice(shapes).replace("{k}", "\0").format(**fill).replace("\0", own) + " " + w()
+            rows.append((text, (text.index(own), text.index(own) + len(own))))
+        else:
+            rows.append((" ".join(w() for _ in range(8)) + " " + names[k // 2 % len(names)].format(**fill) + " " + w(), None))
+    return rows
+
+
+def test_precision_and_recall_of_markov_spans_on_planted_keys(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = secret_scan.train_from_documents(docs)
+    rng = random.Random(11)
+    words_ = sorted({x for r in docs.select("text").limit(200).collect() for x in re.findall(r"\b[A-Za-z]{3,}\b", r.text or "")})
+    hits = right = wrong = 0
+    for text, span in planted(rng, words_):
+        base = secret_scan.base_spans(text.encode())
+        for a, _, b in secret_scan.markov_spans(text.encode(), base, models, secret_scan.MIN_RATIO):
+            overlap = min(b, span[1]) - max(a, span[0]) if span else 0
+            wrong += overlap < 0.8 * max(b - a, span[1] - span[0]) if span else 1
+            hits += bool(span) and overlap >= 0.8 * max(b - a, span[1] - span[0])
+        right += span is not None
+    print("recall", hits / right, "precision", hits / max(1, hits + wrong))
+    assert hits >= 0.95 * right and hits >= 0.95 * (hits + wrong)
+
+
+def test_labelled_samples_are_bounded_and_the_same_each_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    once, again = ([tuple(r) for r in secret_scan.labelled_samples(docs.repartition(n), most=50, drawn=100).collect()] for n in (1, 5))
+    assert once == again and len(once) <= 3 * 150 + secret_scan.N
+    every = {x for r in docs.collect() for x in secret_scan.WORD.findall((r.text or "").encode())}
+    assert {x for x, y in once[:50] if y == 0} == {x.decode() for x in sorted(every, key=lambda x: (zlib.crc32(x), x))[:50]}
 
 
 def test_secret_scan_of_an_empty_table(spark):
