@@ -131,9 +131,11 @@ def found_strings(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> Da
         for batch in batches:
             for _, _, at, raw in common.blocks(common.column(batch, text)):
                 data = raw.tobytes()
-                kept[ORDINARY].update(WORD.findall(data))
-                kept[RANDOM].update(x for x in ACCESS.findall(data) if len(x) >= MIN_CHARS)
-                kept[HASH].update(HEX.findall(data))
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    row = data[a:b]
+                    kept[ORDINARY].update(WORD.findall(row))
+                    kept[RANDOM].update(x for x in ACCESS.findall(row) if len(x) >= MIN_CHARS)
+                    kept[HASH].update(HEX.findall(row))
                 kept = tuple(smallest(x) if len(x) > 20 * most else x for x in kept)
         rows = [(label, x.decode()) for label, x in enumerate(kept) for x in smallest(x)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["label", "string"])
