@@ -57,6 +57,7 @@ def test_join_of_families_with_a_frequent_passage(spark):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "SIGNATURE_BLOCK", 15)
     monkeypatch.setattr(ngram_join, "BUCKET", 3)
     test_join_of_families_with_a_frequent_passage(spark)
 
