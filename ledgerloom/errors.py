@@ -21,17 +21,20 @@ CODES = {
     "E2208": "a column has another type or mode",
     "E2209": "the table isn't declared",
     "E2212": "there are rows but no state",
-    "E2301": "a table has no columns",
-    "E2302": "a column type isn't supported",
-    "E2303": "the block column is missing",
-    "E2304": "the block column isn't an integer",
-    "E2305": "the block column is nullable",
-    "E2306": "a schema is nested too deep",
+    "E2301": "no table is declared",
+    "E2302": "a table is declared twice",
+    "E2303": "a table has no columns",
+    "E2304": "the block column is missing",
+    "E2305": "the block column isn't an integer",
+    "E2307": "a column type isn't supported",
     "E2308": "the table isn't declared",
     "E2309": "the file exists already",
+    "E2312": "a block number is missing or outside of its batch",
+    "E2313": "a value doesn't fit its column",
+    "E2315": "a nested column is empty or too deep",
     "E2316": "a file's range ends before it starts",
     "E2317": "a file straddles the cursor",
-    "E2320": "a file isn't Parquet",
+    "E2320": "a file isn't Parquet with the declared columns",
 }
 
 

@@ -1,13 +1,14 @@
 """Contract events and calls: canonical signatures, topics, and decoding.
 
-Events whose data are static words up to 120 bits are decoded by Spark expressions; others (dynamic types, wider
-integers, nested tuples) by one Arrow UDF per event, in batches. Integers up to 63 bits become BIGINT, up to 120
-DECIMAL(38,0), wider ones decimal text. Text that can't be decoded raises; `on_error="null"` gives null instead.
+Events whose data are static words, integers of any width among them, are decoded by Spark expressions; others (dynamic
+types, nested tuples) by one Arrow UDF per event, in batches. Integers up to 63 bits become BIGINT, up to 120
+DECIMAL(38,0), wider ones decimal text. Data that can't be decoded raise; `on_error="null"` gives null instead.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -280,7 +281,7 @@ def is_event(e: Event, topics: str = "topics") -> Column:
 
 
 def word_column(p: Param, word: Column) -> Column:
-    """A static word (64 hex digits) as a value, with Spark expressions; integers up to 120 bits."""
+    """A static word (64 hex digits) as a value, with Spark expressions."""
     if p.type == "address":
         return F.concat(F.lit("0x"), F.lower(F.right(word, F.lit(40))))
     if p.type == "bool":
@@ -292,50 +293,143 @@ def word_column(p: Param, word: Column) -> Column:
 
 def _number(word: Column, kind: T.DataType, signed: bool) -> Column:
     # conv() is limited to 64 bits, so the number is put together from parts of 13 hex digits and fewer
-    low, mid, high = (F.conv(F.substring(word, a, n), 16, 10).cast("decimal(38,0)") for a, n in ((52, 13), (39, 13), (35, 4)))
-    number = low + mid * F.lit(Decimal(1 << 52)) + high * F.lit(Decimal(1 << 104))
+    limbs = [F.conv(F.substring(word, a, n), 16, 10).cast("decimal(38,0)") for a, n in ((52, 13), (39, 13), (26, 13), (13, 13), (1, 12))]
+    if isinstance(kind, T.StringType):
+        return _wide(word, limbs, signed)
+    top = F.conv(F.substring(word, 35, 4), 16, 10).cast("decimal(38,0)")
+    number = limbs[0] + limbs[1] * F.lit(Decimal(1 << 52)) + top * F.lit(Decimal(1 << 104))
     if signed:
         number = F.when(F.left(word, F.lit(1)) >= "8", number - F.lit(Decimal(1 << 120))).otherwise(number)
     return number.cast(kind)
 
 
+def _wide(word: Column, limbs: list[Column], signed: bool) -> Column:
+    """The decimal text of 256 bits: four digits to base 10**20, each the sum of the limbs' shares and what is carried."""
+    negative = F.left(word, F.lit(1)) >= "8" if signed else F.lit(False)
+    top = [(1 << 52) - 1] * 4 + [(1 << 48) - 1]
+    parts = [F.when(negative, F.lit(Decimal(m)) - x).otherwise(x).cast("decimal(16,0)") for m, x in zip(top, limbs, strict=True)] if signed else [x.cast("decimal(16,0)") for x in limbs]
+    base = 10**20
+    sums = []
+    for k in range(4):
+        shares = [parts[i] * F.lit(Decimal((1 << 52 * i) // base**k % base)) for i in range(5) if (1 << 52 * i) // base**k % base]
+        if k == 0 and signed:  # the two's complement is one more than the complement of the bits
+            shares.append(F.when(negative, F.lit(Decimal(1))).otherwise(F.lit(Decimal(0))))
+        total = shares[0].cast("decimal(38,0)")
+        for share in shares[1:]:
+            total = (total + share).cast("decimal(38,0)")
+        sums.append(total)
+    carried = F.array(*sums)
+    step = lambda acc, x: _carry(acc, x, base)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("decimal(38,0)").alias("carry"))
+    digits = F.aggregate(carried, start, step, lambda acc: F.regexp_replace(F.concat(acc["carry"].cast("string"), acc["text"]), "^0+(?=.)", ""))
+    # most numbers need no more than 120 bits
+    short = (limbs[0] + limbs[1] * F.lit(Decimal(1 << 52)) + F.conv(F.substring(word, 35, 4), 16, 10).cast("decimal(38,0)") * F.lit(Decimal(1 << 104))).cast("decimal(38,0)").cast("string")
+    text = F.when(F.left(word, F.lit(34)) == "0" * 34, short).otherwise(digits)
+    return F.when(negative, F.concat(F.lit("-"), digits)).otherwise(text) if signed else text
+
+
+def _carry(acc: Column, x: Column, base: int) -> Column:
+    total = (acc["carry"] + x).cast("decimal(38,0)")
+    digit = (total % F.lit(Decimal(base))).cast("decimal(38,0)")
+    high = ((total - digit) / F.lit(Decimal(base))).cast("decimal(38,0)")
+    return F.struct(F.concat(F.lpad(digit.cast("string"), 20, "0"), acc["text"]).alias("text"), high.alias("carry"))
+
+
 def _static(e: Event) -> bool:
-    return all(not _hashed(p) and (p.bits is None or p.bits <= 120) for p in e.plain) and all(_hashed(p) or p.bits is None or p.bits <= 120 for p in e.indexed)
+    return all(not _hashed(p) for p in e.plain)
 
 
 def event_column(e: Event, topics: str = "topics", data: str = "data", on_error: str = "raise") -> Column:
-    """The decoded parameters of a log of this event as a struct."""
-    if _static(e) and on_error == "raise":
+    """The decoded parameters of a log of this event as a struct; null where it can't be decoded and on_error is `null`."""
+    if _static(e):
         topic = lambda i: F.substring(F.get(topics, i), 3, 64)
         parts = {p.name: (F.get(topics, i) if _hashed(p) else word_column(p, topic(i))) for i, p in enumerate(e.indexed, 1)}
         parts |= {p.name: word_column(p, F.substring(data, 3 + 64 * i, 64)) for i, p in enumerate(e.plain)}
-        size = F.assert_true(F.length(data) >= 2 + 64 * len(e.plain), F.lit(f"data too short for {e.signature}"))
         fields = F.struct(*[parts[p.name].alias(p.name) for p in e.params])
-        return F.when(size.isNull(), fields)
+        whole = F.length(data) >= 2 + 64 * len(e.plain)
+        if on_error == "null":
+            digits = F.regexp_like(F.substring(data, 3, 64 * len(e.plain)), F.lit("^[0-9a-fA-F]*$")) & (F.size(topics) > len(e.indexed))
+            return F.when(whole & digits, fields)
+        return F.when(F.assert_true(whole, F.lit(f"data too short for {e.signature}")).isNull(), fields)
     indexed, plain, order = e.indexed, e.plain, [p.name for p in e.params]
 
-    @F.pandas_udf(e.spark)
+    @F.pandas_udf(T.StructType([*e.spark.fields, T.StructField("_ok", T.BooleanType())]))
     def decoded(topics: pd.Series, data: pd.Series) -> pd.DataFrame:
         rows = []
         for ts, d in zip(topics, data, strict=True):
             try:
                 row = {p.name: ts[i] if _hashed(p) else decode([p], bytes.fromhex(ts[i][2:]))[0] for i, p in enumerate(indexed, 1)}
                 row |= dict(zip((p.name for p in plain), decode(plain, bytes.fromhex(d[2:])), strict=True))
+                row["_ok"] = True
             except (ValueError, IndexError, TypeError):
                 if on_error == "raise":
                     raise
-                row = {}
-            rows.append([row.get(n) for n in order])
-        return pd.DataFrame(rows, columns=order, dtype=object)
-
-    return decoded(F.col(topics), F.col(data))
-
-
-def decode_events(logs: DataFrame, events: dict[str, Event], topics: str = "topics", data: str = "data") -> dict[str, DataFrame]:
-    """A table of decoded logs for each name. A log goes to the first declared event that it fits."""
+                row = {"_ok": False}
+            rows.append([row.get(n) for n in (*order, "_ok")])
+        return pd.DataFrame(rows, columns=[*order, "_ok"], dtype=object)
+
+    found = decoded(F.col(topics), F.col(data))
+    return F.when(found["_ok"], F.struct(*[found[n].alias(n) for n in order]))
+
+
+def call_column(f: Function, data: str = "input", on_error: str = "raise") -> Column:
+    """The arguments of a call as a struct, from calldata with the function's selector; null for other calls."""
+    arguments = Event(f.name, tuple(Param(p.name, p.type, False, p.components) for p in f.params))
+    if not _static(arguments):
+
+        @F.pandas_udf(arguments.spark)
+        def decoded(texts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for t in texts:
+                try:
+                    rows.append(decode(f.params, bytes.fromhex(t[10:])) if t is not None and t.lower().startswith(f.selector) else [None] * len(f.params))
+                except ValueError:
+                    if on_error == "raise":
+                        raise
+                    rows.append([None] * len(f.params))
+            return pd.DataFrame(rows, columns=[p.name for p in f.params], dtype=object)
+
+        found = decoded(F.col(data))
+        return F.when(F.lower(F.left(F.col(data), F.lit(10))) == f.selector, found)
+    parts = [word_column(p, F.substring(data, 11 + 64 * i, 64)).alias(p.name) for i, p in enumerate(arguments.params)]
+    whole = F.length(data) >= 10 + 64 * len(parts)
+    own = F.coalesce(F.lower(F.left(F.col(data), F.lit(10))) == f.selector, F.lit(False))
+    fits = whole if on_error == "null" else F.assert_true(whole | ~own, F.lit(f"data too short for {f.signature}")).isNull()
+    return F.when(own & fits, F.struct(*parts))
+
+
+def decode_events(logs: DataFrame, events: dict[str, Event], topics: str = "topics", data: str = "data", on_error: str = "raise") -> dict[str, DataFrame]:
+    """A table of decoded logs for each name. A log goes to the first declared event that it fits.
+
+    With on_error `null` logs that can't be decoded keep a null event; `decoded` and `decode_errors` tell them apart.
+    """
+    for topic0, names in shared_topics(events).items():
+        warnings.warn(f"{', '.join(names)} share the topic {topic0}: only {names[0]} gets its logs", stacklevel=2)
     left = logs
     out = {}
     for name, e in events.items():
-        out[name] = left.where(is_event(e, topics)).withColumn("event", event_column(e, topics, data))
+        out[name] = left.where(is_event(e, topics)).withColumn("event", event_column(e, topics, data, on_error))
         left = left.where(~F.coalesce(is_event(e, topics), F.lit(False)))
     return out
+
+
+def shared_topics(events: dict[str, Event]) -> dict[str, list[str]]:
+    """First topics that several declared events have, with their names."""
+    by: dict[str, list[str]] = {}
+    for name, e in events.items():
+        by.setdefault(e.topic0, []).append(name)
+    return {t: names for t, names in by.items() if len(names) > 1}
+
+
+def decoded(table: DataFrame) -> DataFrame:
+    """Without the logs that couldn't be decoded."""
+    return table.where("event is not null")
+
+
+def decode_errors(found: dict[str, DataFrame]) -> DataFrame:
+    """(name, skipped): how many logs of each event couldn't be decoded."""
+    parts = [t.agg(F.sum(F.col("event").isNull().cast("long")).alias("skipped")).select(F.lit(n).alias("name"), F.coalesce("skipped", F.lit(0).cast("long")).alias("skipped")) for n, t in found.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

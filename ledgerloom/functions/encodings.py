@@ -109,6 +109,19 @@ def borsh_column(data_hex: Column, discriminator: str, fields: dict[str, Any], s
     return decoded(data_hex)
 
 
+def event_column(message_hex: Column, discriminator: str, fields: dict[str, Any], schema: str, on_error: str = "raise") -> Column:
+    """A program's event from the hex of its log message: laid out as instruction data, after a discriminator of 1, 2, 4 or 8 bytes."""
+    if len(discriminator.removeprefix("0x")) // 2 not in (1, 2, 4, 8):
+        raise LoomError("E0003", discriminator)
+    return borsh_column(message_hex, discriminator, fields, schema, on_error)
+
+
+def little_endian(data_hex: Column, at: int, size: int) -> Column:
+    """The unsigned number of `size` bytes (8 at most) from byte `at` of 0x hex, by Spark's own functions: DECIMAL(20,0)."""
+    digits = [F.substring(data_hex, 3 + 2 * (at + k), 2) for k in reversed(range(size))]
+    return F.conv(F.concat(*digits), 16, 10).cast("decimal(20,0)")
+
+
 def check_discriminators(instructions: dict[str, str]) -> int:
     """The one width in bytes of a decoder's discriminators: distinct, and 1, 2, 4 or 8 bytes wide."""
     widths = {len(d.removeprefix("0x")) // 2 for d in instructions.values()}

@@ -11,15 +11,15 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Output script types and the kind that they are counted as (fixed values).
+#: Output script types and the kind that they are shown as (fixed values).
 SCRIPT_KINDS = {
     "pubkey": "p2pk",
-    "pubkeyhash": "p2pkh",
-    "scripthash": "p2sh",
-    "witness_v0_keyhash": "p2wpkh",
-    "witness_v0_scripthash": "p2wsh",
-    "witness_v1_taproot": "p2tr",
-    "nulldata": "op_return",
+    "pubkeyhash": "P2PKH",
+    "scripthash": "P2SH",
+    "witness_v0_keyhash": "P2WPKH",
+    "witness_v0_scripthash": "P2WSH",
+    "witness_v1_taproot": "P2TR",
+    "nulldata": "OP_RETURN",
     "multisig": "multisig",
 }
 
@@ -30,18 +30,22 @@ def topic_address(topic: Column, prefix: str = "0x") -> Column:
 
 
 def script_kind(kind: Column) -> Column:
-    out = F.lit("other")
+    out = F.lit("unknown")
     for name, value in SCRIPT_KINDS.items():
         out = F.when(kind == name, value).otherwise(out)
     return out
 
 
 def op_return_text(asm: Column) -> Column:
-    """What an OP_RETURN script carries: text if all bytes are printable ASCII, else 0x hex; null for other scripts."""
-    payload = F.regexp_extract(asm, r"^OP_RETURN ([0-9a-fA-F]+)$", 1)
-    raw = F.unhex(payload)
-    printable = F.regexp_like(payload, F.lit("^(?:[2-6][0-9a-fA-F]|7[0-9a-eA-E])+$"))
-    return F.when(payload != "", F.when(printable, F.decode(raw, "US-ASCII")).otherwise(F.concat(F.lit("0x"), F.lower(payload))))
+    """What an OP_RETURN script carries in its first push: text in double quotes if all bytes are printable ASCII, else 0x hex.
+
+    Other scripts are returned as they are. Of an odd number of digits the last one is no byte.
+    """
+    payload = F.regexp_extract(asm, r"(?i)^OP_RETURN\s+([0-9a-f]+)", 1)
+    whole = F.substring(payload, F.lit(1), F.length(payload) - F.length(payload) % 2)
+    printable = F.regexp_like(whole, F.lit("^(?:[2-6][0-9a-fA-F]|7[0-9a-eA-E])*$"))
+    text = F.concat(F.lit('"'), F.decode(F.unhex(whole), "US-ASCII"), F.lit('"'))
+    return F.when(payload == "", asm).otherwise(F.when(printable, text).otherwise(F.concat(F.lit("0x"), payload)))
 
 
 def scaled(amount: Column, decimals: Column) -> Column:
@@ -69,12 +73,45 @@ def plain_number(text: Column) -> Column:
     return F.regexp_replace(text, "[,_]", "").cast("bigint")
 
 
+def formatted(value: Column, digits: int = 2) -> Column:
+    """Thousands with commas, at most so many decimals, none that are zero at the end."""
+    text = F.format_number(value, digits)
+    return F.regexp_replace(text, r"\.?0+$", "") if digits else text
+
+
+def formatted_block(value: Column) -> Column:
+    """A block number with commas; text such as `latest` as it is."""
+    return F.coalesce(formatted(value.try_cast("bigint"), 0), value.cast("string"))
+
+
 def human_bytes(size: Column) -> Column:
-    out = F.concat(F.format_number(size / F.lit(2.0**30), 2), F.lit(" GB"))
-    for power, unit in ((30, "MB"), (20, "KB"), (10, "B")):
-        value = size if unit == "B" else size / F.lit(2.0 ** (power - 10))
-        text = F.concat(size.cast("string") if unit == "B" else F.format_number(value, 2), F.lit(f" {unit}"))
-        out = F.when(size < 2**power, text).otherwise(out)
+    """With two decimals in bytes, KB, MB, GB or TB."""
+    units = ("bytes", "KB", "MB", "GB", "TB")
+    out = F.format_string("%.2f TB", size / F.lit(2.0**40))
+    for k in range(3, -1, -1):
+        out = F.when(size < 2.0 ** (10 * (k + 1)), F.format_string(f"%.2f {units[k]}", size / F.lit(2.0 ** (10 * k)))).otherwise(out)
+    return out
+
+
+def eta(seconds: Column) -> Column:
+    """Days and hours, hours and minutes, or minutes and seconds; unknown while null, NaN or infinite."""
+    part = lambda x: F.floor(x).cast("string")
+    two = lambda big, small, u, v: F.concat(F.lit("ETA: "), part(big), F.lit(f"{u} "), part(small), F.lit(v))
+    known = (
+        F.when(seconds < 1, "IN SYNC")
+        .when(seconds < 3600, two(seconds / 60, seconds % 60, "m", "s"))
+        .when(seconds < 86400, two(seconds / 3600, seconds % 3600 / 60, "h", "m"))
+        .otherwise(two(seconds / 86400, seconds % 86400 / 3600, "d", "h"))
+    )
+    unknown = seconds.isNull() | F.isnan(seconds) | (F.abs(seconds) == float("inf"))
+    return F.when(unknown, "ETA: calculating...").otherwise(known)
+
+
+def parameter_filter(event: Column, params: dict[str, Sequence[Any]]) -> Column:
+    """Whether an event kept as JSON has the given values: any case, values of a parameter ORed, parameters ANDed."""
+    out = F.lit(True)
+    for name, values in params.items():
+        out = out & F.lower(F.get_json_object(event, f"$.{name}")).isin([str(v).lower() for v in values])
     return out
 
 

@@ -47,6 +47,15 @@ FIELD_COLUMNS = {
     "owner": lambda: F.get_json_object("parameter", "$.value.owner_address"),
     "contract": lambda: F.get_json_object("parameter", "$.value.contract_address"),
     "asset": lambda: F.get_json_object("parameter", "$.value.asset_name"),
+    "recipient": lambda: F.get_json_object("parameter", "$.value.to_address"),
+    "inputSighash": lambda: F.left(F.lower(F.get_json_object("parameter", "$.value.data")), F.lit(8)),
+    "logAddress": lambda: F.lower(F.coalesce(F.get_json_object("args", "$.log.address"), F.get_json_object("args", "$.address"))),
+    **{f"logTopic{i}": (lambda i: lambda: F.lower(F.coalesce(F.get_json_object("args", f"$.log.topics[{i}]"), F.get_json_object("args", f"$.topics[{i}]"))))(i) for i in range(4)},
+    "transactTo": lambda: F.lower(F.get_json_object("args", "$.transaction.value.action.value")),
+    "transactSighash": lambda: F.left(F.lower(F.get_json_object("args", "$.transaction.value.input")), F.lit(10)),
+    "contractAddress": lambda: F.get_json_object("args", "$.contract"),
+    "messageTarget": lambda: F.get_json_object("args", "$.destination"),
+    "messageSource": lambda: F.get_json_object("args", "$.message.source"),
     "caller": lambda: F.col("callerAddress"),
     "transferTo": lambda: F.col("transferToAddress"),
 }

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import previous
+
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each key, the first in the given order, by aggregation (no sort of whole groups)."""
@@ -91,12 +93,10 @@ def head_delays(blocks: DataFrame, heads: DataFrame, keep: int = 512) -> DataFra
 
 def contiguous_prefix(entries: DataFrame, start: int, keys: Sequence[str] = ("query_hash",)) -> DataFrame:
     """Cache entries (block_from, block_to) that follow each other without a gap from the entry at exactly `start`."""
-    order = Window.partitionBy(*keys).orderBy("block_from")
-    here = entries.where(F.col("block_from") >= start)
-    expected = F.coalesce(F.lag("block_to").over(order) + 1, F.lit(start))
-    flagged = here.withColumn("_follows", (F.col("block_from") == expected).cast("int"))
-    unbroken = F.min("_follows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return flagged.withColumn("_all", unbroken).where("_all = 1").drop("_follows", "_all")
+    here = previous(entries.where(F.col("block_from") >= start), keys, "block_from", "block_to", "_before")
+    flagged = here.withColumn("_follows", F.col("block_from") == F.coalesce(F.col("_before") + 1, F.lit(start)))
+    broken = flagged.where(~F.col("_follows")).groupBy(*keys).agg(F.min("block_from").alias("_broken"))
+    return flagged.join(broken, list(keys), "left").where("_broken is null or block_from < _broken").drop("_follows", "_before", "_broken")
 
 
 def fork_ancestor(chain: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -96,23 +96,98 @@ def running_max(rows: DataFrame, order: str, value: str, out: str, span: int = 1
     return cut.join(tops, "_part").withColumn(out, F.greatest(inside, F.col("_before"))).drop("_part", "_before")
 
 
+def previous(rows: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = 100_000) -> DataFrame:
+    """`value` of the row before, by key along an integer order. Rows meet in stretches of `span` positions only."""
+    cut = rows.withColumn("_part", F.floor(F.col(order) / span))
+    lasts = cut.groupBy(*keys, "_part").agg(F.max_by(value, order).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part"))
+    inside = F.lag(value).over(Window.partitionBy(*keys, "_part").orderBy(order))
+    joined = cut.join(lasts.select(*keys, "_part", before.alias("_last_before")), [*keys, "_part"])
+    return joined.withColumn(out, F.coalesce(inside, F.col("_last_before"))).drop("_part", "_last_before")
+
+
 def coverage_windows(checkpoints: DataFrame, keys: Sequence[str], seed: int, upto: str = "to_block") -> DataFrame:
     """The window that each published file accounts for: from the block after the one before it, the first from `seed`."""
-    previous = F.lag(upto).over(Window.partitionBy(*keys).orderBy(upto))
-    return checkpoints.withColumn("from_block", F.coalesce(previous + 1, F.lit(seed)))
+    return previous(checkpoints, keys, upto, upto, "_previous").withColumn("from_block", F.coalesce(F.col("_previous") + 1, F.lit(seed))).drop("_previous")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: str, out: str, span: int = 100_000) -> DataFrame:
+    """Rows numbered from 0 by key along an integer order; rows meet in stretches of `span` positions only."""
+    cut = rows.withColumn("_part", F.floor(F.col(order) / span))
+    sizes = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1
+    joined = cut.join(sizes.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before")), [*keys, "_part"])
+    return joined.withColumn(out, inside + F.col("_before")).drop("_part", "_before")
+
 
+def throughput(samples: DataFrame, keys: Sequence[str], order: str = "ts", blocks: str = "block_number", size: str = "bytes", rows: int = 100, stretch: int = 10_000) -> DataFrame:
+    """Blocks and bytes a second over the last `rows` samples of each key; 0 where no time has passed.
 
-def throughput(samples: DataFrame, keys: Sequence[str], order: str = "ts", blocks: str = "block_number", size: str = "bytes", rows: int = 100) -> DataFrame:
-    """Blocks and bytes a second over the last `rows` samples of each key; 0 where no time has passed."""
-    recent = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - rows, Window.currentRow)
+    The samples of a key are cut into stretches of so many rows, each with the rows - 1 samples before it.
+    """
+    placed = numbered(samples, keys, order, "_n").withColumn("_own", F.floor(F.col("_n") / stretch))
+    late = F.col("_n") % stretch > stretch - rows
+    parts = placed.withColumn("_stretch", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    recent = Window.partitionBy(*keys, "_stretch").orderBy("_n").rowsBetween(1 - rows, Window.currentRow)
     seconds = F.col(order) - F.min(order).over(recent)
     rate = lambda x: F.when(seconds > 0, x / seconds).otherwise(F.lit(0.0))
-    return samples.withColumns({"blocks_per_s": rate(F.col(blocks) - F.first(blocks).over(recent)), "bytes_per_s": rate(F.sum(size).over(recent))})
+    rated = parts.withColumns({"blocks_per_s": rate(F.col(blocks) - F.first(blocks).over(recent)), "bytes_per_s": rate(F.sum(size).over(recent))})
+    return rated.where("_own = _stretch").drop("_n", "_own", "_stretch")
+
+
+def progress(states: DataFrame, blocks_per_s: Column, current: str = "current", initial: str = "initial", last: str = "last") -> DataFrame:
+    """States with `percent` done and `eta_seconds`; 0 where nothing is to do or nothing moves."""
+    at_least = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
+    percent = F.when(at_least(last, initial) > 0, at_least(current, initial) / at_least(last, initial) * 100).otherwise(F.lit(0.0))
+    return states.withColumns({"percent": percent, "eta_seconds": F.when(blocks_per_s > 0, at_least(last, current) / blocks_per_s).otherwise(F.lit(0.0))})
+
+
+def merged_counts(batches: DataFrame, counts: str = "requests", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, status, n): the sums of a map column from statuses to counts over all batches."""
+    return batches.select(*keys, F.explode(counts).alias("status", "_n")).groupBy(*keys, "status").agg(F.sum("_n").alias("n"))
+
 
+def page(rows: DataFrame, order: Sequence[str], size: int, after: Sequence | None = None, descending: bool = False) -> DataFrame:
+    """The next `size` rows in order, after a row's values of the ordering columns: what comes before is never sorted."""
+    here = rows
+    if after is not None:
+        place, last = F.struct(*order), F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)])
+        here = rows.where(place < last if descending else place > last)
+    return here.orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order]).limit(size)
 
-def progress_percent(current: Column, initial: Column, last: Column) -> Column:
-    """0 where there is nothing to do."""
-    return F.when(last > initial, (current - initial) / (last - initial) * 100).otherwise(F.lit(0.0))
+
+def outputs(rows: DataFrame, takes: dict[str, Column]) -> DataFrame:
+    """Several outputs of one scan: a row for each output (column `output`) that takes it."""
+    taken = F.array_compact(F.array(*[F.when(where, F.lit(name)) for name, where in takes.items()]))
+    return rows.withColumn("output", F.explode(taken))
+
+
+def rollback_chains(blocks: DataFrame, keys: Sequence[str], head: Column, number: str = "block_number") -> DataFrame:
+    """Of each key the sorted numbers of the blocks above its head (`chain`), as far as there are any."""
+    return blocks.where(F.col(number) > head).groupBy(*keys).agg(F.sort_array(F.collect_set(number)).alias("chain"))
+
+
+def head(headers: DataFrame, number: str = "number", hash_: str = "hash", finalized: int | None = None) -> DataFrame:
+    """The highest block (number, hash), of those up to the finalized one if that is given; no row for an empty table."""
+    inside = headers if finalized is None else headers.where(F.col(number) <= finalized)
+    return inside.agg(F.max(F.struct(F.col(number).alias("number"), F.col(hash_).alias("hash"))).alias("h")).where("h is not null").select("h.*")
+
+
+def block_at(headers: DataFrame, seconds: Column | int, number: str = "number", time: str = "timestamp") -> DataFrame:
+    """The first block at or after a time; null if there is none."""
+    at = seconds if isinstance(seconds, Column) else F.lit(seconds)
+    return headers.where(F.col(time) >= at).agg(F.min(number).alias("number"))
+
+
+def rows_to_remove(rows: DataFrame, where: Column) -> DataFrame:
+    return rows.where(where).agg(F.count("*").alias("n"))
+
+
+def highest_head(heads: DataFrame, keys: Sequence[str], number: str = "number", arrival: str = "arrival") -> DataFrame:
+    """The highest head of each key; of equal numbers the one that arrived first."""
+    rest = [c for c in heads.columns if c not in keys]
+    return heads.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(number, (-F.col(arrival)).alias("a"))).alias("_row")).select(*keys, "_row.*")
 
 
 def status_counts(requests: DataFrame, keys: Sequence[str], status: str = "status") -> DataFrame:
@@ -122,6 +197,13 @@ def status_counts(requests: DataFrame, keys: Sequence[str], status: str = "statu
     return requests.groupBy(*keys).agg(count(ok).alias("succeeded"), count(limited).alias("limited"), count(~ok & ~limited).alias("failed"))
 
 
+def status_shares(requests: DataFrame, keys: Sequence[str], status: str = "status") -> DataFrame:
+    """status_counts with their sum (`total`) and percentages of it."""
+    counted = status_counts(requests, keys, status).withColumn("total", F.col("succeeded") + F.col("limited") + F.col("failed"))
+    share = lambda c: F.when(F.col("total") > 0, F.col(c) / F.col("total") * 100).otherwise(F.lit(0.0))
+    return counted.withColumns({f"{c}_percent": share(c) for c in ("succeeded", "limited", "failed")})
+
+
 def histogram(rows: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
     """Cumulative counts: (le, n) rows at most le, for each bound and for all (le null). One pass."""
     parts = [F.struct(F.lit(float(b)).alias("le"), F.sum((F.col(value) <= b).cast("long")).alias("n")) for b in bounds]

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.encodings import base58_hex
 from ledgerloom.functions.scalars import query_hash
 from ledgerloom.operators.filters import either, in_range, match
 from ledgerloom.sources import schemas
 
 from .ranges import Range, bound, merge
 
-#: Request kinds by network and the entity that they select; and what a match can bring along (fixed values).
+#: Request kinds by network and the entity that they select (fixed values).
 REQUESTS = {
     "evm": {"logs": "logs", "transactions": "transactions", "traces": "traces", "stateDiffs": "stateDiffs"},
     "solana": {"transactions": "transactions", "instructions": "instructions", "logs": "logs", "balances": "balances", "tokenBalances": "tokenBalances", "rewards": "rewards"},
@@ -29,34 +31,96 @@ REQUESTS = {
         "internalTransactions": "internalTransactions",
     },
     "hyperliquidFills": {"fills": "fills"},
-    "substrate": {"events": "events", "calls": "calls"},
-}
-INCLUSIONS = {
-    "transaction": "transactions",
-    "transactionLogs": "logs",
-    "transactionTraces": "traces",
-    "transactionStateDiffs": "stateDiffs",
-    "transactionInstructions": "instructions",
-    "transactionBalances": "balances",
-    "transactionTokenBalances": "tokenBalances",
-    "transactionInputs": "inputs",
-    "transactionOutputs": "outputs",
-    "logs": "logs",
-    "traces": "traces",
-    "stateDiffs": "stateDiffs",
-    "instructions": "instructions",
-    "inputs": "inputs",
-    "outputs": "outputs",
-    "internalTransactions": "internalTransactions",
+    "substrate": {
+        "events": "events",
+        "calls": "calls",
+        "evmLogs": "events",
+        "ethereumLogs": "events",
+        "ethereumTransactions": "calls",
+        "contractsEvents": "events",
+        "gearMessagesQueued": "events",
+        "gearUserMessagesSent": "events",
+    },
 }
-#: Transaction types that the narrower request kinds imply.
+#: What the narrower request kinds imply (fixed values).
 IMPLIED = {
     "transferTransactions": {"type": ["TransferContract"]},
     "transferAssetTransactions": {"type": ["TransferAssetContract"]},
     "triggerSmartContractTransactions": {"type": ["TriggerSmartContract"]},
+    "evmLogs": {"name": ["EVM.Log"]},
+    "ethereumLogs": {"name": ["EVM.Log"]},
+    "ethereumTransactions": {"name": ["Ethereum.transact"]},
+    "contractsEvents": {"name": ["Contracts.ContractEmitted"]},
+    "gearMessagesQueued": {"name": ["Gear.MessageQueued"]},
+    "gearUserMessagesSent": {"name": ["Gear.UserMessageSent"]},
+}
+#: Request fields that mean something else in these kinds: the name of the derived column.
+RENAMED = {
+    "transferTransactions": {"to": "recipient"},
+    "transferAssetTransactions": {"to": "recipient"},
+    "triggerSmartContractTransactions": {"sighash": "inputSighash"},
+    "evmLogs": {"address": "logAddress"},
+    "ethereumLogs": {"address": "logAddress", **{f"topic{i}": f"logTopic{i}" for i in range(4)}},
+    "ethereumTransactions": {"to": "transactTo", "sighash": "transactSighash"},
+    "contractsEvents": {"address": "contractAddress"},
+    "gearMessagesQueued": {"programId": "messageTarget"},
+    "gearUserMessagesSent": {"programId": "messageSource"},
+}
+
+
+@dataclass(frozen=True)
+class Relation:
+    """Items of `target` that belong to a match: equal columns (of the match: of the target), and on request a path of
+    positions that is the same, a `prefix` of the match's, or an `extension` of it (itself left out)."""
+
+    target: str
+    keys: tuple[tuple[str, str], ...] = (("transactionIndex", "transactionIndex"),)
+    path: tuple[str, str] | None = None
+    mode: str = "same"
+
+
+_IN_EXTRINSIC = (("extrinsicIndex", "extrinsicIndex"),)
+#: What a match of an entity can bring along.
+RELATIONS = {
+    **{
+        flag: Relation(target)
+        for flag, target in {
+            "transaction": "transactions",
+            "transactionLogs": "logs",
+            "transactionTraces": "traces",
+            "transactionStateDiffs": "stateDiffs",
+            "transactionInstructions": "instructions",
+            "transactionBalances": "balances",
+            "transactionTokenBalances": "tokenBalances",
+            "transactionInputs": "inputs",
+            "transactionOutputs": "outputs",
+            "logs": "logs",
+            "traces": "traces",
+            "stateDiffs": "stateDiffs",
+            "instructions": "instructions",
+            "inputs": "inputs",
+            "outputs": "outputs",
+            "internalTransactions": "internalTransactions",
+        }.items()
+    },
+    "parents": Relation("traces", path=("traceAddress", "traceAddress"), mode="prefix"),
+    "subtraces": Relation("traces", path=("traceAddress", "traceAddress"), mode="extension"),
+    "innerInstructions": Relation("instructions", path=("instructionAddress", "instructionAddress"), mode="extension"),
+    "instruction": Relation("instructions", path=("instructionAddress", "instructionAddress")),
+    "extrinsic": Relation("extrinsics", (("extrinsicIndex", "index"),)),
+    "call": Relation("calls", _IN_EXTRINSIC, ("callAddress", "address")),
+    "events": Relation("events", _IN_EXTRINSIC, ("address", "callAddress")),
+    "calls.stack": Relation("calls", _IN_EXTRINSIC, ("address", "address"), "prefix"),
+    "events.stack": Relation("calls", _IN_EXTRINSIC, ("callAddress", "address"), "prefix"),
 }
-#: Inclusions that follow a path of positions within the transaction: up to the root, or down.
-PATHS = {"parents": "traceAddress", "subtraces": "traceAddress", "innerInstructions": "instructionAddress"}
+#: Names in a field selection and the entities that they select from.
+SELECTED = {
+    "block": "blocks", "transaction": "transactions", "log": "logs", "trace": "traces", "stateDiff": "stateDiffs", "instruction": "instructions", "balance": "balances",
+    "tokenBalance": "tokenBalances", "reward": "rewards", "input": "inputs", "output": "outputs", "internalTransaction": "internalTransactions", "fill": "fills",
+    "extrinsic": "extrinsics", "call": "calls", "event": "events",
+}
+#: Columns that an item always has: where it is.
+PLACE = ("block_number", "block_hash", "block_time", "ordinal", "transactionIndex", "extrinsicIndex", "number", "hash", "timestamp")
 
 
 @dataclass(frozen=True)
@@ -83,7 +147,7 @@ class Query:
     def add_range(self, over: Range) -> Query:
         return replace(self, ranges=(*self.ranges, over))
 
-    def add_request(self, kind: str, over: Range = Range(0), include: Mapping[str, bool] | None = None, **fields: Any) -> Query:
+    def add_request(self, kind: str, /, over: Range = Range(0), include: Mapping[str, bool] | None = None, **fields: Any) -> Query:
         if kind not in REQUESTS[self.network]:
             raise ValueError(f"{self.network} has no request {kind}")
         return replace(self, requests=(*self.requests, Request(kind, over, fields, frozenset(k for k, v in (include or {}).items() if v))))
@@ -110,21 +174,22 @@ class Query:
     def run(self, blocks: DataFrame, limit: Range = Range(0)) -> dict[str, DataFrame]:
         """The selected items by entity, `blocks` among them: each item once, whatever number of requests it fits.
 
-        Blocks are those with a selected item, and all in the ranges of `include_all_blocks`.
+        Blocks are those with a selected item, and all in the ranges of `include_all_blocks`. Of an entity that the field
+        selection names, only the selected fields and an item's place are returned.
         """
         number = F.col("header.number")
-        inside = blocks.where(in_range(number, limit))
+        asked = [r.range for r in self.requests] + [*self.ranges, *self.all_blocks]
+        inside = blocks.where(in_range(number, limit) & (either([in_range(number, r) for r in asked]) if asked else F.lit(True)))
         picked: dict[str, list[DataFrame]] = {}
-        for kind in {r.kind for r in self.requests}:
+        for kind in dict.fromkeys(r.kind for r in self.requests):
             own = [r for r in self.requests if r.kind == kind]
             entity = REQUESTS[self.network][kind]
-            rows = schemas.items(inside, entity)
-            wanted = lambda requests: [(r.range, {**IMPLIED.get(kind, {}), **r.fields}) for r in requests]  # noqa: B023, E731
-            picked.setdefault(entity, []).append(match(rows, wanted(own)))
-            for flag in set().union(*(r.include for r in own)):
-                found = match(rows, wanted([r for r in own if flag in r.include]))
-                target = entity if flag in PATHS else INCLUSIONS[flag]
-                picked.setdefault(target, []).append(self._included(inside, found, flag, entity, target))
+            rows = self._items(inside, entity, own)
+            picked.setdefault(entity, []).append(match(rows, [self._wanted(kind, r) for r in own]).drop("data_hex"))
+            for flag in dict.fromkeys(f for r in own for f in sorted(r.include)):
+                found = match(rows, [self._wanted(kind, r) for r in own if flag in r.include])
+                relation = RELATIONS.get(f"{entity}.{flag}") or RELATIONS[flag]
+                picked.setdefault(relation.target, []).append(self._related(inside, found, relation))
         out = {}
         for entity, parts in picked.items():
             keys = parts[0]
@@ -145,16 +210,34 @@ class Query:
             out["blocks"] = marked.where(F.coalesce("_has", F.lit(False)) | wanted_blocks).drop("_has")
         else:
             out["blocks"] = headers.where(wanted_blocks)
+        for name, chosen in self.fields.items():
+            if isinstance(chosen, Mapping) and SELECTED.get(name) in out:
+                rows = out[SELECTED[name]]
+                out[SELECTED[name]] = rows.select(*[c for c in rows.columns if c in PLACE or chosen.get(c)])
         return out
 
     @staticmethod
-    def _included(blocks: DataFrame, found: DataFrame, flag: str, entity: str, target: str) -> DataFrame:
-        keys = ["block_number", "transactionIndex"]
-        others = schemas.items(blocks, target)
-        if flag not in PATHS:
-            return others.join(found.select(*keys).distinct(), keys, "left_semi")
-        path = PATHS[flag]
-        near = found.select(*keys, F.col(path).alias("_path")).distinct()
-        inner, outer = (F.col(path), F.col("_path")) if flag != "parents" else (F.col("_path"), F.col(path))
-        below = (F.size(inner) > F.size(outer)) & (F.slice(inner, F.lit(1), F.size(outer)) == outer)
-        return others.alias("o").join(near.alias("n"), (F.col("o.block_number") == F.col("n.block_number")) & (F.col("o.transactionIndex") == F.col("n.transactionIndex")) & below, "left_semi")
+    def _items(blocks: DataFrame, entity: str, requests: Sequence[Request]) -> DataFrame:
+        """The entity's items; with their data in hex where a request asks for its first bytes."""
+        rows = schemas.items(blocks, entity)
+        by_data = any(f in r.fields for r in requests for f in ("d1", "d2", "d4", "d8"))
+        return rows.withColumn("data_hex", base58_hex(F.col("data"))) if by_data else rows
+
+    @staticmethod
+    def _wanted(kind: str, request: Request) -> tuple[Range, dict[str, Any]]:
+        renamed = RENAMED.get(kind, {})
+        return request.range, {**IMPLIED.get(kind, {}), **{renamed.get(k, k): v for k, v in request.fields.items()}}
+
+    @staticmethod
+    def _related(blocks: DataFrame, found: DataFrame, relation: Relation) -> DataFrame:
+        others = schemas.items(blocks, relation.target)
+        keys = [("block_number", "block_number"), *relation.keys]
+        path = [F.col(relation.path[0]).alias("_path")] if relation.path else []
+        near = found.select(*[F.col(a).alias(f"_k{i}") for i, (a, _) in enumerate(keys)], *path).distinct()
+        same = reduce(lambda x, y: x & y, [F.col(f"o.{b}") == F.col(f"n._k{i}") for i, (_, b) in enumerate(keys)])
+        if relation.path:
+            theirs, ours = F.col(f"o.{relation.path[1]}"), F.col("n._path")
+            inner, outer = (theirs, ours) if relation.mode == "extension" else (ours, theirs)
+            below = (F.size(inner) > F.size(outer)) & (F.slice(inner, F.lit(1), F.size(outer)) == outer)
+            same = same & (theirs == ours if relation.mode == "same" else below)
+        return others.alias("o").join(near.alias("n"), same, "left_semi")

@@ -154,9 +154,9 @@ def partition_finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("final").agg(F.count("*").alias("n"), F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
 
 
-@query("""WITH {logs} SELECT topic0, count(*) AS n FROM logs WHERE block_number < 50 GROUP BY topic0 HAVING count(*) > 1""")
+@query("""WITH {logs} SELECT topic0, count(*) AS n FROM logs GROUP BY topic0 HAVING count(*) > 1""")
 def duplicate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.duplicates(logs(spark, sf_dir).where("block_number < 50").select(F.get("topics", 0).alias("topic0")), ["topic0"])
+    return tables.duplicates(logs(spark, sf_dir).select(F.get("topics", 0).alias("topic0")), ["topic0"])
 
 
 @query("""WITH {logs} SELECT topic0, topic1, count(*) AS n FROM logs GROUP BY topic0, topic1 HAVING count(*) > 1""")
@@ -172,8 +172,8 @@ def duplicate_topic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two outputs of one scan: each row is tagged with all outputs that take it."""
     rows = logs(spark, sf_dir)
-    taken = F.array_compact(F.array(F.when(F.get("topics", 0) == topic("click"), "clicks"), F.when(F.col("data") > f"0x{9000:064x}", "large")))
-    return rows.select(F.explode(taken).alias("output"), "block_number", "log_index")
+    takes = {"clicks": F.get("topics", 0) == topic("click"), "large": F.col("data") > f"0x{9000:064x}"}
+    return tables.outputs(rows, takes).select("output", "block_number", "log_index")
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
@@ -309,7 +309,7 @@ def collapsing_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH {signed} SELECT count(*) AS n FROM signed WHERE block_number > 600""")
 def count_before_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signed(spark, sf_dir).where("block_number > 600").agg(F.count("*").alias("n"))
+    return tables.rows_to_remove(signed(spark, sf_dir), F.col("block_number") > 600)
 
 
 def undo_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,23 +368,8 @@ SELECT batch, array_to_string(list(block_number ORDER BY block_number) FILTER (W
 HAVING count(*) FILTER (WHERE block_number > batch * 20 + 12) > 0""")
 def rollback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = logs(spark, sf_dir).select(F.expr("block_number div 20").alias("batch"), "block_number").distinct()
-    above = blocks.where(F.col("block_number") > F.col("batch") * 20 + 12)
-    return above.groupBy("batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list("block_number")), lambda x: x.cast("string")), ",").alias("chain"))
-
-
-def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with the batch they came in and the batch that releases them: the first whose floor reaches their block."""
-    return logs(spark, sf_dir).select("block_number", "log_index", F.expr("block_number div 10").alias("batch"), F.ceil((F.col("block_number") + 6) / 10).alias("release"))
-
-
-@query("""WITH {logs} SELECT block_number, log_index, CAST(ceil((block_number + 6) / 10) AS BIGINT) AS release FROM logs WHERE ceil((block_number + 6) / 10) <= 80""")
-def holdback_released(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _arrivals(spark, sf_dir).where("release <= 80").select("block_number", "log_index", "release")
-
-
-@query("""WITH {logs} SELECT block_number, log_index FROM logs WHERE block_number // 10 <= 80 AND ceil((block_number + 6) / 10) > 80""")
-def holdback_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _arrivals(spark, sf_dir).where("batch <= 80 and release > 80").select("block_number", "log_index")
+    chains = tables.rollback_chains(blocks, ["batch"], F.col("batch") * 20 + 12, "block_number")
+    return chains.select("batch", F.array_join(F.transform("chain", lambda x: x.cast("string")), ",").alias("chain"))
 
 
 @query("""WITH c AS (SELECT o_custkey % 4 AS t, o_orderkey AS to_block FROM orders)
@@ -421,12 +406,13 @@ def progress_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("p", "ts", F.round("blocks_per_s", 6).alias("blocks_per_s"), F.round("bytes_per_s", 6).alias("bytes_per_s"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, o_orderkey * 7 % 900 AS low, o_orderkey * 7 % 900 + 20 + o_custkey % 30 AS high FROM orders WHERE o_orderkey <= 40),
+@query("""WITH r AS (SELECT o_orderkey AS id, o_orderkey * 5 AS low, o_orderkey * 5 + 20 + o_custkey % 30 AS high FROM orders),
 c AS (SELECT low AS cut FROM r UNION SELECT high + 1 FROM r), p AS (SELECT cut AS lo, lead(cut) OVER (ORDER BY cut) - 1 AS hi FROM c)
 SELECT lo AS low, hi AS high, array_to_string(list_sort(list(id)), ',') AS ids FROM p JOIN r ON r.low <= lo AND r.high >= hi GROUP BY lo, hi""")
 def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping requests of all orders as disjoint segments with the requests that hold there."""
     key = F.col("o_orderkey")
-    requests = read(spark, sf_dir, "orders").where("o_orderkey <= 40").select(key.alias("id"), (key * 7 % 900).alias("low"), (key * 7 % 900 + 20 + F.col("o_custkey") % 30).alias("high"))
+    requests = read(spark, sf_dir, "orders").select(key.alias("id"), (key * 5).alias("low"), (key * 5 + 20 + F.col("o_custkey") % 30).alias("high"))
     return tables.segments(requests).select("low", "high", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -468,14 +454,14 @@ def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT min(number) AS number FROM h, w WHERE ts >= middle""")
 def timestamp_to_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = logs(spark, sf_dir).groupBy(F.col("block_number").alias("number")).agg(F.min("ts_seconds").alias("ts"))
-    middle = headers.agg(F.expr("min(ts) + (max(ts) - min(ts)) div 2").alias("at"))
-    return headers.join(F.broadcast(middle), F.col("ts") >= F.col("at")).agg(F.min("number").alias("number"))
+    middle = headers.agg(F.expr("min(ts) + (max(ts) - min(ts)) div 2")).first()[0]
+    return tables.block_at(headers, middle or 0, time="ts")
 
 
 @query("""WITH {logs} SELECT max(block_number) AS number, sha256(CAST(max(block_number) AS VARCHAR)) AS hash FROM logs""")
 def head_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = F.sha2(F.col("block_number").cast("string").cast("binary"), 256)
-    return logs(spark, sf_dir).agg(F.max(F.struct(F.col("block_number").alias("number"), hashed.alias("hash"))).alias("h")).select("h.*")
+    return tables.head(logs(spark, sf_dir).select(F.col("block_number").alias("number"), hashed.alias("hash")))
 
 
 @query("""WITH {logs} SELECT DISTINCT event_type, substr(sha256(event_type), 1, 4) AS suffix, concat('41', right(topic1, 40)) AS tron FROM logs WHERE k < 3""")
@@ -484,25 +470,34 @@ def scalar_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_type", scalars.signature_suffix(F.col("event_type")).alias("suffix"), scalars.topic_address(F.get("topics", 1), "41").alias("tron")).distinct()
 
 
-@query("""SELECT p_type AS kind, CASE p_size % 4 WHEN 0 THEN 'p2pkh' WHEN 1 THEN 'p2sh' WHEN 2 THEN 'op_return' ELSE 'other' END AS script, count(*) AS n FROM part GROUP BY ALL""")
+@query("""SELECT p_type AS kind, CASE p_size % 4 WHEN 0 THEN 'P2PKH' WHEN 1 THEN 'P2SH' WHEN 2 THEN 'OP_RETURN' ELSE 'unknown' END AS script, count(*) AS n FROM part GROUP BY ALL""")
 def script_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 4
     raw = F.when(k == 0, "pubkeyhash").when(k == 1, "scripthash").when(k == 2, "nulldata").otherwise("nonstandard")
     return read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("kind"), scalars.script_kind(raw).alias("script")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN '0x00ff' END AS text FROM part""")
+@query("""WITH a AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN concat('OP_RETURN ', lower(hex(p_name)), ' ', lower(hex(p_name))) WHEN 1 THEN 'op_return  00ff' WHEN 2 THEN 'OP_RETURN 414' ELSE 'OP_DUP OP_HASH160' END AS asm FROM part),
+h AS (SELECT *, regexp_extract(asm, '(?i)^OP_RETURN\\s+([0-9a-f]+)', 1) AS x FROM a), b AS (SELECT *, x[1:len(x) - len(x) % 2] AS y FROM h)
+SELECT p_partkey, CASE WHEN x = '' THEN asm WHEN regexp_full_match(y, '([2-6][0-9a-f]|7[0-9a-e])*') THEN concat('"', CAST(unhex(y) AS VARCHAR), '"') ELSE concat('0x', x) END AS text FROM b""")
 def script_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_size") % 3
-    asm = F.when(k == 0, F.concat(F.lit("OP_RETURN "), F.lower(F.hex("p_name")))).when(k == 1, "OP_RETURN 00FF").otherwise("OP_DUP OP_HASH160")
+    k, name = F.col("p_size") % 4, F.lower(F.hex("p_name"))
+    asm = F.when(k == 0, F.concat(F.lit("OP_RETURN "), name, F.lit(" "), name)).when(k == 1, "op_return  00ff").when(k == 2, "OP_RETURN 414").otherwise("OP_DUP OP_HASH160")
     return read(spark, sf_dir, "part").select("p_partkey", scalars.op_return_text(asm).alias("text"))
 
 
-@query("""WITH {logs} SELECT block_number, log_index, ts_seconds AS timestamp, address AS token, topic1 AS "from", cents AS amount FROM logs
+@query("""WITH {logs} SELECT block_number, log_index, ts_seconds AS timestamp, address AS token, concat('0x', right(topic1, 40)) AS "from", address AS "to", CAST(CAST(cents AS HUGEINT) * 18446744073709551616 AS VARCHAR) AS amount FROM logs
 WHERE event_type = 'purchase' AND k BETWEEN 1 AND 50""")
 def token_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: transfers filtered by their sender, decoded and projected."""
-    transfer = abi.event("Transfer(uint32 indexed from, uint120 value)")
-    wanted = {"topic0": topic("purchase"), "topic1": [f"0x{k:064x}" for k in range(1, 51)]}
-    rows = filters.match(logs(spark, sf_dir), [(Range(0), wanted)]).withColumn("e", abi.event_column(transfer))
-    return rows.select("block_number", "log_index", F.col("ts_seconds").alias("timestamp"), F.col("address").alias("token"), F.get("topics", 1).alias("from"), F.col("e.value").cast("bigint").alias("amount"))
+    """The flagship: transfers of a fungible token filtered by their sender, decoded and projected. Purchases play transfers."""
+    transfer = abi.ERC20["Transfer"]
+    padded = F.concat(F.lit("0x"), F.lpad(F.right("address", F.lit(40)), 64, "0"))
+    kind = F.when(F.get("topics", 0) == topic("purchase"), transfer.topic0).otherwise(F.get("topics", 0))
+    data = F.concat(F.lit("0x"), F.right("data", F.lit(48)), F.repeat(F.lit("0"), F.lit(16)))
+    rows = logs(spark, sf_dir).select("block_number", "log_index", "ts_seconds", "address", F.array(kind, F.get("topics", 1), padded).alias("topics"), data.alias("data"))
+    wanted = {"topic0": transfer.topic0, "topic1": ["0x" + abi.encode_word(transfer.params[0], f"0x{k:040x}") for k in range(1, 51)]}
+    found = filters.match(rows, [(Range(0), wanted)]).withColumn("e", abi.event_column(transfer))
+    return found.select("block_number", "log_index", F.col("ts_seconds").alias("timestamp"), F.col("address").alias("token"), "e.from", "e.to", F.col("e.value").alias("amount"))
+
+
+from ledgerloom import chain_queries  # noqa: E402, F401  registers its queries

@@ -56,6 +56,10 @@ class Manifest:
     def exists(self, relative: str) -> bool:
         return self._fs.exists(self._path(f"{self.path}/{relative}"))
 
+    def size(self, relative: str) -> int:
+        """Bytes below a folder."""
+        return self._fs.getContentSummary(self._path(f"{self.path}/{relative}")).getLength()
+
     def folders(self, relative: str) -> list[str]:
         folder = self._path(f"{self.path}/{relative}")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []

@@ -33,9 +33,12 @@ class Record:
 
 @dataclass(frozen=True)
 class PipeState:
+    """applied: the number of the last response that the state holds, for those that are read again after a crash."""
+
     cursor: Cursor | None = None
     finalized: Cursor | None = None
     chain: tuple[Cursor, ...] = ()
+    applied: int = 0
 
     def resume_from(self, start: int = 0) -> int:
         return start if self.cursor is None else self.cursor.number + 1
@@ -47,12 +50,16 @@ class PipeState:
             raise ValueError(f"blocks out of order at {numbers}")
         floor = clamp(self.finalized, finalized)
         chain = tuple(b for b in (*self.chain, *blocks) if floor is not None and b.number > floor.number)
-        return PipeState(blocks[-1] if blocks else self.cursor, floor, chain)
+        return PipeState(blocks[-1] if blocks else self.cursor, floor, chain, self.applied)
 
     def rolled_back(self, ancestor: Cursor) -> PipeState:
         return replace(self, cursor=ancestor, chain=tuple(b for b in self.chain if b.number <= ancestor.number))
 
 
+def after_response(state: PipeState, number: int | None) -> PipeState:
+    return state if number is None else replace(state, applied=max(number, state.applied))
+
+
 def clamp(floor: Cursor | None, incoming: Cursor | None) -> Cursor | None:
     """The higher of both; of equals the one that is known."""
     if incoming is None or (floor is not None and incoming.number <= floor.number):
@@ -94,10 +101,10 @@ def resolve_fork(records: Iterable[Record], canonical: Sequence[Cursor]) -> Curs
 
 
 def ancestor(records: Iterable[Record], canonical: Sequence[Cursor], cursor: Cursor | None) -> Cursor:
-    """resolve_fork with coded errors."""
+    """resolve_fork with coded errors. With a cursor the canonical blocks must reach it (rows above them would survive)."""
     if not canonical:
         raise LoomError("E1002")
-    if cursor is not None and max(b.number for b in canonical) < cursor.number and any(b.number == cursor.number for b in canonical):
+    if cursor is not None and max(b.number for b in canonical) < cursor.number:
         raise LoomError("E1004")
     found = resolve_fork(records, canonical)
     if found is None:

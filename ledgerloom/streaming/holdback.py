@@ -52,4 +52,4 @@ def dump_state(state: PipeState) -> str:
 def load_state(text: str) -> PipeState:
     raw = json.loads(text)
     cursor = lambda x: None if x is None else Cursor(**x)
-    return PipeState(cursor(raw["cursor"]), cursor(raw["finalized"]), tuple(Cursor(**x) for x in raw["chain"]))
+    return PipeState(cursor(raw["cursor"]), cursor(raw["finalized"]), tuple(Cursor(**x) for x in raw["chain"]), raw.get("applied", 0))

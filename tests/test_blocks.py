@@ -71,3 +71,162 @@ def test_merge_hash_and_segments():
 
 def test_every_schema_parses(spark):
     assert {n: len(schemas.schema(n)) for n in schemas.DDL} == {"evm": 5, "solana": 7, "bitcoin": 4, "tron": 4, "hyperliquidFills": 2, "substrate": 4}
+
+
+def header(n=1):
+    return {"number": n, "hash": f"0x{n}", "timestamp": n}
+
+
+def places(df, *columns):
+    return sorted(tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.select(*columns).collect())
+
+
+B58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+def base58(data):
+    n, out = int.from_bytes(data, "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        out = B58[d] + out
+    return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
+
+
+def test_evm_requests(spark, tmp_path):
+    action = {"from": "0xf", "to": "0xt", "sighash": "0x12345678", "author": "0xm", "refundAddress": "0xr"}
+    traces = [{"type": t, "transactionIndex": k, "traceAddress": [k], "action": action} for k, t in enumerate(("create", "call", "suicide", "reward"))]
+    diffs = [{"transactionIndex": k, "address": "0xa", "key": f"k{k}", "kind": "+*-="[k]} for k in range(4)]
+    txs = [{"transactionIndex": k, "from": f"0xf{k}", "to": "0xt", "sighash": f"0x{k}", "type": k % 3, "hash": f"0xh{k}"} for k in range(4)]
+    logs = [{"logIndex": k, "transactionIndex": k % 2, "address": "0xa", "topics": [f"t{j}{k}" for j in range(4)], "data": "0x"} for k in range(4)]
+    one = {"header": header(), "transactions": txs, "logs": logs, "traces": traces, "stateDiffs": diffs}
+    blocks = schemas.read_blocks(spark, write(tmp_path / "b", [one]), "evm")
+    run = lambda kind, /, include=None, **fields: Query("evm").add_request(kind, include=include, **fields).run(blocks)
+    for i in range(4):
+        assert places(run("logs", **{f"topic{i}": [f"t{i}2"]})["logs"], "logIndex") == [(2,)]
+    for field, value, kind in (("createFrom", "0xf", "create"), ("callTo", "0xt", "call"), ("callFrom", "0xf", "call"), ("callSighash", "0x12345678", "call"), ("suicideRefundAddress", "0xr", "suicide"), ("rewardAuthor", "0xm", "reward")):
+        assert places(run("traces", **{field: [value]})["traces"], "type") == [(kind,)]
+    assert places(run("traces", type=["call", "reward"])["traces"], "type") == [("call",), ("reward",)]
+    for field, value in (("from", "0xf1"), ("sighash", "0x1"), ("type", 1)):
+        assert places(run("transactions", **{field: [value]})["transactions"], "transactionIndex") == [(1,)]
+    assert places(run("stateDiffs", kind=["-"], key=["k2"], address=["0xa"])["stateDiffs"], "key") == [("k2",)]
+    included = run("logs", {"transaction": True, "transactionTraces": True, "transactionStateDiffs": True, "transactionLogs": True}, topic0=["t01"])
+    assert [places(included[n], "transactionIndex") for n in ("transactions", "traces", "stateDiffs")] == [[(1,)]] * 3 and places(included["logs"], "logIndex") == [(1,), (3,)]
+    of_tx = run("transactions", {"logs": True, "traces": True, "stateDiffs": True}, sighash=["0x0"])
+    assert [of_tx[n].count() for n in ("logs", "traces", "stateDiffs")] == [2, 1, 1]
+
+
+def test_solana_requests(spark, tmp_path):
+    data = [base58(bytes([1, 2, 3, 4, 5, 6, 7, k])) for k in range(3)]
+    instructions = [{"transactionIndex": k, "instructionAddress": a, "programId": f"P{k}", "accounts": [f"acc{j}{k}" for j in range(10)], "data": data[k], "isCommitted": k != 1} for k, a in enumerate(([0], [0], [1]))]
+    instructions.append({"transactionIndex": 0, "instructionAddress": [0, 1], "programId": "In", "accounts": [], "data": base58(b"\0\0x"), "isCommitted": True})
+    one = {
+        "header": header(),
+        "transactions": [{"transactionIndex": k, "accountKeys": [f"fee{k}", "x"]} for k in range(3)],
+        "instructions": instructions,
+        "logs": [{"transactionIndex": k, "logIndex": k, "instructionAddress": [0], "programId": f"P{k}", "kind": "log", "message": "m"} for k in range(2)],
+        "balances": [{"transactionIndex": k, "account": f"b{k}", "pre": "1", "post": "2"} for k in range(3)],
+        "tokenBalances": [{"transactionIndex": k, "account": f"t{k}", "preMint": f"m{k}", "postMint": "M", "preOwner": f"o{k}", "postOwner": "O", "preProgramId": f"p{k}", "postProgramId": "P"} for k in range(3)],
+        "rewards": [{"pubkey": f"r{k}", "lamports": "1"} for k in range(2)],
+    }
+    blocks = schemas.read_blocks(spark, write(tmp_path / "b", [one]), "solana")
+    run = lambda kind, /, include=None, **fields: Query("solana").add_request(kind, include=include, **fields).run(blocks)
+    tx = lambda kind, /, **fields: places(run(kind, **fields)[kind], "transactionIndex")
+    assert tx("transactions", feePayer=["fee2"]) == [(2,)]
+    assert tx("instructions", d8=["0x0102030405060701"]) == [(1,)] and tx("instructions", d1=["0x01"]) == tx("instructions", d4=["0x01020304"]) == [(0,), (1,), (2,)]
+    assert tx("instructions", d2=["0x0000"]) == [(0,)] and tx("instructions", isCommitted=False) == [(1,)]
+    for k in range(10):
+        assert tx("instructions", **{f"a{k}": [f"acc{k}2"]}) == [(2,)]
+    assert tx("logs", programId=["P1"], kind=["log"]) == [(1,)] and tx("balances", account=["b1"]) == [(1,)]
+    for field, value in (("account", "t1"), ("preMint", "m1"), ("preOwner", "o1"), ("preProgramId", "p1")):
+        assert tx("tokenBalances", **{field: [value]}, postMint=["M"], postOwner=["O"], postProgramId=["P"]) == [(1,)]
+    assert places(run("rewards", pubkey=["r1"])["rewards"], "pubkey") == [("r1",)]
+    inner = run("instructions", {"innerInstructions": True, "transaction": True, "transactionBalances": True, "transactionTokenBalances": True, "logs": True}, programId=["P0"])
+    assert places(inner["instructions"], "instructionAddress") == [((0,),), ((0, 1),)]
+    assert [inner[n].count() for n in ("transactions", "balances", "tokenBalances", "logs")] == [1] * 4
+    assert run("instructions", {"transactionInstructions": True}, programId=["P0"])["instructions"].count() == 2
+    assert places(run("logs", {"instruction": True}, programId=["P0"])["instructions"], "programId") == [("P0",)]
+    assert run("balances", {"transactionInstructions": True}, account=["b0"])["instructions"].count() == 2
+    assert run("transactions", {"instructions": True, "logs": True}, feePayer=["fee0"])["instructions"].count() == 2
+
+
+def test_bitcoin_requests(spark, tmp_path):
+    inputs = [{"transactionIndex": k, "inputIndex": 0, "type": ("tx", "coinbase")[k], "prevoutScriptPubKeyAddress": f"a{k}", "prevoutScriptPubKeyType": f"s{k}", "prevoutGenerated": bool(k)} for k in range(2)]
+    outputs = [{"transactionIndex": k, "outputIndex": 0, "scriptPubKeyAddress": f"a{k}", "scriptPubKeyType": f"s{k}", "value": 0.5} for k in range(2)]
+    blocks = schemas.read_blocks(spark, write(tmp_path / "b", [{"header": header(), "transactions": [{"transactionIndex": k, "txid": f"x{k}"} for k in range(2)], "inputs": inputs, "outputs": outputs}]), "bitcoin")
+    run = lambda kind, /, include=None, **fields: Query("bitcoin").add_request(kind, include=include, **fields).run(blocks)
+    for field, value in (("type", "coinbase"), ("prevoutScriptPubKeyAddress", "a1"), ("prevoutScriptPubKeyType", "s1"), ("prevoutGenerated", True)):
+        assert places(run("inputs", **{field: [value]})["inputs"], "transactionIndex") == [(1,)]
+    for field, value in (("scriptPubKeyAddress", "a1"), ("scriptPubKeyType", "s1")):
+        out = run("outputs", {"transaction": True, "transactionInputs": True, "transactionOutputs": True}, **{field: [value]})
+        assert [places(out[n], "transactionIndex") for n in ("outputs", "inputs", "transactions")] == [[(1,)]] * 3
+    out = run("transactions", {"inputs": True, "outputs": True})
+    assert [out[n].count() for n in ("transactions", "inputs", "outputs")] == [2, 2, 2]
+
+
+def test_tron_requests(spark, tmp_path):
+    value = lambda **v: json.dumps({"value": v, "type_url": "x"})
+    txs = [
+        {"transactionIndex": 0, "type": "TransferContract", "parameter": value(owner_address="41aa", to_address="41bb", amount=1)},
+        {"transactionIndex": 1, "type": "TransferAssetContract", "parameter": value(owner_address="41aa", to_address="41cc", asset_name="31")},
+        {"transactionIndex": 2, "type": "TriggerSmartContract", "parameter": value(owner_address="41dd", contract_address="41ee", data="A9059CBB00ff")},
+    ]
+    logs = [{"transactionIndex": 2, "logIndex": 0, "address": "ee", "topics": ["t0", "t1"], "data": ""}]
+    internal = [{"transactionIndex": 2, "internalTransactionIndex": 0, "callerAddress": "41ee", "transferToAddress": "41ff"}]
+    blocks = schemas.read_blocks(spark, write(tmp_path / "b", [{"header": header(), "transactions": txs, "logs": logs, "internalTransactions": internal}]), "tron")
+    run = lambda kind, /, include=None, **fields: Query("tron").add_request(kind, include=include, **fields).run(blocks)
+    tx = lambda kind, /, **fields: places(run(kind, **fields)["transactions"], "transactionIndex")
+    assert tx("transferTransactions", owner=["41aa"], to=["41bb"]) == [(0,)] and tx("transferTransactions", to=["41cc"]) == []
+    assert tx("transferAssetTransactions", to=["41cc"], asset=["31"]) == [(1,)]
+    assert tx("triggerSmartContractTransactions", sighash=["a9059cbb"], contract=["41ee"], owner=["41dd"]) == [(2,)]
+    assert tx("triggerSmartContractTransactions", sighash=["00000000"]) == [] and tx("transactions", type=["TransferContract"]) == [(0,)]
+    included = run("triggerSmartContractTransactions", {"logs": True, "internalTransactions": True})
+    assert included["logs"].count() == included["internalTransactions"].count() == 1
+    assert run("logs", {"transaction": True}, address=["ee"], topic1=["t1"])["transactions"].count() == 1
+    assert run("internalTransactions", {"transaction": True}, caller=["41ee"], transferTo=["41ff"])["transactions"].count() == 1
+
+
+def test_fill_requests(spark, tmp_path):
+    fills = [{"fillIndex": k, "user": f"u{k}", "coin": f"c{k}", "dir": f"d{k}", "cloid": f"l{k}", "feeToken": f"f{k}", "builder": f"b{k}"} for k in range(3)]
+    blocks = schemas.read_blocks(spark, write(tmp_path / "b", [{"header": header(), "fills": fills}, {"header": header(2)}]), "hyperliquidFills")
+    for field in ("user", "coin", "dir", "cloid", "feeToken", "builder"):
+        value = fills[1][field]
+        assert places(Query("hyperliquidFills").add_request("fills", **{field: [value]}).run(blocks)["fills"], "fillIndex") == [(1,)]
+    assert places(Query("hyperliquidFills").include_all_blocks().run(blocks)["blocks"], "number") == [(1,), (2,)]
+
+
+def test_substrate_requests(spark, tmp_path):
+    args = json.dumps
+    calls = [
+        {"extrinsicIndex": 0, "address": [], "name": "Utility.batch", "args": "{}"},
+        {"extrinsicIndex": 0, "address": [0], "name": "Ethereum.transact", "args": args({"transaction": {"value": {"action": {"value": "0xT0"}, "input": "0xA9059CBB01"}}})},
+        {"extrinsicIndex": 0, "address": [0, 1], "name": "Balances.transfer", "args": "{}"},
+        {"extrinsicIndex": 1, "address": [], "name": "Balances.transfer", "args": "{}"},
+    ]
+    events = [
+        {"index": 0, "name": "EVM.Log", "args": args({"log": {"address": "0xAA", "topics": ["0xT1", "0xT2"]}}), "extrinsicIndex": 0, "callAddress": [0]},
+        {"index": 1, "name": "Contracts.ContractEmitted", "args": args({"contract": "0xc"}), "extrinsicIndex": 1, "callAddress": []},
+        {"index": 2, "name": "Gear.MessageQueued", "args": args({"destination": "0xp"}), "extrinsicIndex": 1, "callAddress": []},
+        {"index": 3, "name": "Gear.UserMessageSent", "args": args({"message": {"source": "0xs"}}), "extrinsicIndex": 0, "callAddress": [0, 1]},
+    ]
+    blocks = schemas.read_blocks(spark, write(tmp_path / "b", [{"header": header(), "extrinsics": [{"index": k, "hash": f"0xe{k}"} for k in range(2)], "calls": calls, "events": events}]), "substrate")
+    run = lambda kind, /, include=None, **fields: Query("substrate").add_request(kind, include=include, **fields).run(blocks)
+    index = lambda kind, /, **fields: places(run(kind, **fields)["events"], "index")
+    assert index("events", name=["EVM.Log", "Gear.MessageQueued"]) == [(0,), (2,)]
+    assert index("evmLogs", address=["0xaa"]) == index("ethereumLogs", address=["0xaa"], topic0=["0xt1"], topic1=["0xt2"]) == [(0,)] and index("ethereumLogs", topic3=["0xt1"]) == []
+    assert index("contractsEvents", address=["0xc"]) == [(1,)] and index("gearMessagesQueued", programId=["0xp"]) == [(2,)] and index("gearUserMessagesSent", programId=["0xs"]) == [(3,)]
+    made = run("ethereumTransactions", {"extrinsic": True, "stack": True, "events": True}, to=["0xt0"], sighash=["0xa9059cbb"])
+    assert places(made["calls"], "address") == [((),), ((0,),)] and places(made["extrinsics"], "index") == [(0,)] and places(made["events"], "index") == [(0,)]
+    of_event = run("events", {"extrinsic": True, "call": True}, name=["Gear.UserMessageSent"])
+    assert places(of_event["calls"], "address") == [((0, 1),)] and places(of_event["extrinsics"], "hash") == [("0xe0",)]
+    assert places(run("events", {"stack": True}, name=["Gear.UserMessageSent"])["calls"], "address") == [((),), ((0,),)]
+    assert places(run("calls", name=["Balances.transfer"])["calls"], "extrinsicIndex") == [(0,), (1,)]
+
+
+def test_fields_and_ranges(spark, tmp_path):
+    path = write(tmp_path / "b.jsonl", [evm(n, [log(0, 0, "0xa")], [tx(0)]) for n in range(1, 5)])
+    blocks = schemas.read_blocks(spark, path, "evm")
+    q = Query("evm").add_fields({"log": {"address": True}, "block": {"timestamp": True}}).add_request("logs", Range(2, 3), {"transaction": True}, address=["0xa"]).add_range(Range(4))
+    out = q.run(blocks)
+    assert out["logs"].columns == ["block_number", "block_hash", "block_time", "ordinal", "transactionIndex", "address"]
+    assert "from" in out["transactions"].columns and out["blocks"].columns == ["number", "hash", "timestamp"]
+    assert places(out["logs"], "block_number") == [(2,), (3,)] == places(out["blocks"], "number")

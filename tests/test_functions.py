@@ -56,7 +56,7 @@ def test_dynamic_and_wide_event_by_udf(spark):
     df = spark.createDataFrame([(topics, data), (topics, bad)], "topics array<string>, data string")
     good, broken = df.select(abi.event_column(e, on_error="null").alias("e")).select("e.*").collect()
     assert (good.i, good.s, good.l, good.f, tuple(good.t)) == (str(-(2**255)), "häß", [1, 2, 255], [-1, 5], (str(2**256 - 1), "x" * 40))
-    assert broken.s is None
+    assert df.select(abi.event_column(e, on_error="null").alias("e")).collect()[1].e is None and broken.s is None
     with pytest.raises(Exception, match="data ends"):
         df.select(abi.event_column(e)).collect()
 
@@ -99,3 +99,94 @@ def test_json_with_large_numbers():
 def test_query_hash_ignores_position():
     assert scalars.query_hash({"type": "evm", "fromBlock": 1}) == scalars.query_hash({"type": "evm", "toBlock": 2})
     assert scalars.query_hash({"a": 1, "b": 2}) != scalars.query_hash({"b": 2, "a": 1})
+
+
+def test_wide_integers_by_expressions(spark):
+    e = abi.event("E(uint256 a, int256 b, uint128 c, int136 d)")
+    edges = [0, 1, 10**18, 2**120 - 1, 2**120, 2**128 - 1, 10**20, 10**40 - 1, 2**255 - 1, 123456789 * 10**60]
+    cases = [(a, s * b, a % 2**128, s * (b % 2**135)) for a in [*edges, 2**256 - 1] for b in edges for s in (1, -1)] + [(5, -(2**255), 6, -(2**135))]
+    rows = [abi.encode_event(e, dict(zip("abcd", c, strict=True))) for c in cases]
+    df = spark.createDataFrame(rows, "topics array<string>, data string").select(abi.event_column(e).alias("e"))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in df.select("e.*").collect()] == [tuple(map(str, c)) for c in cases]
+
+
+def test_calls_as_columns(spark):
+    item = lambda name, *types: {"type": "function", "name": name, "inputs": [{"type": t, "name": f"x{i}"} for i, t in enumerate(types)]}
+    functions = abi.define([item("transfer", "address", "uint256"), item("say", "string")])[1]
+    rows = [(abi.encode_call(functions["transfer"], ["0x" + "ab" * 20, 2**200]),), (abi.encode_call(functions["say"], ["hi"]),), ("0x",), (None,)]
+    out = spark.createDataFrame(rows, "input string").select(abi.call_column(functions["transfer"]).alias("t"), abi.call_column(functions["say"]).alias("s")).collect()
+    assert [r.t and tuple(r.t) for r in out] == [("0x" + "ab" * 20, str(2**200)), None, None, None]
+    assert [r.s and tuple(r.s) for r in out] == [None, ("hi",), None, None]
+
+
+def test_events_that_cant_be_decoded_are_counted(spark):
+    plain, text = abi.event("P(address indexed who, uint256 n)"), abi.event("S(string s)")
+    good = [abi.encode_event(plain, {"who": "0x" + "1" * 40, "n": 1}), abi.encode_event(text, {"s": "x"})]
+    bad = [(good[0][0], "0x01"), (good[0][0], "0x" + "g" * 64), (good[1][0], good[1][1][:-70])]
+    logs = spark.createDataFrame(good + bad, "topics array<string>, data string")
+    found = abi.decode_events(logs, {"p": plain, "s": text}, on_error="null")
+    assert {n: abi.decoded(t).count() for n, t in found.items()} == {"p": 1, "s": 1}
+    assert {r.name: r.skipped for r in abi.decode_errors(found).collect()} == {"p": 2, "s": 1}
+    with pytest.raises(Exception, match="too short"):
+        abi.decode_events(logs, {"p": plain})["p"].collect()
+    with pytest.warns(UserWarning, match="a, b share the topic"):
+        abi.decode_events(logs, {"a": plain, "b": plain})
+
+
+def test_program_events_and_little_endian_numbers(spark):
+    rows = spark.createDataFrame([("0x0102" + "05000000" + "ffffffffffffffff",), (None,)], "msg string")
+    fields = {"a": "u32", "b": "u64"}
+    got = rows.select(encodings.event_column(F.col("msg"), "0x0102", fields, "a long, b decimal(20,0)", on_error="null").alias("e"), encodings.little_endian(F.col("msg"), 2, 4).alias("a"), encodings.little_endian(F.col("msg"), 6, 8).alias("b")).collect()
+    assert (got[0].e.a, int(got[0].e.b)) == (5, 2**64 - 1) and (int(got[0].a), int(got[0].b)) == (5, 2**64 - 1)
+    with pytest.raises(LoomError, match="E0003"):
+        encodings.event_column(F.col("msg"), "0x010203", fields, "a long")
+
+
+def test_discriminators_and_accounts(spark):
+    assert encodings.check_discriminators({"a": "0x01", "b": "0x02"}) == 1
+    for wrong in ({"a": "0x01", "b": "0x0102"}, {"a": "0x01", "b": "0x01"}, {"a": "0x010203"}):
+        with pytest.raises(LoomError, match="E0003"):
+            encodings.check_discriminators(wrong)
+    assert encodings.account_selection({"mint": 0, "owner": 3}, {"owner": ["x"]}) == {"a3": ["x"]}
+    with pytest.raises(ValueError, match="tenth"):
+        encodings.account_selection({"far": 11}, {"far": ["x"]})
+    df = spark.createDataFrame([("p", "0xAB01", ["m", "n"]), ("q", "0xab01", []), ("p", "0x02", [])], "programId string, data_hex string, accounts array<string>")
+    assert [r.programId for r in df.where(encodings.instruction_filter(["p"], "0xab")).collect()] == ["p"]
+    assert [tuple(r.a) for r in df.select(encodings.named_accounts({"mint": 0, "owner": 1}).alias("a")).collect()] == [("m", "n"), (None, None), (None, None)]
+
+
+def test_texts_of_numbers(spark):
+    sizes = [(0, "0.00 bytes"), (1023, "1023.00 bytes"), (2048, "2.00 KB"), (1 << 20, "1.00 MB"), (5 << 40, "5.00 TB")]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n, _ in sizes], "n long").select(scalars.human_bytes(F.col("n"))).collect()] == [t for _, t in sizes]
+    times = [(None, "ETA: calculating..."), (float("inf"), "ETA: calculating..."), (0.5, "IN SYNC"), (90.0, "ETA: 1m 30s"), (3700.0, "ETA: 1h 1m"), (90000.0, "ETA: 1d 1h")]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n, _ in times], "n double").select(scalars.eta(F.col("n"))).collect()] == [t for _, t in times]
+    numbers = [(1000.0, "1,000"), (1234.5678, "1,234.57"), (0.5, "0.5")]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n, _ in numbers], "n double").select(scalars.formatted(F.col("n"))).collect()] == [t for _, t in numbers]
+    blocks = [("latest", "latest"), ("1234567", "1,234,567")]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n, _ in blocks], "n string").select(scalars.formatted_block(F.col("n"))).collect()] == [t for _, t in blocks]
+
+
+def test_scripts(spark):
+    cases = [("OP_RETURN 6869 6869", '"hi"'), ("OP_RETURN  00ff", "0x00ff"), ("op_return 686", '"h"'), ("OP_DUP", "OP_DUP"), ("OP_RETURN", "OP_RETURN"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(a,) for a, _ in cases], "asm string").select(scalars.op_return_text(F.col("asm"))).collect()] == [t for _, t in cases]
+
+
+def test_kept_events_by_parameter(spark):
+    df = spark.createDataFrame([('{"token":"0xAB","fee":500}',), ('{"token":"0xcd","fee":500}',)], "event string")
+    assert df.where(scalars.parameter_filter(F.col("event"), {"token": ["0xab"], "fee": [500, 3000]})).count() == 1
+
+
+def test_previews():
+    assert scalars.packed({"a": list(range(11)), "b": [1, 2]}) == {"a": [0, "... 10 more ..."], "b": [1, 2]}
+
+
+def test_contracts_share_decoders():
+    from ledgerloom.plans.decoders import Contract, group_contracts
+    from ledgerloom.plans.ranges import Range
+
+    a, b = abi.event("A(uint8 x)"), abi.event("B(uint8 x)")
+    ids = lambda *contracts: [(g.id, len(g.contracts)) for g in group_contracts(contracts)]
+    assert ids(Contract("x", "0x1", (a, b)), Contract("y", "0x2", (b, a))) == [("custom", 2)]
+    assert ids(Contract("x", "0x1", (a,))) == [("custom", 1)] and ids(Contract("x", "0x1", ())) == []
+    assert ids(Contract("my token", "0x1", (a,)), Contract("MyToken", "0x2", (b,)), Contract("z", "0x3", (a,), Range(5))) == [("customMyToken", 1), ("customMyToken2", 1), ("customZ", 1)]
