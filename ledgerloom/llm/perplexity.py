@@ -6,7 +6,7 @@ it, and discounts, continuation counts, contexts and interpolation are aggregati
 many documents as have it, less one, so no document is predicted by itself alone. The model is, by order, a table of n-grams
 with their log-probabilities and one of contexts with their log back-off weights.
 
-What tasks get are these tables as sorted arrays of hashes, up to `MODEL_ROWS` rows. A larger model sends its most frequent
+What tasks get are these tables as sorted arrays of hashes with an index of their top bits, up to `MODEL_ROWS` rows. A larger model sends its most frequent
 n-grams of order 5 in as many rows; characters whose n-gram isn't among them are looked up in the full tables by joins, once for each
 distinct n-gram. So the model grows with the corpus, and scores don't depend on what is sent.
 
@@ -41,25 +41,30 @@ BELOW, ABOVE, MIN_IQR, SHRINK = 6.0, 5.0, 0.01, 30
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-#: Letters of the first three planes; all beyond count as letters.
-LETTER = np.fromiter((chr(k).isalpha() for k in range(0x30000)), bool, 0x30000)
+#: Of each code point the symbol, and whether it is a letter; those beyond the first three planes count as letters.
+_POINTS = np.arange(0x110000, dtype=np.int64)
+TO_SYMBOL = np.where(_POINTS < LETTERS, _POINTS, LETTERS + (_POINTS * 0x9E3779B1 >> 7) % ((1 << BITS) - LETTERS))
+TO_SYMBOL[48:58] = 48
+LETTER = np.ones(0x110000, bool)
+LETTER[:0x30000] = np.fromiter((chr(k).isalpha() for k in range(0x30000)), bool, 0x30000)
 
 
 def symbols(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The symbols of a block's characters, whether each is a letter, and the first of each row."""
     places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    c = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letters = LETTER[np.minimum(c, len(LETTER) - 1)] | (c >= len(LETTER))
-    c[(c >= 48) & (c < 58)] = 48
-    return np.where(c < LETTERS, c, LETTERS + (c * 0x9E3779B1 >> 7) % ((1 << BITS) - LETTERS)), letters, places
+    c = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+    return TO_SYMBOL[c], LETTER[c], places
 
 
 def gram_codes(first: np.ndarray, c: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The code of the n-gram that ends at each symbol; a row is preceded by symbols 0."""
     codes = c.copy()
-    place = np.arange(len(c)) - np.repeat(first[:-1], np.diff(first))
     for k in range(1, order):
-        codes[k:] |= np.where(place[k:] >= k, c[:-k] << (BITS * k), 0)
+        codes[k:] |= c[:-k] << (BITS * k)
+    for k in range(order - 1):  # the first symbols of a row have nothing of the row before
+        at = first[:-1] + k
+        at = at[at < first[1:]]
+        codes[at] &= (1 << BITS * (k + 1)) - 1
     return codes
 
 
@@ -76,8 +81,12 @@ def count_grams(docs: DataFrame, text: str) -> DataFrame:
             for _, _, at, raw in common.blocks(common.column(batch, text), 4 << 20):
                 c, _, first = symbols(at, raw)
                 grams = gram_codes(first, c)
-                own = [np.unique(grams[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                found, times = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_counts=True)
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    grams[a:b].sort()
+                new = np.ones(len(grams), bool)
+                new[1:] = grams[1:] != grams[:-1]
+                new[first[:-1][first[:-1] < len(grams)]] = True  # once for each document
+                found, times = np.unique(grams[new], return_counts=True)
                 codes, n = added(np.concatenate([codes, found]), np.concatenate([n, times]))
                 if len(codes) > TASK_GRAMS:
                     yield from rows(codes, n)
@@ -162,19 +171,66 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+@dataclass
+class HashArray:
+    """Codes as hashes in ascending order with their numbers; `starts` is the first of each value of the top bits."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    shift: int
+
+    @classmethod
+    def of(cls, codes: np.ndarray, values: np.ndarray) -> HashArray:
+        hashes = codes.astype(np.uint64) * _MIX
+        order = np.argsort(hashes)
+        bits = max(4, len(codes).bit_length() + 1)
+        firsts = np.arange((1 << bits) + 1, dtype=np.uint64)
+        hashes = hashes[order]
+        starts = np.searchsorted(hashes >> np.uint64(64 - bits), firsts).astype(np.int32)
+        return cls(hashes, values[order].astype(np.float32), starts, 64 - bits)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the wanted codes are there, the values of these)."""
+        known = np.zeros(len(wanted), bool)
+        if not len(self.hashes) or not len(wanted):
+            return known, self.values[:0]
+        h = wanted.astype(np.uint64) * _MIX
+        top = (h >> np.uint64(self.shift)).astype(np.int64)
+        at, end = self.starts[top], self.starts[top + 1]
+        place = np.zeros(len(wanted), np.int32)
+        rest = np.flatnonzero(at < end)
+        while len(rest):
+            here = at[rest]
+            same = self.hashes[here] == h[rest]
+            hit = rest[same]
+            known[hit], place[hit] = True, here[same]
+            rest = rest[~same]
+            at[rest] += 1
+            rest = rest[at[rest] < end[rest]]
+        return known, self.values[place[known]]
+
+
 @dataclass
 class Arrays:
-    """Sorted n-grams and contexts of each order with their numbers; `whole` if nothing was left out."""
+    """The n-grams and contexts of each order in hash arrays; `whole` if nothing was left out."""
 
     whole: bool
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
+    grams: dict[int, HashArray]
+    contexts: dict[int, HashArray]
 
     @classmethod
     def of(cls, model: Model, rows: int) -> Arrays:
         """All tables, if they have `rows` rows at most, else the most frequent n-grams of the highest order."""
         size = sum(x.count() for x in (*model.grams.values(), *model.contexts.values()))
-        pull = lambda df, key, value: (lambda t: (t[key].to_numpy(), t[value].to_numpy().astype(np.float32)))(df.select(key, value).toArrow().sort_by(key))
+
+        def pull(df: DataFrame, key: str, value: str) -> HashArray:
+            t = df.select(key, value).toArrow()
+            return HashArray.of(t[key].to_numpy(), t[value].to_numpy())
+
         if size <= rows:
             return cls(True, {k: pull(x, "code", "logp") for k, x in model.grams.items()}, {k: pull(x, "ctx", "weight") for k, x in model.contexts.items()})
         return cls(False, {ORDER: pull(model.grams[ORDER].orderBy(F.desc("n"), "code").limit(rows), "code", "logp")}, {})
@@ -184,29 +240,19 @@ class Arrays:
         out = np.zeros(len(codes), np.float32)
         left, rest = np.arange(len(codes)), codes
         for k in range(ORDER, 0, -1):
-            known, value = _find(*self.grams[k], rest)
+            known, value = self.grams[k].find(rest)
             out[left[known]] += value
             left, rest = left[~known], rest[~known]
             if not self.whole:
                 out[left] = np.nan
                 return out
-            seen, weight = _find(*self.contexts[k], rest >> BITS)
+            seen, weight = self.contexts[k].find(rest >> BITS)
             out[left[seen]] += weight
             rest = rest & ((1 << BITS * (k - 1)) - 1)
         out[left] += np.float32(UNIFORM)
         return out
 
 
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of the wanted ones are keys, the values of these)."""
-    if not len(keys):
-        return np.zeros(len(wanted), bool), values[:0]
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    known = keys[at] == wanted
-    return known, values[at[known]]
-
-
 def _covered(runs: np.ndarray) -> int:
     """Words in windows (given by their hashes, one for each start) that the text has twice or more."""
     order = np.sort(runs)
