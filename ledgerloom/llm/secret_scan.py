@@ -140,7 +140,7 @@ def found_strings(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> Da
         rows = [(label, x.decode()) for label, x in enumerate(kept) for x in smallest(x)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["label", "string"])
 
-    each = docs.select(text).mapInArrow(run, "label int, string string").distinct().withColumn("sum", F.crc32(F.col("string").cast("binary")))
+    each = common.saved(docs.select(text).mapInArrow(run, "label int, string string").distinct().withColumn("sum", F.crc32(F.col("string").cast("binary"))))
     limits = each.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("sum", [k / 100 for k in range(1, 101)], 10_000).alias("q")).collect()
     bound = F.lit(0)
     for r in limits:  # one percent more, as percentiles are approximate; the rest goes by rank
@@ -153,8 +153,9 @@ def found_strings(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> Da
 def labelled_samples(docs: DataFrame, text: str = "text", most: int = SAMPLE, drawn: int = DRAWN) -> DataFrame:
     """(string, label): at most 3 * (most + drawn) rows and one for each symbol, the same for the same texts."""
     found: tuple[list[str], ...] = ([], [], [])
-    for r in found_strings(docs, text, most).orderBy("label", "string").collect():
-        found[r["label"]].append(r["string"])
+    with common.Scratch():
+        for r in found_strings(docs, text, most).orderBy("label", "string").collect():
+            found[r["label"]].append(r["string"])
     rng = random.Random(1)
     draw = lambda letters, n: "".join(rng.choices(letters, k=n))
     keys = [draw(ALPHABETS[k % len(ALPHABETS)], rng.randint(MIN_CHARS, 64)) for k in range(drawn)]
