@@ -66,24 +66,25 @@ class EliasFano:
         bits = np.unpackbits(self.low[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a].reshape(count, self.low_bits)
         return bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
-    def select(self, i: int) -> int:
-        """Value i: the sampled one before it is looked up, the rest is read from there."""
-        if not 0 <= i < self.n:
+    def select(self, i):
+        """Value i, or those of an array of places: only the upper bits between the sampled ones around them are read."""
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        if not len(at):
+            return np.zeros(0, np.int64)
+        low, high = int(at.min()), int(at.max())
+        if low < 0 or high >= self.n:
             raise IndexError(i)
-        sampled = int(self.samples[i // SAMPLE])
-        left, byte = i % SAMPLE, sampled // 8
-        first = np.unpackbits(self.high[byte : byte + 1], bitorder="little").astype(np.int64)
-        first[: sampled % 8] = 0
-        while left >= (ones := int(first.sum())):
-            left -= ones
-            byte += 1
-            first = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        place = byte * 8 + int(np.flatnonzero(first)[left])
-        return (place - i << self.low_bits) + int(self._lows(i, 1)[0])
+        first, beyond = low // SAMPLE, high // SAMPLE + 1
+        begin = int(self.samples[first])
+        end = int(self.samples[beyond]) if beyond < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : (end + 7) // 8], bitorder="little")
+        bits[: begin % 8] = 0
+        ones = np.flatnonzero(bits) + begin // 8 * 8
+        out = (ones[at - first * SAMPLE] - at << self.low_bits) + self._lows(low, high - low + 1)[at - low]
+        return int(out[0]) if np.ndim(i) == 0 else out
 
     def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n) << self.low_bits) + self._lows(0, self.n)
+        return self.select(np.arange(self.n))
 
     def dump(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<u4").tobytes()
@@ -318,7 +319,7 @@ class TokenFiles:
                 row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
                 ids = np.frombuffer(row["ids"].as_buffer(), f"<u{row['width'].as_py()}")
                 bounds = EliasFano.load(row["bounds"].as_py())
-                ends = np.fromiter(map(bounds.select, range(bounds.n)), np.int64, bounds.n)
+                ends = bounds.select(np.arange(bounds.n))
                 begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 first = starts[row["shard"].as_py()] + row["start"].as_py()
                 values = [of(ids[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]

@@ -328,6 +328,10 @@ def test_elias_fano(steps):
     values = np.cumsum(steps)
     ef = token_store.EliasFano.load(token_store.EliasFano.encode(values).dump())
     assert ef.values().tolist() == values.tolist() == [ef.select(k) for k in range(len(values))]
+    some = np.arange(len(values))[::-7]
+    assert ef.select(some).tolist() == values[some].tolist()
+    with pytest.raises(IndexError):
+        ef.select(len(values))
 
 
 def test_token_files(spark):
