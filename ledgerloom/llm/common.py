@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import contextvars
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sinks.scratch import scratch as shared_dir
+
 #: Bytes of text that a task turns into numpy arrays at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -24,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that all executors share: spark.checkpoint.dir; in local mode a folder of our own will do."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), "ledgerloom-shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 class Scratch:
     """The tables that one run saves on its way; `result` is what the run leaves behind."""
 
