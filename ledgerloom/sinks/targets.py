@@ -632,6 +632,7 @@ class FunctionSink(Sink):
     append: Callable[[Mapping[str, DataFrame], Sequence[Cursor], Cursor | None, PipeState], None]
     resolve: Callable[[Sequence[Cursor]], Cursor | None] | None = None
     now: PipeState = field(default_factory=PipeState)
+    tables: dict = field(default_factory=dict)
 
     def bind(self, pipe_id: str | None) -> None:
         pass

@@ -230,7 +230,7 @@ class Pipe:
         sink.bind(self.id)
         steps = self._all()
         back = lambda cursor: [t.rollback(cursor) for t in steps if t.rollback]
-        keep = lambda rows: {n: r for n, r in rows.items() if n in sink.tables}
+        keep = lambda rows: {n: r for n, r in rows.items() if n in sink.tables or not sink.tables}
         try:
             for t in steps:
                 if t.start:

@@ -66,3 +66,23 @@ def test_segments_by_key_without_nested_loops(spark):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert tables.segments(requests.limit(0)).count() == 0
+
+
+def test_stretches_join_up(spark):
+    """Rows before, numbers and rates are those of a plain window over each key, however the positions are cut."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(3), at, at * 2 + rng.randrange(5), rng.randrange(100)) for at in sorted(rng.sample(range(5000), 700))]
+    df = spark.createDataFrame(rows, "k long, ts long, block_number long, bytes long")
+    by = {k: [r for r in rows if r[0] == k] for k in range(3)}
+    place = {r: i for k in by for i, r in enumerate(by[k])}
+    got = tables.numbered(tables.previous(df, ["k"], "ts", "bytes", "before", span=40), ["k"], "ts", "n", span=40).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = place[tuple(r)[:4]]
+        assert r.n == i and r.before == (by[r.k][i - 1][3] if i else None)
+    for r in tables.throughput(df, ["k"], rows=10, stretch=23).collect():
+        i = place[tuple(r)[:4]]
+        last = by[r.k][max(0, i - 9) : i + 1]
+        seconds = r.ts - last[0][1]
+        assert abs(r.blocks_per_s - ((r.block_number - last[0][2]) / seconds if seconds else 0)) < 1e-9
+        assert abs(r.bytes_per_s - (sum(x[3] for x in last) / seconds if seconds else 0)) < 1e-9

@@ -407,7 +407,6 @@ def test_final_blocks_only_and_one_block_a_batch(spark, tmp_path):
     seen = []
     for k, options in enumerate(({"finalized_only": True}, {"per_block": True})):
         sink = FunctionSink(spark, lambda rows, blocks, head, before: seen.append([b.number for b in blocks]))
-        sink.tables = {}
         start(responses(spark, log, "evm"), "evm", sink, lambda b: {}, str(tmp_path / f"c{k}"), **options).awaitTermination()
     assert seen == [[1, 2], [1, 2], [3], [4]]
 
