@@ -323,9 +323,17 @@ def _wide(word: Column, limbs: list[Column], signed: bool) -> Column:
     start = F.struct(F.lit("").alias("text"), F.lit(0).cast("decimal(38,0)").alias("carry"))
     digits = F.aggregate(carried, start, step, lambda acc: F.regexp_replace(F.concat(acc["carry"].cast("string"), acc["text"]), "^0+(?=.)", ""))
     # most numbers need no more than 120 bits
-    short = (limbs[0] + limbs[1] * F.lit(Decimal(1 << 52)) + F.conv(F.substring(word, 35, 4), 16, 10).cast("decimal(38,0)") * F.lit(Decimal(1 << 104))).cast("decimal(38,0)").cast("string")
-    text = F.when(F.left(word, F.lit(34)) == "0" * 34, short).otherwise(digits)
-    return F.when(negative, F.concat(F.lit("-"), digits)).otherwise(text) if signed else text
+    third = F.conv(F.substring(word, 35, 4), 16, 10).cast("decimal(38,0)")
+
+    def short(low: Column, middle: Column, high: Column, more: int) -> Column:
+        return (low + middle * F.lit(Decimal(1 << 52)) + high * F.lit(Decimal(1 << 104)) + F.lit(Decimal(more))).cast("decimal(38,0)").cast("string")
+
+    upper = F.lower(F.left(word, F.lit(34)))
+    text = F.when(upper == "0" * 34, short(limbs[0], limbs[1], third, 0))
+    if signed:
+        text = text.when(upper == "f" * 34, F.concat(F.lit("-"), short(parts[0], parts[1], F.lit(Decimal((1 << 16) - 1)) - third, 1)))
+        text = text.when(negative, F.concat(F.lit("-"), digits))
+    return text.otherwise(digits)
 
 
 def _carry(acc: Column, x: Column, base: int) -> Column:
