@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, line_dedup, ngram_join, perplexity, quality, secret_scan, token_store, url_filter
+from . import byte_bpe, decontaminate, langid, line_dedup, ngram_join, periodic_runs, perplexity, quality, secret_scan, token_store, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.scan(periodic_runs.looped(table(spark, sf_dir, "documents"))))
+
+
 OP7_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM parts),
@@ -128,6 +132,7 @@ def queries() -> dict[str, Query]:
         op8_token_files,
         op9_language_id,
         op10_quality,
+        op12_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
