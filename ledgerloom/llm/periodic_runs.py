@@ -101,10 +101,7 @@ def find(words: np.ndarray, first: np.ndarray, size: np.ndarray, min_words: int
             runs[int(p)] = spans[np.argsort(spans[:, 0])]
         low *= 2
     found = np.concatenate([*runs.values(), np.zeros((0, 3), np.int64)])
-    found = found[np.lexsort((found[:, 2], found[:, 0]))]
-    # a grid point next to a run's end isn't within it with its partner, so a multiple of the period may have come up with the run again
-    again = np.flatnonzero((found[1:, :2] == found[:-1, :2]).all(1)) + 1
-    return np.delete(found, again, 0)
+    return found[np.lexsort((found[:, 2], found[:, 0]))]
 
 
 def _numbered(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
