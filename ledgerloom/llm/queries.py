@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, line_dedup, ngram_join, periodic_runs, perplexity, quality, secret_scan, source_audit, token_store, url_filter
-from .common import table
+from . import byte_bpe, decontaminate, langid, line_dedup, main_text, ngram_join, periodic_runs, perplexity, quality, secret_scan, source_audit, token_store, url_filter
+from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +132,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.scan(periodic_runs.looped(table(spark, sf_dir, "documents"))))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    with Scratch() as run:
+        texts = main_text.extract(pages.select("page_id", "url", "html"), main_text.learn(pages))
+        return run.result(texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
+
+
 OP7_SQL = r"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM parts),
@@ -161,6 +168,7 @@ def queries() -> dict[str, Query]:
         op10_quality,
         op11_source_audit,
         op12_periodic_runs,
+        op13_html_text,
     )
     return {f.__name__: f for f in found}
 
