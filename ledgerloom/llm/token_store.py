@@ -8,13 +8,17 @@ of blocks of about `BLOCK_IDS` ids. A block row of the Parquet files holds
     bounds: the Elias-Fano code of the documents' ends within the block
 
 so a boundary takes about 2 + log2(mean length) bits. Documents don't straddle blocks. Null and empty texts hold
-the end id alone. Documents with equal ids follow each other, ordered by text; null ids come first.
+the end id alone. Documents with equal ids follow each other, ordered by the bytes of their token ids; null ids come first.
+
+Texts are encoded where they are read; token ids alone are saved, shuffled and sorted. The tokenizer's own special tokens count
+where a text spells them, as in the library.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -105,15 +109,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         self.type = "<u2" if self.inner.get_vocab_size() <= 1 << 16 else "<u4"
         self.bar = self.inner.encode("|", add_special_tokens=False).ids
         encoded = lambda w: np.array(self.inner.encode(w, add_special_tokens=False).ids, self.type).tobytes()
         self.tails = {x: encoded(x) for x in ".," if encoded("a" + x) == encoded("a") + encoded(x)}
         self.lowers = encoded("aB") == encoded("ab") and encoded("Q") == encoded("q")
-        kinds = ["a", "Bc", "9", ".", "'s", "-", "a|b", "\u00e9", "\u65e5", "\u0301x", "\U0001f600"]
+        added = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I)
+        kinds = ["a", "Bc", *added[:4], "9", ".", "'s", "-", "a|b", "\u00e9", "\u65e5", "\u0301x", "\U0001f600"]
         gaps = (" ", "\n", "  ", " \n")
-        self.cuts = encoded("") == encoded(" ") == b"" and all(encoded(f"{x}{g}{y}") == encoded(x) + encoded(y) for x in kinds for y in kinds for g in gaps)
+        self.cuts = not any(x.split() != [x] for x in added) and encoded("") == encoded(" ") == b"" and all(encoded(f"{x}{g}{y}") == encoded(x) + encoded(y) for x in kinds for y in kinds for g in gaps)
         self.words: dict[str, bytes] = {}
         self.met = bytearray(1 << 23)  # by hash: words met in an earlier batch
 
@@ -170,7 +175,10 @@ class WordTokenizer:
 
     def _core(self, word: str) -> tuple[str, bytes]:
         """A word that is encoded alike and met more often, and the ids to add: without a full stop or comma
-        after a letter, which is a piece of its own, and in lower case, which the tokenizer turns ASCII letters to."""
+        after a letter, which is a piece of its own, and in lower case, which the tokenizer turns ASCII letters to. Words
+        that may hold a special token stay as they are."""
+        if self.special.search(word):
+            return word, b""
         tail = self.tails.get(word[-1:]) if word[-2:-1].isalpha() else None
         core = word if tail is None else word[:-1]
         return core.lower() if self.lowers and core.isascii() else core, tail or b""
@@ -201,14 +209,20 @@ class TokenFiles:
         made = cls(spark, path or common.shared_dir(spark, "tokens"))
         id_type = docs.schema[id_column].dataType
         schema = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("block", T.IntegerType()), ("start", T.LongType()), ("n_ids", T.LongType()), ("width", T.IntegerType()), ("doc_ids", T.ArrayType(id_type)), ("ids", T.BinaryType()), ("bounds", T.BinaryType()))])
-        ordered = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+        given = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
 
+        def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             encoder = tokenizer(tokenizer_path)
             end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
-            width, shard = np.dtype(encoder.type).itemsize, TaskContext.get().partitionId()
+            texts, ids = common.column(batch, "text"), common.column(batch, "id")
+            for lo, hi, _, _ in common.blocks(texts, 4 << 20):
+                coded = [x + end for x in encoder.encode_batch(texts.slice(lo, hi - lo))]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(coded, pa.binary())], names=["id", "ids"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            width, shard = np.dtype(tokenizer(tokenizer_path).type).itemsize, TaskContext.get().partitionId()
             block, start, held, doc_ids, size = 0, 0, [], [], 0
 
             def row() -> pa.RecordBatch:
@@ -218,21 +232,21 @@ class TokenFiles:
 
             types = None
             for batch in batches:
-                texts, ids = common.column(batch, "text"), common.column(batch, "id")
+                ids = common.column(batch, "id")
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(ids.type), pa.binary(), pa.binary()]
-                for lo, hi, _, _ in common.blocks(texts, 4 << 20):
-                    encoded = encoder.encode_batch(texts.slice(lo, hi - lo))
-                    for i, x in zip(ids.slice(lo, hi - lo).to_pylist(), encoded, strict=True):
-                        held.append(x + end)
-                        doc_ids.append(i)
-                        size += len(x) + len(end)
-                        if size >= BLOCK_IDS * width:
-                            yield row()
-                            block, start, held, doc_ids, size = block + 1, start + size // width, [], [], 0
+                for i, x in zip(ids.to_pylist(), common.column(batch, "ids").to_pylist(), strict=True):
+                    held.append(x)
+                    doc_ids.append(i)
+                    size += len(x)
+                    if size >= BLOCK_IDS * width:
+                        yield row()
+                        block, start, held, doc_ids, size = block + 1, start + size // width, [], [], 0
             if held:
                 yield row()
 
-        ordered.mapInArrow(run, schema).write.parquet(made.path)
+        with common.Scratch():  # the range partitioner reads its input twice, so what is encoded is saved
+            coded = common.saved(common.arrow_map(given, encode, T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())])), "encoded")
+            coded.repartitionByRange("id").sortWithinPartitions("id", "ids").mapInArrow(pack, schema).write.parquet(made.path)
         return made
 
     def shard_starts(self) -> dict[int, int]:

@@ -335,13 +335,12 @@ def test_elias_fano(steps):
 
 
 def test_token_files(spark):
-    rows = texts() + [(300, "a|b | |x Don't, O'CLOCK. word,. x.,\u00a0y İK é. Σ.", None), (301, "w" * 90 + " 12 3,4 " + "z|" * 30, None)]
+    spelled = ["a <|endoftext|> b", "x<|startoftext|>y", "<|ENDOFTEXT|>", "<|endoftext|>.", "A<|endoftext|>B, <|endoftext|><|startoftext|>\n<| endoftext|>"]
+    rows = texts() + [(400 + k, x, None) for k, x in enumerate(spelled)] + [(300, "a|b | |x Don't, O'CLOCK. word,. x.,\u00a0y İK é. Σ.", None), (301, "w" * 90 + " 12 3,4 " + "z|" * 30, None)]
     t = Tokenizer.from_file(token_store.TOKENIZER)
-    t.encode_special_tokens = True
-    plain = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    coded = sorted(((i, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].astype("<u2").tobytes()))
     start, expected = 0, []
-    for i, text, _ in plain:
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    for i, ids in coded:
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     files = token_store.TokenFiles.write(documents(spark, rows))
