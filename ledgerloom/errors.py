@@ -34,6 +34,7 @@ CODES = {
     "E2315": "a nested column is empty or too deep",
     "E2316": "a file's range ends before it starts",
     "E2317": "a file straddles the cursor",
+    "E2319": "two changes of a key in one block have no order",
     "E2320": "a file isn't Parquet with the declared columns",
 }
 

@@ -35,7 +35,17 @@ def base58_encode(data: bytes) -> str:
 @F.pandas_udf(T.StringType())
 def base58_hex(texts: pd.Series) -> pd.Series:
     """0x-prefixed hex of base58 text; null for null or what isn't base58."""
-    return texts.map(lambda t: "0x" + base58_decode(t).hex() if t is not None and set(t) <= _DIGIT.keys() else None)
+    return texts.map(_hex)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def base58_hexes(texts: pd.Series) -> pd.Series:
+    """base58_hex of each text of an array."""
+    return texts.map(lambda listed: None if listed is None else [_hex(t) for t in listed])
+
+
+def _hex(text: str | None) -> str | None:
+    return "0x" + base58_decode(text).hex() if text is not None and set(text) <= _DIGIT.keys() else None
 
 
 #: Fixed-size numbers: struct codes and sizes.

@@ -5,7 +5,7 @@ A missing field is no constraint; an empty list matches nothing.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,46 +32,53 @@ def either(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, terms) if terms else F.lit(False)
 
 
-#: How the fields of a request are found in a row of its entity, where that isn't a column of their name.
+#: A column of an item by its name, dotted for what is nested.
+At = Callable[[str], Column]
+#: How the fields of a request are found in an item of its entity, where that isn't a column of their name.
 FIELD_COLUMNS = {
-    **{f"topic{i}": (lambda i: lambda: F.get(F.col("topics"), i))(i) for i in range(4)},
-    **{f"a{i}": (lambda i: lambda: F.get(F.col("accounts"), i))(i) for i in range(10)},
-    **{f"d{n}": (lambda n: lambda: F.substring(F.lower(F.col("data_hex")), 1, 2 + 2 * n))(n) for n in (1, 2, 4, 8)},
-    "feePayer": lambda: F.get(F.col("accountKeys"), 0),
-    "createFrom": lambda: F.col("action.from"),
-    "callFrom": lambda: F.col("action.from"),
-    "callTo": lambda: F.col("action.to"),
-    "callSighash": lambda: F.col("action.sighash"),
-    "suicideRefundAddress": lambda: F.col("action.refundAddress"),
-    "rewardAuthor": lambda: F.col("action.author"),
-    "owner": lambda: F.get_json_object("parameter", "$.value.owner_address"),
-    "contract": lambda: F.get_json_object("parameter", "$.value.contract_address"),
-    "asset": lambda: F.get_json_object("parameter", "$.value.asset_name"),
-    "recipient": lambda: F.get_json_object("parameter", "$.value.to_address"),
-    "inputSighash": lambda: F.left(F.lower(F.get_json_object("parameter", "$.value.data")), F.lit(8)),
-    "logAddress": lambda: F.lower(F.coalesce(F.get_json_object("args", "$.log.address"), F.get_json_object("args", "$.address"))),
-    **{f"logTopic{i}": (lambda i: lambda: F.lower(F.coalesce(F.get_json_object("args", f"$.log.topics[{i}]"), F.get_json_object("args", f"$.topics[{i}]"))))(i) for i in range(4)},
-    "transactTo": lambda: F.lower(F.get_json_object("args", "$.transaction.value.action.value")),
-    "transactSighash": lambda: F.left(F.lower(F.get_json_object("args", "$.transaction.value.input")), F.lit(10)),
-    "contractAddress": lambda: F.get_json_object("args", "$.contract"),
-    "messageTarget": lambda: F.get_json_object("args", "$.destination"),
-    "messageSource": lambda: F.get_json_object("args", "$.message.source"),
-    "caller": lambda: F.col("callerAddress"),
-    "transferTo": lambda: F.col("transferToAddress"),
+    **{f"topic{i}": (lambda i: lambda at: F.get(at("topics"), i))(i) for i in range(4)},
+    **{f"a{i}": (lambda i: lambda at: F.get(at("accounts"), i))(i) for i in range(10)},
+    **{f"d{n}": (lambda n: lambda at: F.substring(F.lower(at("data_hex")), 1, 2 + 2 * n))(n) for n in (1, 2, 4, 8)},
+    "feePayer": lambda at: F.get(at("accountKeys"), 0),
+    "createFrom": lambda at: at("action.from"),
+    "callFrom": lambda at: at("action.from"),
+    "callTo": lambda at: at("action.to"),
+    "callSighash": lambda at: at("action.sighash"),
+    "suicideRefundAddress": lambda at: at("action.refundAddress"),
+    "rewardAuthor": lambda at: at("action.author"),
+    "owner": lambda at: F.get_json_object(at("parameter"), "$.value.owner_address"),
+    "contract": lambda at: F.get_json_object(at("parameter"), "$.value.contract_address"),
+    "asset": lambda at: F.get_json_object(at("parameter"), "$.value.asset_name"),
+    "recipient": lambda at: F.get_json_object(at("parameter"), "$.value.to_address"),
+    "inputSighash": lambda at: F.left(F.lower(F.get_json_object(at("parameter"), "$.value.data")), F.lit(8)),
+    "logAddress": lambda at: F.lower(F.coalesce(F.get_json_object(at("args"), "$.log.address"), F.get_json_object(at("args"), "$.address"))),
+    **{f"logTopic{i}": (lambda i: lambda at: F.lower(F.coalesce(F.get_json_object(at("args"), f"$.log.topics[{i}]"), F.get_json_object(at("args"), f"$.topics[{i}]"))))(i) for i in range(4)},
+    "transactTo": lambda at: F.lower(F.get_json_object(at("args"), "$.transaction.value.action.value")),
+    "transactSighash": lambda at: F.left(F.lower(F.get_json_object(at("args"), "$.transaction.value.input")), F.lit(10)),
+    "contractAddress": lambda at: F.get_json_object(at("args"), "$.contract"),
+    "messageTarget": lambda at: F.get_json_object(at("args"), "$.destination"),
+    "messageSource": lambda at: F.get_json_object(at("args"), "$.message.source"),
+    "caller": lambda at: at("callerAddress"),
+    "transferTo": lambda at: at("transferToAddress"),
 }
 
 #: Fields of the trace filter that only traces of one type have.
 TRACE_TYPES = {"createFrom": "create", "callFrom": "call", "callTo": "call", "callSighash": "call", "suicideRefundAddress": "suicide", "rewardAuthor": "reward"}
 
 
-def request_predicate(fields: Mapping[str, Values | None], columns: Sequence[str] = ()) -> Column:
-    """One request as a predicate. columns: those of the table, which win over derived fields."""
+def column_at(name: str) -> Column:
+    """The column of a table; only what is nested is dotted."""
+    return F.col(name)
+
+
+def request_predicate(fields: Mapping[str, Values | None], columns: Sequence[str] = (), at: At = column_at) -> Column:
+    """One request as a predicate. columns: those of the table, which win over derived fields; at: where they are found."""
     terms: list[Column | None] = []
     for name, values in fields.items():
-        column = F.col(f"`{name}`") if name in columns or name not in FIELD_COLUMNS else FIELD_COLUMNS[name]()
+        column = at(name) if name in columns or name not in FIELD_COLUMNS else FIELD_COLUMNS[name](at)
         term = any_of(column, values)
         if term is not None and name in TRACE_TYPES and "type" in columns:
-            term = term & (F.col("type") == TRACE_TYPES[name])
+            term = term & (at("type") == TRACE_TYPES[name])
         terms.append(term)
     return all_of(terms)
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.encodings import base58_hex
+from ledgerloom.functions.encodings import base58_hexes
 from ledgerloom.functions.scalars import query_hash
-from ledgerloom.operators.filters import either, in_range, match
+from ledgerloom.operators.filters import either, in_range, request_predicate
 from ledgerloom.sources import schemas
 
 from .ranges import Range, bound, merge
@@ -78,6 +78,31 @@ class Relation:
     path: tuple[str, str] | None = None
     mode: str = "same"
 
+    def known(self, source: str, test: Callable) -> Column:
+        """The distinct keys that items of the matches' transactions have to have, from the array of the source entity; none of them is null."""
+        columns = [a for a, _ in self.keys] + ([self.path[0]] if self.path else [])
+        there = lambda x: reduce(lambda p, q: p & q, [x.getField(c).isNotNull() for c in columns])
+        deep = lambda x: F.size(x.getField(self.path[0])) > 0 if self.mode == "prefix" else F.lit(True)
+        found = F.filter(source, lambda x, i: test(x, i) & there(x) & deep(x))
+        if self.mode != "prefix":
+            return F.array_distinct(F.transform(found, lambda x: self._key(x, 0, self.path and x.getField(self.path[0]))))
+        above = lambda x: F.transform(F.sequence(F.lit(0), F.size(x.getField(self.path[0])) - 1), lambda n: self._key(x, 0, F.slice(x.getField(self.path[0]), F.lit(1), n)))
+        return F.array_distinct(F.flatten(F.transform(found, above)))
+
+    def holds(self, item: Column, known: Column) -> Column:
+        """Whether an item of the target has one of the keys."""
+        columns = [b for _, b in self.keys] + ([self.path[1]] if self.path else [])
+        there = reduce(lambda p, q: p & q, [item.getField(c).isNotNull() for c in columns])
+        path = item.getField(self.path[1]) if self.path else None
+        if self.mode != "extension":
+            return there & F.array_contains(known, self._key(item, 1, path))
+        above = F.sequence(F.lit(0), F.size(path) - 1)
+        return there & (F.size(path) > 0) & F.exists(above, lambda n: F.array_contains(known, self._key(item, 1, F.slice(path, F.lit(1), n))))
+
+    def _key(self, item: Column, side: int, path: Column | None) -> Column:
+        keys = [item.getField(pair[side]).cast("bigint") for pair in self.keys]
+        return keys[0] if path is None and len(keys) == 1 else F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], *([path.cast("array<bigint>").alias("path")] if path is not None else []))
+
 
 _IN_EXTRINSIC = (("extrinsicIndex", "extrinsicIndex"),)
 #: What a match of an entity can bring along.
@@ -131,6 +156,10 @@ class Request:
     include: frozenset[str] = frozenset()
 
 
+#: Requests of one entity: their block ranges and field values.
+Wanted = list[tuple[Range, dict[str, Any]]]
+
+
 @dataclass(frozen=True)
 class Query:
     """Immutable; each call returns a new one."""
@@ -171,57 +200,85 @@ class Query:
         listed = [{"kind": r.kind, **dict(r.fields), "include": sorted(r.include)} for r in self.requests]
         return query_hash({"type": self.network, "fields": dict(self.fields), "requests": listed})
 
+    def needed(self) -> dict[str, Any]:
+        """The fields that the scan has to read: selected ones, those that requests and related items look at, and an item's place.
+
+        Of an entity that the selection doesn't name, all fields; of the header only a block's place, unless there is no selection at all.
+        """
+        full = {f.name: f.dataType.elementType for f in schemas.schema(self.network).fields if f.name != "header"}
+        out: dict[str, Any] = {"header": self._chosen("blocks") or bool(not self.fields) or {}}
+
+        def add(entity: str, names: Iterable[str]) -> None:
+            for name in names:
+                top, *rest = name.split(".")
+                if top in full[entity].names:
+                    tree = reduce(lambda tree, part: {part: tree}, reversed(rest), True)
+                    out[entity] = _both(out.get(entity), {top: tree})
+
+        direct, brought = self._plan()
+        for entity in dict.fromkeys([*direct, *brought]):
+            out[entity] = _both(out.get(entity), self._chosen(entity) or True)
+            add(entity, PLACE)
+        for entity, wanted in [*direct.items(), *((source, w) for parts in brought.values() for source, _, w in parts)]:
+            met: list[str] = []
+            for _, fields in wanted:
+                request_predicate(fields, full[entity].names, lambda name, met=met: (met.append(name), F.col(name))[1])
+            add(entity, ["data" if name == "data_hex" else name for name in met])
+        for target, parts in brought.items():
+            for source, relation, _ in parts:
+                pairs = [*relation.keys, *([relation.path] if relation.path else [])]
+                add(source, [a for a, _ in pairs])
+                add(target, [b for _, b in pairs])
+        return out
+
+    def read(self, spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+        """Blocks with the fields that `run` needs of them, and no other: the reader's schema is clipped. form: parquet, or json for lines of it."""
+        return {"parquet": schemas.read_stored, "json": schemas.read_blocks}[form](spark, path, self.network, self.needed())
+
     def run(self, blocks: DataFrame, limit: Range = Range(0)) -> dict[str, DataFrame]:
         """The selected items by entity, `blocks` among them: each item once, whatever number of requests it fits.
 
         Blocks are those with a selected item, and all in the ranges of `include_all_blocks`. Of an entity that the field
         selection names, only the selected fields and an item's place are returned.
+
+        All that belongs together lies in the row of its block, so items, related ones too, are picked from its arrays: each result is one
+        scan, without an exchange.
         """
         number = F.col("header.number")
         asked = [r.range for r in self.requests] + [*self.ranges, *self.all_blocks]
         inside = blocks.where(in_range(number, limit) & (either([in_range(number, r) for r in asked]) if asked else F.lit(True)))
-        picked: dict[str, list[DataFrame]] = {}
+        direct, brought = self._plan()
+        for entity in dict.fromkeys([*direct, *(source for parts in brought.values() for source, _, _ in parts)]):
+            if any(f in fields for _, fields in direct.get(entity, ()) for f in ("d1", "d2", "d4", "d8")):
+                inside = inside.withColumn(_hex(entity), base58_hexes(F.transform(entity, lambda x: x.getField("data"))))
+        place = [number.alias("block_number"), F.col("header.hash").alias("block_hash"), F.col("block_time")]
+        out = {}
+        for entity in dict.fromkeys([*direct, *brought]):
+            picked = inside.select(*place, F.explode(self._picked(inside, entity, direct.get(entity), brought.get(entity, []))).alias("item"))
+            out[entity] = picked.select("block_number", "block_hash", "block_time", "item.*")
+        has_item = [F.exists(F.transform(entity, self._test(inside, entity, wanted)), lambda found: found) for entity, wanted in direct.items()]
+        kept = inside.where(either([*has_item, *[in_range(number, r) for r in self.all_blocks]]))
+        chosen, kind = self._chosen("blocks"), inside.schema["header"].dataType
+        names = [f for f in kind.fields if chosen is None or f.name in PLACE or chosen.get(f.name)]
+        out["blocks"] = kept.select(*[schemas.picked(F.col("header").getField(f.name), f.dataType, _of(chosen, f.name)).alias(f.name) for f in names])
+        return out
+
+    def _chosen(self, entity: str) -> Mapping[str, Any] | None:
+        """The selected fields of an entity; None for all."""
+        return next((c for name, c in self.fields.items() if SELECTED.get(name) == entity and isinstance(c, Mapping)), None)
+
+    def _plan(self) -> tuple[dict[str, Wanted], dict[str, list[tuple[str, Relation, Wanted]]]]:
+        """What is asked for by entity, and by entity what matches of others bring along."""
+        direct: dict[str, Wanted] = {}
+        brought: dict[str, list[tuple[str, Relation, Wanted]]] = {}
         for kind in dict.fromkeys(r.kind for r in self.requests):
             own = [r for r in self.requests if r.kind == kind]
             entity = REQUESTS[self.network][kind]
-            rows = self._items(inside, entity, own)
-            picked.setdefault(entity, []).append(match(rows, [self._wanted(kind, r) for r in own]).drop("data_hex"))
+            direct.setdefault(entity, []).extend(self._wanted(kind, r) for r in own)
             for flag in dict.fromkeys(f for r in own for f in sorted(r.include)):
-                found = match(rows, [self._wanted(kind, r) for r in own if flag in r.include])
                 relation = RELATIONS.get(f"{entity}.{flag}") or RELATIONS[flag]
-                picked.setdefault(relation.target, []).append(self._related(inside, found, relation))
-        out = {}
-        for entity, parts in picked.items():
-            keys = parts[0]
-            for part in parts[1:]:
-                keys = keys.unionByName(part)
-            if len(parts) > 1:  # an item is known by its place in its block
-                place = keys.select("block_number", "ordinal").distinct()
-                keys = schemas.items(inside, entity).join(place, ["block_number", "ordinal"], "left_semi")
-            out[entity] = keys
-        headers = inside.select("header.*")
-        wanted_blocks = either([in_range(F.col("number"), r) for r in self.all_blocks])
-        with_items = [x.select(F.col("block_number").alias("number")) for x in out.values()]
-        if with_items:
-            numbers = with_items[0]
-            for part in with_items[1:]:
-                numbers = numbers.union(part)
-            marked = headers.join(numbers.distinct().withColumn("_has", F.lit(True)), "number", "left")
-            out["blocks"] = marked.where(F.coalesce("_has", F.lit(False)) | wanted_blocks).drop("_has")
-        else:
-            out["blocks"] = headers.where(wanted_blocks)
-        for name, chosen in self.fields.items():
-            if isinstance(chosen, Mapping) and SELECTED.get(name) in out:
-                rows = out[SELECTED[name]]
-                out[SELECTED[name]] = rows.select(*[c for c in rows.columns if c in PLACE or chosen.get(c)])
-        return out
-
-    @staticmethod
-    def _items(blocks: DataFrame, entity: str, requests: Sequence[Request]) -> DataFrame:
-        """The entity's items; with their data in hex where a request asks for its first bytes."""
-        rows = schemas.items(blocks, entity)
-        by_data = any(f in r.fields for r in requests for f in ("d1", "d2", "d4", "d8"))
-        return rows.withColumn("data_hex", base58_hex(F.col("data"))) if by_data else rows
+                brought.setdefault(relation.target, []).append((entity, relation, [self._wanted(kind, r) for r in own if flag in r.include]))
+        return direct, brought
 
     @staticmethod
     def _wanted(kind: str, request: Request) -> tuple[Range, dict[str, Any]]:
@@ -229,15 +286,53 @@ class Query:
         return request.range, {**IMPLIED.get(kind, {}), **{renamed.get(k, k): v for k, v in request.fields.items()}}
 
     @staticmethod
-    def _related(blocks: DataFrame, found: DataFrame, relation: Relation) -> DataFrame:
-        others = schemas.items(blocks, relation.target)
-        keys = [("block_number", "block_number"), *relation.keys]
-        path = [F.col(relation.path[0]).alias("_path")] if relation.path else []
-        near = found.select(*[F.col(a).alias(f"_k{i}") for i, (a, _) in enumerate(keys)], *path).distinct()
-        same = reduce(lambda x, y: x & y, [F.col(f"o.{b}") == F.col(f"n._k{i}") for i, (_, b) in enumerate(keys)])
-        if relation.path:
-            theirs, ours = F.col(f"o.{relation.path[1]}"), F.col("n._path")
-            inner, outer = (theirs, ours) if relation.mode == "extension" else (ours, theirs)
-            below = (F.size(inner) > F.size(outer)) & (F.slice(inner, F.lit(1), F.size(outer)) == outer)
-            same = same & (theirs == ours if relation.mode == "same" else below)
-        return others.alias("o").join(near.alias("n"), same, "left_semi")
+    def _test(blocks: DataFrame, entity: str, wanted: Wanted) -> Callable:
+        """Whether an item is asked for, as a function of it and its index, by which the hex of its data is found."""
+        names, number = blocks.schema[entity].dataType.elementType.names, F.col("header.number")
+
+        def test(item: Column, i: Column) -> Column:
+            at = lambda name: F.get(F.col(_hex(entity)), i) if name == "data_hex" else reduce(lambda x, part: x.getField(part), name.split("."), item)
+            return either([in_range(number, over) & request_predicate(fields, names, at) for over, fields in wanted])
+
+        return test
+
+    def _picked(self, blocks: DataFrame, entity: str, wanted: Wanted | None, brought: list[tuple[str, Relation, Wanted]]) -> Column:
+        """The array of an entity's items that are asked for or brought along, with their places in the whole array."""
+        kind, chosen = blocks.schema[entity].dataType.elementType, self._chosen(entity)
+        names = [f for f in kind.fields if chosen is None or f.name in PLACE or chosen.get(f.name)]
+        known = [relation.known(entity_of, self._test(blocks, entity_of, w)) for entity_of, relation, w in brought]
+
+        def of(sets: Sequence[Column]) -> Column:
+            def pick(x: Column, i: Column) -> Column:
+                tests = [self._test(blocks, entity, wanted)(x, i)] if wanted is not None else []
+                tests += [relation.holds(x, held) for (_, relation, _), held in zip(brought, sets, strict=True)]
+                item = F.struct(i.alias("ordinal"), *[schemas.picked(x.getField(f.name), f.dataType, _of(chosen, f.name)).alias(f.name) for f in names])
+                return F.when(either([F.coalesce(t, F.lit(False)) for t in tests]), item)
+
+            return F.array_compact(F.transform(entity, pick))
+
+        return bound_once(known, of)
+
+
+def _hex(entity: str) -> str:
+    return f"_hex_{entity}"
+
+
+def _of(chosen: Mapping[str, Any] | None, name: str) -> Any:
+    return True if chosen is None else chosen.get(name) or True
+
+
+def _both(a: Any, b: Any) -> Any:
+    """Fields of both selections; all fields if one of them takes all."""
+    if a is None or b is None:
+        return b if a is None else a
+    if not (isinstance(a, Mapping) and isinstance(b, Mapping)):
+        return True
+    return {k: _both(a.get(k), b.get(k)) for k in [*a, *(k for k in b if k not in a)]}
+
+
+def bound_once(values: Sequence[Column], body: Callable[[list[Column]], Column]) -> Column:
+    """body(values), each value computed once a row though the body looks at it for every item: it is a variable of an enclosing function."""
+    if not values:
+        return body([])
+    return F.get(F.transform(F.array(values[0]), lambda v: bound_once(values[1:], lambda rest: body([v, *rest]))), F.lit(0))

@@ -19,7 +19,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -472,8 +472,10 @@ class SignedSink(FileSink):
 class TableSink(FileSink):
     """Keyed tables: upserts and deletes by batch, undone after a fork. Data, undo records and state change in one version.
 
-    A batch's rows may carry `operation` (`UPSERT` or `DELETE`); undo records are kept while a fork can reach them. A batch
-    above the floor holds one block. Rows lie in `buckets` folders by their key; only those that a batch touches are rewritten.
+    A batch's rows may carry `operation` (`UPSERT` or `DELETE`) and, where a key changes twice in one block, `position`, which orders these
+    changes; without it they are refused. The newest change of a key counts. Each change above the floor is logged at its own row's block,
+    with what the key was before, so a fork may go back to any block of a batch. Rows lie in `buckets` folders by their key; only those
+    that a batch touches are rewritten.
     """
 
     def __init__(self, spark: SparkSession, path: str, declared: Sequence[Table], buckets: int = 64, **options):
@@ -519,23 +521,46 @@ class TableSink(FileSink):
         reachable = after.finalized is not None and bool(blocks) and blocks[-1].number > after.finalized.number
         for name, part in rows.items():
             t = self.table(name)
-            given = (part if "operation" in part.columns else part.withColumn("operation", F.lit("UPSERT"))).persist()
+            given = self._changes(t, part).persist()
             try:
-                keys, changed = list(t.keys), given.select(*t.keys).distinct()
+                keys = list(t.keys)
+                changed = given.select(*keys).distinct()
                 hit, old = self._touched(t, data.get(name, {}), changed)
                 if reachable:
-                    at = F.lit(blocks[-1].number).cast("long").alias("changed_at")
-                    before = old.join(changed, keys, "left_semi").withColumn("operation", F.lit("UPDATE"))
-                    new = changed.join(old.select(*keys), keys, "left_anti").withColumn("operation", F.lit("INSERT"))
-                    images = before.unionByName(new, allowMissingColumns=True).select("*", at)
                     log = self._read([undo[name]] if name in undo else [], self._undo_schema(t)).where(F.col("changed_at") > after.finalized.number)
+                    images = self._images(t, given, old).where(F.col("changed_at") > after.finalized.number)
                     undo[name] = self._save(log.unionByName(images), f"_undo-{name}")
-                fresh = t.check(given.where("operation <> 'DELETE'").drop("operation"))
+                newest = given.groupBy(*keys).agg(F.max_by(F.struct(*given.columns), F.col(t.number)).alias("_row")).select("_row.*")
+                fresh = t.check(newest.where("operation <> 'DELETE'").select(*t.schema.names))
                 data[name] = self._rewritten(t, data.get(name, {}), hit, old.join(changed, keys, "left_anti").unionByName(fresh))
             finally:
                 given.unpersist()
         self._swap(known, after, data, undo)
 
+    @staticmethod
+    def _changes(t: Table, part: DataFrame) -> DataFrame:
+        """The last change of each key in each block."""
+        given = part if "operation" in part.columns else part.withColumn("operation", F.lit("UPSERT"))
+        keys = [*t.keys, t.number]
+        place = F.col("position") if "position" in part.columns else F.lit(0)
+        row = F.struct(*t.schema.names, "operation")
+        found = given.withColumn("_at", place).groupBy(*keys).agg(F.max_by(row, "_at").alias("_row"), F.count("*").alias("_n"), F.count_distinct("_at").alias("_places"))
+        if not (tied := found.where("_n > _places").limit(1)).isEmpty():
+            raise LoomError("E2319", f"{t.name}: {tied.select(*keys).first()}")
+        return found.select("_row.*")
+
+    @staticmethod
+    def _images(t: Table, given: DataFrame, old: DataFrame) -> DataFrame:
+        """What each changed key was before each of its changes: an INSERT record where it wasn't there."""
+        keys, columns = list(t.keys), list(t.schema.names)
+        before = F.lag(F.struct(*columns, "operation")).over(Window.partitionBy(*keys).orderBy(t.number))
+        steps = given.select(*keys, F.col(t.number).cast("long").alias("changed_at"), before.alias("_before"))
+        stored = old.select(*keys, F.struct(*columns, F.lit("UPSERT").alias("operation")).alias("_stored"))
+        was = F.coalesce("_before", "_stored")
+        found = steps.join(stored, keys, "left").withColumn("_was", was).withColumn("_there", F.col("_was").isNotNull() & (F.col("_was.operation") != "DELETE"))
+        fields = [F.col(c) if c in keys else F.when(F.col("_there"), F.col(f"_was.{c}")).alias(c) for c in columns]
+        return found.select(*fields, F.when(F.col("_there"), "UPDATE").otherwise("INSERT").alias("operation"), "changed_at")
+
     def _swap(self, known: dict, after: PipeState, data: dict, undo: dict) -> None:
         self._commit(known, after, data=data, undo=undo)
         named = lambda d, u: {f for by in d.values() for f in by.values()} | set(u.values())

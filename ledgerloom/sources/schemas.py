@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,30 +116,36 @@ def merge_fields(a: Selection, b: Selection) -> dict[str, Any]:
     return out
 
 
+def clipped(network: str, selection: Selection | None) -> T.StructType:
+    """What a reader has to read: the selected fields and those that say which block it is; the whole schema without a selection."""
+    return schema(network) if selection is None else project(schema(network), merge_fields(selection, {"header": _block(selection.get("header"))}))
+
+
+def _block(chosen: Any) -> Any:
+    return True if chosen is True else {"number": True, "hash": True, "timestamp": True}
+
+
 def read_blocks(spark: SparkSession, path: str, network: str, selection: Selection | None = None) -> DataFrame:
     """Blocks from JSON lines. What isn't selected isn't parsed; a line that doesn't fit the schema fails the job.
 
     Selected arrays that a block lacks are empty, header time comes as `block_time` besides.
     """
-    chosen = schema(network) if selection is None else project(schema(network), merge_fields({"header": {"number": True, "hash": True, "timestamp": True}}, selection))
-    return normalized(spark.read.schema(chosen).option("mode", "FAILFAST").json(path), network)
+    return normalized(spark.read.schema(clipped(network, selection)).option("mode", "FAILFAST").json(path), network)
 
 
 def read_stored(spark: SparkSession, path: str, network: str, selection: Selection | None = None) -> DataFrame:
-    """Blocks from Parquet; nested columns that aren't selected aren't read."""
-    blocks = spark.read.schema(schema(network)).parquet(path)
-    if selection is None:
-        return normalized(blocks, network)
-    chosen = project(schema(network), merge_fields({"header": {"number": True, "hash": True, "timestamp": True}}, selection))
-    return normalized(blocks.select(*[_picked(F.col(f.name), f.dataType).alias(f.name) for f in chosen.fields]), network)
-
-
-def _picked(column, kind: T.DataType):
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return F.transform(column, lambda x: _picked(x, kind.elementType))
-    if isinstance(kind, T.StructType):
-        return F.struct(*[_picked(column[f.name], f.dataType).alias(f.name) for f in kind.fields])
-    return column
+    """Blocks from Parquet. The reader's own schema is clipped to the selection, so other fields, nested ones too, aren't read."""
+    return normalized(spark.read.schema(clipped(network, selection)).parquet(path), network)
+
+
+def picked(column: Column, kind: T.DataType, chosen: Any = True) -> Column:
+    """The selected fields of a nested column, within arrays too; null stays null."""
+    if not isinstance(chosen, Mapping):
+        return column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: picked(x, kind.elementType, chosen))
+    fields = [f for f in kind.fields if chosen.get(f.name)]
+    return F.when(column.isNotNull(), F.struct(*[picked(column.getField(f.name), f.dataType, chosen[f.name]).alias(f.name) for f in fields]))
 
 
 def normalized(blocks: DataFrame, network: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import json
+import random
+import re
 
-from ledgerloom.plans.query import Query
+import pytest
+
+from ledgerloom.plans.query import RELATIONS, Query
 from ledgerloom.plans.ranges import Range
 from ledgerloom.sources import schemas
 
@@ -230,3 +234,121 @@ def test_fields_and_ranges(spark, tmp_path):
     assert out["logs"].columns == ["block_number", "block_hash", "block_time", "ordinal", "transactionIndex", "address"]
     assert "from" in out["transactions"].columns and out["blocks"].columns == ["number", "hash", "timestamp"]
     assert places(out["logs"], "block_number") == [(2,), (3,)] == places(out["blocks"], "number")
+
+
+def scanned(df):
+    """The schema that the scan reads, and the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    (node,) = [n for n in leaves(df._jdf.queryExecution().executedPlan()) if "Scan" in n.nodeName()]
+    return node.requiredSchema().catalogString(), plan
+
+
+def leaves(plan):
+    plan = plan.inputPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    kids = [plan.children().apply(i) for i in range(plan.children().size())]
+    return [leaf for k in kids for leaf in leaves(k)] if kids else [plan]
+
+
+PLACE = "header:struct<number:bigint,hash:string,timestamp:bigint>"
+READS = [
+    (
+        Query("evm").add_fields({"log": {"address": True}, "transaction": {"hash": True}, "trace": {"type": True}}).add_request("logs", include={"transaction": True, "transactionTraces": True}, topic0=["0xt"]),
+        PLACE + ",transactions:array<struct<transactionIndex:bigint,hash:string>>,logs:array<struct<transactionIndex:bigint,address:string,topics:array<string>>>,traces:array<struct<type:string,transactionIndex:bigint>>",
+    ),
+    (
+        Query("evm").add_fields({"trace": {"action": {"to": True}}, "block": {"miner": True}}).add_request("traces", include={"parents": True, "subtraces": True}, callSighash=["0x1"]),
+        "header:struct<number:bigint,hash:string,timestamp:bigint,miner:string>,traces:array<struct<type:string,transactionIndex:bigint,traceAddress:array<bigint>,action:struct<to:string,sighash:string>>>",
+    ),
+    (
+        Query("solana").add_fields({"instruction": {"programId": True}, "transaction": {"signatures": True}}).add_request("instructions", include={"innerInstructions": True, "transaction": True}, a1=["x"], isCommitted=True),
+        "header:struct<hash:string,number:bigint,timestamp:bigint>,transactions:array<struct<transactionIndex:bigint,signatures:array<string>>>,instructions:array<struct<transactionIndex:bigint,instructionAddress:array<bigint>,programId:string,accounts:array<string>,isCommitted:boolean>>",
+    ),
+    (
+        Query("bitcoin").add_fields({"output": {"value": True}}).add_request("outputs", include={"transactionOutputs": True}, scriptPubKeyType=["s"]),
+        PLACE + ",outputs:array<struct<transactionIndex:bigint,value:double,scriptPubKeyType:string>>",
+    ),
+    (
+        Query("tron").add_fields({"log": {"data": True}}).add_request("triggerSmartContractTransactions", include={"logs": True}, owner=["41aa"]).add_fields({"transaction": {"fee": True}}),
+        PLACE + ",transactions:array<struct<transactionIndex:bigint,hash:string,type:string,parameter:string,timestamp:bigint,fee:string>>,logs:array<struct<transactionIndex:bigint,data:string>>",
+    ),
+    (
+        Query("hyperliquidFills").add_fields({"fill": {"coin": True}}).add_request("fills", user=["u"]),
+        PLACE + ",fills:array<struct<user:string,coin:string,hash:string>>",
+    ),
+    (
+        Query("substrate").add_fields({"call": {"name": True}, "event": {"name": True}, "extrinsic": {"success": True}}).add_request("evmLogs", include={"stack": True, "extrinsic": True}, address=["0x3"]),
+        PLACE + ",extrinsics:array<struct<index:bigint,success:boolean,hash:string>>,calls:array<struct<extrinsicIndex:bigint,address:array<bigint>,name:string>>,events:array<struct<name:string,args:string,extrinsicIndex:bigint,callAddress:array<bigint>>>",
+    ),
+]
+
+
+@pytest.mark.parametrize(("q", "expected"), READS, ids=lambda x: x.network if isinstance(x, Query) else "")
+def test_scans_read_what_is_asked_for(spark, tmp_path, q, expected):
+    """One scan of the clipped schema for each result, whatever it brings along, and no exchange."""
+    path = str(tmp_path / "stored")
+    spark.createDataFrame([], schemas.schema(q.network)).write.parquet(path)
+    blocks = q.read(spark, path)
+    assert blocks.drop("block_time").schema.simpleString() == f"struct<{expected}>"
+    chosen = schemas.read_stored(spark, path, q.network, {"header": {"parentHash": True}})
+    assert scanned(chosen)[0].startswith("struct<header:struct<") and "parentHash" in scanned(chosen)[0] and scanned(chosen)[0].count(":") == 5
+    wanted = dict(part.split(":", 1) for part in re.split(r",(?=[a-zA-Z]+:(?:array|struct)<)", expected) if part.count("<") == part.count(">"))
+    for entity, df in q.run(blocks).items():
+        read, plan = scanned(df)
+        assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+        assert all(f"{name}:{kind}" in expected for name, kind in wanted.items() if name in read)
+        assert entity == "blocks" or "logsBloom" not in read
+        assert df.count() == 0
+
+
+def brute(rows, network, entity, wanted, flag):
+    """The items by a loop over all pairs of a block."""
+    relation = RELATIONS.get(f"{entity}.{flag}") or RELATIONS[flag]
+    found = set()
+    for b in rows:
+        number = b["header"]["number"]
+        for m in filter(wanted, b[entity]):
+            for k, x in enumerate(b[relation.target]):
+                if all(m[p] is not None and m[p] == x[q] for p, q in relation.keys):
+                    if relation.path is None:
+                        found.add((number, k))
+                        continue
+                    mine, theirs = m[relation.path[0]], x[relation.path[1]]
+                    if mine is None or theirs is None:
+                        continue
+                    short, long = (mine, theirs) if relation.mode == "extension" else (theirs, mine)
+                    if mine == theirs if relation.mode == "same" else len(short) < len(long) and long[: len(short)] == short:
+                        found.add((number, k))
+    return found
+
+
+def test_related_items_equal_a_loop_over_pairs(spark, tmp_path):
+    """All relations with paths and one without, with nulls, repeated items and blocks without some arrays."""
+    rng = random.Random(9)
+    path = lambda: rng.choice([None, [], [0], [1], [0, 1], [0, 1, 2], [1, 0], [0, 0, 0, 1]])
+    some = lambda make: [make() for _ in range(rng.randint(0, 12))]
+    index = lambda: rng.choice([None, 0, 1, 2])
+    evm_rows = [{"header": header(n), "traces": some(lambda: {"transactionIndex": index(), "traceAddress": path(), "type": "call", "action": {"to": rng.choice("ab")}}), "logs": some(lambda: {"transactionIndex": index(), "address": rng.choice("ab")})} for n in range(30)]
+    sub_rows = [{"header": header(n), "calls": some(lambda: {"extrinsicIndex": index(), "address": path(), "name": rng.choice("ab")}), "events": some(lambda: {"extrinsicIndex": index(), "callAddress": path(), "name": rng.choice("ab")}), "extrinsics": [{"index": i} for i in range(3)]} for n in range(30)]
+    for network, rows, kind, entity, fields, wanted, flags in (
+        ("evm", evm_rows, "traces", "traces", {"callTo": ["a"]}, lambda m: m["action"]["to"] == "a", ("parents", "subtraces", "transactionLogs")),
+        ("evm", evm_rows, "logs", "logs", {"address": ["a"]}, lambda m: m["address"] == "a", ("transactionTraces", "transactionLogs")),
+        ("substrate", sub_rows, "calls", "calls", {"name": ["a"]}, lambda m: m["name"] == "a", ("stack", "events", "extrinsic")),
+        ("substrate", sub_rows, "events", "events", {"name": ["a"]}, lambda m: m["name"] == "a", ("stack", "call", "extrinsic")),
+    ):
+        blocks = schemas.read_blocks(spark, write(tmp_path / f"{network}{kind}", rows), network)
+        for flag in flags:
+            target = (RELATIONS.get(f"{entity}.{flag}") or RELATIONS[flag]).target
+            out = Query(network).add_request(kind, Range(3, 25), {flag: True}, **fields).run(blocks)
+            inside = [b for b in rows if 3 <= b["header"]["number"] <= 25]
+            direct = {(b["header"]["number"], k) for b in inside for k, x in enumerate(b[entity]) if wanted(x)}
+            expected = brute(inside, network, entity, wanted, flag) | (direct if target == entity else set())
+            assert places(out[target], "block_number", "ordinal") == sorted(expected), (network, kind, flag)
+            assert places(out["blocks"], "number") == sorted({(n,) for n, _ in direct})
+
+
+def test_nested_selections_and_null_items(spark, tmp_path):
+    path = write(tmp_path / "b", [evm(1, traces=[trace(0, 2), {"type": "create", "transactionIndex": 0, "traceAddress": [], "action": None}])])
+    q = Query("evm").add_fields({"trace": {"type": True, "action": {"to": True}}}).add_request("traces")
+    out = q.run(schemas.read_blocks(spark, path, "evm"))["traces"]
+    assert [(r.type, r.action and r.action.asDict()) for r in out.collect()] == [("call", {"to": "0x2"}), ("create", None)]
+    assert q.run(q.read(spark, path, "json"))["traces"].collect() == out.collect()

@@ -167,6 +167,29 @@ def test_table_sink_undoes_updates_inserts_and_deletes(spark, tmp_path):
         TableSink(spark, str(tmp_path / "x"), [Table("balances", schema)])
 
 
+def test_table_sink_orders_the_changes_of_a_batch(spark, tmp_path):
+    """Batches of several blocks, keys that change more than once, forks to every block: as a dictionary replayed block by block."""
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("block_number", T.LongType()), T.StructField("v", T.LongType())])
+    batch = lambda *rows: {"balances": spark.createDataFrame(list(rows), "k string, block_number long, v long, operation string, position long")}
+    first = [("x", 4, 1, "UPSERT", 0), ("z", 4, 9, "UPSERT", 0), ("gone", 4, 2, "UPSERT", 0)]
+    second = [("x", 5, 2, "UPSERT", 0), ("y", 6, 3, "UPSERT", 0), ("x", 6, 4, "UPSERT", 1), ("x", 6, 5, "UPSERT", 2), ("z", 5, 0, "DELETE", 0), ("z", 6, 8, "UPSERT", 0), ("gone", 6, 0, "DELETE", 0), ("new", 5, 7, "UPSERT", 0), ("new", 5, 0, "DELETE", 1), ("new", 6, 6, "UPSERT", 0)]
+    for safe in (4, 5, 6):
+        sink = TableSink(spark, str(tmp_path / f"t{safe}"), [Table("balances", schema, keys=("k",))], buckets=4)
+        sink.write(batch(*first), c("4"), c("4")[0])
+        sink.write(batch(*second), c("5 6a"), c("4")[0])
+        held = {}
+        for k, n, v, op, _ in sorted(first + second, key=lambda r: (r[1], r[4])):
+            if n <= safe:
+                held.pop(k, None)
+                if op == "UPSERT":
+                    held[k] = (n, v)
+        if safe < 6:
+            sink.fork(c(f"{safe} 6b" if safe == 5 else "4 5b"))
+        assert sorted((r.k, (r.block_number, r.v)) for r in sink.rows("balances").collect()) == sorted(held.items())
+    with pytest.raises(LoomError, match="E2319"):
+        sink.write({"balances": spark.createDataFrame([("q", 7, 1), ("q", 7, 2)], "k string, block_number long, v long")}, c("7"), c("4")[0])
+
+
 def test_write_ahead_sink(spark, tmp_path):
     path = str(tmp_path / "w")
     sink = WriteAheadSink(spark, path, [Table("blocks", BLOCKS)])
