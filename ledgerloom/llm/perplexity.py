@@ -2,9 +2,9 @@
 
 The model is over characters, in n-grams of order 5, counted by Spark over all documents. A character is a symbol of 12 bits:
 itself below U+0C00 (digits are one), a hash beyond, so an n-gram is a hash of 60 bits, its suffix and its context are parts of
-it, and discounts, continuation counts, contexts and interpolation are aggregations and joins by them. An n-gram counts in as
-many documents as have it, less one, so no document is predicted by itself alone. The model is, by order, a table of n-grams
-with their log-probabilities and one of contexts with their log back-off weights.
+it, and discounts, continuation counts, contexts and interpolation are aggregations and joins by them. Every occurrence
+counts, and no n-gram is left out. The model is, by order, a table of n-grams with their log-probabilities and one of contexts
+with their log back-off weights, in whole millionths.
 
 What tasks get are these tables as sorted arrays of hashes with an index of their top bits, up to `MODEL_ROWS` rows. A larger model sends its most frequent
 n-grams of order 5 in as many rows; characters whose n-gram isn't among them are looked up in the full tables by joins, once for each
@@ -37,7 +37,7 @@ ORDER, BITS, LETTERS = 5, 12, 0xC00
 #: Rows of the model (16 bytes each) that are sent to all tasks; n-grams that a task holds before it hands its counts on.
 MODEL_ROWS, TASK_GRAMS = 1 << 22, 1 << 21
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-BELOW, ABOVE, MIN_IQR, SHRINK = 6.0, 5.0, 0.01, 30
+BELOW, ABOVE, MIN_IQR, SHRINK = 6.0, 3.5, 0.01, 30
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -69,7 +69,7 @@ def gram_codes(first: np.ndarray, c: np.ndarray, order: int = ORDER) -> np.ndarr
 
 
 def count_grams(docs: DataFrame, text: str) -> DataFrame:
-    """(code, n): the documents that have the n-gram; tasks add up what they can before the shuffle."""
+    """(code, n): how often each n-gram occurs in all texts; tasks add up what they can before the shuffle."""
 
     def rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(codes), 100_000):
@@ -80,13 +80,7 @@ def count_grams(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for _, _, at, raw in common.blocks(common.column(batch, text), 4 << 20):
                 c, _, first = symbols(at, raw)
-                grams = gram_codes(first, c)
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    grams[a:b].sort()
-                new = np.ones(len(grams), bool)
-                new[1:] = grams[1:] != grams[:-1]
-                new[first[:-1][first[:-1] < len(grams)]] = True  # once for each document
-                found, times = np.unique(grams[new], return_counts=True)
+                found, times = np.unique(gram_codes(first, c), return_counts=True)
                 codes, n = added(np.concatenate([codes, found]), np.concatenate([n, times]))
                 if len(codes) > TASK_GRAMS:
                     yield from rows(codes, n)
@@ -115,26 +109,32 @@ def _context(code: Column) -> Column:
     return F.shiftright(code, BITS)
 
 
-UNIFORM = -BITS * float(np.log(2.0))
+#: Logarithms are whole millionths of a nat, so their sums are the same in any order and by every way.
+UNIT = 1_000_000
+UNKNOWN, UNIFORM = 1, round(-BITS * float(np.log(2.0)) * UNIT)
+
+
+def _log(p: Column) -> Column:
+    return F.round(F.log(p) * UNIT).cast("int")
 
 
 @dataclass
 class Model:
-    """By order 1 to ORDER: grams (code, n, logp) and contexts (ctx, weight)."""
+    """By order 1 to ORDER: grams (code, n, p, logp) and contexts (ctx, weight), which is the logarithm of what they leave to the order below."""
 
     grams: dict[int, DataFrame]
     contexts: dict[int, DataFrame]
 
     def resolve(self, codes: DataFrame) -> DataFrame:
         """(code, logp) of distinct n-grams (code), by joins: the longest known suffix, and the weights of the contexts passed."""
-        left = codes.select("code", F.col("code").alias("rest"), F.lit(0.0).alias("sum"))
+        left = codes.select("code", F.col("code").alias("rest"), F.lit(0).cast("long").alias("sum"))
         done = []
         for k in range(ORDER, 0, -1):
             known = left.join(self.grams[k].select(F.col("code").alias("rest"), "logp"), "rest", "left")
             known = common.saved(known)
             done.append(known.where("logp is not null").select("code", (F.col("sum") + F.col("logp")).alias("logp")))
             missed = known.where("logp is null").withColumn("ctx", _context(F.col("rest"))).join(self.contexts[k], "ctx", "left")
-            left = missed.select("code", _suffix(F.col("rest"), k).alias("rest"), (F.col("sum") + F.coalesce("weight", F.lit(0.0))).alias("sum"))
+            left = missed.select("code", _suffix(F.col("rest"), k).alias("rest"), (F.col("sum") + F.coalesce("weight", F.lit(0))).alias("sum"))
         out = left.select("code", (F.col("sum") + UNIFORM).alias("logp"))
         for part in done:
             out = out.unionByName(part)
@@ -150,7 +150,7 @@ def discounts(grams: DataFrame) -> list[float]:
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    counted = common.saved(count_grams(docs, text).where("n > 1").select("code", (F.col("n") - 1).alias("n")))
+    counted = common.saved(count_grams(docs, text))
     counts = {ORDER: counted}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
         counts[k] = common.saved(counts[k + 1].groupBy(_suffix(F.col("code"), k + 1).alias("code")).agg(F.count("*").alias("n")))
@@ -160,14 +160,14 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         cut = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
         rows = counts[k].select("code", "n", cut.alias("cut"), _context(F.col("code")).alias("ctx"))
         totals = common.saved(rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass")))
-        below = F.lit(1.0 / (1 << BITS)) if k == 1 else F.exp("below")
+        below = F.lit(1.0 / (1 << BITS)) if k == 1 else F.col("below")
         joined = rows.join(totals, "ctx")
         if k > 1:
-            lower = model.grams[k - 1].select(F.col("code").alias("rest"), F.col("logp").alias("below"))
+            lower = model.grams[k - 1].select(F.col("code").alias("rest"), F.col("p").alias("below"))
             joined = joined.withColumn("rest", _suffix(F.col("code"), k)).join(lower, "rest")
         p = (F.col("n") - F.col("cut") + F.col("mass") * below) / F.col("total")
-        model.grams[k] = common.saved(joined.select("code", "n", F.log(p).alias("logp")))
-        model.contexts[k] = totals.select("ctx", F.log(F.col("mass") / F.col("total")).alias("weight"))
+        model.grams[k] = common.saved(joined.select("code", "n", p.alias("p"), _log(p).alias("logp")))
+        model.contexts[k] = totals.select("ctx", _log(F.col("mass") / F.col("total")).alias("weight"))
     return model
 
 
@@ -191,7 +191,7 @@ class HashArray:
         firsts = np.arange((1 << bits) + 1, dtype=np.uint64)
         hashes = hashes[order]
         starts = np.searchsorted(hashes >> np.uint64(64 - bits), firsts).astype(np.int32)
-        return cls(hashes, values[order].astype(np.float32), starts, 64 - bits)
+        return cls(hashes, values[order].astype(np.int32), starts, 64 - bits)
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the wanted codes are there, the values of these)."""
@@ -236,20 +236,20 @@ class Arrays:
         return cls(False, {ORDER: pull(model.grams[ORDER].orderBy(F.desc("n"), "code").limit(rows), "code", "logp")}, {})
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Of n-grams; NaN where the arrays don't tell."""
-        out = np.zeros(len(codes), np.float32)
+        """Of n-grams, in units; UNKNOWN where the arrays don't tell."""
+        out = np.zeros(len(codes), np.int64)
         left, rest = np.arange(len(codes)), codes
         for k in range(ORDER, 0, -1):
             known, value = self.grams[k].find(rest)
             out[left[known]] += value
             left, rest = left[~known], rest[~known]
             if not self.whole:
-                out[left] = np.nan
+                out[left] = UNKNOWN
                 return out
             seen, weight = self.contexts[k].find(rest >> BITS)
             out[left[seen]] += weight
             rest = rest & ((1 << BITS * (k - 1)) - 1)
-        out[left] += np.float32(UNIFORM)
+        out[left] += UNIFORM
         return out
 
 
@@ -285,7 +285,7 @@ def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     """Base counts and `score` of every text (null without words)."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters")
     fields = [docs.schema[id_column], T.StructField("lang", T.StringType()), *(T.StructField(n, T.LongType()) for n in names)]
-    schema = T.StructType([*fields, T.StructField("sum", T.DoubleType()), T.StructField("row", T.LongType()), T.StructField("missing", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*fields, T.StructField("sum", T.LongType()), T.StructField("row", T.LongType()), T.StructField("missing", T.ArrayType(T.LongType()))])
     arrays = Arrays.of(model, MODEL_ROWS if rows is None else rows)
     sent = docs.sparkSession.sparkContext.broadcast(arrays)
 
@@ -297,7 +297,7 @@ def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
             for lo, hi, at, raw in common.blocks(common.column(batch, text)):
                 starts, ends, first = common.word_bounds(at, raw)
                 runs = common.run_hashes(common.span_hashes(raw, starts, ends), WINDOW)
-                sums = lambda x, at=at: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.float64)])[at])
+                sums = lambda x, at=at: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at])
                 data = raw.tobytes()
                 bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
                 words = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
@@ -305,7 +305,8 @@ def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
                 c, letters, begin = symbols(at, raw)
                 codes = gram_codes(begin, c)
                 logs = sent.value.log_probabilities(codes)
-                lacks = np.flatnonzero(np.isnan(logs))
+                lacks = np.flatnonzero(logs == UNKNOWN)
+                logs[lacks] = 0
                 parts = np.searchsorted(lacks, begin).astype(np.int32)
                 values = [
                     n_words,
@@ -317,7 +318,7 @@ def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
                 ]
                 part = batch.slice(lo, hi - lo)
                 made = [common.column(part, id_column), common.column(part, lang), *(pa.array(np.asarray(v).astype(np.int64)) for v in values)]
-                made += [pa.array(sums(np.nan_to_num(logs), begin)), pa.array(np.arange(row, row + hi - lo)), pa.ListArray.from_arrays(pa.array(parts), pa.array(codes[lacks]))]
+                made += [pa.array(sums(logs, begin)), pa.array(np.arange(row, row + hi - lo)), pa.ListArray.from_arrays(pa.array(parts), pa.array(codes[lacks]))]
                 row += hi - lo
                 yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
@@ -326,8 +327,8 @@ def measure(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
         lacks = common.saved(measured.select("row", F.explode("missing").alias("code")).groupBy("row", "code").agg(F.count("*").alias("n")))
         found = model.resolve(lacks.select("code").distinct())
         more = lacks.join(found, "code").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("more"))
-        measured = measured.join(more, "row", "left").withColumn("sum", F.col("sum") + F.coalesce("more", F.lit(0.0)))
-    return measured.withColumn("score", F.when(F.col("n_words") > 0, -F.col("sum") / F.greatest("n_letters", F.lit(1)))).select(*(f.name for f in fields), "score")
+        measured = measured.join(more, "row", "left").withColumn("sum", F.col("sum") + F.coalesce("more", F.lit(0)))
+    return measured.withColumn("score", F.when(F.col("n_words") > 0, -F.col("sum") / (UNIT * F.greatest("n_letters", F.lit(1))))).select(*(f.name for f in fields), "score")
 
 
 def judge(measured: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -187,13 +189,17 @@ def test_perplexity_base_counts(spark):
 
 
 def brute_grams(texts_, order):
-    """n-gram -> documents that have it, less one; null texts have none."""
+    """n-gram -> how often it occurs."""
     counts = {}
     for t in texts_:
-        c = [0] * (order - 1) + [48 if 48 <= ord(x) < 58 else ord(x) for x in t or ""]
-        for g in {tuple(c[k : k + order]) for k in range(len(c) - order + 1)}:
+        for g in grams_of(t, order):
             counts[g] = counts.get(g, 0) + 1
-    return {g: n - 1 for g, n in counts.items() if n > 1}
+    return counts
+
+
+def grams_of(text, order):
+    c = [0] * (order - 1) + [int(perplexity.TO_SYMBOL[ord(x)]) for x in text or ""]
+    return [tuple(c[k : k + order]) for k in range(len(c) - order + 1)]
 
 
 def brute_kneser_ney(counts, order):
@@ -235,29 +241,66 @@ def test_kneser_ney_equals_brute_force_and_is_a_distribution(spark):
     counts = brute_grams([t for _, t, _ in rows], order)
     pack = lambda g: sum(c << perplexity.BITS * (order - 1 - k) for k, c in enumerate(g))
     model = perplexity.train(docs)
-    plain = {g: n for g, n in counts.items() if all(c < perplexity.LETTERS for c in g)}
-    got = {r.code: r.n for r in model.grams[order].collect()}
-    assert {pack(g): n for g, n in plain.items()}.items() <= got.items() and len(got) >= len(plain)
+    assert {r.code: r.n for r in model.grams[order].collect()} == {pack(g): n for g, n in counts.items()}
+    plain = [g for g in counts if all(c < perplexity.LETTERS for c in g)]
     wanted = brute_kneser_ney(counts, order)
     probe = [*list(plain)[:300], *((*g[1:], 0x71) for g in list(plain)[:50]), (1, 2, 3, 4, 5), (0, 0, 0, 0, 0x7B)]
     codes = np.array([pack(g) for g in probe])
+    expected = [brute_log(wanted, g) for g in probe]
     for rows_ in (10**6, 40):  # all in arrays; the most frequent ones only
         arrays = perplexity.Arrays.of(model, rows_)
         logs = arrays.log_probabilities(codes)
-        known = ~np.isnan(logs)
+        known = logs != perplexity.UNKNOWN
         assert known.all() == arrays.whole and known.any()
-        assert np.allclose(np.exp(logs[known]), [brute_probability(wanted, g) for g, k in zip(probe, known, strict=True) if k], rtol=1e-3)
+        assert logs[known].tolist() == [x for x, k in zip(expected, known, strict=True) if k]
     resolved = {r.code: r.logp for r in model.resolve(spark.createDataFrame([(int(c),) for c in set(codes.tolist())], "code long")).collect()}
-    assert np.allclose([np.exp(resolved[int(c)]) for c in codes], [brute_probability(wanted, g) for g in probe], rtol=1e-6)
+    assert [resolved[int(c)] for c in codes] == expected
+    assert np.allclose(np.exp(np.array(expected) / perplexity.UNIT), [brute_probability(wanted, g) for g in probe], rtol=1e-5)
     context = codes[0] & ~np.int64(4095)
-    assert abs(np.exp(perplexity.Arrays.of(model, 10**6).log_probabilities(context + np.arange(4096)).astype(float)).sum() - 1) < 1e-3
+    assert abs(np.exp(perplexity.Arrays.of(model, 10**6).log_probabilities(context + np.arange(4096)) / perplexity.UNIT).sum() - 1) < 1e-3
 
 
-def test_scores_dont_depend_on_what_is_sent(spark):
-    docs = documents(spark)
-    model = perplexity.train(docs)
-    of = lambda rows: sorted((str(r.doc_id), r.n_words, r.score and round(r.score, 3)) for r in perplexity.measure(docs, model, rows=rows).collect())
-    assert of(10**6) == of(50)
+def brute_log(model, gram):
+    """The logarithm in units, each part of it rounded for itself."""
+    grams, weights = model
+    log = lambda p: round(math.log(p) * perplexity.UNIT)
+    out = 0
+    for k in range(len(gram), 0, -1):
+        g = gram[len(gram) - k :]
+        if g in grams[k]:
+            return out + log(grams[k][g])
+        out += log(weights[k][g[:-1]]) if g[:-1] in weights[k] else 0
+    return out + perplexity.UNIFORM
+
+
+def test_verdicts_equal_brute_force_whatever_is_sent(spark):
+    """Scores and verdicts, compared exactly; with the whole model in arrays, with 50 rows of it, and with none."""
+    rng = random.Random(8)
+    junk = [(700 + k, " ".join("".join(rng.choice("#*%qxzj!") for _ in range(rng.randint(2, 9))) for _ in range(60)), "en") for k in range(4)]
+    rows = [r for r in texts() if r[1] is None or len(r[1]) < 4000] + junk
+    docs = documents(spark, rows)
+    model = brute_kneser_ney(brute_grams([t for _, t, _ in rows], perplexity.ORDER), perplexity.ORDER)
+    scores, by = [], {}
+    for i, t, g in rows:
+        ws = (t or "").encode().split()
+        windows = [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
+        twice = {w for w, n in Counter(windows).items() if n > 1}
+        repeated = len({k + j for k, w in enumerate(windows) if w in twice for j in range(5)})
+        total = sum(brute_log(model, x) for x in grams_of(t, perplexity.ORDER))
+        score = -total / (perplexity.UNIT * max(1, sum(bool(perplexity.LETTER[ord(x)]) for x in t or ""))) if ws else None
+        scores.append((str(i), len(ws), score, len(ws) < 10 or 100 * repeated > 20 * len(ws), g or ""))
+        by.setdefault(g or "", []).extend([score] if ws else [])
+    expected = []
+    for i, n, score, failed, g in scores:
+        low, middle, high = (sorted(by[g])[math.ceil(p * len(by[g])) - 1] if by[g] else 0 for p in (0.25, 0.5, 0.75))
+        spread = max(high - low, perplexity.MIN_IQR)
+        shrunk = None if score is None else middle + (score - middle) * math.sqrt(n / (n + perplexity.SHRINK))
+        expected.append((i, n, score, not failed and middle - perplexity.BELOW * spread <= shrunk <= middle + perplexity.ABOVE * spread))
+    trained = perplexity.train(docs)
+    for sent in (10**6, 50, 0):
+        judged = perplexity.judge(perplexity.measure(docs, trained, rows=sent)).collect()
+        assert sorted(((str(r.doc_id), r.n_words, r.score, r.kept) for r in judged), key=repr) == sorted(expected, key=repr)
+    assert {x[3] for x in expected if x[0] in {str(r[0]) for r in junk}} == {False} and sum(x[3] for x in expected) > 40
 
 
 def test_bands_reject_junk_and_keep_prose_of_each_language(spark):
