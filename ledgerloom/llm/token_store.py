@@ -10,7 +10,8 @@ of blocks of about `BLOCK_IDS` ids. A block row of the Parquet files holds
 so a boundary takes about 2 + log2(mean length) bits. Documents don't straddle blocks. Null and empty texts hold
 the end id alone. Documents with equal ids follow each other, ordered by the bytes of their token ids; null ids come first.
 
-Texts are encoded where they are read; token ids alone are saved, shuffled and sorted. The tokenizer's own special tokens count
+Shards are ranges of the documents' ids, found from these alone. Texts are encoded where they are read, and token ids go straight to
+their shard, so nothing is encoded twice and no text is shuffled. The tokenizer's own special tokens count
 where a text spells them, as in the library.
 """
 
@@ -20,7 +21,7 @@ import functools
 import os
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -188,6 +189,13 @@ def _span(bounds: EliasFano, k: int) -> tuple[int, int]:
     return bounds.select(k - 1) if k else 0, bounds.select(k)
 
 
+def _range_ends(ids: DataFrame) -> list:
+    """The last id of each of Spark's ranges of the ids but the highest one; nulls lie in the first. A value for each shard comes to the driver."""
+    shards = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ids.repartitionByRange(shards, "id").groupBy(F.spark_partition_id()).agg(F.max("id").alias("last"))
+    return sorted(r[0] for r in ranges.select("last").where("last is not null").collect())[:-1]
+
+
 @functools.cache
 def tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker."""
@@ -211,13 +219,16 @@ class TokenFiles:
         schema = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("block", T.IntegerType()), ("start", T.LongType()), ("n_ids", T.LongType()), ("width", T.IntegerType()), ("doc_ids", T.ArrayType(id_type)), ("ids", T.BinaryType()), ("bounds", T.BinaryType()))])
         given = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
 
+        ends = _range_ends(given.select("id"))
+
         def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             encoder = tokenizer(tokenizer_path)
             end = b"" if end_id is None else np.array([end_id], encoder.type).tobytes()
             texts, ids = common.column(batch, "text"), common.column(batch, "id")
             for lo, hi, _, _ in common.blocks(texts, 4 << 20):
                 coded = [x + end for x in encoder.encode_batch(texts.slice(lo, hi - lo))]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(coded, pa.binary())], names=["id", "ids"])
+                shards = [0 if i is None else bisect_left(ends, i) for i in ids.slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), ids.slice(lo, hi - lo), pa.array(coded, pa.binary())], names=["to", "id", "ids"])
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -244,9 +255,9 @@ class TokenFiles:
             if held:
                 yield row()
 
-        with common.Scratch():  # the range partitioner reads its input twice, so what is encoded is saved
-            coded = common.saved(common.arrow_map(given, encode, T.StructType([T.StructField("id", id_type), T.StructField("ids", T.BinaryType())])), "encoded")
-            coded.repartitionByRange("id").sortWithinPartitions("id", "ids").mapInArrow(pack, schema).write.parquet(made.path)
+        coded = common.arrow_map(given, encode, T.StructType([T.StructField("to", T.IntegerType()), T.StructField("id", id_type), T.StructField("ids", T.BinaryType())]))
+        dealt = coded.repartitionById(len(ends) + 1, "to").sortWithinPartitions("id", "ids")
+        dealt.mapInArrow(pack, schema).write.parquet(made.path)
         return made
 
     def shard_starts(self) -> dict[int, int]:
