@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import previous
+from .tables import previous, unused
 
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -52,14 +53,40 @@ def collect_related(items: DataFrame, others: DataFrame, keys: Sequence[str], fi
     return items.join(listed, list(keys), "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
+def path_key(path: Column) -> Column:
+    """A path of positions as text that sorts like it: a path's extensions follow it, before anything else. Positions aren't negative."""
+    return F.array_join(F.transform(path, lambda x: F.lpad(F.hex(x.cast("bigint")), 16, "0")), "")
+
+
+def descendant_counts(items: DataFrame, path: str, keys: Sequence[str], name: str = "n_inner") -> DataFrame:
+    """Items with the number of items of the same keys whose path extends theirs (0 for a null path); no pair is made.
+
+    In the order of `path_key` a subtree is a run of neighbours, so its size is the number of items before its end less the number up to
+    its root: one exchange by the keys, one sort, and a second one by path. 100,000 items of one transaction take seconds.
+    """
+    at = lambda stem: unused(items, stem)
+    key, ends, order, before, last, row = (at(x) for x in ("_key", "_ends", "_order", "_before", "_last", "_row"))
+    marked = items.select(*keys, path_key(F.col(path)).alias(key), F.struct(*items.columns).alias(row)).withColumn(ends, F.explode(F.array(F.lit(False), F.lit(True))))
+    # hexadecimal digits sort below the tilde, so it ends the subtree; rows that end one carry no item
+    marked = marked.where(~F.col(ends) | F.col(key).isNotNull()).withColumn(order, F.when(F.col(ends), F.concat(key, F.lit("~"))).otherwise(F.col(key)))
+    marked = marked.withColumn(row, F.when(~F.col(ends), F.col(row)))
+    upto = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marked.withColumn(before, F.sum((~F.col(ends) & F.col(key).isNotNull()).cast("bigint")).over(upto))
+    inside = F.max(F.when(F.col(ends), F.col(before))).over(Window.partitionBy(*keys, key))
+    found = counted.withColumn(last, inside).where(~F.col(ends))
+    known = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys], F.lit(True))  # null keys equal nothing
+    return found.select(f"{row}.*", F.coalesce(F.when(known, F.col(last) - F.col(before)), F.lit(0)).cast("bigint").alias(name))
+
+
 def descendants(items: DataFrame, path: str, keys: Sequence[str], inner: DataFrame | None = None) -> DataFrame:
-    """Pairs (outer, inner) of one transaction where the inner path extends the outer one.
+    """Pairs (outer, inner) of one transaction where the inner path extends the outer one, for those who need the pairs themselves.
 
-    The transaction is an equality key, so each task compares the items of a transaction only.
+    An inner item looks its outer ones up by its path's prefixes, so no more pairs are made than there are, and one for each prefix.
     """
     below = (items if inner is None else inner).select(*keys, *[F.col(c).alias(f"inner_{c}") for c in items.columns if c not in keys])
-    longer = F.size(f"inner_{path}") > F.size(path)
-    return items.join(below, list(keys)).where(longer & (F.slice(f"inner_{path}", F.lit(1), F.size(path)) == F.col(path)))
+    deep = below.where(F.size(f"inner_{path}") > 0)
+    prefixes = F.transform(F.sequence(F.lit(0), F.size(f"inner_{path}") - 1), lambda n: F.slice(f"inner_{path}", F.lit(1), n))
+    return items.join(deep.withColumn(path, F.explode(prefixes)), [*keys, path]).select(*items.columns, *[c for c in below.columns if c not in keys])
 
 
 def ancestors(items: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cancel_rows(rows: DataFrame, where: Column, sign: str = "sign") -> DataFrame:
     """Rows of sign -1 that cancel what signed rows under `where` still add up to.
 

@@ -23,30 +23,28 @@ class Range:
             raise LoomError("E0002", f"the range {self.low}-{self.high} ends before it starts")
 
 
-def _end(value: int | None) -> float:
-    return float("inf") if value is None else value
+OPEN = float("inf")
 
 
-def _close(value: float) -> int | None:
-    return None if value == float("inf") else int(value)
+def _cuts(r: Range) -> tuple[int, float]:
+    """The first block and the one after the last."""
+    return r.low, OPEN if r.high is None else r.high + 1
+
+
+def _spans(*cuts: tuple[float, float]) -> list[Range]:
+    """The ranges between pairs of cuts, without empty ones."""
+    return [Range(int(low), None if end == OPEN else int(end) - 1) for low, end in cuts if low < end]
 
 
 def intersection(a: Range, b: Range) -> Range | None:
-    low, high = max(a.low, b.low), min(_end(a.high), _end(b.high))
-    return Range(low, _close(high)) if low <= high else None
+    (low, end), (other, last) = _cuts(a), _cuts(b)
+    return next(iter(_spans((max(low, other), min(end, last)))), None)
 
 
 def difference(a: Range, b: Range) -> list[Range]:
     """The parts of a outside b: none, one or two."""
-    common = intersection(a, b)
-    if common is None:
-        return [a]
-    parts = []
-    if a.low < common.low:
-        parts.append(Range(a.low, common.low - 1))
-    if common.high is not None and common.high < _end(a.high):
-        parts.append(Range(common.high + 1, a.high))
-    return parts
+    (low, end), (other, last) = _cuts(a), _cuts(b)
+    return _spans((low, min(end, other)), (max(low, last), end))
 
 
 def merge(requests: Iterable[tuple[Range, Any]]) -> list[tuple[Range, list[Any]]]:
@@ -59,7 +57,7 @@ def merge(requests: Iterable[tuple[Range, Any]]) -> list[tuple[Range, list[Any]]
     segments = []
     for k, low in enumerate(cuts):
         high = cuts[k + 1] - 1 if k + 1 < len(cuts) else None
-        held = [x for r, x in given if r.low <= low and _end(r.high) >= low]
+        held = [x for r, x in given if r.low <= low < _cuts(r)[1]]
         if held:
             segments.append((Range(low, high), held))
     return segments
@@ -74,7 +72,7 @@ def bound(ranges: Sequence[Range], limit: Range) -> list[Range]:
 
 def next_queried(ranges: Sequence[Range], number: int) -> int | None:
     """The first block at or after `number` within any of the ranges."""
-    reached = [max(number, r.low) for r in ranges if _end(r.high) >= number]
+    reached = [max(number, r.low) for r in ranges if number < _cuts(r)[1]]
     return min(reached) if reached else None
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from ledgerloom.errors import LoomError
 
@@ -85,19 +86,24 @@ def resolve_fork(records: Iterable[Record], canonical: Sequence[Cursor]) -> Curs
     """
     if not canonical:
         raise LoomError("E1002")
-    ceiling = float("inf")
+    lowest: dict[str | None, int] = {}
+    for b in canonical:
+        lowest[b.hash] = min(b.number, lowest.get(b.hash, b.number))
+    stored, floors, ends = [], [], []
     for record in records:
-        for stored in sorted(record.chain, key=lambda b: b.number, reverse=True):
-            window = {b.hash for b in canonical if b.number < ceiling}
-            if stored.hash in window:
-                return stored
-            if not window:
-                return None if record.finalized is not None and stored.number < record.finalized.number else stored
-            ceiling = min(ceiling, stored.number)
-        left = [b for b in canonical if b.number < ceiling]
-        if record.chain and record.finalized is not None and [b.hash for b in left] == [record.finalized.hash]:
-            return record.finalized
-    return None
+        stored += sorted(record.chain, key=lambda b: -b.number)
+        floors += [record.finalized] * len(record.chain)
+        ends += [len(stored)] if record.chain else []
+    below = [float("inf"), *accumulate((b.number for b in stored), min)]  # canonical blocks count below this number, before each stored block
+    outcomes: dict[float, Cursor | None] = {}  # by the place at which each is met
+    if (k := next((k for k, b in enumerate(stored) if lowest.get(b.hash, float("inf")) < below[k]), None)) is not None:
+        outcomes[k] = stored[k]
+    if (k := next((k for k in range(len(stored)) if below[k] <= min(lowest.values())), None)) is not None:
+        outcomes[k] = None if floors[k] is not None and stored[k].number < floors[k].number else stored[k]
+    for end in ends:
+        if (floor := floors[end - 1]) is not None and [b.hash for b in canonical if b.number < below[end]] == [floor.hash]:
+            outcomes.setdefault(end - 0.5, floor)
+    return outcomes[min(outcomes)] if outcomes else None
 
 
 def ancestor(records: Iterable[Record], canonical: Sequence[Cursor], cursor: Cursor | None) -> Cursor:
