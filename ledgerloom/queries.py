@@ -243,7 +243,7 @@ def array_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, line = F.col("l_suppkey") % 2, F.col("l_linenumber").cast("bigint")
     path = F.when(line == 1, F.array(root)).when(line % 2 == 0, F.array(root, line)).otherwise(F.array(root, line - 1, line))
     items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), path.alias("path"), F.col("l_linenumber").alias("i"))
-    return joins.descendant_counts(items, "path", ["tx"]).where("n_inner > 0").select("tx", "i", "n_inner")
+    return joins.descendant_counts(items, "path", ["tx"]).where("n_inner > 0").groupBy("tx", "i").agg(F.sum("n_inner").alias("n_inner"))
 
 
 @query("""SELECT o_orderkey, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS n_inputs, CAST(sum(l_partkey) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS inputs_value,
