@@ -1,25 +1,26 @@
 """Contract events and calls: canonical signatures, topics, and decoding.
 
-Events whose data are static words, integers of any width among them, are decoded by Spark expressions; others (dynamic
-types, nested tuples) by one Arrow UDF per event, in batches. Integers up to 63 bits become BIGINT, up to 120
-DECIMAL(38,0), wider ones decimal text. Data that can't be decoded raise; `on_error="null"` gives null instead.
+All types are decoded by Spark expressions, without a Python worker: static words by their fixed places, dynamic types (`string`, `bytes`,
+arrays, tuples with such parts) by following offsets from the head to the tail, where an array is a function over its indices. Integers up
+to 63 bits become BIGINT, up to 120 DECIMAL(38,0), wider ones decimal text. Data that can't be decoded raise; `on_error="null"` gives
+null instead. `decode` does the same for single values on the driver.
 """
 
 from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .keccak import keccak256
+from .scalars import bound_once
 
 _ARRAY = re.compile(r"(.*)\[(\d*)\]")
 
@@ -246,8 +247,10 @@ def _decode_one(p: Param, data: bytes) -> Any:
         return body.decode("utf-8", "replace") if p.type == "string" else "0x" + body.hex()
     word = _slice(data, 0, 32)
     if p.bits:
-        number = int.from_bytes(word, "big", signed=not p.type.startswith("u"))
-        kind = p.spark
+        signed = not p.type.startswith("u")
+        number, kind = int.from_bytes(word, "big", signed=signed), p.spark
+        if not -(1 << p.bits - 1) * signed <= number < 1 << p.bits - signed:
+            raise ValueError(f"{number} isn't a value of {p.type}")
         return number if isinstance(kind, T.LongType) else Decimal(number) if isinstance(kind, T.DecimalType) else str(number)
     if p.type == "bool":
         return any(word)
@@ -285,7 +288,7 @@ def word_column(p: Param, word: Column) -> Column:
     if p.type == "address":
         return F.concat(F.lit("0x"), F.lower(F.right(word, F.lit(40))))
     if p.type == "bool":
-        return F.right(word, F.lit(1)) != "0"
+        return word != "0" * 64
     if p.bits:
         return _number(word, p.spark, not p.type.startswith("u"))
     return F.concat(F.lit("0x"), F.lower(F.left(word, F.lit(2 * int(p.type[5:])))))
@@ -359,46 +362,126 @@ def event_column(e: Event, topics: str = "topics", data: str = "data", on_error:
             digits = F.regexp_like(F.substring(data, 3, 64 * len(e.plain)), F.lit("^[0-9a-fA-F]*$")) & (F.size(topics) > len(e.indexed))
             return F.when(whole & digits, fields)
         return F.when(F.assert_true(whole, F.lit(f"data too short for {e.signature}")).isNull(), fields)
-    indexed, plain, order = e.indexed, e.plain, [p.name for p in e.params]
-
-    @F.pandas_udf(T.StructType([*e.spark.fields, T.StructField("_ok", T.BooleanType())]))
-    def decoded(topics: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows = []
-        for ts, d in zip(topics, data, strict=True):
-            try:
-                row = {p.name: ts[i] if _hashed(p) else decode([p], bytes.fromhex(ts[i][2:]))[0] for i, p in enumerate(indexed, 1)}
-                row |= dict(zip((p.name for p in plain), decode(plain, bytes.fromhex(d[2:])), strict=True))
-                row["_ok"] = True
-            except (ValueError, IndexError, TypeError):
-                if on_error == "raise":
-                    raise
-                row = {"_ok": False}
-            rows.append([row.get(n) for n in (*order, "_ok")])
-        return pd.DataFrame(rows, columns=[*order, "_ok"], dtype=object)
-
-    found = decoded(F.col(topics), F.col(data))
-    return F.when(found["_ok"], F.struct(*[found[n].alias(n) for n in order]))
+    data = F.col(data)
+    enough = F.size(topics) > len(e.indexed)
+    first = {p.name: (F.get(topics, i) if _hashed(p) else word_column(p, F.substring(F.get(topics, i), 3, 64))) for i, p in enumerate(e.indexed, 1)}
+    return _decoded(e, data, 2, enough, first, on_error)
+
+
+def _decoded(e: Event, data: Column, skip: int, fits: Column, known: dict[str, Column], on_error: str) -> Column:
+    """The parameters as a struct: those that are known already, and those that lie in the data behind `skip` characters of 0x hex."""
+
+    def of(held: list[Column]) -> Column:
+        (raw,) = held
+        heads = [sum(p.words for p in e.plain[:k]) for k in range(len(e.plain))]
+        zero = F.lit(0).cast("bigint")
+        valid = _all([fits, raw.isNotNull(), *[_fits(p, raw, zero, F.lit(32 * at).cast("bigint")) for p, at in zip(e.plain, heads, strict=True)]])
+        values = known | {p.name: _value(p, raw, zero, F.lit(32 * at).cast("bigint")) for p, at in zip(e.plain, heads, strict=True)}
+        fields = F.struct(*[values[p.name].alias(p.name) for p in e.params])
+        if on_error == "null":
+            return F.when(valid, fields)
+        return F.when(F.assert_true(valid, F.lit(f"data ends too early or isn't laid out as {e.signature}")).isNull(), fields)
+
+    even = F.octet_length(data) % 2 == 0
+    return bound_once([F.when(even, F.unhex(F.substring(data, skip + 1, 1 << 30)))], of)
+
+
+def _all(terms: Sequence[Column]) -> Column:
+    """Each term only where those before hold; null counts as false."""
+    out = F.lit(True)
+    for term in reversed(terms):
+        out = F.when(term, out).otherwise(F.lit(False))
+    return out
+
+
+def _word(raw: Column, at: Column) -> Column:
+    return F.hex(F.substring(raw, (at + 1).cast("int"), F.lit(32)))
+
+
+def _length(raw: Column, at: Column) -> Column:
+    """The word as an offset or a length; null beyond 60 bits."""
+    word = _word(raw, at)
+    return F.when(F.left(word, F.lit(49)) == "0" * 49, F.conv(F.right(word, F.lit(15)), 16, 10).cast("bigint"))
+
+
+def _indices(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _tail(p: Param, raw: Column, base: Column, at: Column, of: Callable[[Column], Column]) -> Column:
+    """of(place of the value): where its head says, counted from the head's tuple."""
+    return bound_once([base + _length(raw, at)], lambda held: of(held[0]))
+
+
+def _parts(p: Param) -> list[tuple[Param, int]]:
+    """Components of a tuple or of an array of fixed length, with the places of their heads."""
+    inner = [p.element[0]] * p.element[1] if p.element else list(p.components)
+    return [(c, 32 * sum(x.words for x in inner[:k])) for k, c in enumerate(inner)]
+
+
+def _leaves(p: Param) -> list[tuple[Param, int]]:
+    """The words of a static value with their places."""
+    if not p.element and p.type != "tuple":
+        return [(p, 0)]
+    return [(leaf, k + more) for c, k in _parts(p) for leaf, more in _leaves(c)]
+
+
+def _in_range(p: Param, word: Column) -> Column:
+    """Whether the number in a word needs no more bits than its type has."""
+    n = 64 - p.bits // 4
+    top, sign = F.lower(F.left(word, F.lit(n))), F.substring(word, n + 1, 1)
+    if p.type.startswith("u"):
+        return top == "0" * n
+    return (top == "0" * n) & (sign < "8") | (top == "f" * n) & (sign >= "8")
+
+
+def _fits(p: Param, raw: Column, base: Column, at: Column) -> Column:
+    """Whether the data hold all of a value, so that reading it ends within them."""
+    size = F.octet_length(raw).cast("bigint")
+    if not p.dynamic:
+        return _all([at + 32 * p.words <= size, *[_in_range(c, _word(raw, at + k)) for c, k in _leaves(p) if c.bits and c.bits < 256]])
+
+    def tail(place: Column) -> Column:
+        if p.element and p.element[1] is not None or p.type == "tuple":
+            return _all([place <= size, *[_fits(c, raw, place, place + k) for c, k in _parts(p)]])
+        inner = p.element[0] if p.element else None
+        n = _length(raw, place)
+        room = [place + 32 <= size, n <= size, place + 32 + n * (32 * inner.words if inner else 1) <= size]
+        if inner and (inner.dynamic or any(c.bits and c.bits < 256 for c, _ in _leaves(inner))):
+            room.append(F.forall(_indices(n), lambda i: _fits(inner, raw, place + 32, place + 32 + i * (32 * inner.words))))
+        return _all(room)
+
+    return _all([at + 32 <= size, _tail(p, raw, base, at, tail)])
+
+
+def _value(p: Param, raw: Column, base: Column, at: Column) -> Column:
+    """The value whose head is at a byte, of a tuple that starts at byte `base`."""
+    if p.dynamic:
+        return _tail(p, raw, base, at, lambda place: _at(p, raw, place))
+    return _at(p, raw, at) if p.element or p.type == "tuple" else word_column(p, _word(raw, at))
+
+
+def _at(p: Param, raw: Column, place: Column) -> Column:
+    """A compound or dynamic value at its own place."""
+    if p.type in ("string", "bytes"):
+        body = F.substring(raw, (place + 33).cast("int"), _length(raw, place).cast("int"))
+        return F.make_valid_utf8(body.cast("string")) if p.type == "string" else F.concat(F.lit("0x"), F.lower(F.hex(body)))
+    if p.element and p.element[1] is None:
+        inner = p.element[0]
+        return F.transform(_indices(_length(raw, place)), lambda i: _value(inner, raw, place + 32, place + 32 + i * (32 * inner.words)))
+    parts = [_value(c, raw, place, place + k) for c, k in _parts(p)]
+    if p.element:
+        return F.array(*parts).cast(p.spark)
+    return F.struct(*[x.alias(c.name) for x, c in zip(parts, p.components, strict=True)])
 
 
 def call_column(f: Function, data: str = "input", on_error: str = "raise") -> Column:
     """The arguments of a call as a struct, from calldata with the function's selector; null for other calls."""
     arguments = Event(f.name, tuple(Param(p.name, p.type, False, p.components) for p in f.params))
     if not _static(arguments):
-
-        @F.pandas_udf(arguments.spark)
-        def decoded(texts: pd.Series) -> pd.DataFrame:
-            rows = []
-            for t in texts:
-                try:
-                    rows.append(decode(f.params, bytes.fromhex(t[10:])) if t is not None and t.lower().startswith(f.selector) else [None] * len(f.params))
-                except ValueError:
-                    if on_error == "raise":
-                        raise
-                    rows.append([None] * len(f.params))
-            return pd.DataFrame(rows, columns=[p.name for p in f.params], dtype=object)
-
-        found = decoded(F.col(data))
-        return F.when(F.lower(F.left(F.col(data), F.lit(10))) == f.selector, found)
+        text = F.col(data)
+        found = _decoded(arguments, text, 10, F.lit(True), {}, on_error)
+        return F.when(F.coalesce(F.lower(F.left(text, F.lit(10))) == f.selector, F.lit(False)), found)
     parts = [word_column(p, F.substring(data, 11 + 64 * i, 64)).alias(p.name) for i, p in enumerate(arguments.params)]
     whole = F.length(data) >= 10 + 64 * len(parts)
     own = F.coalesce(F.lower(F.left(F.col(data), F.lit(10))) == f.selector, F.lit(False))

@@ -153,3 +153,10 @@ def packed(values: Any, keep: int = 10) -> Any:
     if not isinstance(values, list):
         return values
     return [packed(values[0], keep), f"... {len(values) - 1} more ..."] if len(values) > keep else [packed(v, keep) for v in values]
+
+
+def bound_once(values: Sequence[Column], body: Callable[[list[Column]], Column]) -> Column:
+    """body(values), each value computed once a row though the body looks at it for every item: it is a variable of an enclosing function."""
+    if not values:
+        return body([])
+    return F.get(F.transform(F.array(values[0]), lambda v: bound_once(values[1:], lambda rest: body([v, *rest]))), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.encodings import base58_hexes
-from ledgerloom.functions.scalars import query_hash
+from ledgerloom.functions.scalars import bound_once, query_hash
 from ledgerloom.operators.filters import either, in_range, request_predicate
 from ledgerloom.sources import schemas
 
@@ -329,10 +329,3 @@ def _both(a: Any, b: Any) -> Any:
     if not (isinstance(a, Mapping) and isinstance(b, Mapping)):
         return True
     return {k: _both(a.get(k), b.get(k)) for k in [*a, *(k for k in b if k not in a)]}
-
-
-def bound_once(values: Sequence[Column], body: Callable[[list[Column]], Column]) -> Column:
-    """body(values), each value computed once a row though the body looks at it for every item: it is a variable of an enclosing function."""
-    if not values:
-        return body([])
-    return F.get(F.transform(F.array(values[0]), lambda v: bound_once(values[1:], lambda rest: body([v, *rest]))), F.lit(0))

@@ -1,7 +1,9 @@
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.errors import LoomError
 from ledgerloom.functions import abi, encodings, scalars
@@ -46,7 +48,7 @@ def test_static_event_by_expressions(spark):
     assert [tuple(r) for r in out] == [tuple(Decimal(v) if n == "big" else v for n, v in zip(names, c, strict=True)) for c in cases]
 
 
-def test_dynamic_and_wide_event_by_udf(spark):
+def test_dynamic_and_wide_event(spark):
     inner = {"name": "t", "type": "tuple", "components": [{"name": "a", "type": "uint256"}, {"name": "b", "type": "string"}]}
     e, = abi.define([{"type": "event", "name": "E", "inputs": [{"name": "i", "type": "int256"}, {"name": "s", "type": "string"}, {"name": "l", "type": "uint8[]"}, {"name": "f", "type": "int16[2]"}, inner]}])[0].values()
     assert e.signature == "E(int256,string,uint8[],int16[2],(uint256,string))"
@@ -190,3 +192,86 @@ def test_contracts_share_decoders():
     assert ids(Contract("x", "0x1", (a, b)), Contract("y", "0x2", (b, a))) == [("custom", 2)]
     assert ids(Contract("x", "0x1", (a,))) == [("custom", 1)] and ids(Contract("x", "0x1", ())) == []
     assert ids(Contract("my token", "0x1", (a,)), Contract("MyToken", "0x2", (b,)), Contract("z", "0x3", (a,), Range(5))) == [("customMyToken", 1), ("customMyToken2", 1), ("customZ", 1)]
+
+
+TYPES = ["string", "bytes", "uint8[]", "int256[]", "string[]", "bytes[2]", "address[][]", "bool[3]", "(uint64,string)", "(bytes4,int16)[]", "(string,(bytes,uint8[])[2])", "(uint256,bool)[2]", "uint256", "bytes7"]
+
+
+def parsed(text, name):
+    """A parameter from its written type, tuples within."""
+    if not text.startswith("("):
+        return {"name": name, "type": text}
+    depth, parts, start = 0, [], 1
+    for k, c in enumerate(text):
+        depth += (c in "([") - (c in ")]")
+        if (c == "," and depth == 1) or (c == ")" and depth == 0):
+            parts.append(text[start:k])
+            start = k + 1
+        if c == ")" and depth == 0:
+            break
+    return {"name": name, "type": "tuple" + text[start:], "components": [parsed(x, f"c{i}") for i, x in enumerate(parts)]}
+
+
+def sample(rng, p):
+    if p.element:
+        inner, n = p.element
+        return [sample(rng, inner) for _ in range(rng.randint(0, 4) if n is None else n)]
+    if p.type == "tuple":
+        return [sample(rng, c) for c in p.components]
+    if p.bits:
+        signed = not p.type.startswith("u")
+        return rng.choice([0, 1, (1 << p.bits - signed) - 1, -(1 << p.bits - 1) if signed else 7, rng.getrandbits(p.bits - 1)])
+    if p.type == "bool":
+        return rng.random() < 0.5
+    if p.type == "string":
+        return "".join(rng.choice("aZ 0é日😀\n") for _ in range(rng.choice([0, 3, 31, 32, 33, 90])))
+    size = {"bytes": rng.choice([0, 1, 32, 65]), "address": 20}.get(p.type) or int(p.type[5:] or 0)
+    return "0x" + rng.randbytes(size).hex()
+
+
+def plain_value(x):
+    if hasattr(x, "asDict"):
+        return {k: plain_value(v) for k, v in x.asDict().items()}
+    return [plain_value(v) for v in x] if isinstance(x, list) else x
+
+
+def test_dynamic_types_decode_without_python_as_single_values_do(spark):
+    """Random values of nested types, and data that are cut, have other offsets or other digits: as `decode`, or an error where it raises."""
+    rng = random.Random(11)
+    for k in range(6):
+        chosen = rng.sample(TYPES, 3) + [TYPES[k], TYPES[k + 6]]
+        (e,) = abi.define([{"type": "event", "name": "E", "inputs": [{"name": "who", "type": "address", "indexed": True}, *[parsed(t, f"p{i}") for i, t in enumerate(chosen)]]}])[0].values()
+        topics = [e.topic0, "0x" + "00" * 12 + "ab" * 20]
+        rows = []
+        for _ in range(12):
+            rows.append(abi.encode(e.plain, [sample(rng, p) for p in e.plain]))
+            data = bytearray.fromhex(rows[-1][2:] if rows[-1].startswith("0x") else rows[-1])
+            for _ in range(2):
+                other = bytearray(data)
+                at = rng.randrange(len(other) // 32) * 32 + rng.choice([0, 23, 24, 30, 31, 31, 31])
+                other[at] = rng.choice([0, 1, 32, 64, 96, 200, 255])
+                rows.append("0x" + bytes(other[: rng.choice([len(other), len(other), len(other) - 1, len(other) - 32])]).hex())
+        rows += ["0x", "0xzz", "0x123", None]
+        rows = [r if r is None or r.startswith("0x") else "0x" + r for r in rows]
+        expected = []
+        for r in rows:
+            try:
+                expected.append([abi.decode(e.plain, bytes.fromhex(r[2:]))])
+            except (ValueError, TypeError):
+                expected.append(None)
+        df = spark.createDataFrame([(i, topics, r) for i, r in enumerate(rows)], "i int, topics array<string>, data string").repartition(2)
+        got = df.select("i", abi.event_column(e, on_error="null").alias("e"))
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        fields = T.StructType(got.schema["e"].dataType.fields)
+        assert fields == e.spark or [f.dataType.simpleString() for f in fields] == [f.dataType.simpleString() for f in e.spark]
+        for r in got.collect():
+            wanted = expected[r.i]
+            if wanted is None:
+                assert r.e is None, (chosen, rows[r.i])
+                continue
+            assert [plain_value(r.e[p.name]) for p in e.plain] == wanted[0], (chosen, rows[r.i])
+        good = [i for i, x in enumerate(expected) if x is not None]
+        assert len(good) >= 12
+        bad = df.where(F.col("i") == len(rows) - 3).select(abi.event_column(e).alias("e"))
+        with pytest.raises(Exception, match="data ends"):
+            bad.collect()
