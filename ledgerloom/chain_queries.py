@@ -205,6 +205,26 @@ def program_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("e", e).select("l_orderkey", "l_linenumber", "e.amount", encodings.little_endian(F.col("msg"), 16, 8).alias("pool"))
 
 
+@query("""SELECT event_id, event_type AS kind, concat(user_id % 1000, ',', event_id % 7, ',', event_id) AS ids, concat('0x', lower(hex(encode(event_type)))) AS raw, event_id % 100 AS a,
+  concat('u', CAST(user_id AS VARCHAR), '|', event_type) AS names FROM events""")
+def dynamic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with text, bytes, an array and a tuple with an array of texts, decoded by offsets in Spark expressions."""
+    noted = list(abi.define([{"type": "event", "name": "Noted", "inputs": [
+        {"name": "kind", "type": "string"}, {"name": "ids", "type": "uint256[]"}, {"name": "raw", "type": "bytes"},
+        {"name": "t", "type": "tuple", "components": [{"name": "a", "type": "uint32"}, {"name": "names", "type": "string[]"}]},
+    ]}])[0].values())[0]
+    digits = lambda value: F.substring(word(value), 3, 64)
+    at = lambda *places: [digits(F.lit(p)) for p in places]
+    held = lambda x: [digits(F.length(x)), F.rpad(F.lower(F.hex(F.encode(x, "UTF-8"))), 64, "0")]
+    kind, user, number = F.col("event_type"), text("u", F.col("user_id")), F.col("event_id")
+    ids = [digits(F.lit(3)), digits(F.col("user_id") % 1000), digits(number % 7), digits(number)]
+    pair = [digits(number % 100), *at(64), *at(2), *at(64, 128), *held(user), *held(kind)]
+    data = F.concat(F.lit("0x"), *at(128, 192, 320, 384), *held(kind), *ids, *held(kind), *pair)
+    rows = read(spark, sf_dir, "events").select("event_id", F.array(F.lit(noted.topic0)).alias("topics"), data.alias("data"))
+    found = abi.decode_events(rows, {"noted": noted})["noted"]
+    return found.select("event_id", "event.kind", F.array_join("event.ids", ",").alias("ids"), "event.raw", "event.t.a", F.array_join("event.t.names", "|").alias("names"))
+
+
 @query("""WITH {logs} SELECT 'short' AS name, count(*) FILTER (WHERE k % 5 = 0) AS skipped, count(*) FILTER (WHERE k % 5 <> 0) AS decoded FROM logs WHERE event_type = 'click'""")
 def decode_errors_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs whose data are too short: left out, and counted."""

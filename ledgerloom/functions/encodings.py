@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from ledgerloom.errors import LoomError
 
-ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+from . import borsh
+
+ALPHABET = borsh.ALPHABET
 _DIGIT = {c: i for i, c in enumerate(ALPHABET)}
 
 
@@ -53,7 +55,7 @@ _NUMBERS = {"u8": "<B", "u16": "<H", "u32": "<I", "u64": "<Q", "i8": "<b", "i16"
 
 
 class Borsh:
-    """Reads values by type: a number's name, bool, string, address, unit, ("option", t), ("array", t),
+    """Reads single values, where no column is at hand, by type: a number's name, bool, string, address, unit, ("option", t), ("array", t),
     ("fixed", t, n), ("struct", {name: t}), ("enum", {name: t}). 128-bit numbers are decimal text."""
 
     def __init__(self, data: bytes, at: int = 0):
@@ -95,28 +97,8 @@ class Borsh:
 
 
 def borsh_column(data_hex: Column, discriminator: str, fields: dict[str, Any], schema: str, on_error: str = "raise") -> Column:
-    """The struct after the discriminator (0x hex) of instruction data; other discriminators are errors, null stays null."""
-    start = bytes.fromhex(discriminator.removeprefix("0x"))
-
-    def one(text: str | None) -> dict | None:
-        if text is None:
-            return None
-        try:
-            data = bytes.fromhex(text[2:])
-            if not data.startswith(start):
-                raise ValueError(f"starts with {data[: len(start)].hex()}, not {start.hex()}")
-            return Borsh(data, len(start)).read(("struct", fields))
-        except (ValueError, IndexError, struct.error):
-            if on_error == "raise":
-                raise
-            return None
-
-    @F.pandas_udf(schema)
-    def decoded(texts: pd.Series) -> pd.DataFrame:
-        rows = [one(t) or {} for t in texts]
-        return pd.DataFrame([[r.get(n) for n in fields] for r in rows], columns=list(fields), dtype=object)
-
-    return decoded(data_hex)
+    """The struct after the discriminator (0x hex) of instruction data, by Spark's own functions; other discriminators are errors, null stays null."""
+    return borsh.column(data_hex, bytes.fromhex(discriminator.removeprefix("0x")), ("struct", fields), T.StructType.fromDDL(schema), on_error)
 
 
 def event_column(message_hex: Column, discriminator: str, fields: dict[str, Any], schema: str, on_error: str = "raise") -> Column:
