@@ -15,7 +15,7 @@ from ledgerloom.operators import tables
 from ledgerloom.plans.query import Query
 from ledgerloom.plans.ranges import Range
 from ledgerloom.queries import logs, query, read, topic, word
-from ledgerloom.sinks.scratch import scratch
+from ledgerloom.sinks.scratch import folder, tidy
 from ledgerloom.sinks.targets import SegmentSink, SignedSink, Table, TableSink, WriteAheadSink
 from ledgerloom.sources import schemas
 from ledgerloom.streaming.factory import CHILDREN, ChildStore, Factory, lookup_events
@@ -251,9 +251,10 @@ MADE = abi.event("Made(uint256 indexed token, address pool, uint24 fee)")
 
 @query("WITH {logs}, " + POOLS_SQL + """ SELECT l.block_number, l.log_index, l.address, p.number AS created, CAST(p.token AS VARCHAR) AS token FROM logs l JOIN pools p ON p.pool = l.address
 WHERE event_type = 'purchase' AND p.f IN (1, 2) AND p.fee = 500""")
+@tidy
 def pool_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of the pools that two factories made with one fee, with what their creation event says, kept as JSON."""
-    factory = Factory(ChildStore(spark, scratch(spark, "pools")), ["0xf1", "0xf2"], MADE, "pool", {"fee": [500]})
+    factory = Factory(ChildStore(spark, folder(spark, "pools")), ["0xf1", "0xf2"], MADE, "pool", {"fee": [500]})
     factory.remember(pool_logs(spark, sf_dir, MADE))
     found = factory.of_children(logs(spark, sf_dir).where(F.get("topics", 0) == topic("purchase")).withColumn("transaction_index", F.lit(0)))
     return found.select("block_number", "log_index", "address", F.col("creation.block_number").alias("created"), F.get_json_object("creation.event", "$.token").alias("token"))
@@ -261,9 +262,10 @@ def pool_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + POOLS_SQL + """ SELECT pool AS child_address, lower(concat('0xF', CAST(f AS VARCHAR))) AS factory_address, number AS block_number FROM pools WHERE number <= 40
 UNION ALL SELECT pool, '0xother', 45 FROM pools WHERE number > 40 AND i = 3""")
+@tidy
 def factory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of children after a fork to block 40 that takes some back, and a second save where the first of a key wins."""
-    store = ChildStore(spark, scratch(spark, "children"))
+    store = ChildStore(spark, folder(spark, "children"))
     factory = Factory(store, [], MADE, "pool")
     rows = pool_logs(spark, sf_dir, MADE)
     factory.remember(rows)
@@ -274,8 +276,9 @@ def factory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + POOLS_SQL + """ SELECT pool AS child_address, fee FROM pools WHERE fee = 3000 AND token IN (1, 2, 3)""")
+@tidy
 def kept_event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = Factory(ChildStore(spark, scratch(spark, "children")), [], MADE, "pool").creations(pool_logs(spark, sf_dir, MADE))
+    made = Factory(ChildStore(spark, folder(spark, "children")), [], MADE, "pool").creations(pool_logs(spark, sf_dir, MADE))
     return lookup_events(made, params={"fee": ["3000"], "token": ["1", "2", "3"]}).select("child_address", F.get_json_object("event", "$.fee").cast("int").alias("fee"))
 
 
@@ -407,34 +410,38 @@ def plain_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH {logs}, " + THROUGH_SQL + " SELECT block_number, log_index, address FROM left_over")
+@tidy
 def signed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = Table("logs", T.StructType([*PLAIN.fields, T.StructField("sign", T.IntegerType())]), engine="collapsing")
-    sink = SignedSink(spark, scratch(spark, "signed"), [declared])
+    sink = SignedSink(spark, folder(spark, "signed"), [declared])
     through(sink, plain_logs(spark, sf_dir).withColumn("sign", F.lit(1)))
     return sink.rows("logs")
 
 
 @query("WITH {logs}, " + THROUGH_SQL + " SELECT block_number, log_index, address FROM left_over")
+@tidy
 def write_ahead_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sink = WriteAheadSink(spark, scratch(spark, "ahead"), [Table("logs", PLAIN)])
+    sink = WriteAheadSink(spark, folder(spark, "ahead"), [Table("logs", PLAIN)])
     through(sink, plain_logs(spark, sf_dir))
     return sink.rows("logs")
 
 
 @query("WITH {logs}, " + THROUGH_SQL + " SELECT block_number, log_index, address FROM left_over WHERE block_number <= 4 * width - 1 - 100")
+@tidy
 def segment_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final rows only: those of the last blocks still wait."""
-    sink = SegmentSink(spark, scratch(spark, "segments"), [Table("logs", PLAIN)])
+    sink = SegmentSink(spark, folder(spark, "segments"), [Table("logs", PLAIN)])
     through(sink, plain_logs(spark, sf_dir))
     return sink.rows("logs")
 
 
 @query("WITH {logs}, " + THROUGH_SQL + """, keyed AS (SELECT address, max(block_number) AS block_number, count(*) AS n FROM left_over GROUP BY address, block_number // width)
 SELECT address, block_number, n FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY block_number DESC) AS r FROM keyed) WHERE r = 1""")
+@tidy
 def table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an address, updated by each batch; the fork restores what the third batch had changed."""
     schema = T.StructType([T.StructField("address", T.StringType()), T.StructField("block_number", T.LongType()), T.StructField("n", T.LongType())])
-    sink = TableSink(spark, scratch(spark, "keyed"), [Table("accounts", schema, keys=("address",))], buckets=8)
+    sink = TableSink(spark, folder(spark, "keyed"), [Table("accounts", schema, keys=("address",))], buckets=8)
     rows = plain_logs(spark, sf_dir)
     width, parts = batches(rows)
     newest = lambda own: own.groupBy("address").agg(F.max("block_number").alias("block_number"), F.count("*").alias("n"))
@@ -453,7 +460,7 @@ moved AS (SELECT block_number, log_index, block_number // width AS came, least(g
 
 def held_back(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFrame]:
     """(rows that each of four batches releases, rows still held): the floor is CUT blocks behind the newest one."""
-    held, out = HoldBack(spark, scratch(spark, "held"), T.StructType(PLAIN.fields[:2])), []
+    held, out = HoldBack(spark, folder(spark, "held"), T.StructType(PLAIN.fields[:2])), []
     for own, _, final in batches(plain_logs(spark, sf_dir).drop("address"))[1]:
         released, held = held.push(own, final.number)
         out.append(released)
@@ -461,6 +468,7 @@ def held_back(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], DataFr
 
 
 @query("WITH {logs}, " + HELD_SQL + " SELECT block_number, log_index, CAST(gone AS INTEGER) AS batch FROM moved WHERE gone < 4")
+@tidy
 def holdback_released(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with the batch that released them."""
     parts = [x.select("block_number", "log_index", F.lit(k).alias("batch")) for k, x in enumerate(held_back(spark, sf_dir)[0])]
@@ -471,17 +479,19 @@ def holdback_released(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH {logs}, " + HELD_SQL + " SELECT block_number, log_index FROM moved WHERE gone = 4")
+@tidy
 def holdback_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_back(spark, sf_dir)[1].select("block_number", "log_index")
 
 
 @query("WITH {logs}, " + THROUGH_SQL + """ SELECT block_number, log_index, address FROM left_over WHERE event_type = 'purchase' AND block_number <= 4 * width - 1 - 100""")
+@tidy
 def recorded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole blocks from recorded responses with a fork among them, by a streaming query with a request, into segments."""
     rows = logs(spark, sf_dir).select(F.col("block_number").alias("number"), F.col("log_index").alias("logIndex"), F.lit(0).cast("bigint").alias("transactionIndex"), "address", F.slice("topics", 1, 1).alias("topics"))
     blocks = nested("evm", logs=rows).select("header", "logs").withColumn("header", F.col("header").withField("hash", text("h", F.col("header.number"))))
     top = blocks.agg(F.max("header.number")).first()[0] or 0
-    width, log = top // 4 + 1, scratch(spark, "responses")
+    width, log = top // 4 + 1, folder(spark, "responses")
     final = lambda k: (k + 1) * width - 1 - CUT
     told = [(1, 200, 0, final(0), None), (2, 200, 1, final(1), None), (3, 200, 2, final(1), None), (4, 409, None, None, [(2 * width - 1, f"h{2 * width - 1}"), (3 * width - 1, "other")]), (5, 200, 2, final(2), None), (6, 200, 3, final(3), None)]
     heads = spark.createDataFrame(told, "seq long, status int, part long, finalized_number long, previous_blocks array<struct<number: long, hash: string>>")
@@ -490,10 +500,10 @@ def recorded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = part.where("header.number % 2 = 0 or part <> 2") if seq == 5 else part
         listed = own.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("header", "logs"))).alias("blocks"))
         heads.where(F.col("seq") == seq).join(listed, "part", "left").drop("part").coalesce(1).write.mode("append").json(log)
-    sink = SegmentSink(spark, scratch(spark, "segments"), [Table("logs", PLAIN)])
+    sink = SegmentSink(spark, folder(spark, "segments"), [Table("logs", PLAIN)])
     q = Query("evm").add_request("logs", topic0=[topic("purchase")])
     rows_of = lambda b: {"logs": q.run(b)["logs"].select("block_number", F.col("logIndex").alias("log_index"), "address")}
-    start(responses(spark, log, "evm", {"logs": {"logIndex": True, "transactionIndex": True, "address": True, "topics": True}}), "evm", sink, rows_of, scratch(spark, "checkpoint")).awaitTermination()
+    start(responses(spark, log, "evm", {"logs": {"logIndex": True, "transactionIndex": True, "address": True, "topics": True}}), "evm", sink, rows_of, folder(spark, "checkpoint")).awaitTermination()
     sink.finish()
     return sink.rows("logs")
 
