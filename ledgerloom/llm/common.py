@@ -68,6 +68,14 @@ def _write(df: DataFrame, name: str) -> str:
     return path
 
 
+def own_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which a `Scratch` around it deletes at its end."""
+    path = shared_dir(spark, name)
+    if (owner := _owner.get()) is not None:
+        owner.paths.append((spark, path))
+    return path
+
+
 def saved(df: DataFrame, name: str = "saved") -> DataFrame:
     """The rows, written once to the shared folder and read from there, so that lost executors cost no recomputation.
 

@@ -184,7 +184,7 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, path: str | None = None) -> LineIndex:
         spark = docs.sparkSession
-        made = cls(spark, path or common.shared_dir(spark, "lines"), min_docs, 1)
+        made = cls(spark, path or common.own_dir(spark, "lines"), min_docs, 1)
         _counts(docs, text).write.parquet(f"{made.path}/counts")
         made.shards = 1 + made.frequent.count() // SHARD_KEYS
 
@@ -208,13 +208,16 @@ class LineIndex:
         return self._changed(docs, text, 1, path)
 
     def delete(self, docs: DataFrame, text: str = "text", path: str | None = None) -> LineIndex:
-        """The next version, without these documents, which must have been inserted before."""
+        """The next version, without these documents, which must have been inserted before: a line whose count would fall below zero is
+        a ValueError, and nothing is written."""
         return self._changed(docs, text, -1, path)
 
     def _changed(self, docs: DataFrame, text: str, sign: int, path: str | None) -> LineIndex:
-        after = LineIndex(self.spark, path or common.shared_dir(self.spark, "lines"), self.min_docs, self.shards)
+        after = LineIndex(self.spark, path or common.own_dir(self.spark, "lines"), self.min_docs, self.shards)
         delta = _counts(docs, text).select("key", (F.col("n_docs") * sign).alias("d"))
         both = self.counts.join(delta, "key", "full").select("key", F.coalesce("n_docs", F.lit(0)).alias("old"), (F.coalesce("n_docs", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n_docs"))
+        if sign < 0 and not both.where("n_docs < 0").isEmpty():
+            raise ValueError("documents to delete hold lines that fewer documents of the index have")
         both.where("n_docs > 0").select("key", "n_docs").write.parquet(f"{after.path}/counts")
         n_frequent = after.frequent.count()
         if n_frequent > 2 * SHARD_KEYS * self.shards:

@@ -82,13 +82,15 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = line_dedup.LineIndex.build(docs)
-    kept = index.drop_lines(docs, kept="kept", counts=("n_lines", "n_dropped"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    with Scratch() as run:
+        kept = line_dedup.LineIndex.build(docs).drop_lines(docs, kept="kept", counts=("n_lines", "n_dropped"))
+        digests = kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+        return run.result(digests, "line-dedup")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.TokenFiles.write(table(spark, sf_dir, "documents")).digests()
+    with Scratch() as run:
+        return run.result(token_store.TokenFiles.write(table(spark, sf_dir, "documents")).digests(), "token-files")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

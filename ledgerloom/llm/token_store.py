@@ -214,7 +214,7 @@ class TokenFiles:
     @classmethod
     def write(cls, docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str | None = None, tokenizer_path: str = TOKENIZER, end_id: int | None = END_ID) -> TokenFiles:
         spark = docs.sparkSession
-        made = cls(spark, path or common.shared_dir(spark, "tokens"))
+        made = cls(spark, path or common.own_dir(spark, "tokens"))
         id_type = docs.schema[id_column].dataType
         schema = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("block", T.IntegerType()), ("start", T.LongType()), ("n_ids", T.LongType()), ("width", T.IntegerType()), ("doc_ids", T.ArrayType(id_type)), ("ids", T.BinaryType()), ("bounds", T.BinaryType()))])
         given = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))

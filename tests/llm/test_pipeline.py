@@ -1,7 +1,9 @@
+import os
+
 import pytest
 
 import corpus_pipeline as p
-from ledgerloom.llm import byte_bpe, quality
+from ledgerloom.llm import byte_bpe, quality, queries
 
 from .fixtures import documents, shingles, texts
 from .test_pairs import brute
@@ -65,3 +67,26 @@ def test_whole_pipeline(spark, sf):
 def test_stages_take_an_empty_table(spark, sf, name):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     assert dict(p.STAGES)[name](spark, docs, sf).count() == 0
+
+
+def test_rows_that_share_an_id(spark, sf):
+    """One stays, the same whatever the order of rows and partitions."""
+    rows = [(1, "b c d e f g h", "en"), (1, "a b c d e f g h i", "de"), (1, None, "fr"), (2, "x", "en"), (2, "x", "de"), (2, "w y", "en"), (None, "n", "en"), (None, "n", "en")]
+    for turn in range(3):
+        docs = documents(spark, rows[turn:] + rows[:turn]).repartition(turn + 1)
+        got = p.drop_near_duplicates(spark, docs, sf)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=repr) == sorted([(1, None, "fr"), (2, "w y", "en"), (None, "n", "en"), (None, "n", "en")], key=repr)
+
+
+def left(spark):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:").replace("//", "/", 1)
+    return set(os.listdir(shared)) if os.path.isdir(shared) else set()
+
+
+@pytest.mark.parametrize("name", ["op7_line_dedup", "op8_token_files", "op11_source_audit", "pipeline"])
+def test_a_run_leaves_its_rows_only(spark, sf, name):
+    before = left(spark)
+    query = p.run if name == "pipeline" else queries.queries()[name]
+    query(spark, sf).count()
+    assert len(left(spark) - before) == 1

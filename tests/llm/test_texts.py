@@ -352,6 +352,8 @@ def test_line_dedup_is_reversible(spark, monkeypatch):
     assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
     assert dropped(back, documents(spark, rows)) == sorted(brute_lines(rows, 3), key=repr)
     assert dropped(line_dedup.LineIndex.build(documents(spark, [])), documents(spark, [])) == []
+    with pytest.raises(ValueError, match="fewer documents"):
+        index.delete(documents(spark, [(1, "a line that no document has", None)]))
 
 
 def test_cuckoo_filter():
