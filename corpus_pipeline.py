@@ -31,13 +31,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; one row of rows that share an id."""
+    """Of each group of linked documents the one with the smallest id; of rows that share an id the one with the smallest text (null first)."""
     found = ngram_join.join(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    row, rest = common.unused(docs, "_row"), ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    first = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias(row))
+    return first.select("doc_id", f"{row}.*").select(*docs.columns).unionByName(kept.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage saves on its way is deleted once its own rows are written, and those once the next are."""
+    """The last stage's rows. What a stage saves on its way is deleted once its own rows are written, those once the next are; the last ones stay."""
     docs = common.table(spark, sf_dir, "documents")
     with common.Scratch() as stages:
         for name, stage in STAGES[:-1]:
             with common.Scratch() as own:
                 docs = own.result(stage(spark, docs, sf_dir), name)
             stages.forget(keep=1)
-        stages.paths.clear()  # the last one's rows are read by the result
-    return STAGES[-1][1](spark, docs, sf_dir)
+        return stages.result(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
