@@ -5,12 +5,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions import abi, encodings, scalars
+from ledgerloom.functions import abi, base58, encodings, scalars
 from ledgerloom.operators import tables
 from ledgerloom.plans.query import Query
 from ledgerloom.plans.ranges import Range
@@ -70,18 +69,13 @@ def state_diff_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("block_number").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
-@F.pandas_udf(T.StringType())
-def as_base58(data_hex: pd.Series) -> pd.Series:
-    return data_hex.map(lambda x: encodings.base58_encode(bytes.fromhex(x)))
-
-
 @query("""SELECT l_orderkey // 10 AS block_number, l_orderkey % 10 AS "transactionIndex", l_linenumber AS line, concat('owner', CAST(l_suppkey % 7 AS VARCHAR)) AS owner FROM lineitem
 WHERE l_partkey % 4 = 2 AND l_suppkey % 7 IN (3, 4)""")
 def instruction_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions by the first eight bytes of their data, which is written in base 58, and by an account; the account by its name."""
     data = F.concat(F.lower(F.lpad(F.hex(F.col("l_partkey") % 4), 16, "0")), F.lower(F.lpad(F.hex("l_linenumber"), 4, "0")))
     accounts = F.array(F.lit("mint"), text("owner", F.col("l_suppkey") % 7))
-    items = read(spark, sf_dir, "lineitem").select(*place(), F.col("l_linenumber").alias("line"), as_base58(data).alias("data"), accounts.alias("accounts"), F.lit("P").alias("programId"))
+    items = read(spark, sf_dir, "lineitem").select(*place(), F.col("l_linenumber").alias("line"), base58.from_hex(data).alias("data"), accounts.alias("accounts"), F.lit("P").alias("programId"))
     wanted = encodings.account_selection({"mint": 0, "owner": 1}, {"owner": ["owner3", "owner4"]})
     found = Query("solana").add_request("instructions", programId=["P"], d8=["0x0000000000000002"], **wanted).run(nested("solana", instructions=items))["instructions"]
     return found.select("block_number", "transactionIndex", "line", encodings.named_accounts({"mint": 0, "owner": 1})["owner"].alias("owner"))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import abi
+from .base58 import ALPHABET
 from .scalars import bound_once
 
-ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 SIZES = {"u8": 1, "u16": 2, "u32": 4, "u64": 8, "i8": 1, "i16": 2, "i32": 4, "i64": 8, "f64": 8, "u128": 16, "i128": 16, "bool": 1, "address": 32, "unit": 0}
 
 

@@ -5,50 +5,15 @@ from __future__ import annotations
 import struct
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.errors import LoomError
 
-from . import borsh
-
-ALPHABET = borsh.ALPHABET
-_DIGIT = {c: i for i, c in enumerate(ALPHABET)}
-
-
-def base58_decode(text: str) -> bytes:
-    number = 0
-    for c in text:
-        number = number * 58 + _DIGIT[c]
-    zeros = len(text) - len(text.lstrip("1"))
-    return bytes(zeros) + number.to_bytes((number.bit_length() + 7) // 8, "big")
-
-
-def base58_encode(data: bytes) -> str:
-    number, out = int.from_bytes(data, "big"), ""
-    while number:
-        number, digit = divmod(number, 58)
-        out = ALPHABET[digit] + out
-    return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
-
-
-@F.pandas_udf(T.StringType())
-def base58_hex(texts: pd.Series) -> pd.Series:
-    """0x-prefixed hex of base58 text; null for null or what isn't base58."""
-    return texts.map(_hex)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def base58_hexes(texts: pd.Series) -> pd.Series:
-    """base58_hex of each text of an array."""
-    return texts.map(lambda listed: None if listed is None else [_hex(t) for t in listed])
-
-
-def _hex(text: str | None) -> str | None:
-    return "0x" + base58_decode(text).hex() if text is not None and set(text) <= _DIGIT.keys() else None
+from . import base58, borsh
 
+base58_decode, base58_encode, base58_hex = base58.decode, base58.encode, base58.to_hex
 
 #: Fixed-size numbers: struct codes and sizes.
 _NUMBERS = {"u8": "<B", "u16": "<H", "u32": "<I", "u64": "<Q", "i8": "<b", "i16": "<h", "i32": "<i", "i64": "<q", "f64": "<d"}

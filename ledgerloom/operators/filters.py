@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import base58
 from ledgerloom.plans.ranges import Range
 
 Values = Sequence[str | int | bool] | str | int | bool
@@ -62,6 +63,8 @@ FIELD_COLUMNS = {
     "transferTo": lambda at: at("transferToAddress"),
 }
 
+#: Fields of the instruction filter that name the first bytes of the data, and their number.
+FIRST_BYTES = {"d1": 1, "d2": 2, "d4": 4, "d8": 8}
 #: Fields of the trace filter that only traces of one type have.
 TRACE_TYPES = {"createFrom": "create", "callFrom": "call", "callTo": "call", "callSighash": "call", "suicideRefundAddress": "suicide", "rewardAuthor": "reward"}
 
@@ -72,9 +75,15 @@ def column_at(name: str) -> Column:
 
 
 def request_predicate(fields: Mapping[str, Values | None], columns: Sequence[str] = (), at: At = column_at) -> Column:
-    """One request as a predicate. columns: those of the table, which win over derived fields; at: where they are found."""
+    """One request as a predicate. columns: those of the table, which win over derived fields; at: where they are found.
+
+    First bytes of data are looked for in `data_hex`; where a table has only `data`, in its base-58 text.
+    """
     terms: list[Column | None] = []
     for name, values in fields.items():
+        if name in FIRST_BYTES and name not in columns and "data_hex" not in columns and "data" in columns and values is not None:
+            terms.append(base58.one_of(at("data"), FIRST_BYTES[name], [values] if isinstance(values, str) else list(values)))
+            continue
         column = at(name) if name in columns or name not in FIELD_COLUMNS else FIELD_COLUMNS[name](at)
         term = any_of(column, values)
         if term is not None and name in TRACE_TYPES and "type" in columns:

@@ -10,7 +10,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.encodings import base58_hexes
 from ledgerloom.functions.scalars import bound_once, query_hash
 from ledgerloom.operators.filters import either, in_range, request_predicate
 from ledgerloom.sources import schemas
@@ -223,7 +222,7 @@ class Query:
             met: list[str] = []
             for _, fields in wanted:
                 request_predicate(fields, full[entity].names, lambda name, met=met: (met.append(name), F.col(name))[1])
-            add(entity, ["data" if name == "data_hex" else name for name in met])
+            add(entity, met)
         for target, parts in brought.items():
             for source, relation, _ in parts:
                 pairs = [*relation.keys, *([relation.path] if relation.path else [])]
@@ -248,9 +247,6 @@ class Query:
         asked = [r.range for r in self.requests] + [*self.ranges, *self.all_blocks]
         inside = blocks.where(in_range(number, limit) & (either([in_range(number, r) for r in asked]) if asked else F.lit(True)))
         direct, brought = self._plan()
-        for entity in dict.fromkeys([*direct, *(source for parts in brought.values() for source, _, _ in parts)]):
-            if any(f in fields for _, fields in direct.get(entity, ()) for f in ("d1", "d2", "d4", "d8")):
-                inside = inside.withColumn(_hex(entity), base58_hexes(F.transform(entity, lambda x: x.getField("data"))))
         place = [number.alias("block_number"), F.col("header.hash").alias("block_hash"), F.col("block_time")]
         out = {}
         for entity in dict.fromkeys([*direct, *brought]):
@@ -287,11 +283,11 @@ class Query:
 
     @staticmethod
     def _test(blocks: DataFrame, entity: str, wanted: Wanted) -> Callable:
-        """Whether an item is asked for, as a function of it and its index, by which the hex of its data is found."""
+        """Whether an item is asked for, as a function of it and its index."""
         names, number = blocks.schema[entity].dataType.elementType.names, F.col("header.number")
 
         def test(item: Column, i: Column) -> Column:
-            at = lambda name: F.get(F.col(_hex(entity)), i) if name == "data_hex" else reduce(lambda x, part: x.getField(part), name.split("."), item)
+            at = lambda name: reduce(lambda x, part: x.getField(part), name.split("."), item)
             return either([in_range(number, over) & request_predicate(fields, names, at) for over, fields in wanted])
 
         return test
@@ -314,10 +310,6 @@ class Query:
         return bound_once(known, of)
 
 
-def _hex(entity: str) -> str:
-    return f"_hex_{entity}"
-
-
 def _of(chosen: Mapping[str, Any] | None, name: str) -> Any:
     return True if chosen is None else chosen.get(name) or True
 

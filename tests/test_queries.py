@@ -96,7 +96,7 @@ def test_stretches_join_up(spark):
         assert abs(r.bytes_per_s - (sum(x[3] for x in last) / seconds if seconds else 0)) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["instruction_decode", "program_events", "dynamic_events", "calldata_decode", "trace_requests", "call_stacks"])
+@pytest.mark.parametrize("name", ["instruction_decode", "program_events", "instruction_prefixes", "dynamic_events", "calldata_decode", "trace_requests", "call_stacks"])
 def test_no_python_in_the_plan(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
