@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +36,45 @@ def lookup(children: DataFrame, factories: Sequence[str] | None = None, params:
     return out
 
 
-def join_children(logs: DataFrame, children: DataFrame, address: str = "address") -> DataFrame:
-    """Logs of child contracts with their creation record. Not temporal: logs before the creation match as well."""
-    return logs.join(children.withColumnRenamed("child_address", address), address)
+def address_filter(addresses: DataFrame, address: str, n: int, most_bits: int = 1 << 26) -> Callable[[Column], Column]:
+    """A Bloom filter of a table's addresses, as a predicate: true for each of them, and for few others (1 % at 10 bits an address).
+
+    n: their number, as it sizes the filter. The bits, 8 MB at most however many addresses there are, are one value that Spark computes
+    before the scan that uses them; bits are set by an aggregation of words, so each task sends each word once.
+    """
+    bits = min(most_bits, 1 << max(10, (10 * n).bit_length()))
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits)) for seed in range(5)]
+    mask = lambda p: F.call_function("shiftleft", F.lit(1).cast("bigint"), (p % 64).cast("int"))
+    found = addresses.where(F.col(address).isNotNull()).select(F.explode(F.array(*places(F.col(address)))).alias("place"))
+    marks = found.select(F.expr("place div 64").alias("at"), mask(F.col("place")).alias("word"))
+    every = marks.union(addresses.sparkSession.range(bits // 64).select("id", F.lit(0).cast("bigint"))).groupBy("at").agg(F.bit_or("word").alias("word"))
+    held = every.agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w")).select(F.col("w.word").alias("w")).scalar()
+
+    def test(column: Column) -> Column:
+        there = lambda p: F.get(held, F.shiftright(p, 6).cast("int")).bitwiseAND(mask(p)) != 0
+        return reduce(lambda a, b: a & b, [there(p) for p in places(column)])
+
+    return test
+
+
+def join_children(logs: DataFrame, children: DataFrame, address: str = "address", broadcast_up_to: int = 100_000, share: int = 1000) -> DataFrame:
+    """Logs of child contracts with their creation record. Not temporal: logs before the creation match as well. One child an address.
+
+    Up to so many children go to the logs. Beyond, logs of others leave in the scan by a Bloom filter of the children's addresses, and what
+    stays meets the children by address; addresses with more than one of `share` of those logs (there are fewer than `share`) are met where the logs are.
+    """
+    made = children.withColumnRenamed("child_address", address)
+    n = made.count()
+    if n <= broadcast_up_to:
+        return logs.join(F.broadcast(made), address)
+    near = logs.where(address_filter(made, address, n)(F.col(address)))
+    sizes = near.groupBy(address).agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sum("n")).scalar()
+    hot = [r[0] for r in sizes.where(F.col("n") * share > whole).select(address).collect()]
+    if not hot:
+        return near.join(made, address)
+    is_hot = F.col(address).isin(hot)
+    return near.where(~is_hot).join(made.where(~is_hot), address).unionByName(near.where(is_hot).join(F.broadcast(made.where(is_hot)), address))
 
 
 def with_transaction(items: DataFrame, transactions: DataFrame, keys: Sequence[str] = ("block_number", "transaction_index")) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import joins
 
 
@@ -36,3 +38,33 @@ def test_a_transaction_of_a_hundred_thousand_items(spark):
     assert found[0] == 99_999 and sum(v for k, v in found.items() if k) == 100_000 - 301
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_children_of_a_large_factory(spark, tmp_path):
+    """Beyond the broadcast: the same rows; one address in 30 % of the logs doesn't gather in a task; logs of no child aren't shuffled."""
+    children = spark.range(3000).selectExpr("concat('c', id) as child_address", "id as created", "if(id % 2 = 0, 'f', null) as factory")
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("id as i", "case when id % 10 < 3 then 'c7' when id % 10 < 6 then concat('c', id % 2999) when id % 10 = 9 then null else concat('other', id) end as address")
+    rows.write.parquet(str(tmp_path / "logs"))
+    logs = spark.read.parquet(str(tmp_path / "logs"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = logs.where(joins.address_filter(children, "child_address", 3000)(logs.address))
+        foreign = near.where("address like 'other%'").count()
+        assert foreign < 60_000 * 0.03 and near.where("address like 'c%'").count() == logs.where("address like 'c%'").count()
+        split = joins.join_children(logs, children, broadcast_up_to=10)
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1 and "Cartesian" not in plan
+        by_hash = [r["count"] for r in split.where("address <> 'c7'").groupBy(F.spark_partition_id()).count().collect()]
+        by_scan = [r["count"] for r in split.where("address = 'c7'").groupBy(F.spark_partition_id()).count().collect()]
+        for sizes in (by_hash, by_scan):
+            assert len(sizes) >= 4 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+        plain = joins.join_children(logs, children)
+        assert split.columns == plain.columns and split.exceptAll(plain).count() == plain.exceptAll(split).count() == 0 and plain.count() > 100_000
+        even = joins.join_children(logs.where("address like 'c%' and address <> 'c7'"), children, broadcast_up_to=10)
+        assert even.count() == plain.where("address <> 'c7'").count()
+        for some, made in ((logs.limit(0), children), (logs, children.limit(0)), (logs.where("address is null"), children)):
+            assert joins.join_children(some, made, broadcast_up_to=-1).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
