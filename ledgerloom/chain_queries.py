@@ -19,7 +19,7 @@ from ledgerloom.sinks.targets import SegmentSink, SignedSink, Table, TableSink,
 from ledgerloom.sources import schemas
 from ledgerloom.streaming.factory import CHILDREN, ChildStore, Factory, lookup_events
 from ledgerloom.streaming.finality import Cursor
-from ledgerloom.streaming.holdback import HoldBack
+from ledgerloom.streaming.holdback import HoldBack, held_stream
 from ledgerloom.streaming.stream import responses, start
 
 
@@ -448,6 +448,8 @@ def table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.rows("accounts")
 
 
+#: Spark's state store that a stream of held rows needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HELD_SQL = """w AS (SELECT max(block_number) // 4 + 1 AS width FROM logs),
 moved AS (SELECT block_number, log_index, block_number // width AS came, least(greatest((block_number + 100) // width, block_number // width), 4) AS gone FROM logs, w)"""
 
@@ -478,6 +480,35 @@ def holdback_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_back(spark, sf_dir)[1].select("block_number", "log_index")
 
 
+@query("WITH {logs}, " + """w AS (SELECT max(block_number) // 4 + 1 AS width FROM logs),
+came AS (SELECT block_number, log_index, width, CASE block_number // width WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 6 END AS seq FROM logs, w WHERE block_number // width <> 2 OR block_number % 2 = 0),
+floors AS (SELECT seq AS released, (k + 1) * width - 101 AS floor FROM (VALUES (1, 0), (2, 1), (3, 1), (5, 2), (6, 3)) t(seq, k), w)
+SELECT block_number, log_index, CAST(min(released) AS BIGINT) AS released FROM came JOIN floors ON released >= seq AND block_number <= floor GROUP BY block_number, log_index""")
+@tidy
+def holdback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the response that released them, held in the state of a streaming query; a fork takes the third part back, and half of it comes again."""
+    rows = logs(spark, sf_dir).select("block_number", "log_index")
+    width, log, out = (rows.agg(F.max("block_number")).first()[0] or 0) // 4 + 1, folder(spark, "responses"), folder(spark, "released")
+    item = F.struct("block_number", "log_index")
+    for seq, part in ((1, 0), (2, 1), (3, 2), (4, None), (5, 2), (6, 3)):
+        own = rows.where(F.lit(False) if part is None else (F.col("block_number").between(part * width, (part + 1) * width - 1) & ((F.col("block_number") % 2 == 0) | F.lit(seq != 5))))
+        # rows of a response lie in as many lines as tasks have written, each with what the response tells
+        lines = own.groupBy(F.expr("block_number div 1000").alias("g")).agg(F.collect_list(item).alias("rows")).drop("g")
+        told = spark.range(1).select(F.array().cast("array<struct<block_number: bigint, log_index: bigint>>").alias("rows"))
+        final = None if part is None else (min(part, 1) + 1 if seq < 5 else part + 1) * width - 1 - CUT
+        told.unionByName(lines).select(F.lit(seq).alias("seq"), "rows", F.lit(final).cast("bigint").alias("finalized"), F.lit(2 * width - 1 if part is None else None).cast("bigint").alias("safe")).write.mode("append").json(log)
+    stream = spark.readStream.schema("seq bigint, rows array<struct<block_number: bigint, log_index: bigint>>, finalized bigint, safe bigint").json(log)
+    kind = T.StructType.fromDDL("block_number bigint, log_index bigint")
+    stores, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(stores, ROCKS)
+    try:
+        released = held_stream(stream, F.col("rows"), kind, F.col("finalized"), F.col("safe").isNotNull(), F.col("safe"))
+        released.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(stores, before)
+    return spark.read.schema(released.schema).parquet(out)
+
+
 @query("WITH {logs}, " + THROUGH_SQL + """ SELECT block_number, log_index, address FROM left_over WHERE event_type = 'purchase' AND block_number <= 4 * width - 1 - 100""")
 @tidy
 def recorded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

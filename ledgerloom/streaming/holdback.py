@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .finality import Cursor, PipeState
 
@@ -45,6 +48,105 @@ class HoldBack:
         return HoldBack(self.spark, self.path, self.schema, self.number, self.version + 1)
 
 
+#: Keys of the state of a stream; a checkpoint keeps its number.
+BUCKETS = 64
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_EVENT = "struct<seq: bigint, kind: string, number: bigint, payload: string>"
+
+
+class _Waiting(StatefulProcessor):
+    """Of one bucket: the rows that wait, by block number, and the floor so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", "number bigint", "seqs array<bigint>, payloads array<string>")
+        self.floor = handle.getValueState("floor", "number bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh: dict[int, list[tuple[int, str]]] = {}
+        told: set[tuple[int, str, int | None]] = set()
+        for part in rows:
+            for seq, kind, number, payload in zip(part["seq"], part["kind"], part["number"], part["payload"], strict=True):
+                if kind == "row":
+                    fresh.setdefault(int(number), []).append((int(seq), payload))
+                else:
+                    told.add((int(seq), kind, None if pd.isna(number) else int(number)))
+        steps = self._steps(sorted(told, key=lambda c: c[0]))
+        known = {k[0] for k in self.held.keys()}
+        for number in sorted(known | fresh.keys()):
+            came = fresh.get(number, [])
+            old = _fate(steps, number, None) if number in known else "drop"
+            if old is None and not came:
+                continue  # waits on, unread
+            stored = [] if old == "drop" else list(zip(*self.held.getValue((number,)), strict=True))
+            waits, out = [], []
+            for seq, payload in stored + sorted(came, key=lambda c: c[0]):
+                fate = old if len(waits) + len(out) < len(stored) else _fate(steps, number, seq)
+                if fate is None:
+                    waits.append((seq, payload))
+                elif fate != "drop":
+                    out.append((number, seq, fate, payload))
+            if waits:
+                self.held.updateValue((number,), ([s for s, _ in waits], [p for _, p in waits]))
+            elif number in known:
+                self.held.removeKey((number,))
+            if out:
+                yield pd.DataFrame(out, columns=["number", "seq", "released", "payload"])
+
+    def _steps(self, told: list[tuple[int, str, int | None]]) -> list[tuple[int, str, float | None]]:
+        """What is told, in order; the floor never falls, and while none is known everything is final."""
+        top = self.floor.get()[0] if self.floor.exists() else None
+        out: list[tuple[int, str, float | None]] = []
+        for seq, kind, number in told:
+            if kind == "floor":
+                top = top if number is None or (top is not None and number < top) else number
+                out.append((seq, kind, float("inf") if top is None else top))
+            else:
+                out.append((seq, kind, number))
+        if top is not None:
+            self.floor.update((top,))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def _fate(steps: list[tuple[int, str, float | None]], number: int, seq: int | None) -> int | str | None:
+    """The response that releases a row, "drop" for one that a fork takes back, None for one that waits. seq None: it came before all steps."""
+    for at, kind, value in steps:
+        if kind == "floor" and (seq is None or at >= seq) and number <= value:
+            return at
+        if kind == "fork" and (seq is None or at > seq) and value is not None and number > value:
+            return "drop"
+    return None
+
+
+def held_stream(responses: DataFrame, items: Column, schema: T.StructType, finalized: Column, fork: Column, safe: Column, number: str = "block_number", seq: str = "seq") -> DataFrame:
+    """A stream of responses as the stream of their rows once they are final, with `released`, the response that released them.
+
+    items: an array of rows (`schema`) for each response; finalized: its finalized block; where `fork` holds, rows above `safe` that came before are
+    taken back (a null keeps them). Rows wait in Spark's own state store, spread over BUCKETS keys whatever their block; offsets and state are
+    Spark's, so a query that starts again from its checkpoint goes on. Responses have to come in the order of `seq`, as many at
+    once as may be. The floor never falls; until one is known rows are final at once. Rows without a number are left out.
+    Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
+    """
+    event = lambda kind, at, payload: F.struct(F.col(seq).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), at.cast("bigint").alias("number"), payload.cast("string").alias("payload"))
+    rows = F.filter(F.transform(items, lambda x: event("row", x.getField(number), F.to_json(x, _JSON))), lambda e: e["number"].isNotNull())
+    control = F.when(fork, event("fork", safe, F.lit(None))).otherwise(event("floor", finalized, F.lit(None)))
+    told = F.concat(F.coalesce(rows, F.array().cast(f"array<{_EVENT}>")), F.array(control))
+    events = responses.select(F.explode(told).alias("e")).select("e.*")
+    everywhere = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    own = F.array(F.pmod(F.xxhash64("number", "payload"), F.lit(BUCKETS)).cast("int"))
+    keyed = events.withColumn("bucket", F.explode(F.when(F.col("kind") == "row", own).otherwise(everywhere)))
+    found = keyed.groupBy("bucket").transformWithStateInPandas(_Waiting(), "number bigint, seq bigint, released bigint, payload string", "Append", "None")
+    return found.select(F.from_json("payload", schema, _JSON).alias("row"), "released").select("row.*", "released")
+
+
+def still_held(spark: SparkSession, checkpoint: str, schema: T.StructType) -> DataFrame:
+    """The rows that wait in the state of a stopped query."""
+    state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    return state.select(F.explode("user_map_value.payloads").alias("p")).select(F.from_json("p", schema, _JSON).alias("row")).select("row.*")
+
+
 def dump_state(state: PipeState) -> str:
     return json.dumps(asdict(state))
 
