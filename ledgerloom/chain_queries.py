@@ -14,6 +14,7 @@ from ledgerloom.operators import tables
 from ledgerloom.plans.query import Query
 from ledgerloom.plans.ranges import Range
 from ledgerloom.queries import logs, query, read, topic, word
+from ledgerloom.sinks.layout import BlockLayout
 from ledgerloom.sinks.scratch import folder, tidy
 from ledgerloom.sinks.targets import SegmentSink, SignedSink, Table, TableSink, WriteAheadSink
 from ledgerloom.sources import schemas
@@ -448,6 +449,22 @@ def table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.rows("accounts")
 
 
+@query("WITH {logs}, " + """w AS (SELECT max(block_number) // 4 + 1 AS width FROM logs)
+SELECT block_number, log_index, address FROM logs, w WHERE block_number < 2 * width + 7 OR (block_number >= 3 * width AND block_number NOT BETWEEN 3 * width + 5 AND 3 * width + 30)""")
+@tidy
+def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks in folders by range: a fork takes the third quarter but for seven blocks, the fourth comes, and a range of it is deleted."""
+    rows = plain_logs(spark, sf_dir)
+    width = (rows.agg(F.max("block_number")).first()[0] or 0) // 4 + 1
+    table = BlockLayout(spark, folder(spark, "layout"), PLAIN, max(1, width // 8))
+    table.append(rows.where(F.col("block_number") < 3 * width))
+    table.fork(2 * width + 6)
+    table.append(rows.where(F.col("block_number") >= 3 * width))
+    table.delete(3 * width + 5, 3 * width + 30)
+    table.compact(3 * width)
+    return table.rows()
+
+
 #: Spark's state store that a stream of held rows needs.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HELD_SQL = """w AS (SELECT max(block_number) // 4 + 1 AS width FROM logs),
