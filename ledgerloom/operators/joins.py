@@ -166,3 +166,30 @@ def fork_ancestor(chain: DataFrame, canonical: DataFrame) -> DataFrame:
     """The highest stored block that is canonical, too: one row (number, hash), none if the chains share nothing."""
     shared = chain.join(canonical, ["number", "hash"], "left_semi")
     return shared.agg(F.max(F.struct("number", "hash")).alias("m")).where("m is not null").select("m.number", "m.hash")
+
+
+def linked_ancestor(chain: DataFrame, canonical: DataFrame, fan: int = 1000, stretch: int = 100_000) -> DataFrame:
+    """fork_ancestor of chains whose hashes cover all blocks before, one hash a number: one row (number, hash), none if the chains share nothing.
+
+    A shared block has shared ancestors, so its hash is the digest of all blocks up to it. Of stretches of the stored chain, which
+    double away from its head, the newest blocks are looked up in the other chain. What is left is the stretch in front of the newest shared
+    one; it is cut into `fan` parts again, until it spans no more than `stretch` numbers and is joined. Chains may have gaps. A round
+    aggregates the stretch to `fan` rows at most, which the driver sees; nothing else is shuffled.
+    """
+    ends = chain.agg(F.min("number").alias("low"), F.max("number").alias("high")).first()
+    low, high, best, part = ends.low, ends.high, None, lambda behind, _: F.floor(F.log2(behind + 1))
+    while low is not None and high - low >= stretch:
+        behind = F.lit(high) - F.col("number")
+        cut = chain.where(F.col("number").between(low, high)).groupBy(part(behind, high - low + 1).alias("part"))
+        newest = cut.agg(F.max("number").alias("number"), F.max_by("hash", "number").alias("hash"), F.min("number").alias("oldest")).collect()
+        numbers = [r.number for r in newest]
+        looked = chain.sparkSession.createDataFrame([(r.number, r.hash) for r in newest], chain.select("number", "hash").schema)
+        shared = canonical.where(F.col("number").isin(numbers)).join(F.broadcast(looked), ["number", "hash"], "left_semi").agg(F.max("number")).first()[0]
+        best = shared if shared is not None else best
+        above = [r for r in newest if shared is None or r.number > shared]
+        front = min(above, key=lambda r: r.number) if above else None
+        low, high = (front.oldest, front.number - 1) if front and front.oldest < front.number else (None, None)
+        part = lambda behind, size: F.floor(behind * fan / size)
+    inside = F.lit(False) if low is None else F.col("number").between(low, high)
+    wanted = inside if best is None else inside | (F.col("number") == best)
+    return fork_ancestor(chain.where(wanted), canonical.where(wanted))

@@ -114,6 +114,36 @@ def previous(rows: DataFrame, keys: Sequence[str], order: str, value: str, out:
     return joined.withColumn(out, F.coalesce(inside, F.col("_last_before"))).drop("_part", "_last_before")
 
 
+def continuity(blocks: DataFrame, keys: Sequence[str] = (), number: str = "number", hash_: str = "hash", parent: str = "parent") -> DataFrame:
+    """What breaks chains of blocks, in any order of rows: (keys, problem, low, high, n).
+
+    `gap`: no block low to high, n numbers, between two blocks of a key. `repeat`: number low = high has n > 1 rows. `link`: n rows of number
+    low = high name a parent that isn't among the blocks before, though there are some. Rows without a number are left out, a null parent is no link,
+    and null keys are a key. Rows meet by number and hash with partial sums, so a block that is repeated very often is no hot key; only a
+    row for each stretch of numbers meets in a window by key.
+    """
+    by = [F.col(k) for k in keys]
+    rows = blocks.where(F.col(number).isNotNull())
+    own = rows.select(*by, F.col(number).cast("bigint").alias("_at"), F.col(hash_).alias("_hash"), F.lit(1).alias("_own"), F.lit(0).alias("_child"))
+    child = rows.where(F.col(parent).isNotNull()).select(*by, (F.col(number) - 1).cast("bigint"), F.col(parent), F.lit(0), F.lit(1))
+    named = own.union(child).groupBy(*keys, "_at", "_hash").agg(F.sum("_own").alias("_own"), F.sum("_child").alias("_child"))
+    lost = F.sum(F.when(F.col("_own") == 0, F.col("_child")).otherwise(0)).alias("_lost")
+    met = named.groupBy(*keys, "_at").agg(F.sum("_own").alias("_rows"), lost).where("_rows > 0")
+    # null keys have to meet in the join of stretches, so they are marked beside a value that isn't null
+    marks = {f"_k{i}": F.coalesce(F.to_json(F.struct(F.col(k).alias("k"))), F.lit("")) for i, k in enumerate(keys)}
+    seen = previous(met.withColumns(marks) if marks else met, list(marks), "_at", "_at", "_before")
+    problem = lambda name, low, high, n: F.struct(F.lit(name).alias("problem"), low.alias("low"), high.alias("high"), n.cast("bigint").alias("n"))
+    at, before = F.col("_at"), F.col("_before")
+    found = F.array_compact(
+        F.array(
+            F.when(at > before + 1, problem("gap", before + 1, at - 1, at - before - 1)),
+            F.when(F.col("_rows") > 1, problem("repeat", at, at, F.col("_rows"))),
+            F.when(F.col("_lost") > 0, problem("link", at + 1, at + 1, F.col("_lost"))),
+        )
+    )
+    return seen.select(*by, F.explode(found).alias("_p")).select(*by, "_p.*")
+
+
 def coverage_windows(checkpoints: DataFrame, keys: Sequence[str], seed: int, upto: str = "to_block") -> DataFrame:
     """The window that each published file accounts for: from the block after the one before it, the first from `seed`."""
     return previous(checkpoints, keys, upto, upto, "_previous").withColumn("from_block", F.coalesce(F.col("_previous") + 1, F.lit(seed))).drop("_previous")

@@ -293,6 +293,33 @@ def fork_ancestor_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.fork_ancestor(chain, orders.select(number.alias("number"), hashed(F.lit("a")))).select("number")
 
 
+@query("""WITH c AS (SELECT o_orderkey AS number, sha256(concat(CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey < 3000 THEN 'a' ELSE 'b' END)) AS hash FROM orders),
+k AS (SELECT DISTINCT l_orderkey AS number, sha256(concat(CAST(l_orderkey AS VARCHAR), 'a')) AS hash FROM lineitem)
+SELECT number, hash FROM c JOIN k USING (number, hash) ORDER BY number DESC LIMIT 1""")
+def fork_ancestor_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fork of a chain of all orders from one of all orders that have lines, found by looking up the ends of stretches."""
+    hashed = lambda number, x: F.sha2(F.concat(number.cast("string"), x).cast("binary"), 256).alias("hash")
+    number, line = F.col("o_orderkey"), F.col("l_orderkey")
+    chain = read(spark, sf_dir, "orders").select(number.alias("number"), hashed(number, F.when(number < 3000, "a").otherwise("b")))
+    other = read(spark, sf_dir, "lineitem").select(line.alias("number"), hashed(line, F.lit("a"))).distinct()
+    return joins.linked_ancestor(chain, other, stretch=100)
+
+
+@query("""WITH b AS (SELECT l_returnflag AS chain, l_orderkey AS number, concat('h', l_orderkey, '-', l_linenumber % 2) AS hash, concat('h', l_orderkey - 1, '-', l_partkey % 2) AS parent FROM lineitem),
+n AS (SELECT chain, number, count(*) AS n FROM b GROUP BY ALL),
+p AS (SELECT *, lag(number) OVER (PARTITION BY chain ORDER BY number) AS before FROM n)
+SELECT chain, 'gap' AS problem, before + 1 AS low, number - 1 AS high, number - before - 1 AS n FROM p WHERE number > before + 1
+UNION ALL SELECT chain, 'repeat', number, number, n FROM n WHERE n > 1
+UNION ALL SELECT b.chain, 'link', b.number, b.number, count(*) FROM b JOIN n ON n.chain = b.chain AND n.number = b.number - 1
+  WHERE NOT EXISTS (SELECT 1 FROM b x WHERE x.chain = b.chain AND x.number = b.number - 1 AND x.hash = b.parent) GROUP BY b.chain, b.number""")
+def chain_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks of three chains: numbers that are missing or repeated, and parents that aren't there."""
+    key = F.col("l_orderkey")
+    block = lambda number, bit: F.concat(F.lit("h"), number.cast("string"), F.lit("-"), (bit % 2).cast("string"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chain"), key.alias("number"), block(key, F.col("l_linenumber")).alias("hash"), block(key - 1, F.col("l_partkey")).alias("parent"))
+    return tables.continuity(rows, ["chain"])
+
+
 # --- changing tables --------------------------------------------------------------------------------------------------
 
 

@@ -68,3 +68,32 @@ def test_children_of_a_large_factory(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_linked_ancestor_equals_the_join(spark):
+    """Chains with gaps, forks anywhere and nowhere, by few numbers a round; the other chain may be longer or shorter."""
+    rng = random.Random(9)
+    kind = "number long, hash string"
+    for case in range(14):
+        top = rng.choice([40, 400])
+        mine = sorted(rng.sample(range(10**6), top)) if case % 2 else [*range(top), *range(10**6, 10**6 + top)]
+        fork = [rng.choice(mine), mine[0], -1, mine[-1] + 1, mine[-3]][case % 5]
+        chain = spark.createDataFrame([(n, f"{n}{'a' if n < fork else 'b'}") for n in mine], kind)
+        other = spark.createDataFrame([(n, f"{n}a") for n in mine if rng.random() < 0.9 or case < 8] + [(2 * 10**6, "x")], kind)
+        got = [tuple(r) for r in joins.linked_ancestor(chain, other, fan=4, stretch=5).collect()]
+        if case < 8:
+            assert got == [tuple(r) for r in joins.fork_ancestor(chain, other).collect()]
+            assert got == [(n, f"{n}a") for n in mine if n < fork][-1:]
+        else:  # the other chain lacks blocks: still one that both have
+            assert all((n, h) in {tuple(r) for r in other.collect()} and n < fork for n, h in got)
+    assert joins.linked_ancestor(chain.limit(0), other).count() == joins.linked_ancestor(chain, other.limit(0)).count() == 0
+
+
+def test_the_fork_of_two_long_chains(spark, tmp_path):
+    """Two million blocks each: the driver looks at some hundred hashes, the last join at a stretch of them."""
+    blocks = lambda name, fork: spark.range(2_000_000).selectExpr("id as number", f"concat(id, if(id < {fork}, 'a', '{name}')) as hash").write.parquet(str(tmp_path / name))
+    blocks("mine", 1_234_567)
+    blocks("other", 1_234_567)
+    got = joins.linked_ancestor(*[spark.read.parquet(str(tmp_path / n)) for n in ("mine", "other")], stretch=1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(1_234_566, "1234566a")] and plan.count("LessThanOrEqual(number,") >= 2

@@ -100,3 +100,28 @@ def test_stretches_join_up(spark):
 def test_no_python_in_the_plan(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_continuity_equals_a_loop(spark):
+    """Null keys, hashes and parents, repeated rows, numbers in any order, a block that a third of all rows repeat, stretches of numbers."""
+    rng = random.Random(8)
+    rows = []
+    for chain in (None, "", "a"):
+        for n in rng.sample([*range(60), *range(99_990, 100_010), 250_000], 70):
+            rows += [(chain, n, f"h{n}-{rng.randrange(2)}", rng.choice([None, f"h{n - 1}-{rng.randrange(2)}"])) for _ in range(rng.choice([1, 1, 2]))]
+    rows += [("a", 5, "h5-0", "h4-1")] * 120 + [("a", None, "x", None), ("a", 7, None, None)]
+    expected = []
+    for chain in (None, "", "a"):
+        own = [r for r in rows if r[0] == chain and r[1] is not None]
+        numbers = sorted({r[1] for r in own})
+        expected += [(chain, "gap", a + 1, b - 1, b - a - 1) for a, b in zip(numbers, numbers[1:], strict=False) if b > a + 1]
+        for n in numbers:
+            here, before = [r for r in own if r[1] == n], [r[2] for r in own if r[1] == n - 1]
+            lost = sum(r[3] is not None and r[3] not in before for r in here)
+            expected += [(chain, "repeat", n, n, len(here))] * (len(here) > 1) + [(chain, "link", n, n, lost)] * (bool(before) and lost > 0)
+    df = spark.createDataFrame(rows, "chain string, number long, hash string, parent string")
+    got = tables.continuity(df, ["chain"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr) and len({r[1] for r in expected}) == 3
+    one = tables.continuity(df.where("chain = ''"))
+    assert sorted(map(tuple, one.collect())) == sorted(r[1:] for r in expected if r[0] == "")
+    assert tables.continuity(df.limit(0)).count() == 0
