@@ -72,8 +72,9 @@ def is_base58(text: Column) -> Column:
     return text.rlike(f"\\A[{ALPHABET}]*\\z")
 
 
-def to_hex(text: Column) -> Column:
-    """0x-prefixed hex of base-58 text; null for null or what isn't base 58."""
+def to_hex(text: Column | str) -> Column:
+    """0x-prefixed hex of base-58 text (a column or its name); null for null or what isn't base 58."""
+    text = F.col(text) if isinstance(text, str) else text
     digit = lambda piece, k: F.instr(F.lit(ALPHABET), F.substring(piece, k + 1, 1)).cast("bigint") - 1
     number = lambda piece: reduce(lambda n, k: n * 58 + digit(piece, k), range(1, 5), digit(piece, 0))
     limbs = _rebased(F.transform(_pieces(text, 5, "1"), number), 58**5, 1 << 32)
