@@ -43,8 +43,10 @@ from .components import components
 
 N_WORDS, PERCENT = 5, 75
 EXACT_SIZE, FIRST_BAND, BUCKET = 128, 32, 24
+#: Bytes of text that are turned into sets at a time.
+BLOCK_BYTES = 1 << 18
 #: Classes of a block: of sets, and of lists of signatures, which are shorter.
-BLOCK, SIGNATURE_BLOCK = 1000, 4000
+BLOCK, SIGNATURE_BLOCK = 1000, 2000
 #: Partitions of the first bands, which divide the whole domain, and of the others.
 EXACT_PARTITIONS, PARTITIONS = (24, 32, 64), 72
 #: Members that are compared with one copy of a pivot's text.
@@ -138,7 +140,7 @@ def describe(docs: DataFrame, id_column: str, text: str, n: int = N_WORDS, perce
     schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in names), T.StructField("sigs", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, at, raw in common.blocks(common.column(batch, "text")):
+        for lo, hi, at, raw in common.blocks(common.column(batch, "text"), BLOCK_BYTES):
             sets = shingle_sets(at, raw, n)
             d1 = np.array([common.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             d2 = np.array([common.mix(s + np.uint64(0x2545F491)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -170,7 +172,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int = N_WORDS, percent: int = P
         known: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:
             a, texts_a, keep = common.column(batch, "a").to_pylist(), common.column(batch, "text_a"), []
-            for lo, _, at, raw in common.blocks(common.column(batch, "text_b")):
+            for lo, _, at, raw in common.blocks(common.column(batch, "text_b"), BLOCK_BYTES):
                 for k, right in enumerate(shingle_sets(at, raw, n), lo):
                     if known[0] != a[k]:
                         known = (a[k], shingle_sets(*list(common.blocks(texts_a.slice(k, 1)))[0][2:], n)[0])
@@ -225,7 +227,7 @@ def _small_pairs(small: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     met = side("a").join(side("b"), ["sig", "band"]).where((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & _fits(F.col("na"), F.col("nb"), percent))
     enough = needed(F.col("band"), F.col("na"), F.col("nb"), F.col("fa"), F.col("fb"), percent)
     large = F.least(F.coalesce("hota", F.lit(0)), F.coalesce("hotb", F.lit(0)))
-    counted = met.groupBy("a", "b", "band").agg(F.count("*").alias("votes"), F.first(enough).alias("enough"), F.first(large).alias("hot"))
+    counted = met.groupBy("a", "b", "band").agg(F.count("*").alias("votes"), F.min(enough).alias("enough"), F.max(large).alias("hot"))
     return counted.where(F.col("votes") + F.col("hot") >= F.col("enough")).select("a", "b")
 
 
@@ -273,8 +275,8 @@ def _forest(left: np.ndarray, right: np.ndarray, joined: np.ndarray, comp: np.nd
         x, y = np.nonzero(joined)
         if not len(x):
             return out
-        # one pair for each component on the left, then those components are the same
-        first = np.unique(root[left[x]], return_index=True)[1]
+        # one pair for each component on either side, so that each round halves them, then those components are the same
+        first = np.unique(np.concatenate([np.unique(root[left[x]], return_index=True)[1], np.unique(root[right[y]], return_index=True)[1]]))
         for a, b in zip(left[x[first]].tolist(), right[y[first]].tolist(), strict=True):
             if root[a] != root[b]:
                 out.append((a, b))
@@ -283,7 +285,7 @@ def _forest(left: np.ndarray, right: np.ndarray, joined: np.ndarray, comp: np.nd
 
 
 def _large_edges(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that connect all pairs in large buckets that share enough signatures of the bucket's band."""
+    """Pairs (a, b) that connect all pairs of classes of different components in large buckets that share enough signatures of the bucket's band."""
     # Two lists that share `need` of the same order share one of the first `hot - need + 1` of each; signatures of small buckets are the first
     own = Window.partitionBy("class", "band")
     ranked = large.withColumns({"hot": F.count("*").over(own), "place": F.row_number().over(own.orderBy("held", "sig")), "need": needed_at_least(F.col("band"), F.col("n"), F.col("f"), percent)})
@@ -307,7 +309,9 @@ def _large_edges(large: DataFrame, classes: DataFrame, percent: int) -> DataFram
             enough = np.maximum(1, np.maximum(f[left][:, None], f[right][None, :]) - (least + most) * (100 - percent) // (100 + percent))
         else:
             enough = sampled[band]
-        return _pair_table([(ids[a], ids[b]) for a, b in _forest(left, right, (shared >= enough) & (least * 100 >= most * percent), comp)])
+        found = (shared >= enough) & (least * 100 >= most * percent) & (comp[left][:, None] != comp[right][None, :])
+        # each class is a node of its own: which of a component's classes are linked outside of it isn't known yet
+        return _pair_table([(ids[a], ids[b]) for a, b in _forest(left, right, found, ids)])
 
     return keyed.groupBy("sig", "i", "j").applyInArrow(count, "a long, b long")
 
@@ -324,7 +328,7 @@ def _cluster_links(clusters: DataFrame, labels: DataFrame, docs: DataFrame, n: i
     texts = docs.withColumnRenamed("id", "class").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "class")
 
     def parse(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, at, raw in common.blocks(common.column(batch, "text")):
+        for lo, hi, at, raw in common.blocks(common.column(batch, "text"), BLOCK_BYTES):
             part = batch.slice(lo, hi - lo)
             sets = pa.array([s.tobytes() for s in shingle_sets(at, raw, n)], pa.binary())
             yield pa.RecordBatch.from_arrays([common.column(part, c) for c in ("class", "cluster", "comp")] + [sets], names=["class", "cluster", "comp", "features"])

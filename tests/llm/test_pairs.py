@@ -62,6 +62,19 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     test_join_of_families_with_a_frequent_passage(spark)
 
 
+def test_each_pair_of_two_components_is_a_candidate(spark):
+    """1 and 2 are of one component, 3 and 4 of another; under one signature 1 meets 3 and 2 meets 4, and neither pair stands for the other one."""
+    sig = lambda k, place: k << ngram_join.PLACE_BITS + ngram_join.BAND_BITS | place
+    common = sig(1, 0)
+    sigs = {c: [common, *(sig(100 + c % 2, k) for k in range(1, 16)), *(sig(200 + c, k) for k in range(16, 24))] for c in (1, 2, 3, 4)}
+    classes = spark.createDataFrame([(c, x) for c, x in sigs.items()], "class long, sigs array<long>")
+    held = lambda s: sum(s in x for x in sigs.values())
+    large = [(s, c, 0, 1 if c < 3 else 3, 0 if s == common else held(s), 24 if c < 3 else 32, 24) for c, x in sigs.items() for s in x]
+    edges = ngram_join._large_edges(spark.createDataFrame(large, "sig long, class long, band long, comp long, held long, n long, f long"), classes, 75)
+    clusters = {r.node: r.component for r in components.components(edges.toDF("u", "v")).collect()}
+    assert clusters == {1: 1, 3: 1, 2: 2, 4: 2}
+
+
 def test_join_of_empty_and_tiny_tables(spark):
     check(spark, [])
     check(spark, [(1, None, None)])
