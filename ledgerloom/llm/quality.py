@@ -29,6 +29,8 @@ BUCKETS, DIM, ONES, WINDOW = 1 << 13, 48, 2, 2
 POOLED = 2 * DIM
 SAMPLE, HIDDEN, EPOCHS, RATE, DECAY = 6000, 24, 60, 0.01, 1e-4
 THRESHOLD = 0.7
+#: Bytes of text that are learned from or pooled at a time: a token has three rows of DIM numbers while it is pooled, some 150 bytes for each of its text.
+BLOCK_BYTES = 1 << 17
 
 _KIND = np.ones(256, np.uint8)  # 0 white space, 1 word, 2 punctuation
 _KIND[: 33] = 0
@@ -63,7 +65,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS * DIM)
         for batch in batches:
-            for _, _, at, raw in common.blocks(common.column(batch, text)):
+            for _, _, at, raw in common.blocks(common.column(batch, text), BLOCK_BYTES):
                 ids, first = tokens(at, raw)
                 row = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 for d in range(1, WINDOW + 1):
@@ -175,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_column: str = "
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, at, raw in common.blocks(common.column(batch, "text")):
+        for lo, hi, at, raw in common.blocks(common.column(batch, "text"), BLOCK_BYTES):
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays([common.column(part, "id").cast(pa.string()), common.column(part, "y"), pa.array(list(pool(at, raw, sent.value)), pa.list_(pa.float32()))], names=["id", "y", "v"])
 
@@ -193,7 +195,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, at, raw in common.blocks(common.column(batch, text)):
+        for lo, hi, at, raw in common.blocks(common.column(batch, text), BLOCK_BYTES):
             p = sent.value.network.probabilities(pool(at, raw, sent.value.vectors))
             yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(p)], names=schema.names)
 

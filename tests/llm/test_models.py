@@ -95,3 +95,18 @@ def test_samples_hold_one_row_an_id_and_every_language(spark, monkeypatch):
     monkeypatch.setattr(quality.Network, "fit", classmethod(lambda cls, x, y: sizes.append(len(y)) or cls(np.zeros(quality.POOLED), np.ones(quality.POOLED), np.zeros((quality.POOLED, quality.HIDDEN)), np.zeros(quality.HIDDEN), np.zeros(quality.HIDDEN), 0.0)))
     quality.train(docs, labels, quality.learnable("doc_id", 4, 2), sample=10)
     assert sizes == [10]
+
+
+def test_pooling_a_block_takes_little_memory():
+    """A block of short tokens, the worst case: six workers share an executor with the JVM."""
+    import tracemalloc
+
+    data = np.frombuffer(b"a " * (quality.BLOCK_BYTES // 2), np.uint8)
+    vectors = np.ones((quality.BUCKETS, quality.DIM), np.float32)
+    at = np.array([0, len(data)])
+    quality.pool(at, data, vectors)  # tables of powers are made once
+    tracemalloc.start()
+    quality.pool(at, data, vectors)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
