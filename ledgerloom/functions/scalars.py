@@ -84,12 +84,14 @@ def formatted_block(value: Column) -> Column:
     return F.coalesce(formatted(value.try_cast("bigint"), 0), value.cast("string"))
 
 
-def human_bytes(size: Column) -> Column:
-    """With two decimals in bytes, KB, MB, GB or TB."""
+def human_bytes(size: Column, largest: str = "TB") -> Column:
+    """With two decimals in bytes, KB, MB, GB or TB, `largest` at most."""
     units = ("bytes", "KB", "MB", "GB", "TB")
-    out = F.format_string("%.2f TB", size / F.lit(2.0**40))
-    for k in range(3, -1, -1):
-        out = F.when(size < 2.0 ** (10 * (k + 1)), F.format_string(f"%.2f {units[k]}", size / F.lit(2.0 ** (10 * k)))).otherwise(out)
+    top = units.index(largest)
+    shown = lambda k: F.format_string(f"%.2f {units[k]}", size / F.lit(2.0 ** (10 * k)))
+    out = shown(top)
+    for k in range(top - 1, -1, -1):
+        out = F.when(size < 2.0 ** (10 * (k + 1)), shown(k)).otherwise(out)
     return out
 
 

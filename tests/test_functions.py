@@ -159,6 +159,17 @@ def test_discriminators_and_accounts(spark):
     assert [tuple(r.a) for r in df.select(encodings.named_accounts({"mint": 0, "owner": 1}).alias("a")).collect()] == [("m", "n"), (None, None), (None, None)]
 
 
+def test_sizes_stop_at_the_largest_unit(spark, tmp_path):
+    """Keys beyond 2**20, whose squares are a terabyte and more: the query ends with GB, as its SQL does."""
+    from ledgerloom.chain_queries import human_texts
+
+    keys = [1023, 1024, 2**20 - 1, 2**20, 1_500_001, 9_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r["size"] for r in human_texts(spark, str(tmp_path)).collect()}
+    assert got == {k: f"{k * k / 2**30:.2f} GB" if k * k >= 2**30 else f"{k * k / 2**20:.2f} MB" if k * k >= 2**20 else f"{k * k / 2**10:.2f} KB" for k in keys}
+    assert spark.createDataFrame([(2.0**41,)], "n double").select(scalars.human_bytes(F.col("n"))).first()[0] == "2.00 TB"
+
+
 def test_texts_of_numbers(spark):
     sizes = [(0, "0.00 bytes"), (1023, "1023.00 bytes"), (2048, "2.00 KB"), (1 << 20, "1.00 MB"), (5 << 40, "5.00 TB")]
     assert [r[0] for r in spark.createDataFrame([(n,) for n, _ in sizes], "n long").select(scalars.human_bytes(F.col("n"))).collect()] == [t for _, t in sizes]
