@@ -6,7 +6,9 @@ import json
 from collections.abc import Iterator
 from dataclasses import asdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +52,10 @@ class HoldBack:
 
 #: Keys of the state of a stream; a checkpoint keeps its number.
 BUCKETS = 64
+#: Rows that are handed on at a time.
+ROWS = 10_000
+#: What becomes of a row that no response releases.
+WAITS, DROPPED = -1, -2
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _EVENT = "struct<seq: bigint, kind: string, number: bigint, payload: string>"
 
@@ -62,35 +68,44 @@ class _Waiting(StatefulProcessor):
         self.floor = handle.getValueState("floor", "number bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        fresh: dict[int, list[tuple[int, str]]] = {}
+        parts: list[pa.Table] = []
         told: set[tuple[int, str, int | None]] = set()
         for part in rows:
-            for seq, kind, number, payload in zip(part["seq"], part["kind"], part["number"], part["payload"], strict=True):
-                if kind == "row":
-                    fresh.setdefault(int(number), []).append((int(seq), payload))
-                else:
-                    told.add((int(seq), kind, None if pd.isna(number) else int(number)))
+            is_row = (part["kind"] == "row").to_numpy()
+            for seq, kind, number in part.loc[~is_row, ["seq", "kind", "number"]].drop_duplicates().itertuples(index=False):
+                told.add((int(seq), kind, None if pd.isna(number) else int(number)))
+            own = part[is_row]
+            parts.append(pa.table({"seq": pa.array(own["seq"], pa.int64()), "number": pa.array(own["number"].astype("int64"), pa.int64()), "payload": pa.array(own["payload"], pa.string())}))
         steps = self._steps(sorted(told, key=lambda c: c[0]))
+        waiting: dict[int, list[tuple[int, str]]] = {}
+        for came in parts:  # most rows are final or taken back by what came with them; no state is touched for these
+            number, seq = came["number"].to_numpy(), came["seq"].to_numpy()
+            fate = _fates(steps, number, seq)
+            final = np.flatnonzero(fate >= 0)
+            if len(final):
+                yield pd.DataFrame({"number": number[final], "seq": seq[final], "released": fate[final], "payload": came["payload"].take(pa.array(final)).to_pandas()})
+            still = came.take(pa.array(np.flatnonzero(fate == WAITS)))
+            for n, at, payload in zip(*(still[c].to_pylist() for c in ("number", "seq", "payload")), strict=True):
+                waiting.setdefault(n, []).append((at, payload))
         known = {k[0] for k in self.held.keys()}
-        for number in sorted(known | fresh.keys()):
-            came = fresh.get(number, [])
-            old = _fate(steps, number, None) if number in known else "drop"
+        out: list[tuple[int, int, int, str]] = []
+        for number in sorted(known | waiting.keys()):
+            old, came = _fate(steps, number, None) if number in known else "drop", waiting.get(number, [])
             if old is None and not came:
                 continue  # waits on, unread
             stored = [] if old == "drop" else list(zip(*self.held.getValue((number,)), strict=True))
-            waits, out = [], []
-            for seq, payload in stored + sorted(came, key=lambda c: c[0]):
-                fate = old if len(waits) + len(out) < len(stored) else _fate(steps, number, seq)
-                if fate is None:
-                    waits.append((seq, payload))
-                elif fate != "drop":
-                    out.append((number, seq, fate, payload))
+            waits = ([] if old is not None else stored) + sorted(came, key=lambda c: c[0])
+            if old is not None:
+                out += [(number, seq, old, payload) for seq, payload in stored]
             if waits:
                 self.held.updateValue((number,), ([s for s, _ in waits], [p for _, p in waits]))
             elif number in known:
                 self.held.removeKey((number,))
-            if out:
+            if len(out) >= ROWS:
                 yield pd.DataFrame(out, columns=["number", "seq", "released", "payload"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["number", "seq", "released", "payload"])
 
     def _steps(self, told: list[tuple[int, str, int | None]]) -> list[tuple[int, str, float | None]]:
         """What is told, in order; the floor never falls, and while none is known everything is final."""
@@ -120,6 +135,23 @@ def _fate(steps: list[tuple[int, str, float | None]], number: int, seq: int | No
     return None
 
 
+def _fates(steps: list[tuple[int, str, float | None]], number: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """`_fate` of rows: the response that releases each, DROPPED or WAITS."""
+    fate, left = np.full(len(number), WAITS, np.int64), np.arange(len(number))
+    for at, kind, value in steps:
+        if not len(left):
+            break
+        if kind == "floor":
+            met = (seq[left] <= at) & (number[left] <= value)
+        elif value is not None:
+            met = (seq[left] < at) & (number[left] > value)
+        else:
+            continue
+        fate[left[met]] = at if kind == "floor" else DROPPED
+        left = left[~met]
+    return fate
+
+
 def held_stream(responses: DataFrame, items: Column, schema: T.StructType, finalized: Column, fork: Column, safe: Column, number: str = "block_number", seq: str = "seq") -> DataFrame:
     """A stream of responses as the stream of their rows once they are final, with `released`, the response that released them.
 

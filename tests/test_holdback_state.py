@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.chain_queries import ROCKS
-from ledgerloom.streaming.holdback import held_stream, still_held
+from ledgerloom.streaming.holdback import _Waiting, held_stream, still_held
 
 ROW = T.StructType([T.StructField("block_number", T.LongType()), T.StructField("s", T.StringType()), T.StructField("t", T.TimestampType()), T.StructField("d", T.DecimalType(38, 18))])
 DECIMALS = ["12345678901234567890.123456789012345678", "0.000000000000000001", None]
@@ -75,3 +75,25 @@ def test_held_rows_with_forks_and_restarts(spark, tmp_path, restarts):
     for seq in {r.released for r in got} | {s for s, _ in released}:
         assert plain([r for r in got if r.released == seq]) == given([x for s, x in released if s == seq])
     assert plain(still_held(spark, where["checkpoint"], ROW).collect()) == given(held) and len(held) > 3 and len(got) > 40
+
+
+def test_final_rows_leave_in_large_parts():
+    """Rows that are final with what came beside them touch no state and leave part by part, not block by block."""
+    import pandas as pd
+
+    class Values(dict):
+        exists = lambda self: "v" in self
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+
+    class Numbers(dict):
+        getValue, updateValue, removeKey = dict.__getitem__, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    state = _Waiting()
+    state.floor, state.held = Values(), Numbers()
+    rows = pd.DataFrame({"seq": 1, "kind": "row", "number": range(5000), "payload": "{}"})
+    told = pd.DataFrame({"seq": [1, 2, 3], "kind": ["floor", "fork", "floor"], "number": [4000, 4900, 4500], "payload": None})
+    parts = list(state.handleInputRows((0,), iter([rows.astype({"number": "float"}), told]), None))
+    got = pd.concat(parts)
+    assert len(parts) == 1 and got.groupby("released").size().to_dict() == {1: 4001, 3: 500}
+    assert sorted(state.held) == list(range(4501, 4901)) and state.floor["v"] == (4500,)
